@@ -29,9 +29,9 @@ def build_filter(keys: DataFrame, col: str, bits_per_key: int = 12, max_bytes: i
     return out.view(np.uint64)
 
 
-def might_hold(spark, table: np.ndarray, col: str):
-    """Column: false only if the filter shows that the key is not listed. Null keys are not listed."""
-    sent = spark.sparkContext.broadcast(table)
+def might_hold(spark, table: np.ndarray, col):
+    """Column: false only if the filter shows that the key (a column or its name) is not listed."""
+    sent, c = spark.sparkContext.broadcast(table), F.col(col) if isinstance(col, str) else col
 
     @F.pandas_udf("boolean")
     def probe(block: pd.Series, g: pd.Series) -> pd.Series:
@@ -42,4 +42,4 @@ def might_hold(spark, table: np.ndarray, col: str):
             ok &= (t[b, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
         return pd.Series(ok)
 
-    return probe(F.pmod(F.xxhash64(col), F.lit(len(table))), F.xxhash64(F.col(col), F.lit("bits")))
+    return probe(F.pmod(F.xxhash64(c), F.lit(len(table))), F.xxhash64(c, F.lit("bits")))

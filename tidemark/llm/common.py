@@ -37,6 +37,24 @@ def ascii_lower(c):
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
+def with_range(df: DataFrame, id_col: str, out: str) -> tuple[DataFrame, int]:
+    """``df`` with an int column of id ranges, cut at approximate quantiles, and their number; null ids are in a last one.
+
+    There are four ranges for each shuffle partition, so that dealing them by hash stays even.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
+    found = df.select(F.percentile_approx(id_col, cuts, 40 * parts)).first()[0] or []
+    splits = [float("-inf"), *sorted({float(x) for x in found}), float("inf")]
+    if len(splits) == 2:
+        splits.insert(1, 0.0)
+    rows = df.withColumn("__v", F.col(id_col).cast("double"))
+    rows = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(rows)
+    return rows.withColumn(out, F.col("__b").cast("int")).drop("__v", "__b"), len(splits)
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge, component being the smallest node reachable.
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, pieces, quality, simhash, spotsigs, suffixes, urls
+from tidemark.llm import decontaminate, fixity, lines, pieces, quality, rangecoder, simhash, spotsigs, suffixes, urls
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
     "op2_url_filter": urls.op2_url_filter,
     "op3_simhash": simhash.op3_simhash,
+    "op4_warc_fixity": fixity.op4_warc_fixity,
     "op5_suffix_dedup": suffixes.op5_suffix_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_range_coder": rangecoder.op9_range_coder,
     "op10_quality": quality.op10_quality,
 }
-SQL = {"op2_url_filter": urls.OP2_SQL}
+SQL = {"op2_url_filter": urls.OP2_SQL, "op4_warc_fixity": fixity.OP4_SQL}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, read, written
+from tidemark.llm.common import connected_components, read, with_range, written
 
 # Anchors and further common words, in English, German, French and Spanish.
 ANCHORS = frozenset("a an is the das der die ist la le les un una el los est es".split())
@@ -84,15 +84,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str, run, schema: str) -> Da
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = [i / (4 * parts) for i in range(1, 4 * parts)]
-    found = df.select(F.percentile_approx(id_col, cuts, 40 * parts)).first()[0] or []
-    from pyspark.ml.feature import Bucketizer
-
-    splits = [float("-inf"), *sorted({float(x) for x in found}), float("inf")]
-    n = len(splits) - 1
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(id_col).cast("double").alias("v"))
-    rows = Bucketizer(splits=splits, inputCol="v", outputCol="b", handleInvalid="keep").transform(rows)
-    rows = rows.select("id", "text", F.when(F.col("b") == n, n).otherwise(n - 1 - F.col("b")).cast("int").alias("r"))
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows, n = with_range(rows, "id", "b")
+    rows = rows.select("id", "text", F.when(F.col("b") == n - 1, n).otherwise(n - F.col("b")).alias("r"))
     tops = rows.groupBy("r").agg(F.max("id").alias("top")).collect()  # one row a range
     ranges = sorted(r["r"] for r in tops)
     if not ranges:
