@@ -150,6 +150,26 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
     return df.select(F.col(id_col).alias("id"), F.col(ids_col)).mapInArrow(run, f"id {kind}, text string")
 
 
+def with_ids(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep``, n_tokens, ids array<int> and decoded_sha256 of every row; null texts are empty."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+    def run(batches):
+        m = model(path)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                raw = m.encode_batch([t or "" for t in part.column(0).to_pylist()])
+                sizes = np.array([len(x) // 4 for x in raw], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                text = pa.array([hashlib.sha256(m.decode(x).encode()).hexdigest() for x in raw], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sizes), ids, text], [*keep, "n_tokens", "ids", "decoded_sha256"])
+
+    chosen = docs.select(F.col("text").alias("__text"), *keep)
+    return chosen.mapInArrow(run, f"{schema}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 OP6_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

@@ -155,24 +155,29 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
     return fit(np.concatenate(each), starts, np.array([r["y"] for r in rows]))
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` and score double; without a model every score is 0.5. Null texts score as empty ones."""
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), with_text: bool = False) -> DataFrame:
+    """Columns ``keep`` and score double; without a model every score is 0.5. Null texts score as empty ones.
+
+    ``with_text`` says that ``keep`` has the text itself, which is then read once.
+    """
     if model is None:
         return docs.select(*keep, F.lit(0.5).alias("score"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    text_at = keep.index("text") if with_text else len(keep)
 
     def run(batches):
         for b in batches:
-            texts, out = b.column(0).to_pylist(), []
+            texts, out = b.column(text_at).to_pylist(), []
             for lo in range(0, len(texts), 512):
                 bags = [features(t) for t in texts[lo : lo + 512]]
                 starts = np.concatenate([[0], np.cumsum([len(f) for f in bags])[:-1]])
                 out.append(sent.value.score(np.concatenate(bags), starts))
             p = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(p)], [*keep, "score"])
 
-    return docs.select(F.col("text").alias("__text"), *keep).mapInArrow(run, schema)
+    chosen = docs.select(*keep) if with_text else docs.select(*keep, F.col("text").alias("__text"))
+    return chosen.mapInArrow(run, schema)
 
 
 def op10_quality(spark, sf_dir):
