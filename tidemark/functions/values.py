@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +24,11 @@ def parse_number(c: Column) -> Column:
     """decimal of a financial text: $ and commas go, (1,234) is negative, a lone dash is 0, K M B T scale, % is
     hundredths; null where nothing of that kind is found."""
     t = F.regexp_replace(F.trim(c), r"[$€£,\s]", "")
-    negative = t.rlike(r"^\(.*\)$") | t.startswith("-")
-    body = F.regexp_replace(t, r"^[-(]+|\)$", "")
-    unit = F.upper(F.regexp_extract(body, r"([KMBTkmbt%])\)?$", 1))
-    token = F.regexp_extract(body, r"^([0-9]*\.?[0-9]+|[0-9]+\.)[KMBTkmbt%]?$", 1)
-    value = F.when(token != "", token).try_cast("decimal(28,9)")
-    scaled = [(u, 10**p) for u, p in (("K", 3), ("M", 6), ("B", 9), ("T", 12))]
-    size = reduce(lambda out, x: F.when(unit == x[0], (value * F.lit(x[1])).cast(DECIMAL)).otherwise(out), scaled, F.when(unit == "%", (value / F.lit(100)).cast(DECIMAL)).otherwise(value.cast(DECIMAL)))
-    return F.when(t.isin("-", "–", "—"), F.lit(0).cast(DECIMAL)).otherwise(F.when(negative, -size).otherwise(size))
+    shape = r"^([-(]?)([0-9]*\.?[0-9]+|[0-9]+\.)([KMBTkmbt%]?)\)?$"
+    power = F.create_map(*[F.lit(x) for x in ("", "E0", "K", "E3", "M", "E6", "B", "E9", "T", "E12", "%", "E-2")])
+    sign = F.when(F.regexp_extract(t, shape, 1) == "", "").otherwise("-")
+    number = F.concat(sign, F.regexp_extract(t, shape, 2), power[F.upper(F.regexp_extract(t, shape, 3))])
+    return F.when(t.isin("-", "–", "—"), "0").when(t.rlike(shape), number).try_cast(DECIMAL)
 
 
 def scale_of(c: Column) -> Column:
@@ -50,8 +45,9 @@ def scale_of(c: Column) -> Column:
 
 def terminating(num: Column, den: Column, digits: int = 9) -> Column:
     """num / den as a decimal if it ends within ``digits`` places, else null; null for a zero denominator."""
-    q = F.try_divide(num.cast("decimal(20,0)"), den.cast("decimal(20,0)")).cast(f"decimal(38,{digits})")
-    return F.when(q.cast("decimal(38,9)") * den.cast("decimal(20,0)") == num.cast("decimal(20,0)"), q)
+    n, d = num.cast("decimal(20,0)"), den.cast("decimal(20,0)")
+    whole = F.when(d != 0, (n * F.lit(10**digits).cast("decimal(16,0)")) % d) == 0
+    return F.when(whole, F.try_divide(n, d).cast(f"decimal(38,{digits})"))
 
 
 def slug(c: Column) -> Column:

@@ -128,7 +128,7 @@ def evaluate_contract(df: DataFrame, keys: list[str], required_unit: str, period
     just one."""
     there = F.col(value).isNotNull()
     fits = there & (F.col(period) == F.col(wanted_period))
-    units = fits & (F.col(unit) == F.col(required_unit))
+    units = fits & (F.col(unit) == F.lit(required_unit))
     pit = units & (F.col(available) <= as_of if as_of is not None else F.col(available).isNotNull())
     n = lambda c: F.count(F.when(c, 1))
     got = df.groupBy(*keys).agg(n(there).alias("_1"), n(fits).alias("_2"), n(units).alias("_3"), n(pit).alias("_4"), F.count_distinct(F.when(pit, F.col(value))).alias("_5"), n(pit & F.col(validated)).alias("_6"), F.min(F.when(pit, F.col(value))).alias("_v"))

@@ -157,8 +157,13 @@ def compare(obs: DataFrame, ids: list[str], metric_name: str, n: int, ident: str
 
 def filter_index(df: DataFrame, ident: str, scalars: list[str], arrays: list[str]) -> DataFrame:
     """(filter, value, id) for every filter bucket a row is in; rows in none are in filter ``remainder``."""
-    one = [F.array(F.struct(F.lit(c).alias("filter"), F.col(c).cast("string").alias("value"))) for c in scalars]
-    many = [F.transform(F.coalesce(c, F.array().cast(df.schema[c].dataType)), lambda v, c=c: F.struct(F.lit(c).alias("filter"), v.cast("string").alias("value"))) for c in arrays]
+    def cell(name, value):
+        return F.struct(F.lit(name).alias("filter"), value.cast("string").alias("value"))
+
+    def each(name):
+        return F.transform(F.coalesce(name, F.array().cast(df.schema[name].dataType)), lambda v: cell(name, v))
+
+    one, many = [F.array(cell(c, F.col(c))) for c in scalars], [each(c) for c in arrays]
     cells = F.filter(F.concat(*one, *many), lambda x: x["value"].isNotNull())
     cells = F.when(F.size(cells) == 0, F.array(F.struct(F.lit("remainder").alias("filter"), F.lit("").alias("value")))).otherwise(cells)
     return df.select(ident, F.explode(F.array_distinct(cells)).alias("_c")).select("_c.filter", "_c.value", ident)
