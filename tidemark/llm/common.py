@@ -52,7 +52,7 @@ def with_range(df: DataFrame, id_col: str, out: str) -> tuple[DataFrame, int]:
         splits.insert(1, 0.0)
     rows = df.withColumn("__v", F.col(id_col).cast("double"))
     rows = Bucketizer(splits=splits, inputCol="__v", outputCol="__b", handleInvalid="keep").transform(rows)
-    return rows.withColumn(out, F.col("__b").cast("int")).drop("__v", "__b"), len(splits)
+    return rows.withColumn(out, F.coalesce(F.col("__b").cast("int"), F.lit(len(splits) - 1))).drop("__v", "__b"), len(splits)
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
