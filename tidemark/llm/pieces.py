@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read
 
 MARK = "▁"
-KEEP = 300_000  # segments that a worker remembers
+KEEP = 800_000  # segments after which a worker starts to remember anew
 
 
 class Pieces:
@@ -85,8 +85,6 @@ class Pieces:
     def learn(self, segments) -> None:
         """Merge segments not met before and hold each against the library's answer."""
         new = list(segments)
-        if len(self.known) + len(new) > KEEP:
-            self.known.clear()
         ours = [self.merge(s) for s in new]
         # after a new line, which no piece holds, the library sees a segment as it stands
         theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in new], num_threads=1)
@@ -103,6 +101,8 @@ class Pieces:
         out = []
         for lo in range(0, len(cut), 256):
             some = cut[lo : lo + 256]
+            if len(self.known) > KEEP:
+                self.known.clear()
             self.learn({s for segments in some for s in segments if s not in self.known})
             out += [first + b"".join(map(self.known.__getitem__, segments)) + last for segments in some]
         return out
