@@ -39,7 +39,10 @@ def ts(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-CUT = F.lit(AS_OF).cast("timestamp")
+def cut():
+    return F.lit(AS_OF).cast("timestamp")
+
+
 _AVAILABLE = f"available_at <= TIMESTAMP '{AS_OF}'"
 
 
@@ -52,7 +55,7 @@ _AVAILABLE = f"available_at <= TIMESTAMP '{AS_OF}'"
 FROM supplier LEFT JOIN (SELECT * FROM obs WHERE {_AVAILABLE}
   QUALIFY row_number() OVER (PARTITION BY cik, metric, concept, period_end ORDER BY available_at DESC, accession DESC, id DESC) = 1) ON lpad(s_suppkey::VARCHAR, 10, '0') = cik""", (V.OBS,))
 def pit_latest_revision(spark, sf_dir):
-    facts = pit.latest_revision(V.observations(spark, sf_dir), CONTEXT, ["available_at", "accession", "id"], CUT)
+    facts = pit.latest_revision(V.observations(spark, sf_dir), CONTEXT, ["available_at", "accession", "id"], cut())
     anchor = V.table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]).withColumn("cik", values.pad_id(F.col("s_suppkey")))
     out = joins.left_with_coverage(anchor, facts, "cik").withColumn("available_at", ts("available_at"))
     return text(out, "period_end", "value").select("s_suppkey", "s_name", "metric", "concept", "period_end", "value", "accession", "available_at", "record_status", "value_status")
@@ -64,7 +67,7 @@ sel AS (SELECT cik, metric, concept, period_end, min(available_at) AS available_
 
 
 def _strict(spark, sf_dir):
-    return pit.select_or_conflict(V.observations(spark, sf_dir), CONTEXT, CUT)
+    return pit.select_or_conflict(V.observations(spark, sf_dir), CONTEXT, cut())
 
 
 @query("pit_select_or_conflict", "SELECT cik, metric, concept, period_end::VARCHAR AS period_end, value::VARCHAR AS value, array_to_string(ids, ',') AS source_ids FROM sel WHERE n = 1", (V.OBS, _LAST))
@@ -86,7 +89,7 @@ _GOOD = f"good AS (SELECT cik, metric, concept, period_end, max(available_at) AS
 FROM good g LEFT JOIN bad b USING (cik, metric, concept) GROUP BY ALL""", (V.OBS, _BAD.replace("cik, metric, concept, period_end", "cik, metric, concept"), _GOOD))
 def pit_blocked(spark, sf_dir):
     keys = ["cik", "metric", "concept"]
-    rows = pit.available_as_of(V.observations(spark, sf_dir), CUT)
+    rows = pit.available_as_of(V.observations(spark, sf_dir), cut())
     good = rows.where("period_end <= filed").groupBy(*CONTEXT).agg(F.max("available_at").alias("available_at"))
     kept, gaps = pit.block_by_rejected(good, rows.where("period_end > filed"), keys)
     both = kept.select("metric", "concept", F.lit(0).alias("b")).unionByName(gaps.select("metric", "concept", F.lit(1).alias("b")))
@@ -152,7 +155,7 @@ def pit_release(spark, sf_dir):
 
 @query("pit_leakage", f"""SELECT form, count(*) AS rows FROM obs WHERE available_at > TIMESTAMP '{AS_OF}' GROUP BY ALL""", (V.OBS,))
 def pit_leakage(spark, sf_dir):
-    return pit.leakage(V.observations(spark, sf_dir), CUT).groupBy("form").agg(F.count("*").alias("rows"))
+    return pit.leakage(V.observations(spark, sf_dir), cut()).groupBy("form").agg(F.count("*").alias("rows"))
 
 
 @query("pit_long_quarters", None)
@@ -657,7 +660,7 @@ def quality_quarantine(spark, sf_dir):
   WHEN count(*) FILTER (form = '10-K' AND {_AVAILABLE} AND concept = 'O') = 0 THEN 'SOURCE_UNVALIDATED' ELSE 'AVAILABLE' END AS state FROM obs GROUP BY ALL""", (V.OBS,))
 def quality_contract(spark, sf_dir):
     rows = V.observations(spark, sf_dir).withColumns({"want": F.lit("10-K"), "ok": F.col("concept") == "O"})
-    return quality.evaluate_contract(rows, ["cik", "metric"], "USD", "form", "want", as_of=CUT, validated="ok").select("cik", "metric", "state")
+    return quality.evaluate_contract(rows, ["cik", "metric"], "USD", "form", "want", as_of=cut(), validated="ok").select("cik", "metric", "state")
 
 
 _ONE = "one AS (SELECT DISTINCT ON (id) * FROM obs ORDER BY id, period_end)"
