@@ -32,6 +32,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows for whole texts in Python workers, unless the session has a size of its own.
+
+    The setting stays in the session. It bounds what a worker holds at once; results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # Spark's default
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(c):
     """Lower-case A-Z only; ``lower`` does that for pure ASCII text and is much faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import read, small_batches
 
 MARK = "▁"
 KEEP = 800_000  # segments after which a worker starts to remember anew
@@ -166,6 +166,7 @@ def with_ids(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) ->
                 text = pa.array([hashlib.sha256(m.decode(x).encode()).hexdigest() for x in raw], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(sizes), ids, text], [*keep, "n_tokens", "ids", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     chosen = docs.select(F.col("text").alias("__text"), *keep)
     return chosen.mapInArrow(run, f"{schema}, n_tokens long, ids array<int>, decoded_sha256 string")
 
@@ -190,6 +191,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, OP6_SCHEMA)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import read
+from tidemark.llm.common import read, small_batches
 
 PASSAGE = 1024  # bytes
 SAMPLE_DOCS = 4000  # labelled documents that are learned from, at most: the first by a hash of the id
@@ -133,6 +133,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    small_batches(docs.sparkSession)
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
 
     def run(batches):
@@ -163,6 +164,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
     if model is None:
         return docs.select(*keep, F.lit(0.5).alias("score"))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     text_at = keep.index("text") if with_text else len(keep)
 
