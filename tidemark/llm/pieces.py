@@ -2,7 +2,7 @@
 
 Text is escaped (a dummy leading mark, spaces to marks) and cut where no merge can cross: before a run of marks if no
 piece has a mark inside, and around characters that occur in no longer piece. Each segment is merged by a score-ordered
-agenda of adjacent symbol pairs. Segments recur, so a worker keeps the ids of those it has met, up to a stated number;
+agenda of adjacent symbol pairs. Segments recur, so a worker keeps the ids of those it met last, up to a stated number;
 every newly met segment is checked against the sentencepiece library, batch by batch.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read, small_batches
 
 MARK = "▁"
-KEEP = 800_000  # segments after which a worker starts to remember anew
+KEEP = 150_000  # segments after which a worker starts a new generation; it remembers this one and the one before
+GROUP_CHARS = 1 << 19  # characters of the texts that are cut at once, or one text
 
 
 class Pieces:
@@ -52,6 +53,7 @@ class Pieces:
         lone = f"[{alone}]|" if alone else ""
         self.cut = re.compile("(?s).+" if inside else f"{lone}{MARK}*[^{MARK}{alone}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment: always the pair of best score, the leftmost of equals, until none is in the vocabulary."""
@@ -96,14 +98,18 @@ class Pieces:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with begin and end ids."""
-        cut = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         first, last = np.array([self.begin], "<u4").tobytes(), np.array([self.end], "<u4").tobytes()
+        group = np.cumsum([len(t) for t in texts]) // GROUP_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
         out = []
-        for lo in range(0, len(cut), 256):
-            some = cut[lo : lo + 256]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            some = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:hi]]
             if len(self.known) > KEEP:
-                self.known.clear()
-            self.learn({s for segments in some for s in segments if s not in self.known})
+                self.before, self.known = self.known, {}
+            new = {s for segments in some for s in segments if s not in self.known}
+            again = {s: self.before[s] for s in new if s in self.before}
+            self.known |= again
+            self.learn(new.difference(again))
             out += [first + b"".join(map(self.known.__getitem__, segments)) + last for segments in some]
         return out
 
