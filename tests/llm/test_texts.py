@@ -332,3 +332,41 @@ def test_bloom_filter_has_no_false_negatives(spark):
     rows = keys.select((F.substring("u", 2, 9).cast("int") % 2).alias("odd"), might_hold(spark, table, "u").alias("m")).groupBy("odd", "m").count().collect()
     n = {(r["odd"], r["m"]): r["count"] for r in rows}
     assert (0, False) not in n and n.get((1, True), 0) < 100
+
+
+def lines_as_docs(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+
+def test_twin_lines_of_one_template_all_go(spark):
+    rng = random.Random(8)
+    said = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) + "."
+    head, texts = said(80), []
+    for _ in range(300):
+        tail = said(12)
+        texts += [head + tail, head + tail[:-3] + "é" + tail[-2:]]
+    assert 0.5 < lines.similarity(texts[0], texts[2]) < 0.8 < lines.similarity(texts[0], texts[1])
+    part = components(len(texts), lambda i, j: lines.similarity(texts[i], texts[j]) >= 0.8)
+    first = {p: i for i, p in reversed(list(enumerate(part)))}
+    rows = {r["doc_id"]: r["gone"] for r in lines.removed_lines(lines_as_docs(spark, texts)).collect()}
+    assert [i for i in rows if rows[i] == [0]] and {i for i in rows if rows[i]} == {i for i, p in enumerate(part) if first[p] != i}
+
+
+def test_prefix_pairs_miss_none(spark):
+    from tidemark.llm import prefix
+
+    rng = random.Random(6)
+    texts = [words(rng, rng.randrange(1, 120), 4000) for _ in range(60)]
+    for t in texts[:60]:
+        w = t.split()
+        texts += [" ".join(w[: -max(1, len(w) // 6)]), t + " " + words(rng, len(w) // 6), " ".join(w[:30] + ["new"] + w[31:])]
+    texts += [f"{words(rng, 20)} {texts[3]}" for _ in range(80)]
+    texts = [t for t in dict.fromkeys(texts) if t]
+    grams = simhash._shingles
+    df = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t) for t in texts], "key binary, text string").repartition(3)
+    none = spark.createDataFrame([], "node binary, component binary")
+    found = {(bytes(a), bytes(b)) for a, b in prefix.pairs(df, none, lambda t: grams(t, 5), 0.8).collect()}
+    keys = [hashlib.md5(t.encode()).digest() for t in texts]
+    sets = [grams(t, 5) for t in texts]
+    want = {tuple(sorted((keys[i], keys[j]))) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(want) > 50 and want <= found

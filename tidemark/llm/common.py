@@ -88,3 +88,15 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         state = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
+
+
+def merged_components(parts: DataFrame, edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, component) of ``parts`` after further edges, which are few and may name nodes that ``parts`` lacks."""
+    name = parts.select(F.col("node").alias("__n"), F.col("component").alias("__c"))
+    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    for c in ("a", "b"):
+        ends = ends.join(name, ends[c] == F.col("__n"), "left").withColumn(c, F.coalesce("__c", c)).drop("__n", "__c")
+    top = connected_components(ends, "a", "b").select(F.col("node").alias("__t"), F.col("component").alias("__top"))
+    moved = parts.join(top, parts.component == F.col("__t"), "left").select("node", F.coalesce("__top", "component").alias("component"))
+    new = top.join(name, F.col("__t") == F.col("__n"), "left_anti").select(F.col("__t").alias("node"), F.col("__top").alias("component"))
+    return moved.union(new)

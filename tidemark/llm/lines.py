@@ -3,8 +3,10 @@
 Lines are compared as sets of 5-character shingles. For candidates every line's 8-character shingles, which unrelated
 lines hardly share, are hashed once: they fall into bins by hash and each bin keeps its smallest hash (one-permutation
 MinHash, empty bins borrow from the next). Bands of four bins find candidates with high recall (98.7 % of pairs with a
-similarity of 0.80 to 0.85 when measured); each is verified by the exact Jaccard; distributed union-find joins what is alike, and one
-line of each component, the first by document id and position, stays.
+similarity of 0.80 to 0.85 when measured). A band's lines first meet its smallest and largest key; bands that then still
+hold lines of several components, lines of one template for instance, have all pairs of these compared, large bands by an
+exact prefix join, so that no pair of a band is left out. Each candidate is verified by the exact Jaccard; distributed union-find joins what
+is alike, and one line of each component, the first by document id and position, stays.
 """
 
 from __future__ import annotations
@@ -15,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, might_hold
-from tidemark.llm.common import connected_components, read, written
+from tidemark.llm.common import connected_components, merged_components, read, written
+from tidemark.llm.prefix import pairs
 
 SHINGLE = 5
 WIDE = 8  # characters of a shingle in signatures
 BANDS, ROWS = 12, 4
 BINS = 48
 GROUP_CHARS = 1 << 16  # characters of the lines whose signatures are computed at once: arrays of 0.5 MB
+SMALL_BAND = 32  # lines of a band that are paired with one another; larger bands take the prefix join
 MIN_CHARS = 10  # shorter lines say too little to be called repeats; they always stay
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -71,6 +75,10 @@ def shingles(s: str) -> set[str]:
     return {s[i : i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))}
 
 
+def _grams(s: str) -> list[bytes]:
+    return [x.encode() for x in shingles(s)]
+
+
 def similarity(a: str, b: str) -> float:
     return _jaccard(shingles(a), shingles(b))
 
@@ -133,9 +141,22 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     sent = build_filter(names, "h")
     texts = where.select("key", "line").where(might_hold(spark, sent, F.hex("key"))).dropDuplicates(["key"])
     texts = written(texts, "texts")
-    both = near.join(texts, "key").join(texts.select(F.col("key").alias("m"), F.col("line").alias("other")), "m")
-    links = both.select("key", "m", "line", "other").mapInArrow(_verify_task(threshold), "key binary, m binary")
-    parts = connected_components(links, "key", "m")
+
+    def verified(near):
+        both = near.join(texts, "key").join(texts.select(F.col("key").alias("m"), F.col("line").alias("other")), "m")
+        return both.select("key", "m", "line", "other").mapInArrow(_verify_task(threshold), "key binary, m binary")
+
+    parts = written(connected_components(verified(near), "key", "m"), "parts")
+    # bands of more than two lines whose lines are not all of one component have pairs that nobody has looked at
+    named = marks.distinct().join(parts, marks.key == parts.node, "left").select("band", "key", F.coalesce("component", "key").alias("part"))
+    sizes = named.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
+    rest = written(named.join(sizes.select("band", "n"), "band"), "open")
+    few = rest.where(F.col("n") <= SMALL_BAND)
+    other = few.select("band", F.col("key").alias("m"), F.col("part").alias("part2"))
+    more = few.join(other, "band").where((F.col("key") < F.col("m")) & (F.col("part") != F.col("part2"))).select("key", "m")
+    many = texts.join(rest.where(F.col("n") > SMALL_BAND).select("key").distinct(), "key")
+    more = more.union(pairs(many.select("key", F.col("line").alias("text")), parts, _grams, threshold)).distinct()
+    parts = written(merged_components(parts, verified(written(more, "more")), "key", "m"), "parts")
     placed = where.drop("line").join(parts, where.key == parts.node, "left").select("doc_id", "k", "pos", F.coalesce("component", "key").alias("part"))
     placed = written(placed, "placed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k", "pos")
