@@ -370,3 +370,22 @@ def test_prefix_pairs_miss_none(spark):
     sets = [grams(t, 5) for t in texts]
     want = {tuple(sorted((keys[i], keys[j]))) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert len(want) > 50 and want <= found
+
+
+def classes(spark, texts):
+    rows = simhash.similar_texts(lines_as_docs(spark, texts)).collect()
+    return {r["id"]: r["class_id"] for r in rows}
+
+
+def test_twin_texts_of_one_template_are_one_class(spark):
+    rng = random.Random(9)
+    passage, texts = words(rng, 170, 4000), []
+    for _ in range(200):
+        own = words(rng, 30, 4000).split()
+        texts += [f"{passage} {' '.join(own)}", f"{passage} {' '.join(own[:15] + ['new'] + own[16:])}"]
+    found = classes(spark, texts)
+    sets = [simhash._shingles(t, 5) for t in texts]
+    assert len(sets[0] & sets[2]) < 0.8 * len(sets[0] | sets[2])
+    part = components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    least = {p: i for i, p in reversed(list(enumerate(part)))}
+    assert found == {i: least[p] for i, p in enumerate(part)}
