@@ -389,3 +389,14 @@ def test_twin_texts_of_one_template_are_one_class(spark):
     part = components(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     least = {p: i for i, p in reversed(list(enumerate(part)))}
     assert found == {i: least[p] for i, p in enumerate(part)}
+
+
+def test_cut_and_extended_copies_are_all_found(spark):
+    rng = random.Random(10)
+    texts = []
+    for i in range(300):
+        w = words(rng, 104, 1000000).split()
+        # 100 and 80 shingles, all of the smaller set in the larger, as for 100 and 125; one changed word leaves 95 of 105
+        texts += [" ".join(w), " ".join((w[:84], w + words(rng, 25, 1000000).split(), w[:50] + ["new"] + w[51:])[i % 3])]
+    assert len(simhash._shingles(texts[1], 5)) == 80 and len(simhash._shingles(texts[3], 5)) == 125
+    assert classes(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
