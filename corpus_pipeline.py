@@ -26,7 +26,7 @@ def keep_quality(spark, docs, sf_dir):
 
 def drop_repeated_lines(spark, docs, sf_dir):
     """Of lines that are alike one stays, in the first document; documents that lose all lines go."""
-    return lines.clean(docs).select(*COLUMNS)
+    return lines.clean(docs, min_chars=1).select(*COLUMNS)
 
 
 def drop_near_copies(spark, docs, sf_dir):

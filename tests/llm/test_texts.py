@@ -400,3 +400,10 @@ def test_cut_and_extended_copies_are_all_found(spark):
         texts += [" ".join(w), " ".join((w[:84], w + words(rng, 25, 1000000).split(), w[:50] + ["new"] + w[51:])[i % 3])]
     assert len(simhash._shingles(texts[1], 5)) == 80 and len(simhash._shingles(texts[3], 5)) == 125
     assert classes(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_short_lines_go_if_equal(spark, tmp_path):
+    texts = ["les.\n\nand ornd.", "Les. \n\nlest.", "and ornd.\n\nles."]
+    lines_as_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r["removed"] for r in lines.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert rows == {0: "", 1: "0", 2: "0,2"}

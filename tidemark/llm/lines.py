@@ -26,7 +26,7 @@ BANDS, ROWS = 12, 4
 BINS = 48
 GROUP_CHARS = 1 << 16  # characters of the lines whose signatures are computed at once: arrays of 0.5 MB
 SMALL_BAND = 32  # lines of a band that are paired with one another; larger bands take the prefix join
-MIN_CHARS = 10  # shorter lines say too little to be called repeats; they always stay
+MIN_CHARS = 10  # unless a caller asks for shorter lines too, as the query and the pipeline do; empty lines always stay
 _M = np.uint64(0x9E3779B97F4A7C15)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 # a bin that borrows from the one n places on takes its hash after n steps of x * _M + 1
@@ -122,14 +122,15 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     """(doc_id, k, n_lines, gone): ``gone`` is the sorted array of positions of a document's lines that go.
 
     A document is an (id, text) pair, k being a hash of the text: repeated rows are one document and keep the same
-    lines. Null texts have one empty line. Lines of fewer than ``min_chars`` characters stay.
+    lines. Null texts have one empty line. Lines of fewer than ``min_chars`` characters stay, and empty ones. Lines of
+    fewer than WIDE characters are repeats only if they are equal.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k"))
     split = base.select("doc_id", "k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = split.select("doc_id", "k", "pos", normal(F.col("line")).alias("line")).where(F.length("line") >= max(min_chars, WIDE))
+    lines = split.select("doc_id", "k", "pos", normal(F.col("line")).alias("line")).where(F.length("line") >= max(min_chars, 1))
     where = written(lines.withColumn("key", F.unhex(F.md5("line"))), "lines")
-    each = where.select("key", "line").mapInArrow(_band_task, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
+    each = where.where(F.length("line") >= WIDE).select("key", "line").mapInArrow(_band_task, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
     # first only which bands hold several lines, on short hashes; most bands hold one and are not dealt again
     h = F.xxhash64("key")
     full = each.groupBy("band").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("band")
@@ -185,5 +186,5 @@ def clean(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_CHARS) -
 
 
 def op7_line_dedup(spark, sf_dir):
-    found = removed_lines(read(spark, sf_dir, "documents"))
+    found = removed_lines(read(spark, sf_dir, "documents"), min_chars=1)
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("gone")).alias("n_kept"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
