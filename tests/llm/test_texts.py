@@ -407,3 +407,11 @@ def test_short_lines_go_if_equal(spark, tmp_path):
     lines_as_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
     rows = {r["doc_id"]: r["removed"] for r in lines.op7_line_dedup(spark, str(tmp_path)).collect()}
     assert rows == {0: "", 1: "0", 2: "0,2"}
+
+
+def test_quality_does_not_depend_on_the_order_of_repeated_ids(spark):
+    rng = random.Random(11)
+    rows = [(i, words(rng, 20 + j) + "!" * j) for i in range(20) for j in range(12)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    a, b = (quality.learn(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), labels, sample_docs=20) for r in (rows, rows[::-1]))
+    assert all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)

@@ -129,6 +129,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
     """Fit on at most ``sample_docs`` labelled rows outside the held-out fifth; None if there are none.
 
     Repeated labels of a document are averaged and rounded up; null labels and labels without a document are ignored.
+    Of repeated rows of a document one is learned from, whatever their order: that of the smallest features.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("y"))
@@ -147,7 +148,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = bags.mapInArrow(run, f"doc_id {kind}, y double, f binary").limit(2 * sample_docs).collect()
+    found = bags.mapInArrow(run, f"doc_id {kind}, y double, f binary")
+    rows = found.groupBy("doc_id", "y").agg(F.min("f").alias("f")).collect()  # at most sample_docs
     if not rows:
         return None
     rows.sort(key=lambda r: (r["doc_id"], r["f"]))
