@@ -2,8 +2,9 @@
 
 Text is escaped (a dummy leading mark, spaces to marks) and cut where no merge can cross: before a run of marks if no
 piece has a mark inside, and around characters that occur in no longer piece. Each segment is merged by a score-ordered
-agenda of adjacent symbol pairs. Segments recur, so a worker keeps the ids of those it met last, up to a stated number;
-every newly met segment is checked against the sentencepiece library, batch by batch.
+agenda of adjacent symbol pairs: short segments side by side, their agendas being rows of one matrix, long ones with a
+heap. Segments recur, so a worker keeps the ids of those it met last, up to a stated number; every newly met segment is
+checked against the sentencepiece library, batch by batch.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read, small_batches
 
 MARK = "▁"
-KEEP = 150_000  # segments after which a worker starts a new generation; it remembers this one and the one before
+KEEP = 300_000  # segments after which a worker starts a new generation; it remembers this one and the one before
+WIDE = 24  # characters of segments that are merged side by side; longer ones have a heap of their own
+OWN = 1 << 18  # a character that is no piece is the symbol OWN + its code point
+CUT = "\x01"
+NEVER = np.int32((1 << 31) - 1)
 GROUP_CHARS = 1 << 19  # characters of the texts that are cut at once, or one text
 
 
@@ -52,7 +58,17 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\r\t" if c not in used)
         lone = f"[{alone}]|" if alone else ""
         self.cut = re.compile("(?s).+" if inside else f"{lone}{MARK}*[^{MARK}{alone}]+|{MARK}+")
-        self.known: dict[str, bytes] = {}
+        self.plain = not inside and alone.startswith("\\\n")  # then spaces and new lines can be cut by plain replacement
+        self.odd = re.compile(f"[{MARK}{CUT}{alone[2:]}]")
+        self.pairs = self._pairs()
+        self.first = np.arange(OWN, OWN + 0x110000, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.first[ord(p)] = i
+        self.spelling = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self.spell_size = np.array([len(b) for b in self.bytes])
+        self.spell_at = np.cumsum(self.spell_size) - self.spell_size
+        self.known: dict[str, bytes] = {"": b""}
         self.before: dict[str, bytes] = {}
 
     def merge(self, segment: str) -> list[int]:
@@ -84,17 +100,96 @@ class Pieces:
                     out += [self.byte[b] for b in s.encode()]
         return out
 
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted keys, places by score, symbols made) of all pairs of symbols that make a piece; a symbol is an id or OWN + character."""
+        symbol = lambda s: self.ids.get(s, OWN + ord(s) if len(s) == 1 else None)
+        rows = []
+        for piece, made in self.ids.items():
+            for i in range(1, len(piece)):
+                a, b = symbol(piece[:i]), symbol(piece[i:])
+                if a is not None and b is not None:
+                    rows.append((a << 21 | b, self.score[piece], made))
+        rows.sort()
+        keys, scores, made = zip(*rows, strict=True)
+        return np.array(keys, np.int64), np.unique(scores, return_inverse=True)[1].astype(np.int32), np.array(made, np.int32)
+
+    def _scored(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place by score and symbol of each pair; a pair that makes no piece is at NEVER."""
+        keys, scores, made = self.pairs
+        key = a.astype(np.int64) << 21 | b
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, scores[at], NEVER), made[at]
+
+    def merge_many(self, segments: list[str]) -> list[bytes]:
+        """Little-endian ids of segments of at most WIDE characters; one step merges the best pair of each of them.
+
+        A row of the agenda has the scores of a segment's adjacent pairs; the smallest entry, leftmost of equals, is next.
+        """
+        n = len(segments)
+        sizes = np.array([len(s) for s in segments])
+        sym = np.full((n, int(sizes.max(initial=1)) + 1), -1, np.int32)
+        sym[np.arange(sym.shape[1]) < sizes[:, None]] = self.first[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
+        agenda = np.full((n, sym.shape[1] - 1), NEVER)
+        at = np.nonzero(sym[:, 1:] >= 0)
+        agenda[at] = self._scored(sym[:, :-1][at], sym[:, 1:][at])[0]
+        live = np.arange(n)
+        column = np.arange(sym.shape[1])
+        while len(live):
+            best = agenda[live].argmin(axis=1)
+            on = agenda[live, best] < NEVER
+            live, best = live[on], best[on]
+            if not len(live):
+                break
+            s, g = sym[live], agenda[live]
+            k = np.arange(len(live))
+            s[k, best] = self._scored(s[k, best], s[k, best + 1])[1]
+            s = np.take_along_axis(s, np.minimum(column + (column > best[:, None]), s.shape[1] - 1), axis=1)
+            s[:, -1] = -1
+            g = np.take_along_axis(g, np.minimum(column[:-1] + (column[:-1] > best[:, None]), g.shape[1] - 1), axis=1)
+            g[:, -1] = NEVER
+            right = np.where(s[k, best + 1] >= 0, self._scored(s[k, best], s[k, best + 1])[0], NEVER)
+            g[k, best] = right
+            k = np.flatnonzero(best > 0)
+            g[k, best[k] - 1] = self._scored(s[k, best[k] - 1], s[k, best[k]])[0]
+            sym[live], agenda[live] = s, g
+        here = sym >= 0
+        flat, ends = sym[here], np.cumsum(here.sum(axis=1))
+        raw = flat.astype("<u4").tobytes()
+        out = [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for i in np.flatnonzero((sym >= OWN).any(axis=1)).tolist():  # characters without a piece become their bytes
+            ids: list[int] = []
+            for x in np.frombuffer(out[i], "<u4").tolist():
+                ids += [x] if x < OWN else [self.byte[b] for b in chr(x - OWN).encode()]
+            out[i] = np.array(ids, "<u4").tobytes()
+        return out
+
     def learn(self, segments) -> None:
         """Merge segments not met before and hold each against the library's answer."""
-        new = list(segments)
-        ours = [self.merge(s) for s in new]
-        # after a new line, which no piece holds, the library sees a segment as it stands
-        theirs = self.library.encode(["\n" + s.replace(MARK, " ") for s in new], num_threads=1)
+        new = sorted(segments, key=len)
+        short = [s for s in new if len(s) <= WIDE]
+        ours = []
+        for lo in range(0, len(short), 4096):
+            ours += self.merge_many(short[lo : lo + 4096])
+        ours += [np.array(self.merge(s), "<u4").tobytes() for s in new[len(short) :]]
+        # the library puts one mark in front; other segments follow a new line, which no piece holds
+        plain = [s[0] == MARK and s[1:2] not in ("", MARK) for s in new]
+        theirs = self.library.encode([(s[1:] if p else "\n" + s).replace(MARK, " ") for s, p in zip(new, plain, strict=True)], num_threads=1)
         lead = len(self.library.encode("\n"))
-        for s, a, b in zip(new, ours, theirs, strict=True):
-            if a != b[lead:]:
-                raise RuntimeError(f"segment {s!r}: {a}, but the library has {b[lead:]}")
-            self.known[s] = np.array(a, "<u4").tobytes()
+        told = [b if p else b[lead:] for b, p in zip(theirs, plain, strict=True)]
+        sizes = [len(b) for b in told]
+        if [len(a) // 4 for a in ours] != sizes or b"".join(ours) != np.fromiter(chain.from_iterable(told), "<u4", sum(sizes)).tobytes():
+            for s, a, b in zip(new, ours, told, strict=True):
+                if np.frombuffer(a, "<u4").tolist() != b:
+                    raise RuntimeError(f"segment {s!r}: {np.frombuffer(a, '<u4').tolist()}, but the library has {b}")
+        self.known.update(zip(new, ours, strict=True))
+
+    def segments(self, text: str) -> list[str]:
+        """The text cut where no merge can cross; empty segments are of no account."""
+        if not text:
+            return []
+        if self.plain and "  " not in text and not text.startswith(" ") and not self.odd.search(text):
+            return (MARK + text.replace(" ", CUT + MARK).replace("\n", CUT + "\n" + CUT)).split(CUT)
+        return self.cut.findall(MARK + text.replace(" ", MARK))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with begin and end ids."""
@@ -103,10 +198,10 @@ class Pieces:
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
         out = []
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            some = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[lo:hi]]
+            some = [self.segments(t) for t in texts[lo:hi]]
             if len(self.known) > KEEP:
-                self.before, self.known = self.known, {}
-            new = {s for segments in some for s in segments if s not in self.known}
+                self.before, self.known = self.known, {"": b""}
+            new = set(chain.from_iterable(some)).difference(self.known)
             again = {s: self.before[s] for s in new if s in self.before}
             self.known |= again
             self.learn(new.difference(again))
@@ -115,8 +210,11 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         """The text of ids: control ids are silent, one leading mark is dropped, byte pieces are joined to UTF-8."""
-        raw = b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+        x = np.frombuffer(ids, "<u4")
+        sizes = self.spell_size[x]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.spell_at[x] - ends + sizes, sizes) + np.arange(ends[-1] if len(x) else 0)
+        return self.spelling[at].tobytes().removeprefix(b" ").decode("utf-8", "replace")
 
 
 _models: dict[str, Pieces] = {}
