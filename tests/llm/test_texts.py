@@ -415,3 +415,25 @@ def test_quality_does_not_depend_on_the_order_of_repeated_ids(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
     a, b = (quality.learn(spark.createDataFrame(r, "doc_id long, text string").coalesce(1), labels, sample_docs=20) for r in (rows, rows[::-1]))
     assert all(np.array_equal(a.weights[k], b.weights[k]) for k in a.weights)
+
+
+def test_bloom_filter_in_a_task_agrees_with_the_column(spark):
+    from tidemark.llm.bloom import build_filter, hash_longs, holds, might_hold
+
+    ids = spark.range(-3000, 3000).select((F.col("id") * 1_000_003).alias("x"))
+    table = build_filter(ids.where("x % 2 = 0"), "x")
+    rows = ids.select("x", F.xxhash64("x").alias("h"), might_hold(spark, table, "x").alias("m")).collect()
+    x = np.array([r["x"] for r in rows])
+    assert hash_longs(x, np.uint64(42)).view(np.int64).tolist() == [r["h"] for r in rows]
+    assert holds(table, x).tolist() == [r["m"] for r in rows] and all(r["m"] for r in rows if r["x"] % 2 == 0)
+
+
+def test_line_hashes_give_the_jaccard_of_shingles():
+    rng = random.Random(1)
+    for _ in range(1000):
+        a = "".join(rng.choice("abcé☃🎉 ") for _ in range(rng.randrange(8, 60)))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            b[rng.randrange(len(b))] = rng.choice("abcxyz")
+        x, y = lines.shingle_hashes([a, "".join(b)])
+        assert lines.alike(x, y, 0.8) == (lines.similarity(a, "".join(b)) >= 0.8)

@@ -11,6 +11,27 @@ WORDS = 8  # of 64 bits: a block is one 512-bit line
 PROBES = 8
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+
+
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def hash_longs(x: np.ndarray, seed) -> np.ndarray:
+    """XXH64 of 64-bit numbers, as ``xxhash64`` of a bigint column gives it."""
+    h = seed + _P5 + np.uint64(8) ^ _turn(x.view(np.uint64) * _P2, 31) * _P1
+    h = _turn(h, 27) * _P1 + _P4
+    h = (h ^ h >> np.uint64(33)) * _P2
+    h = (h ^ h >> np.uint64(29)) * _P3
+    return h ^ h >> np.uint64(32)
+
+
+def _second(c):
+    """The hash whose bytes choose the bits of a block."""
+    return F.xxhash64(c, F.lit(1).cast("long"))
+
+
 def build_filter(keys: DataFrame, col: str, bits_per_key: int = 12, max_bytes: int = 16 << 20) -> np.ndarray:
     """Blocked Bloom filter of a column: an array (blocks, 8) of uint64 of at most ``max_bytes``.
 
@@ -19,7 +40,7 @@ def build_filter(keys: DataFrame, col: str, bits_per_key: int = 12, max_bytes: i
     """
     n = keys.count()
     blocks = int(min(max(1, -(-n * bits_per_key // (64 * WORDS))), max_bytes // (8 * WORDS)))
-    h, g = F.xxhash64(col), F.xxhash64(F.col(col), F.lit("bits"))
+    h, g = F.xxhash64(col), _second(F.col(col))
     at = F.explode(F.array(*[F.pmod(F.shiftrightunsigned(g, 8 * i), F.lit(512)) for i in range(PROBES)]))
     bits = keys.select(F.pmod(h, F.lit(blocks)).alias("block"), at.alias("bit"))
     words = bits.groupBy("block", F.floor(F.col("bit") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("v"))
@@ -29,17 +50,26 @@ def build_filter(keys: DataFrame, col: str, bits_per_key: int = 12, max_bytes: i
     return out.view(np.uint64)
 
 
+def _probe(t: np.ndarray, block: np.ndarray, g: np.ndarray) -> np.ndarray:
+    ok = np.ones(len(block), bool)
+    for i in range(PROBES):
+        bit = (g >> np.uint64(8 * i)) % np.uint64(512)
+        ok &= (t[block, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return ok
+
+
+def holds(table: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """As ``might_hold`` for int64 numbers inside a task: false only where the filter shows that one is not listed."""
+    h = hash_longs(numbers, np.uint64(42))
+    return _probe(table, np.mod(h.view(np.int64), len(table)), hash_longs(np.ones(len(h), np.int64), h))
+
+
 def might_hold(spark, table: np.ndarray, col):
     """Column: false only if the filter shows that the key (a column or its name) is not listed."""
     sent, c = spark.sparkContext.broadcast(table), F.col(col) if isinstance(col, str) else col
 
     @F.pandas_udf("boolean")
     def probe(block: pd.Series, g: pd.Series) -> pd.Series:
-        t, b, v = sent.value, block.to_numpy(np.int64), g.to_numpy(np.int64).view(np.uint64)
-        ok = np.ones(len(b), bool)
-        for i in range(PROBES):
-            bit = (v >> np.uint64(8 * i)) % np.uint64(512)
-            ok &= (t[b, (bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return pd.Series(ok)
-
-    return probe(F.pmod(F.xxhash64(c), F.lit(len(table))), F.xxhash64(c, F.lit("bits")))
+        return pd.Series(_probe(sent.value, block.to_numpy(np.int64), g.to_numpy(np.int64).view(np.uint64)))
+
+    return probe(F.pmod(F.xxhash64(c), F.lit(len(table))), _second(c))

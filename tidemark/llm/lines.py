@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bloom import build_filter, might_hold
+from tidemark.llm.bloom import build_filter, holds, might_hold
 from tidemark.llm.common import connected_components, merged_components, read, written
 from tidemark.llm.prefix import pairs
 
@@ -93,26 +93,73 @@ def normal(c):
     return F.trim(F.lower(c))
 
 
+def _groups(lines: list[str]):
+    """(from, to) of runs of lines of about GROUP_CHARS characters."""
+    group = np.cumsum([len(x) for x in lines]) // GROUP_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lines)]
+    return [(lo, hi) for lo, hi in zip(cuts, cuts[1:], strict=False) if lo < hi]
+
+
 def _band_task(batches):
+    """(key, line) -> (key, bands), each key once a batch."""
     for b in batches:
-        lines, keys = b.column(1).to_pylist(), b.column(0)
-        group = np.cumsum([len(x) for x in lines]) // GROUP_CHARS
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(lines)]
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if lo < hi:
-                ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(bands(lines[lo:hi]).ravel()))], ["key", "bands"])
+        keys = b.column(0)
+        b = b.take(pa.array(np.unique(np.array(keys.to_pylist(), "S16"), return_index=True)[1]))
+        keys, lines = b.column(0), b.column(1).to_pylist()
+        for lo, hi in _groups(lines):
+            ends = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * BANDS)
+            yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.ListArray.from_arrays(ends, pa.array(bands(lines[lo:hi]).ravel()))], ["key", "bands"])
+
+
+def _mark_task(sent):
+    """(key, bands) -> (key, band) for the bands that the filter may hold."""
+
+    def run(batches):
+        for b in batches:
+            at = np.flatnonzero(holds(sent.value, flat := b.column(1).flatten().to_numpy()))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at // BANDS)), pa.array(flat[at])], ["key", "band"])
+
+    return run
+
+
+def shingle_hashes(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each line's shingles; every line has at least SHINGLE characters."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    base = 0x100000001B3
+    h = chars[: len(chars) - SHINGLE + 1].copy()
+    for i in range(1, SHINGLE):
+        h = h * np.uint64(base) + chars[i : len(chars) - SHINGLE + 1 + i]
+    h ^= h >> np.uint64(29)
+    h *= _M
+    h ^= h >> np.uint64(32)
+    out, at = [], 0
+    for x in lines:
+        s = np.sort(h[at : at + len(x) - SHINGLE + 1])
+        out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
+        at += len(x)
+    return out
+
+
+def alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether two arrays of ``shingle_hashes`` have a Jaccard of ``threshold``."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < threshold * len(b):
+        return False
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both) >= threshold
 
 
 def _verify_task(threshold: float):
     def run(batches):
         for b in batches:
             a, m, x, y = (b.column(i) for i in range(4))
-            ok, pivot, held = [], None, set()
-            for p, q in zip(x.to_pylist(), y.to_pylist(), strict=True):
-                if q != pivot:  # rows come in runs of one pivot
-                    pivot, held = q, shingles(q)
-                ok.append(_jaccard(shingles(p), held) >= threshold)
+            x, y, ok = x.to_pylist(), y.to_pylist(), []
+            for lo, hi in _groups(x):
+                pivots = list(dict.fromkeys(y[lo:hi]))
+                held = dict(zip(pivots, shingle_hashes(pivots), strict=True))
+                ok += [alike(p, held[q], threshold) for p, q in zip(shingle_hashes(x[lo:hi]), y[lo:hi], strict=True)]
             yield pa.RecordBatch.from_arrays([a, m], ["key", "m"]).filter(pa.array(ok, pa.bool_()))
 
     return run
@@ -130,11 +177,12 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     split = base.select("doc_id", "k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = split.select("doc_id", "k", "pos", normal(F.col("line")).alias("line")).where(F.length("line") >= max(min_chars, 1))
     where = written(lines.withColumn("key", F.unhex(F.md5("line"))), "lines")
-    each = where.where(F.length("line") >= WIDE).select("key", "line").mapInArrow(_band_task, "key binary, bands array<bigint>").select("key", F.explode("bands").alias("band"))
+    signed = written(where.where(F.length("line") >= WIDE).select("key", "line").mapInArrow(_band_task, "key binary, bands array<bigint>"), "signatures")
     # first only which bands hold several lines, on short hashes; most bands hold one and are not dealt again
-    h = F.xxhash64("key")
-    full = each.groupBy("band").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("band")
-    marks = written(each.where(might_hold(spark, build_filter(written(full, "full"), "band"), "band")), "bands")
+    each = signed.select(F.xxhash64("key").alias("h"), F.explode("bands").alias("band"))
+    full = each.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("band")
+    sent = spark.sparkContext.broadcast(build_filter(written(full, "full"), "band"))
+    marks = written(signed.mapInArrow(_mark_task(sent), "key binary, band long"), "bands")
     ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     near = marks.join(ends, "band").select("key", F.explode(F.array("lo", "hi")).alias("m")).where("key <> m")
     near = written(near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct(), "candidates")
