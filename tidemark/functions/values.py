@@ -10,8 +10,14 @@ DECIMAL = "decimal(38,9)"
 
 def decimal_token(c: Column) -> Column:
     """true for a finite decimal text, with or without an exponent, that fits decimal(38,9) exactly."""
-    exact = c.try_cast(DECIMAL)
-    return F.coalesce(c.rlike(r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]{1,2})?$") & exact.isNotNull() & (exact.try_cast("decimal(38,18)").isNull() | (exact == c.try_cast("decimal(38,18)"))), F.lit(False))
+    shape = r"^-?(0|[1-9][0-9]*)(?:[.]([0-9]+))?(?:[eE]([+-]?[0-9]{1,2}))?$"
+    whole, part = F.regexp_extract(c, shape, 1), F.regexp_extract(c, shape, 2)
+    power = F.coalesce(F.regexp_extract(c, shape, 3).try_cast("int"), F.lit(0))
+    digits = F.concat(whole, part)
+    zeros = F.length(digits) - F.length(F.rtrim(digits, F.lit("0")))
+    places = F.length(part) - power - zeros  # after the point, when written without exponent and closing zeros
+    exact = digits.rlike("^0*$") | (places <= 9)
+    return F.coalesce(c.rlike(shape) & exact & c.try_cast(DECIMAL).isNotNull(), F.lit(False))
 
 
 def plain(c: Column) -> Column:
@@ -21,26 +27,35 @@ def plain(c: Column) -> Column:
 
 
 def parse_number(c: Column) -> Column:
-    """decimal of a financial text: $ and commas go, (1,234) is negative, a lone dash is 0, K M B T scale, % is
-    hundredths; null where nothing of that kind is found."""
-    t = F.regexp_replace(F.trim(c), r"[$€£,\s]", "")
-    shape = r"^([-(]?)([0-9]*\.?[0-9]+|[0-9]+\.)([KMBTkmbt%]?)\)?$"
+    """decimal of a financial text: currency signs, commas and spaces go, (1,234) and -1,234 are negative, K M B T
+    scale, % is hundredths; null where nothing of that kind is found. A lone dash is no number: missing is never zero."""
+    t = F.trim(F.regexp_replace(F.trim(c), r"[$€£¥]", ""))
+    held = t.startswith("(") & t.endswith(")") & (F.length(t) > 1)
+    inner = F.when(held, t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
+    minus = inner.startswith("-")
+    digits = F.regexp_replace(F.when(minus, inner.substr(F.lit(2), F.length(inner))).otherwise(inner), r"[,\s]", "")
+    shape = r"^([0-9]*\.?[0-9]+|[0-9]+\.)([KMBTkmbt%]?)$"
     power = F.create_map(*[F.lit(x) for x in ("", "E0", "K", "E3", "M", "E6", "B", "E9", "T", "E12", "%", "E-2")])
-    sign = F.when(F.regexp_extract(t, shape, 1) == "", "").otherwise("-")
-    number = F.concat(sign, F.regexp_extract(t, shape, 2), power[F.upper(F.regexp_extract(t, shape, 3))])
-    return F.when(t.isin("-", "–", "—"), "0").when(t.rlike(shape), number).try_cast(DECIMAL)
+    number = F.concat(F.when(held | minus, "-").otherwise(""), F.regexp_extract(digits, shape, 1), power[F.upper(F.regexp_extract(digits, shape, 2))])
+    return F.when(digits.rlike(shape), number).try_cast(DECIMAL)
+
+
+#: What may stand before a scale word, and the scales, in the order in which they are tried.
+SCALE_LEADS = [r"\$\s*in\s+", r"\(in\s+", r"\bin\s+"]
+SCALE_WORDS = [("billions?", 1_000_000_000), ("millions?", 1_000_000), ("thousands?", 1_000)]
 
 
 def scale_of(c: Column) -> Column:
-    """F8: 1000, 1000000 or 1000000000 by the first phrase that fits ("in thousands", "$ millions", "(000s)"), else 1."""
-    t = F.lower(c)
-    return (
-        F.when(t.rlike(r"\b(in|of|\$|usd)\s*(u\.?s\.?\s+)?(dollars\s+in\s+)?billions?\b"), 1_000_000_000)
-        .when(t.rlike(r"\b(in|of|\$|usd)\s*(u\.?s\.?\s+)?(dollars\s+in\s+)?millions?\b"), 1_000_000)
-        .when(t.rlike(r"\b(in|of|\$|usd)\s*(u\.?s\.?\s+)?(dollars\s+in\s+)?thousands?\b|\(0{3}'?s\)"), 1_000)
-        .otherwise(1)
-        .cast("long")
-    )
+    """F8: 1000, 1000000 or 1000000000 by the first phrase that fits, whatever the case, else 1; null counts as empty.
+
+    "$ in millions" goes before "(in thousands)", which goes before a plain "in billions"; only "in" leads to a scale.
+    """
+    out = F.lit(1)
+    for lead in reversed(SCALE_LEADS):
+        for word, scale in reversed(SCALE_WORDS):
+            close = r"\)" if lead.startswith(r"\(") else ""
+            out = F.when(c.rlike(f"(?i){lead}{word}{close}"), scale).otherwise(out)
+    return out.cast("long")
 
 
 def terminating(num: Column, den: Column, digits: int = 9) -> Column:
@@ -70,9 +85,10 @@ def data_as_of(df: DataFrame, cols: list[str]) -> DataFrame:
 #: What must not leave with public rows: storage addresses, long digests, bearer tokens, keys and object paths.
 PRIVATE = {
     "uri": r"(?i)\b(?:s3|gs|r2|abfss?|hdfs)://",
-    "digest": r"\b[0-9a-f]{40,}\b",
+    "digest": r"\b[0-9a-f]{32,}\b",
     "bearer": r"(?i)\bbearer\s+[a-z0-9._-]{8,}",
     "key": r"\b(?:AKIA[0-9A-Z]{12,}|sk[-_][A-Za-z0-9_-]{16,})",
+    "secret": r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|password)\b\s*[:=]",
     "path": r"\b[\w-]+/[\w./-]+\.(?:parquet|jsonl?\.gz)\b",
 }
 

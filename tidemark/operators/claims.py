@@ -74,3 +74,42 @@ def method_eligibility(df: DataFrame, ident: str, methods: dict[str, dict[str, C
         status = F.when(off, "NOT_APPLICABLE").when(F.size(codes) == 0, "READY").otherwise("BLOCKED")
         cells.append(F.struct(F.lit(name).alias("method"), status.alias("status"), F.when(off, F.array().cast("array<string>")).otherwise(codes).alias("missing")))
     return df.select(ident, F.explode(F.array(*cells)).alias("_c")).select(ident, "_c.*")
+
+
+#: The claims of the bridge, and the states that count as certified.
+BRIDGE_CLAIMS = ("debt", "finance_leases", "preferred_equity", "noncontrolling_interests", "cash", "nonoperating_assets")
+SHARES = "MISSING_DATED_OUTSTANDING_SHARES"
+INDUSTRIAL = "INDUSTRIAL_DCF_NOT_APPLICABLE_TO_FINANCIAL_FILER"
+
+
+def readiness_methods(df: DataFrame, ident: str, certified: tuple[str, ...], metrics: str = "metrics", claim_states: str = "claims", shares: str = "shares_state", family: str = "statement_family", book: str = "equity_totals", dividends: str = "dividends") -> DataFrame:
+    """(id, method, eligible, missing) for the seven methods, ``missing`` being the sorted codes of absent inputs.
+
+    A row has the annual metrics it has (array), its claims' states (map), the state of its dated share count, its
+    statement family, and whether equity totals and dividends are reported; nulls count as absent. For filers of the
+    financial family the three industrial methods have one code, that they don't apply.
+    """
+    has = lambda *names: F.coalesce(F.size(F.array_except(F.array(*map(F.lit, names)), metrics)) == 0, F.lit(False))
+    ok = lambda c: F.coalesce(F.col(claim_states)[c].isin(*certified), F.lit(False))
+    true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    financial = F.coalesce(F.col(family) == "financial_statement_evidence", F.lit(False))
+    operating, cash_flow, income = has("revenue", "operating_income"), has("operating_cash_flow", "capital_expenditures"), has("net_income")
+    dated = F.coalesce(F.col(shares).isin(*certified), F.lit(False))
+    no_income, no_book = (income, "MISSING_NET_INCOME"), (true(book), "MISSING_BOOK_EQUITY_TOTAL")
+    needs = {
+        "operating_dcf": [(operating, "MISSING_OPERATING_INCOME_OR_REVENUE"), (cash_flow, "MISSING_CASH_FLOW_OR_CAPEX"), *[(ok(c), f"MISSING_BRIDGE_CLAIM_{c.upper()}") for c in BRIDGE_CLAIMS]],
+        "fcfe": [(operating, "MISSING_OPERATING_INCOME_OR_REVENUE"), (cash_flow, "MISSING_CASH_FLOW_OR_CAPEX"), no_income],
+        "apv": [(operating & cash_flow, "MISSING_UNLEVERED_FREE_CASH_FLOW_INPUTS"), (ok("debt"), "MISSING_BRIDGE_CLAIM_DEBT")],
+        "bank_excess_return": [(financial, "NOT_A_FINANCIAL_STATEMENT_FAMILY_FILER"), no_income, no_book, (ok("preferred_equity"), "MISSING_BRIDGE_CLAIM_PREFERRED_EQUITY")],
+        "residual_income": [no_income, no_book, (ok("preferred_equity") & ok("noncontrolling_interests"), "PREFERRED_OR_NCI_CLAIM_NOT_RESOLVED")],
+        "ddm": [(true(dividends), "MISSING_DIVIDEND_EVIDENCE")],
+        "comparables": [(has("revenue") | income, "MISSING_REVENUE_AND_NET_INCOME")],
+    }
+    cells = []
+    for name, tests in needs.items():
+        codes = F.array_sort(F.array_compact(F.array(*[F.when(~t, F.lit(code)) for t, code in [*tests, (dated, SHARES)]])))
+        if name in ("operating_dcf", "fcfe", "apv"):
+            codes = F.when(financial, F.array(F.lit(INDUSTRIAL))).otherwise(codes)
+        cells.append(F.struct(F.lit(name).alias("method"), codes.alias("missing")))
+    out = df.select(ident, F.explode(F.array(*cells)).alias("_c")).select(ident, "_c.*")
+    return out.select(ident, "method", (F.size("missing") == 0).alias("eligible"), "missing")

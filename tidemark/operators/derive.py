@@ -24,7 +24,7 @@ def linear_combine(terms: DataFrame, result: str, ident: str = "id", coefficient
     Coefficients of one id are added before use; a coefficient of n counts the value n times in the sum.
     """
     merged = terms.groupBy(result, ident).agg(F.sum(coefficient).cast("int").alias("_c"), F.min(value).alias("_v"), F.min(unit).alias("_u"), F.max(available).alias("_a"))
-    times = F.when(F.col("_c").between(-1, 1), signed(F.col("_v"), F.col("_c"))).otherwise((F.col("_v").cast("decimal(28,9)") * F.col("_c")).cast(DECIMAL))
+    times = F.when(F.col("_c").between(-1, 1), signed(F.col("_v"), F.col("_c"))).otherwise((F.col("_v").cast("decimal(28,9)") * F.col("_c").cast("decimal(9,0)")).cast(DECIMAL))
     on = F.col("_c") != 0
     out = merged.groupBy(result).agg(
         F.sum(F.when(on, times)).alias("_sum"),
@@ -122,43 +122,150 @@ def ratio(num: Column, den: Column, positive: bool = True) -> tuple[Column, Colu
     return F.when(reason.isNull(), q), reason
 
 
-#: name -> (numerator, denominator, sum of inputs or one); the inputs are metric names.
-FORMULAS: dict[str, tuple[list[str], list[str]]] = {
-    "gross_margin": (["gross_profit"], ["revenue"]),
-    "operating_margin": (["operating_income"], ["revenue"]),
-    "net_margin": (["net_income"], ["revenue"]),
-    "return_on_assets": (["net_income"], ["assets"]),
-    "return_on_equity": (["net_income"], ["equity"]),
-    "current_ratio": (["current_assets"], ["current_liabilities"]),
-    "debt_to_equity": (["debt"], ["equity"]),
-    "asset_turnover": (["revenue"], ["assets"]),
-    "price_to_earnings": (["market_value"], ["net_income"]),
-    "price_to_sales": (["market_value"], ["revenue"]),
-    "price_to_book": (["market_value"], ["equity"]),
-    "free_cash_flow_yield": (["free_cash_flow"], ["market_value"]),
-    "enterprise_to_sales": (["market_value", "debt", "-cash"], ["revenue"]),
+#: Formula -> its inputs, the last one being the denominator of a ratio.
+FORMULAS: dict[str, tuple[str, ...]] = {
+    "revenue_growth": ("revenue", "prior_revenue"),
+    "operating_margin": ("operating_income", "revenue"),
+    "net_margin": ("net_income", "revenue"),
+    "free_cash_flow": ("operating_cash_flow", "capital_expenditures"),
+    "free_cash_flow_margin": ("free_cash_flow", "revenue"),
+    "market_cap": ("price", "shares_outstanding"),
+    "price_to_earnings": ("market_cap", "net_income"),
+    "price_to_sales": ("market_cap", "revenue"),
+    "enterprise_value": ("market_cap", "total_debt", "cash", "preferred_equity", "noncontrolling_interest"),
+    "ev_ebitda": ("enterprise_value", "ebitda"),
+    "ev_revenue": ("enterprise_value", "revenue"),
+    "free_cash_flow_yield": ("free_cash_flow", "market_cap"),
+    "leverage": ("total_debt", "ebitda"),
 }
+AMOUNTS = ("free_cash_flow", "market_cap", "enterprise_value")
+NEEDS_NONFINANCIAL = ("enterprise_value", "ev_ebitda", "ev_revenue", "leverage")
+YEARLY = ("net_income", "revenue", "free_cash_flow", "ebitda")
+VALUED = ("price_to_earnings", "price_to_sales", "ev_ebitda", "ev_revenue", "free_cash_flow_yield", "leverage")
+#: Input -> the definitions it must have, and the reason if it has none of them.
+DEFINITIONS = {
+    "free_cash_flow": (["OPERATING_CASH_FLOW_MINUS_CASH_PPE_PURCHASES_VERIFIED"], "FCF_DEFINITION_UNVERIFIED"),
+    "capital_expenditures": (["CASH_PPE_PURCHASES_POSITIVE_OUTFLOW"], "CAPEX_DEFINITION_UNVERIFIED"),
+    "shares_outstanding": (["COMMON_SHARES_OUTSTANDING"], "OUTSTANDING_SHARE_DEFINITION_REQUIRED"),
+    "total_debt": (["NONOVERLAPPING_INTEREST_BEARING_DEBT"], "DEBT_COMPONENT_OVERLAP_UNRESOLVED"),
+    "ebitda": (["REPORTED_RECONCILED_EBITDA", "OPERATING_INCOME_PLUS_DA_RECONCILED"], "EBITDA_DEFINITION_UNVERIFIED"),
+}
+INPUT_COLUMNS = [
+    "value", "unit", "currency", "available_at", "period_start", "period_end", "frequency", "definition", "quality", "source_ids", "valuation_at", "price_basis", "adjustment_method", "security_id",
+]
 
 
-def formulas(df: DataFrame, keys: list[str], names: list[str], metric: str = "metric", value: str = "value", unit: str = "unit", currency: str = "currency", available: str = "available_at", price_at: str | None = None, table=None) -> DataFrame:
-    """(keys, formula, value, reason) for each key and formula name. Inputs must be there once, in one unit and one
-    currency, and (with ``price_at``) be available when the price was; the denominator must be positive."""
-    table = table or FORMULAS
-    spec = [(n, m.lstrip("-"), -1 if m.startswith("-") else 1, side) for n in names for side, ms in zip("nd", table[n], strict=True) for m in ms]
-    spec_df = F.broadcast(df.sparkSession.createDataFrame(spec, f"formula string, {metric} string, sign int, side string"))
-    want = {n: sum(map(len, table[n])) for n in names}
-    late = F.coalesce(F.col(available) > F.col(price_at), F.lit(False)) if price_at else F.lit(False)
-    rows = df.withColumn("_late", late).join(spec_df, metric)
-    v = signed(F.col(value), F.col("sign"))
-    got = rows.groupBy(*keys, "formula").agg(
-        F.sum(F.when(F.col("side") == "n", v)).alias("_n"), F.sum(F.when(F.col("side") == "d", v)).alias("_d"), F.count(value).alias("_k"), F.count_distinct(metric).alias("_m"),
-        F.count_distinct(unit).alias("_u"), F.count_distinct(currency).alias("_c"), F.max("_late").alias("_late"),
-    )
-    every = df.select(*keys).distinct().join(F.broadcast(df.sparkSession.createDataFrame(list(want.items()), "formula string, _want int")))
-    out = every.join(got.withColumnsRenamed({k: "_" + k for k in [*keys, "formula"]}), [F.col(k).eqNullSafe(F.col("_" + k)) for k in [*keys, "formula"]], "left")
-    q, why = ratio(F.col("_n"), F.col("_d"))
-    reason = F.when(F.coalesce("_m", F.lit(0)) < F.col("_want"), "MISSING_INPUT").when(F.col("_k") > F.col("_want"), "AMBIGUOUS_INPUT").when(F.col("_k") < F.col("_want"), "MISSING_INPUT").when(F.col("_u") > 1, "UNIT_MISMATCH").when(F.col("_c") > 1, "CURRENCY_MISMATCH").when(F.col("_late"), "INPUT_AFTER_PRICE").otherwise(why)
-    return out.select(*keys, "formula", F.when(reason.isNull(), q).alias("value"), reason.alias("reason"))
+def formulas(df: DataFrame, keys: list[str], names: list[str], as_of: Column, role: str = "metric", industry: str = "industry", scope: str = "security_scope") -> DataFrame:
+    """(keys, formula, value, numerator, denominator, unit, currency, source_ids, available_at, reason) for each key
+    and formula name.
+
+    ``df`` has a row for each input: keys, role and INPUT_COLUMNS, of which those it lacks count as null, and industry and
+    security scope of the key. An input that a key has several times is AMBIGUOUS_INPUT. The reason is the first rule
+    that is broken, else null; ``value`` is numerator over denominator to nine places. Inputs are gathered once for all
+    formulas, one row a role.
+    """
+    roles = sorted({r for n in names for r in FORMULAS[n]})
+    kinds = {"value": DECIMAL, "available_at": "timestamp", "period_start": "date", "period_end": "date", "valuation_at": "timestamp", "source_ids": "array<string>"}
+    cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in INPUT_COLUMNS]
+    extra = [(F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(n) for c, n in ((industry, "_industry"), (scope, "_scope"))]
+    rows = df.select(*keys, F.col(role).alias("_role"), F.struct(*cols).alias("_in"), *extra)
+    of = lambda r: F.when(F.col("_role") == r, F.col("_in"))
+    aggs = [a for i, r in enumerate(roles) for a in (F.first(of(r), ignorenulls=True).alias(f"_{i}"), F.count(of(r)).alias(f"_n{i}"))]
+    got = rows.groupBy(*keys).agg(F.max("_industry").alias("_industry"), F.max("_scope").alias("_scope"), *aggs)
+    at = {r: i for i, r in enumerate(roles)}
+
+    def one(name):
+        parts = FORMULAS[name]
+        x = {r: (lambda c, r=r: F.col(f"_{at[r]}.{c}")) for r in parts}
+        no = lambda c: F.coalesce(~c, F.lit(True))
+        rules: list[tuple[Column, str]] = []
+        if name in NEEDS_NONFINANCIAL:
+            rules += [(F.col("_industry").isin("financial_statement_evidence", "bank", "insurance"), "FINANCIAL_INDUSTRY_EV_DEFINITION_EXCLUDED"), (no(F.col("_industry") == "nonfinancial_verified"), "NONFINANCIAL_INDUSTRY_UNVERIFIED")]
+        for r in parts:
+            rules += [
+                (F.col(f"_n{at[r]}") == 0, f"MISSING_COMPONENT:{r}"),
+                (F.col(f"_n{at[r]}") > 1, f"AMBIGUOUS_INPUT:{r}"),
+                (x[r]("quality").isin("UNAVAILABLE", "AMBIGUOUS", "EXCLUDED", "FAIL"), f"INPUT_QUALITY_NOT_PERMITTED:{r}"),
+                (F.coalesce(F.size(x[r]("source_ids")), F.lit(0)) < 1, f"INPUT_PROVENANCE_MISSING:{r}"),
+                (x[r]("available_at").isNull(), f"INPUT_AVAILABILITY_UNESTABLISHED:{r}"),
+                (x[r]("available_at") > as_of, "INPUT_NOT_AVAILABLE"),
+                (x[r]("value").isNull(), "NULL_INPUT"),
+            ]
+        money = [r for r in parts if r != "shares_outstanding"]
+        currency = x[money[0]]("currency")
+        for r in money:
+            rules.append((no(x[r]("currency") != "UNKNOWN"), "CURRENCY_UNESTABLISHED"))
+        for r in money[1:]:
+            rules.append((x[r]("currency") != currency, "CURRENCY_MISMATCH"))
+        for r in parts:
+            want = F.lit("shares") if r == "shares_outstanding" else F.concat(currency, F.lit("/share")) if r == "price" else currency
+            rules.append((no(x[r]("unit") == want), "UNIT_MISMATCH"))
+        define = lambda r: rules.append((no(x[r]("definition").isin(DEFINITIONS[r][0])), DEFINITIONS[r][1]))
+        if "free_cash_flow" in parts:
+            define("free_cash_flow")
+        if "market_cap" in parts:
+            rules.append((x["market_cap"]("value") <= 0, "NONPOSITIVE_EQUITY_INPUT"))
+        days = lambda r: F.datediff(x[r]("period_end"), x[r]("period_start")) + 1
+        yearly = [r for r in parts if r in YEARLY]
+        if name in VALUED:
+            for r in yearly:
+                rules += [(no(x[r]("frequency").isin("annual", "ttm")), "ANNUAL_OR_TTM_REQUIRED"), (no(days(r).between(350, 378)), "ANNUAL_OR_TTM_DURATION_UNSUPPORTED")]
+        if name == "leverage":
+            rules.append((~x["total_debt"]("period_end").eqNullSafe(x["ebitda"]("period_end")), "BALANCE_FLOW_PERIOD_MISMATCH"))
+        priced = "price" if name == "market_cap" else next((r for r in ("market_cap", "enterprise_value") if r in parts), None)
+        if priced:
+            then = x[priced]("valuation_at")
+            rules += [(then.isNull(), "PRICE_VALUATION_TIME_UNESTABLISHED"), (then > as_of, "PRICE_AFTER_CUTOFF")]
+            rules += [(x[r]("available_at") > then, "FINANCIAL_INPUT_AFTER_PRICE") for r in parts if r != priced]
+        if name in ("operating_margin", "net_margin", "free_cash_flow", "free_cash_flow_margin"):
+            a, b = parts
+            for c in ("period_start", "period_end", "frequency"):
+                rules.append((no(x[a](c) == x[b](c)), "PERIOD_MISMATCH"))
+        a, b = parts[0], parts[-1]
+        v = lambda r: x[r]("value").cast("decimal(28,9)")
+        num, den = v(a), v(b)
+        if name == "revenue_growth":
+            lengths = F.abs(days(a) - days(b))
+            rules += [(~x[a]("frequency").eqNullSafe(x[b]("frequency")) | x[a]("period_start").isNull() | x[b]("period_start").isNull(), "PERIOD_MISMATCH")]
+            rules += [(no(F.datediff(x[a]("period_end"), x[b]("period_end")).between(350, 378)) | no(lengths <= 8), "NONCOMPARABLE_PRIOR_PERIOD"), (v(b) <= 0, "NONPOSITIVE_DENOMINATOR")]
+            num = v(a) - v(b)
+        elif name == "free_cash_flow":
+            define(b)
+            rules.append((v(b) < 0, DEFINITIONS[b][1]))
+            num, den = v(a) - v(b), F.lit(1)
+        elif name == "market_cap":
+            rules.append((no((x[a]("price_basis") == "RAW") & (x[a]("adjustment_method") == "NONE")), "PRICE_SHARE_ADJUSTMENT_BASIS_UNVERIFIED"))
+            define(b)
+            rules += [(no(F.col("_scope") == "SINGLE_COMMON_CLASS_VERIFIED"), "SECURITY_SCOPE_UNVERIFIED"), (no(x[a]("security_id") == x[b]("security_id")), "SECURITY_SCOPE_MISMATCH")]
+            rules += [((v(a) <= 0) | (v(b) <= 0), "NONPOSITIVE_EQUITY_INPUT"), (no(x[a]("period_end") == x[b]("period_end")), "SAME_DATE_SHARE_COUNT_REQUIRED")]
+            num, den = x[a]("value").cast("decimal(18,6)") * x[b]("value").cast("decimal(20,3)"), F.lit(1)
+        elif name == "enterprise_value":
+            define("total_debt")
+            balance = [r for r in parts if r != "market_cap"]
+            rules += [(no(x[r]("period_end") == x[balance[0]]("period_end")), "BALANCE_PERIOD_MISMATCH") for r in balance]
+            num, den = v("market_cap") + v("total_debt") + v("preferred_equity") + v("noncontrolling_interest") - v("cash"), F.lit(1)
+        else:
+            if name == "price_to_earnings":
+                rules.append((no(x["net_income"]("definition") == "NET_INCOME_ATTRIBUTABLE_TO_COMMON"), "COMMON_INCOME_SCOPE_UNVERIFIED"))
+            if b == "ebitda":
+                define("ebitda")
+            if name == "leverage":
+                define("total_debt")
+            rules.append((v(b) <= 0, "NONPOSITIVE_DENOMINATOR"))
+        reason = F.lit(None).cast("string")
+        for test, why in reversed(rules):
+            reason = F.when(test, why).otherwise(reason)
+        ok = reason.isNull()
+        num, den = num.cast(DECIMAL), den.cast(DECIMAL)
+        value = num if name in AMOUNTS else F.try_divide(num.cast("decimal(28,9)"), den.cast("decimal(28,9)")).cast(DECIMAL)
+        ids = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x[r]("source_ids"), F.array().cast("array<string>")) for r in parts])))
+        return F.struct(
+            F.lit(name).alias("formula"), F.when(ok, value).alias("value"), F.when(ok, num).alias("numerator"), F.when(ok, den).alias("denominator"),
+            (F.when(ok, currency) if name in AMOUNTS else F.lit("ratio")).alias("unit"), F.when(ok, currency).alias("currency"), F.when(ok, ids).alias("source_ids"),
+            F.when(ok, F.greatest(*[x[r]("available_at") for r in parts])).alias("available_at"), reason.alias("reason"),
+        )
+
+    return got.select(*keys, F.explode(F.array(*[one(n) for n in names])).alias("_f")).select(*keys, "_f.*")
 
 
 def annual_growth(df: DataFrame, keys: list[str], years: int, start: str = "period_start", end: str = "period_end", value: str = "value") -> DataFrame:

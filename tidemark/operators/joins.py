@@ -82,17 +82,25 @@ def asof_latest(df: DataFrame, keys: list[str], ts: str, cutoff) -> DataFrame:
     return got.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value: str, bucket: str = "day") -> DataFrame:
     """J8 row by row: ``value`` of the newest right row at or before each left row, null if there is none.
 
-    Both sides are laid in one order per key and the last right value is carried on; a key is split by nothing but its
-    own order, so very hot keys should carry a further key column. Of right rows at one instant the greatest value counts.
+    Rows are laid in one order per key and time ``bucket`` (a unit of date_trunc), so a key that holds most rows is many
+    tasks' work; what a bucket ends with is carried on over the buckets of a key, one row each. Of right rows at one
+    instant the greatest value counts; null values are passed over. Null keys match nothing; repeated rows stay repeated.
     """
-    a = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)})
-    b = right.groupBy(*keys, ts).agg(F.max(value).alias("_v")).withColumn("_side", F.lit(0))
-    w = Window.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn(f"asof_{value}", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").drop("_side", "_v")
+    kind = right.schema[value].dataType
+    out = f"asof_{value}"
+    b = right.where(F.col(value).isNotNull()).groupBy(*keys, ts).agg(F.max(value).alias("_v"))
+    a = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(kind)})
+    both = a.unionByName(b.withColumn("_side", F.lit(0)), allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, ts))
+    w = Window.partitionBy(*keys, "_b").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    inside = both.withColumn("_own", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    ends = both.groupBy(*keys, "_b").agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(ts))).alias("_end"))
+    order = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias("_k" + k) for k in keys], F.col("_b").alias("_cb"), F.last("_end", ignorenulls=True).over(order).alias("_before"))
+    on = [inside[k] == F.col("_k" + k) for k in keys] + [inside["_b"] == F.col("_cb")]
+    return inside.join(carried, on, "left").select(*left.columns, F.coalesce("_own", "_before").alias(out))
 
 
 def prior_year(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", value: str = "value") -> DataFrame:

@@ -37,18 +37,21 @@ def latest_revision(df: DataFrame, keys: list[str], order: list[str], as_of=None
 
 def select_or_conflict(df: DataFrame, keys: list[str], as_of=None, value: str = "value", available: str = "available_at", ident: str = "id") -> tuple[DataFrame, DataFrame]:
     """R2: (selected, gaps). All rows at a context's latest instant must agree on the value; selected carries the
-    smallest id and all agreeing ids, sorted; contexts that disagree are gaps CONFLICTING_SOURCE_VALUES."""
-    rows = df if as_of is None else available_as_of(df, as_of, available)
-    last = rows.groupBy(*keys).agg(F.max(available).alias("_at"))
-    on = [rows[k].eqNullSafe(last[k]) for k in keys] + [rows[available] == last["_at"]]
-    at = rows.join(last, on, "left_semi")
-    agreed = at.groupBy(*keys).agg(
-        F.min(available).alias(available),
+    smallest id and all agreeing ids, sorted; contexts that disagree are gaps CONFLICTING_SOURCE_VALUES. A null value
+    agrees only with nulls; rows without availability are left out.
+
+    The rows are read once: what each instant holds is combined before the shuffle, then the latest instant is taken.
+    """
+    rows = df.where(F.col(available).isNotNull()) if as_of is None else available_as_of(df, as_of, available)
+    gone = F.col(value).isNull()
+    at = rows.groupBy(*keys, available).agg(
         F.min_by(value, ident).alias(value),
         F.min(ident).alias(ident),
-        F.array_sort(F.collect_set(ident)).alias("source_ids"),
-        (F.count_distinct(F.struct(value)) > 1).alias("_conflict"),
+        F.collect_set(ident).alias("source_ids"),
+        ((F.min(value) != F.max(value)) | (F.min(gone) != F.max(gone))).alias("_conflict"),
     )
+    last = at.groupBy(*keys).agg(F.max_by(F.struct(available, value, ident, "source_ids", "_conflict"), available).alias("_r"))
+    agreed = last.select(*keys, f"_r.{available}", f"_r.{value}", f"_r.{ident}", F.array_sort("_r.source_ids").alias("source_ids"), F.coalesce("_r._conflict", F.lit(False)).alias("_conflict"))
     gaps = agreed.where("_conflict").select(*keys, available, F.lit("CONFLICTING_SOURCE_VALUES").alias("reason"))
     return agreed.where("not _conflict").drop("_conflict"), gaps
 
@@ -85,9 +88,9 @@ def merge_concepts(df: DataFrame, keys: list[str], priority: str, value: str = "
     """(merged, gaps). Concepts that agree on a period's value give the preferred one; if they don't, the period is
     a gap AMBIGUOUS_CONCEPTS."""
     rest = [c for c in df.columns if c not in keys]
-    got = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), priority).alias("_r"), F.count_distinct(value).alias("_n"))
-    merged = got.where("_n <= 1").select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    return merged, got.where("_n > 1").select(*keys, F.lit("AMBIGUOUS_CONCEPTS").alias("reason"))
+    got = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), priority).alias("_r"), F.coalesce(F.min(value) != F.max(value), F.lit(False)).alias("_x"))
+    merged = got.where("not _x").select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return merged, got.where("_x").select(*keys, F.lit("AMBIGUOUS_CONCEPTS").alias("reason"))
 
 
 def void_overlaps(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", ids: str = "source_ids") -> tuple[DataFrame, DataFrame]:

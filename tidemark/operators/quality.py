@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +34,45 @@ def quality_checks(df: DataFrame, ident: str, checks: dict[str, Column]) -> tupl
 
 def standard_checks(price: Column, volume: Column) -> dict[str, Column]:
     """The price and volume rules of P11."""
-    return {"price_range": (price > 0) & (price < 1_000_000), "volume": volume >= 0}
-
-
-def near(a: Column, b: Column, share: float) -> Column:
-    """Whether two values agree within a share of the larger; null if one is."""
-    return F.abs(a - b) <= share * F.greatest(F.abs(a), F.abs(b))
+    return {"price_bounds": (price > 0) & (price < 1_000_000), "volume_non_negative": volume >= 0}
+
+
+def record_checks(df: DataFrame, ident: str, source: str = "source", price: str = "price", volume: str = "volume", statement: str = "statement_type", items: str = "line_items", days: str = "dates") -> tuple[DataFrame, DataFrame]:
+    """(id, check, state) of every rule that applies to a record, and (id, status, passed, warned, failed).
+
+    ``items`` is a map of line item to number, ``days`` an array of the dates of a series. States are passed, warning and
+    failed; a rule whose inputs are absent does not apply. Gross profit and A = L + E may be off by 1 % of revenue or
+    assets, revenue below 1000 or below zero is a warning, and so are dates out of order. A record fails if half of its
+    checks or more do, else it has warnings if any check is not passed. A record without any field is empty and has no
+    other check. Repeated ids are counted together.
+    """
+    item = lambda *names: F.coalesce(*[F.col(items)[n] for n in names])
+    revenue = item("Total Revenue", "total_revenue")
+    cost, gross = item("Cost Of Revenue", "cost_of_revenue"), item("Gross Profit", "gross_profit")
+    assets, liabilities, equity = item("Total Assets", "total_assets"), item("Total Liabilities", "total_liabilities"), item("Total Equity", "total_equity", "Total Stockholders Equity")
+    any_revenue = item("Total Revenue", "total_revenue", "Revenue", "Revenues")
+    dated = F.filter(days, lambda d: d.isNotNull())
+    nothing = reduce(and_, [F.col(c).isNull() for c in (source, price, volume, statement, items, days)])
+    judge = lambda ok, bad: F.when(ok.isNull(), None).when(ok, "passed").otherwise(bad)
+    income, balance = F.col(statement) == "income_statement", F.col(statement) == "balance_sheet"
+    rules = {
+        "non_empty": F.when(nothing, "failed").otherwise("passed"),
+        "source_attribution": F.when(~nothing, judge(F.coalesce(F.col(source) != "", F.lit(False)), "failed")),
+        "price_bounds": judge((F.col(price) > 0) & (F.col(price) < 1_000_000), "failed"),
+        "volume_non_negative": judge(F.col(volume) >= 0, "failed"),
+        "income_math": F.when(income, judge(F.abs(revenue - cost - gross) <= F.abs(revenue) * 0.01, "warning")),
+        "balance_identity": F.when(balance, judge(F.abs(assets - liabilities - equity) <= F.when(assets != 0, F.abs(assets) * 0.01).otherwise(1), "warning")),
+        "scale_plausibility": judge(~((any_revenue != 0) & (F.abs(any_revenue) < 1000)), "warning"),
+        "sign_plausibility": F.when(any_revenue < 0, "warning"),
+        "chronological_order": F.when(F.size(days) > 1, judge(dated == F.array_sort(dated), "warning")),
+        "has_type_field": F.when(F.col(statement).isNotNull(), "passed"),
+    }
+    cells = F.filter(F.array(*[F.struct(F.lit(n).alias("check"), c.alias("state")) for n, c in rules.items()]), lambda x: x["state"].isNotNull())
+    long = df.select(ident, F.explode(cells).alias("_c")).select(ident, "_c.check", "_c.state")
+    n = lambda s: F.count(F.when(F.col("state") == s, 1))
+    got = long.groupBy(ident).agg(n("passed").alias("passed"), n("warning").alias("warned"), n("failed").alias("failed"), F.count("*").alias("_n"))
+    status = F.when(F.col("failed") >= F.col("_n") / 2, "failed").when((F.col("failed") > 0) | (F.col("warned") > 0), "warning").otherwise("passed")
+    return long, got.select(ident, status.alias("status"), "passed", "warned", "failed")
 
 
 def balance_check(df: DataFrame, keys: list[str], left: str, right: list[str], concept: str = "concept", value: str = "value") -> DataFrame:
@@ -59,8 +95,10 @@ def same_vintage_guard(df: DataFrame, keys: list[str], state: str, fields: list[
 #: name -> terms of a sum that must be zero: (metric, coefficient).
 IDENTITIES = {
     "gross_profit": [("revenue", 1), ("cost_of_revenue", -1), ("gross_profit", -1)],
+    "operating_income": [("gross_profit", 1), ("operating_expenses", -1), ("operating_income", -1)],
+    "net_income": [("pretax_income", 1), ("tax_expense", -1), ("net_income", -1)],
     "balance": [("assets", 1), ("liabilities", -1), ("equity", -1)],
-    "cash_movement": [("operating_cash_flow", 1), ("investing_cash_flow", 1), ("financing_cash_flow", 1), ("cash_change", -1)],
+    "cash_movement": [("cash_begin", 1), ("operating_cash_flow", 1), ("investing_cash_flow", 1), ("financing_cash_flow", 1), ("fx_cash_effect", 1), ("cash_end", -1)],
     "debt": [("short_term_debt", 1), ("long_term_debt", 1), ("debt", -1)],
 }
 
@@ -88,7 +126,7 @@ LADDER = ["SOURCE_OBSERVED", "RECONCILED", "DERIVATION_VERIFIED", "ACCOUNTING_CE
 
 def recompute_check(results: DataFrame, terms: DataFrame, ident: str, value: str = "value", coefficient: str = "coefficient") -> DataFrame:
     """(id, stored, recomputed) where a stored result is not exactly the sum of its signed terms."""
-    signed = F.when(F.col(coefficient) == 1, F.col(value)).when(F.col(coefficient) == -1, -F.col(value)).otherwise((F.col(value).cast("decimal(28,9)") * F.col(coefficient)).cast("decimal(38,9)"))
+    signed = F.when(F.col(coefficient) == 1, F.col(value)).when(F.col(coefficient) == -1, -F.col(value)).otherwise((F.col(value).cast("decimal(28,9)") * F.col(coefficient).cast("decimal(9,0)")).cast("decimal(38,9)"))
     again = terms.groupBy(ident).agg(F.sum(signed).alias("recomputed"))
     out = results.select(ident, F.col(value).alias("stored")).join(again, ident, "left")
     return out.where(~F.col("stored").eqNullSafe(F.col("recomputed")))

@@ -8,41 +8,122 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Finding code -> severity.
+#: Finding code -> severity.
 SEVERITY = {
-    "FIELD_LOST": "error", "FIELD_ADDED": "info", "UNIT_CHANGED": "error", "CONCEPT_CHANGED": "warning", "SIGN_FLIP": "error", "SCALE_SHIFT": "error",
-    "IMMATERIAL_DRIFT": "info", "RESTATEMENT": "warning", "UNEXPLAINED_VALUE_CHANGE": "error", "FILING_REGRESSION": "error", "AVAILABILITY_MOVED": "warning", "STATE_CHANGED": "warning",
+    "FIELD_LOST": "WARNING", "FIELD_ADDED": "INFO",
+    "CONTRACT_UNIT_VIOLATION": "FAIL", "UNIT_CORRECTED": "INFO", "UNIT_CHANGED": "WARNING",
+    "PROHIBITED_BASIS_SUBSTITUTION": "FAIL", "BASIS_SUBSTITUTION_UNSUPPORTED": "FAIL", "CONCEPT_PRIORITY_DEMOTED": "WARNING", "CONCEPT_CHANGED": "INFO",
+    "IMMATERIAL_VALUE_DRIFT": "INFO", "SUSPECTED_UNCONVERTED_SCALE": "FAIL", "RESTATEMENT_WITH_NEW_FILING": "INFO", "FILING_REGRESSION_EARLIER_ACCESSION": "FAIL",
+    "VALUE_CHANGED_WITH_SOURCE_REVISION": "WARNING", "VALUE_CHANGED_WITHOUT_SOURCE_REVISION": "FAIL", "SIGN_CONVENTION_VIOLATION": "FAIL", "VALUE_LOST_WITH_USABLE_STATE": "FAIL",
+    "AVAILABILITY_CUTOFF_INCONSISTENT": "FAIL", "FILING_DATE_INCONSISTENT": "FAIL", "FUTURE_AVAILABILITY_UNSUPPORTED": "FAIL",
+    "EVIDENCE_CONFLICT_INTRODUCED": "FAIL", "SOURCE_BLOCKED": "FAIL", "UNIT_MISMATCH_INTRODUCED": "FAIL", "OBSERVATION_NO_LONGER_CONFORMS": "WARNING", "OBSERVATION_LOST": "WARNING",
+    "POINT_IN_TIME_ELIGIBILITY_LOST": "WARNING", "PERIOD_ALIGNMENT_LOST": "WARNING", "VALIDATION_DOWNGRADE": "WARNING", "STATE_REGRESSION": "WARNING", "STATE_IMPROVED": "INFO", "STATE_CHANGED": "INFO",
 }
+#: The rank of a field's state and the code of a fall to it.
+STATE_RANK = {
+    "PASS": 5, "PASS_DERIVED": 4, "SOURCE_VALIDATED": 3, "SOURCE_UNVALIDATED": 2, "NOT_PIT_ELIGIBLE": 1, "PERIOD_MISMATCH": 1,
+    "MISSING_OBSERVATION": 0, "NOT_CONFORMING": 0, "UNIT_MISMATCH": 0, "CONFLICT": 0, "BLOCKED": 0,
+}
+FALLS = {
+    "CONFLICT": "EVIDENCE_CONFLICT_INTRODUCED", "BLOCKED": "SOURCE_BLOCKED", "UNIT_MISMATCH": "UNIT_MISMATCH_INTRODUCED", "NOT_CONFORMING": "OBSERVATION_NO_LONGER_CONFORMS",
+    "MISSING_OBSERVATION": "OBSERVATION_LOST", "NOT_PIT_ELIGIBLE": "POINT_IN_TIME_ELIGIBILITY_LOST", "PERIOD_MISMATCH": "PERIOD_ALIGNMENT_LOST", "SOURCE_UNVALIDATED": "VALIDATION_DOWNGRADE",
+}
+USABLE = ["PASS", "PASS_DERIVED", "SOURCE_VALIDATED", "SOURCE_UNVALIDATED"]
+DRIFT_SHARE, DRIFT_AMOUNT, SCALES = 0.0005, 1_000_000, (1e3, 1e6, 1e9)  # fixed values
+REPORT_COLUMNS = ["value", "unit", "concept", "accession", "filed", "available_at", "source_object", "state"]
+
+
+def _lookup(pairs: dict, key: Column, default=None) -> Column:
+    found = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])[key]
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], value: str = "value", unit: str = "unit", concept: str = "concept", filed: str = "filed", available: str = "available_at", state: str = "state", drift: float = 0.001) -> DataFrame:
-    """(keys, code, severity, base value, candidate value): every finding about a field of two reports.
+def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], field: str | None = None, contract: DataFrame | None = None, as_of=None, positive: tuple[str, ...] = ("revenue", "depreciation_amortization", "capital_expenditure")) -> DataFrame:
+    """(keys, code, severity, base_value, candidate_value): every finding about a field of two reports, which have
+    ``keys`` and REPORT_COLUMNS, one row a key. Unchanged fields give no row.
 
-    A changed value is a sign flip, a shift by 10^3, 10^6 or 10^9, an immaterial drift (within ``drift``), a restatement
-    (filed later) or unexplained. Unchanged fields give no row. One row a key on each side.
+    ``contract`` is a small table (field, unit, concepts, prohibited): the field's unit, its concepts from best to worst,
+    and those that would change what it measures. ``field`` names the key column it is joined on. ``as_of`` is the
+    candidate report's own instant.
+
+    A changed value is drift if it is within a million or 0.05 %; else a shift by 10^3, 10^6 or 10^9 in one unit; else,
+    under another accession, a restatement if that was filed later and a regression if not; else it is explained by
+    another source object or not at all.
     """
-    cols = [value, unit, concept, filed, available, state]
-    a = base.select(*[F.col(k).alias("a_" + k) for k in keys], *[F.col(c).alias("a_" + c) for c in cols], F.lit(True).alias("in_a"))
-    b = cand.select(*[F.col(k).alias("b_" + k) for k in keys], *[F.col(c).alias("b_" + c) for c in cols], F.lit(True).alias("in_b"))
+    a = base.select(*[F.col(k).alias("a_" + k) for k in keys], *[F.col(c).alias("a_" + c) for c in REPORT_COLUMNS], F.lit(True).alias("in_a"))
+    b = cand.select(*[F.col(k).alias("b_" + k) for k in keys], *[F.col(c).alias("b_" + c) for c in REPORT_COLUMNS], F.lit(True).alias("in_b"))
     both = a.join(b, [F.col("a_" + k).eqNullSafe(F.col("b_" + k)) for k in keys], "full")
-    p, q = F.col("a_" + value), F.col("b_" + value)
+    name = F.coalesce("a_" + field, "b_" + field) if field else F.lit(None).cast("string")
+    if contract is not None:
+        rules = contract.select(F.col("field").alias("_f"), F.col("unit").alias("_unit"), F.col("concepts").alias("_concepts"), F.col("prohibited").alias("_prohibited"))
+        both = both.withColumn("_name", name).join(F.broadcast(rules), F.col("_name") == F.col("_f"), "left")  # a row a field of the contract
+    else:
+        none = F.lit(None)
+        both = both.withColumns({"_name": name, "_unit": none.cast("string"), "_concepts": none.cast("array<string>"), "_prohibited": none.cast("array<string>")})
+    old, new = (lambda c: F.col("a_" + c)), (lambda c: F.col("b_" + c))
+    p, q = old("value"), new("value")
     x, y = p.cast("double"), q.cast("double")
     there = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    moved = lambda c: there & ~F.col("a_" + c).eqNullSafe(F.col("b_" + c))
-    changed = there & p.isNotNull() & q.isNotNull() & (p != q)
-    shift = reduce(or_, [(F.abs(x * s - y) <= 1e-9 * F.abs(y)) | (F.abs(y * s - x) <= 1e-9 * F.abs(x)) for s in (1e3, 1e6, 1e9)])
-    flip = (p == -q) & (p != 0)
-    small = F.abs(x - y) <= drift * F.greatest(F.abs(x), F.abs(y))
-    later = F.col("b_" + filed) > F.col("a_" + filed)
-    kind = F.when(flip, "SIGN_FLIP").when(shift, "SCALE_SHIFT").when(small, "IMMATERIAL_DRIFT").when(later, "RESTATEMENT").otherwise("UNEXPLAINED_VALUE_CHANGE")
-    lost = F.col("in_b").isNull() | (there & p.isNotNull() & q.isNull())
+    usable = new("state").isin(USABLE)
+    lost = (new("state") == "MISSING_OBSERVATION") & new("concept").isNull()
+    moved = lambda c: there & ~F.coalesce(lost, F.lit(False)) & ~old(c).eqNullSafe(new(c))
+    unit = F.when(F.col("_unit").isNotNull() & ~new("unit").eqNullSafe(F.col("_unit")), "CONTRACT_UNIT_VIOLATION").when(F.col("_unit").isNotNull() & ~old("unit").eqNullSafe(F.col("_unit")), "UNIT_CORRECTED").otherwise("UNIT_CHANGED")
+    place = lambda c: F.nullif(F.array_position("_concepts", c), F.lit(0))
+    basis = (
+        F.when(F.array_contains("_prohibited", new("concept")), "PROHIBITED_BASIS_SUBSTITUTION")
+        .when((F.col("_concepts").isNull() | place(new("concept")).isNull()) & usable, "BASIS_SUBSTITUTION_UNSUPPORTED" if contract is not None else "CONCEPT_CHANGED")
+        .when(place(new("concept")) > place(old("concept")), "CONCEPT_PRIORITY_DEMOTED")
+        .otherwise("CONCEPT_CHANGED")
+    )
+    same = F.coalesce(old("accession") == new("accession"), F.lit(False))
+    other = F.coalesce(old("accession") != new("accession"), F.lit(False))
+    later = F.coalesce(new("filed") > old("filed"), new("available_at") >= old("available_at"), F.lit(False))
+    ratio = F.abs(y) / F.abs(x)
+    shift = (x != 0) & (y != 0) & old("unit").eqNullSafe(new("unit")) & reduce(or_, [(F.abs(ratio - s) <= 1e-4 * s) | (F.abs(ratio - 1 / s) <= 1e-4 / s) for s in SCALES])
+    revised = F.coalesce(old("source_object") != new("source_object"), F.lit(False))
+    changed = there & (p != q)
+    kind = (
+        F.when((F.abs(y - x) <= DRIFT_AMOUNT) | (F.abs(y - x) <= DRIFT_SHARE * F.abs(x)), "IMMATERIAL_VALUE_DRIFT")
+        .when(F.when(x != 0, shift), "SUSPECTED_UNCONVERTED_SCALE")
+        .when(other & later, "RESTATEMENT_WITH_NEW_FILING")
+        .when(other, "FILING_REGRESSION_EARLIER_ACCESSION")
+        .when(same & revised, "VALUE_CHANGED_WITH_SOURCE_REVISION")
+        .otherwise("VALUE_CHANGED_WITHOUT_SOURCE_REVISION")
+    )
+    before, after = (_lookup(STATE_RANK, side("state"), 0) for side in (old, new))
+    state = F.when(after < before, _lookup(FALLS, new("state"), "STATE_REGRESSION")).when(after > before, "STATE_IMPROVED").otherwise("STATE_CHANGED")
     codes = F.array_compact(F.array(
-        F.when(lost, "FIELD_LOST"), F.when(F.col("in_a").isNull(), "FIELD_ADDED"), F.when(moved(unit), "UNIT_CHANGED"), F.when(moved(concept), "CONCEPT_CHANGED"), F.when(changed, kind),
-        F.when(there & (F.col("b_" + filed) < F.col("a_" + filed)), "FILING_REGRESSION"), F.when(moved(available) & ~changed, "AVAILABILITY_MOVED"), F.when(moved(state), "STATE_CHANGED"),
+        F.when(F.col("in_b").isNull(), "FIELD_LOST"), F.when(F.col("in_a").isNull(), "FIELD_ADDED"), F.when(moved("unit"), unit), F.when(moved("concept"), basis), F.when(changed, kind),
+        F.when(there & (p > 0) & (q < 0) & F.col("_name").isin(*positive), "SIGN_CONVENTION_VIOLATION"), F.when(there & p.isNotNull() & q.isNull() & usable, "VALUE_LOST_WITH_USABLE_STATE"),
+        F.when(there & same & (new("available_at") < old("available_at")), "AVAILABILITY_CUTOFF_INCONSISTENT"), F.when(there & same & (new("filed") != old("filed")), "FILING_DATE_INCONSISTENT"),
+        F.when(F.lit(as_of is not None) & there & usable & (new("available_at") > as_of if as_of is not None else F.lit(False)), "FUTURE_AVAILABILITY_UNSUPPORTED"),
+        F.when(there & ~old("state").eqNullSafe(new("state")), state),
     ))
-    severity = F.create_map(*[F.lit(s) for kv in SEVERITY.items() for s in kv])
     out = both.select(*[F.coalesce("a_" + k, "b_" + k).alias(k) for k in keys], F.explode(codes).alias("code"), p.alias("base_value"), q.alias("candidate_value"))
-    return out.withColumn("severity", severity[F.col("code")])
+    return out.withColumn("severity", _lookup(SEVERITY, F.col("code")))
+
+
+#: The rank of a company's overall state.
+OVERALL_RANK = {"SOURCE_VALIDATED": 4, "SOURCE_PARTIALLY_VALIDATED": 3, "SOURCE_UNVALIDATED": 2, "MISSING_OBSERVATION": 1, "BLOCKED": 0, "CONFLICT": 0}
+
+
+def overall_moves(base: DataFrame, cand: DataFrame, key: str, state: str = "overall") -> DataFrame:
+    """(key, code, severity) for companies whose overall state moved, or that one report lacks. One row a key."""
+    b = cand.select(F.col(key).alias("_k"), F.col(state).alias("_s"))
+    both = base.select(key, F.col(state).alias("_o")).join(b, F.col(key) == F.col("_k"), "full")
+    before, after = _lookup(OVERALL_RANK, F.col("_o"), 2), _lookup(OVERALL_RANK, F.col("_s"), 2)
+    code = F.when(F.col("_k").isNull(), "COMPANY_LOST").when(F.col(key).isNull(), "COMPANY_ADDED").when(after < before, "COMPANY_OVERALL_DOWNGRADE").when(after > before, "COMPANY_OVERALL_UPGRADE").otherwise("COMPANY_OVERALL_CHANGED")
+    rows = both.where(~(F.col("_o").eqNullSafe(F.col("_s")) & F.col("_k").isNotNull() & F.col(key).isNotNull())).select(F.coalesce(key, "_k").alias(key), code.alias("code"))
+    return rows.withColumn("severity", F.when(F.col("code").isin("COMPANY_LOST", "COMPANY_OVERALL_DOWNGRADE"), "WARNING").otherwise("INFO"))
+
+
+def report_findings(base: DataFrame, cand: DataFrame) -> DataFrame:
+    """(code, severity) about two reports as a whole, each one row of mode, contract and as_of: INCOMPARABLE_MODE,
+    INCOMPARABLE_CONTRACT (both FAIL) and AS_OF_REGRESSION (WARNING)."""
+    a, b = (t.select(*[F.col(c).alias(n + c) for c in ("mode", "contract", "as_of")]) for t, n in ((base, "a_"), (cand, "b_")))
+    both = a.crossJoin(b)  # one row each
+    cells = [F.when(~F.col("a_mode").eqNullSafe(F.col("b_mode")), "INCOMPARABLE_MODE"), F.when(~F.col("a_contract").eqNullSafe(F.col("b_contract")), "INCOMPARABLE_CONTRACT"), F.when(F.col("b_as_of") < F.col("a_as_of"), "AS_OF_REGRESSION")]
+    return both.select(F.explode(F.array_compact(F.array(*cells))).alias("code")).withColumn("severity", F.when(F.col("code") == "AS_OF_REGRESSION", "WARNING").otherwise("FAIL"))
 
 
 def diff_coverage(base: DataFrame, cand: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -69,17 +150,27 @@ def corroboration_check(primary: DataFrame, secondary: DataFrame, keys: list[str
 
 
 def reconcile(old: DataFrame, new: DataFrame, ident: str, context: list[str], value: str) -> DataFrame:
-    """(kind, key): ids ADDED and REMOVED and contexts whose set of values CHANGED (those in both snapshots)."""
-    ids = lambda a, b, k: a.select(F.col(ident).cast("string").alias("key")).distinct().join(b.select(F.col(ident).cast("string").alias("key")).distinct(), "key", "left_anti").select(F.lit(k).alias("kind"), "key")
+    """(kind, key): ids ADDED and REMOVED and contexts whose set of values CHANGED (those in both snapshots).
+
+    Both snapshots are read once each: an aggregation by context and id, then one by each of the two, nothing joined.
+    Null ids are no ids.
+    """
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in context])
-    sets = lambda t, n: t.groupBy(key.alias("key")).agg(F.array_sort(F.collect_set(value)).alias(n))
-    changed = sets(old, "_a").join(sets(new, "_b"), "key").where("_a <> _b").select(F.lit("CHANGED").alias("kind"), "key")
-    return ids(new, old, "ADDED").unionByName(ids(old, new, "REMOVED")).unionByName(changed)
+    side = lambda t, n: t.select(F.col(ident).cast("string").alias("_id"), key.alias("_c"), F.col(value).alias("_v"), F.lit(n).alias("_s"))
+    both = side(old, 1).unionByName(side(new, 2))
+    cells = F.array(F.struct(F.lit("id").alias("of"), F.col("_id").alias("key"), F.lit(None).cast(old.schema[value].dataType).alias("v")), F.struct(F.lit("context").alias("of"), F.col("_c").alias("key"), F.col("_v").alias("v")))
+    rows = both.select("_s", F.explode(cells).alias("_x")).select("_s", "_x.*").where("key is not null")
+    vals = lambda n: F.array_sort(F.collect_set(F.when(F.col("_s") == n, F.col("v"))))
+    got = rows.groupBy("of", "key").agg(F.max(F.col("_s") == 1).alias("a"), F.max(F.col("_s") == 2).alias("b"), vals(1).alias("va"), vals(2).alias("vb"))
+    kind = F.when((F.col("of") == "id") & ~F.col("a"), "ADDED").when((F.col("of") == "id") & ~F.col("b"), "REMOVED").when((F.col("of") == "context") & F.col("a") & F.col("b") & (F.col("va") != F.col("vb")), "CHANGED")
+    return got.select(kind.alias("kind"), "key").where("kind is not null")
 
 
 def replace_snapshot(prev: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Keys of ``new`` take its rows in full, all others keep theirs; rows of one key are never mixed."""
-    return prev.join(new.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+    """Keys of ``new`` take its rows in full, all others keep theirs; rows of one key are never mixed. A null key is a
+    key like any other."""
+    keys = new.select(F.col(key).alias("_new")).distinct()
+    return prev.join(keys, F.col(key).eqNullSafe(F.col("_new")), "left_anti").select(*new.columns).unionByName(new)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -105,10 +196,12 @@ def reproduce_check(old_result: DataFrame, new_result: DataFrame, content: list[
     return rows.unionByName(lost.select(F.lit("COVERAGE_SHRANK").alias("kind"), F.concat_ws("|", *keys).alias("detail")))
 
 
-def gate(checks: DataFrame, name: str, passed: str) -> DataFrame:
-    """One row: promote if every check passed and there is one, and the sorted names of those that did not."""
-    got = checks.agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.when(~F.coalesce(F.col(passed), F.lit(False)), F.col(name)))).alias("failed"))
-    return got.select(((F.col("n") > 0) & (F.size("failed") == 0)).alias("promote"), "failed")
+def gate(checks: DataFrame, name: str, passed: str) -> tuple[DataFrame, DataFrame]:
+    """(decision, failed): one row (promote, checks, failed) that promotes if there are checks and all passed, and
+    a row for each name that did not; a null result did not pass."""
+    ok = F.coalesce(F.col(passed), F.lit(False))
+    n, bad = F.count("*"), F.count(F.when(~ok, 1))
+    return checks.agg(((n > 0) & (bad == 0)).alias("promote"), n.alias("checks"), bad.alias("failed")), checks.where(~ok).select(name).distinct()
 
 
 def reconcile_inventory(declared: DataFrame, actual: DataFrame, path: str, size: str) -> DataFrame:
@@ -141,8 +234,3 @@ def audit_totals(df: DataFrame, declared: DataFrame, status: str, n: str = "n")
     code = F.when(F.col("declared").isNull(), "NOT_DECLARED").when(F.col("actual").isNull(), "NOT_FOUND").when(F.col("declared") != F.col("actual"), "COUNT_MISMATCH")
     return both.select(F.coalesce(status, "_s").alias(status), "declared", "actual", code.alias("code")).where("code is not null")
 
-
-def materiality(base: Column, cand: Column, floor: float = 1000.0, share: float = 0.001) -> Column:
-    """Whether a change matters: above the floor and above the share of the base."""
-    change = F.abs(cand.cast("double") - base.cast("double"))
-    return (change > floor) & (change > share * F.abs(base.cast("double")))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os.path
 from functools import reduce
 from operator import and_
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 OPS = {"eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "between": lambda c, v: c.between(F.lit(v[0]), F.lit(v[1]))}
 
@@ -78,26 +81,45 @@ def rank_screen(df: DataFrame, ident: str, value: str, low=None, high=None, desc
     way = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     good = df.where(ok)
     sizes = df.agg(F.count(F.when(ok, 1)).alias("matches"), F.count("*").alias("universe"))
-    ranked = numbered(good, [way(value), way(ident)], value, descending).join(F.broadcast(sizes))  # one row
+    ranked = numbered(good, [way(value), way(ident)], value, ident, descending).join(F.broadcast(sizes))  # one row
     why = F.coalesce(F.col(reason), F.lit("NO_VALUE")) if reason else F.lit("NO_VALUE")
     return ranked, df.where(F.col(value).isNull()).select(ident, why.alias("reason"))
 
 
-def numbered(df: DataFrame, order: list, by: str, descending: bool = False, ranges: int = 64) -> DataFrame:
-    """Rows with ``rank`` in a total order whose first key is ``by``: value ranges at approximate quantiles are numbered
-    apart and shifted by the sizes of those before; nulls of ``by`` come last."""
-    cuts = df.select(F.percentile_approx(F.col(by).cast("double"), [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []
+def numbered(df: DataFrame, order: list, by: str, ident: str, descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """Rows with ``rank`` in a total order by ``by`` and then ``ident``, nulls of ``by`` last.
+
+    Ranges of values at approximate quantiles are numbered apart and shifted by the sizes of those before. A value that
+    fills whole ranges is split again, at quantiles of ``ident``. There are four ranges a shuffle partition unless
+    ``ranges`` says otherwise.
+    """
+    n = ranges or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    v = F.col(by).cast("double")
+    cuts = df.select(F.percentile_approx(v, [i / n for i in range(1, n)], 40 * n)).first()[0] or [] if n > 1 else []
+    hot = sorted({c for c in cuts if cuts.count(c) > 1})  # at most one for each two ranges
     cuts = sorted(set(cuts))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(by).cast("double") > F.lit(c)).cast("int")
-    part = F.coalesce(-part if descending else part, F.lit(len(cuts) + 1))
-    rows = df.withColumn("_part", part)
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # at most `ranges` + 1 rows
-    w = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(before), "_part").withColumn("rank", (F.col("_before") + F.col("_rn")).cast("long")).drop("_part", "_rn", "_before")
+    splits = [float("-inf"), *(cuts or [0.0]), float("inf")]
+    rows = Bucketizer(splits=splits, inputCol="_v", outputCol="_place", handleInvalid="keep").transform(df.withColumn("_v", v))
+    place = F.when(F.col("_v").isNotNull(), F.col("_place").cast("int"))  # cuts not above the value
+    rows = rows.withColumns({"_part": F.coalesce(-place if descending else place, F.lit(len(splits))), "_sub": F.lit(0)}).drop("_v", "_place")
+    if hot:
+        text = F.col(ident).cast("string")
+        ends = df.where(v.isin(hot)).agg(F.min(text), F.max(text)).first()
+        same = len(os.path.commonprefix([ends[0] or "", ends[1] or ""])) if isinstance(df.schema[ident].dataType, T.StringType) else None
+        # ids as numbers: themselves, or the seven bytes after what all of them begin with
+        num = F.col(ident).cast("double") if same is None else F.conv(F.rpad(F.hex(F.substring(F.encode(text.substr(F.lit(same + 1), F.lit(7)), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("double")
+        found = df.where(v.isin(hot)).groupBy(v.alias("_hot")).agg(F.percentile_approx(num, [i / n for i in range(1, n)], 40 * n).alias("_cuts"))
+        rows = rows.withColumns({"_num": num, "_v": v}).join(F.broadcast(found), F.col("_v") == F.col("_hot"), "left")  # a row a hot value
+        sub = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_num"))), F.lit(0))
+        rows = rows.withColumn("_sub", F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(-sub if descending else sub)).drop("_num", "_v", "_hot", "_cuts")
+        # a hot value begins its range; the greater values in it become one of their own
+        rows = rows.withColumn("_part", F.col("_part") * 2 + F.when(v.isin(hot), 0).otherwise(-1 if descending else 1))
+    sizes = rows.groupBy("_part", "_sub").agg(F.count("*").alias("_n"))  # a row a range
+    w = Window.partitionBy(F.lit(0)).orderBy("_part", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_part", "_sub", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part", "_sub").orderBy(*order)
+    ranked = rows.withColumn("_rn", F.row_number().over(inside)).join(F.broadcast(before), ["_part", "_sub"])
+    return ranked.withColumn("rank", (F.col("_before") + F.col("_rn")).cast("long")).drop("_part", "_sub", "_rn", "_before")
 
 
 def fingerprint(params: dict, release: str) -> str:
@@ -105,10 +127,16 @@ def fingerprint(params: dict, release: str) -> str:
     return hashlib.sha256(json.dumps([params, release], sort_keys=True, default=str).encode()).hexdigest()
 
 
-def page(df: DataFrame, order: str, limit: int, after=None) -> DataFrame:
-    """The ``limit`` rows after a key, by keyset: no offset is counted, so page n costs what page 1 does."""
+def page(df: DataFrame, order: str, limit: int, after=None, token: str | None = None, params: dict | None = None, release: str = "") -> DataFrame:
+    """The ``limit`` rows after a key, by keyset: no offset is counted, so page n costs what page 1 does.
+
+    Rows carry ``token``, the fingerprint of parameters and release; a page asked for with another one is refused.
+    """
+    mine = fingerprint(params or {}, release)
+    if token is not None and token != mine:
+        raise ValueError("the page token belongs to another query or release")
     rows = df if after is None else df.where(F.col(order) > F.lit(after))
-    return rows.orderBy(order).limit(limit)
+    return rows.orderBy(order).limit(limit).withColumn("token", F.lit(mine))
 
 
 def cross_section(obs: DataFrame, key: str, metrics: list[str], metric: str = "metric", value: str = "value", end: str = "period_end", quarantine: DataFrame | None = None) -> DataFrame:

@@ -45,13 +45,28 @@ def severity_summary(df: DataFrame, keys: list[str], severity: str, order: list[
     return df.groupBy(*keys).agg(*counts, F.min_by(severity, F.when(rank > 0, rank)).alias("worst"))
 
 
-def spans(df: DataFrame, keys: list[str], order: str, day: str) -> DataFrame:
+def spans(df: DataFrame, keys: list[str], order: str, day: str, block: int = 1 << 20) -> DataFrame:
     """Runs of consecutive rows (in ``order``) of equal keys: offset of the first row, rows, date range and
-    whether dates never fall. ``order`` numbers the stored rows from 0."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    rows = df.withColumns({"_new": F.coalesce(F.lag(order).over(w) + 1 != F.col(order), F.lit(True)).cast("int"), "_up": F.coalesce(F.lag(day).over(w) <= F.col(day), F.lit(True))})
+    whether dates never fall. ``order`` numbers the stored rows from 0.
+
+    Runs are found within blocks of ``order``, so a key that holds most rows is many tasks' work; then only runs that
+    touch an edge of their block are joined to those of the next one.
+    """
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    rows = df.withColumn("_block", F.floor(F.col(order) / block))
+    rows = rows.withColumns({"_new": F.coalesce(F.lag(order).over(w) + 1 != F.col(order), F.lit(True)).cast("int"), "_up": F.coalesce(F.lag(day).over(w) <= F.col(day), F.lit(True))})
     rows = rows.withColumn("_run", F.sum("_new").over(w)).withColumn("_up", F.col("_up") | (F.col("_new") == 1))
-    return rows.groupBy(*keys, "_run").agg(F.min(order).alias("offset"), F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.min("_up").alias("monotonic")).drop("_run")
+    runs = rows.groupBy(*keys, "_block", "_run").agg(
+        F.min(order).alias("offset"), F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.min("_up").alias("monotonic"), F.min_by(day, order).alias("_head"), F.max_by(day, order).alias("_tail"),
+    )
+    edge = (F.col("offset") % block == 0) | ((F.col("offset") + F.col("rows")) % block == 0)
+    e = Window.partitionBy(*keys).orderBy("offset")
+    touch = F.coalesce(F.lag(F.col("offset") + F.col("rows")).over(e) == F.col("offset"), F.lit(False))
+    ends = runs.where(edge).withColumns({"_on": touch, "_up": F.col("monotonic") & (~touch | (F.lag("_tail").over(e) <= F.col("_head")))})
+    ends = ends.withColumn("_g", F.sum((~F.col("_on")).cast("int")).over(e))
+    joined = ends.groupBy(*keys, "_g").agg(F.min("offset").alias("offset"), F.sum("rows").alias("rows"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.min("_up").alias("monotonic"))
+    cols = [*keys, "offset", "rows", "first_day", "last_day", "monotonic"]
+    return runs.where(~edge).select(*cols).unionByName(joined.select(*cols))
 
 
 def catalogue(df: DataFrame, key: str, day: str, alias: str) -> DataFrame:

@@ -5,12 +5,16 @@ Dates and decimals are returned as text, so that both engines print them alike.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import temporal, values
 from tidemark.operators import claims, derive, joins, pit, quality, releases, screen, series
 from tidemark.plans import views as V
 from tidemark.sources import documents, ingest, sinks
+from tidemark.streaming import upkeep
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -85,15 +89,16 @@ _BAD = f"bad AS (SELECT cik, metric, concept, period_end, max(available_at) AS l
 _GOOD = f"good AS (SELECT cik, metric, concept, period_end, max(available_at) AS last_at FROM obs WHERE period_end <= filed AND {_AVAILABLE} GROUP BY ALL)"
 
 
-@query("pit_blocked_by_rejected", """SELECT metric, concept, count(*) AS contexts, count(*) FILTER (b.last_at >= g.last_at) AS blocked
-FROM good g LEFT JOIN bad b USING (cik, metric, concept) GROUP BY ALL""", (V.OBS, _BAD.replace("cik, metric, concept, period_end", "cik, metric, concept"), _GOOD))
+@query("pit_blocked_by_rejected", """SELECT g.cik, metric, concept, g.period_end::VARCHAR AS period_end, CASE WHEN b.last_at >= g.last_at THEN 'BLOCKED_BY_NEWER_INVALID' END AS reason
+FROM good g LEFT JOIN bad b USING (cik, metric, concept)""", (V.OBS, _BAD.replace("cik, metric, concept, period_end", "cik, metric, concept"), _GOOD))
 def pit_blocked(spark, sf_dir):
     keys = ["cik", "metric", "concept"]
     rows = pit.available_as_of(V.observations(spark, sf_dir), cut())
     good = rows.where("period_end <= filed").groupBy(*CONTEXT).agg(F.max("available_at").alias("available_at"))
-    kept, gaps = pit.block_by_rejected(good, rows.where("period_end > filed"), keys)
-    both = kept.select("metric", "concept", F.lit(0).alias("b")).unionByName(gaps.select("metric", "concept", F.lit(1).alias("b")))
-    return both.groupBy("metric", "concept").agg(F.count("*").alias("contexts"), F.sum("b").alias("blocked"))
+    bad = rows.where("period_end > filed")
+    kept, _ = pit.block_by_rejected(good, bad, keys)
+    void = good.join(kept.select(*CONTEXT), CONTEXT, "left_anti").withColumn("reason", F.lit("BLOCKED_BY_NEWER_INVALID"))
+    return text(kept.withColumn("reason", F.lit(None).cast("string")).unionByName(void).select(*CONTEXT, "reason"), "period_end")
 
 
 @query("pit_ambiguity", """SELECT cik, metric, period_end::VARCHAR AS period_end, strftime(available_at, '%Y-%m-%d %H:%M:%S') AS available_at, 'AMBIGUOUS_REVISION' AS reason
@@ -158,11 +163,14 @@ def pit_leakage(spark, sf_dir):
     return pit.leakage(V.observations(spark, sf_dir), cut()).groupBy("form").agg(F.count("*").alias("rows"))
 
 
-@query("pit_long_quarters", None)
+@query("pit_long_quarters", """SELECT c1.cik, c1.metric, c1.period_start::VARCHAR AS q_start, c1.period_end::VARCHAR AS q_end, strftime(greatest(c1.a, c2.a, c3.a, c4.a), '%Y-%m-%d %H:%M:%S') AS evidence_at
+FROM m c1 JOIN m c2 USING (cik, metric, period_start) JOIN m c3 USING (cik, metric, period_start) JOIN m c4 USING (cik, metric, period_start)
+WHERE month(c1.period_end) = 4 AND month(c2.period_end) = 6 AND month(c3.period_end) = 9 AND month(c4.period_end) = 12""", (V.FLOWS, V.CUMULATIVE, """m AS (SELECT cik, metric, period_start,
+  CASE WHEN month(period_end) = 3 THEN period_end + 16 ELSE period_end END AS period_end, ((period_end + 1)::TIMESTAMP AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS a FROM ytd)"""))
 def pit_long_quarters(spark, sf_dir):
     ytd = V.cumulative(spark, sf_dir).withColumn("available_at", temporal.available_at(F.col("period_end")))
     moved = ytd.withColumn("period_end", F.when(F.month("period_end") == 3, F.date_add("period_end", 16)).otherwise(F.col("period_end")))
-    return text(pit.infer_long_quarters(moved, ["cik", "metric"]), "q_start", "q_end", "evidence_at")
+    return text(pit.infer_long_quarters(moved, ["cik", "metric"]).withColumn("evidence_at", ts("evidence_at")), "q_start", "q_end")
 
 
 @query("pit_fiscal_period", """SELECT id, CASE WHEN m IS NULL THEN NULL WHEN fp = 'FY' THEN 'FY' || y::VARCHAR ELSE 'Q' || (CASE WHEN a = 0 THEN 4 ELSE (a + 2) // 3 END)::VARCHAR || ' ' || y::VARCHAR END AS label
@@ -236,47 +244,66 @@ def derive_difference(spark, sf_dir):
     return text(derive.difference(V.flows(spark, sf_dir), ["cik", "period_end"], "A", "R"), "period_end", "value")
 
 
-_FORMULA_METRICS = {"A": "net_income", "N": "revenue", "R": "gross_profit"}
+_FORMULA_METRICS = {"A": "net_income", "N": "revenue", "R": "operating_income"}
 
 
-@query("derive_formulas", """SELECT cik, period_end::VARCHAR AS period_end, formula, CASE WHEN num IS NOT NULL AND rev IS NOT NULL THEN round(round(num::DOUBLE / rev::DOUBLE, 6), 3) END AS value, CASE WHEN num IS NULL OR rev IS NULL THEN 'MISSING_INPUT' END AS reason FROM (
-  SELECT cik, period_end, unnest(['gross_margin', 'net_margin']) AS formula, unnest([max(value) FILTER (metric = 'R'), max(value) FILTER (metric = 'A')]) AS num, max(value) FILTER (metric = 'N') AS rev FROM flows GROUP BY cik, period_end)""", (V.FLOWS,))
+@query("derive_formulas", """SELECT cik, period_end::VARCHAR AS period_end, formula, CASE WHEN reason IS NULL THEN num::VARCHAR END AS numerator, CASE WHEN reason IS NULL THEN den::VARCHAR END AS denominator,
+  CASE WHEN reason IS NULL THEN round(num::DOUBLE / den::DOUBLE, 5) END AS value, reason FROM (
+  SELECT *, CASE formula WHEN 'revenue_growth' THEN (rev::DECIMAL(28,9) - prior::DECIMAL(28,9))::DECIMAL(38,9) WHEN 'operating_margin' THEN op ELSE net END AS num, CASE formula WHEN 'revenue_growth' THEN prior ELSE rev END AS den,
+    CASE formula WHEN 'revenue_growth' THEN CASE WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' WHEN prior IS NULL THEN 'MISSING_COMPONENT:prior_revenue' END
+      WHEN 'operating_margin' THEN CASE WHEN op IS NULL THEN 'MISSING_COMPONENT:operating_income' WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' END
+      ELSE CASE WHEN net IS NULL THEN 'MISSING_COMPONENT:net_income' WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' END END AS reason
+  FROM (SELECT *, unnest(['revenue_growth', 'operating_margin', 'net_margin']) AS formula FROM (
+    SELECT cik, period_end, max(value) FILTER (metric = 'N') AS rev, max(value) FILTER (metric = 'R') AS op, max(value) FILTER (metric = 'A') AS net, max(value) FILTER (metric = 'P') AS prior
+    FROM (SELECT cik, metric, period_end, value FROM flows UNION ALL SELECT cik, 'P', last_day(period_end + INTERVAL 1 YEAR)::DATE, value FROM flows WHERE metric = 'N') GROUP BY ALL)))""", (V.FLOWS,))
 def derive_formulas(spark, sf_dir):
+    """Quarterly flows as revenue, operating and net income, and the revenue of the same quarter a year before."""
     names = F.create_map(*[F.lit(x) for kv in _FORMULA_METRICS.items() for x in kv])
-    rows = V.flows(spark, sf_dir).withColumns({"metric": names[F.col("metric")], "unit": F.lit("USD"), "currency": F.lit("USD"), "available_at": F.col("period_end").cast("timestamp")})
-    out = derive.formulas(rows, ["cik", "period_end"], ["gross_margin", "net_margin"])
-    return text(out.withColumn("value", F.round(F.col("value").cast("double"), 3)), "period_end")
+    flows = V.flows(spark, sf_dir)
+    rows = flows.withColumns({"metric": names[F.col("metric")], "at": F.col("period_end")})
+    prior = flows.where("metric = 'N'").withColumns({"metric": F.lit("prior_revenue"), "at": F.last_day(F.add_months("period_end", 12))})
+    rows = rows.unionByName(prior).withColumns({"unit": F.lit("USD"), "currency": F.lit("USD"), "frequency": F.lit("quarterly"), "available_at": F.col("period_end").cast("timestamp"), "source_ids": F.array(F.concat_ws(":", "metric", "period_end"))})
+    out = derive.formulas(rows.withColumnRenamed("at", "period"), ["cik", "period"], ["revenue_growth", "operating_margin", "net_margin"], F.lit("2030-01-01").cast("timestamp"))
+    out = out.select("cik", F.col("period").alias("period_end"), "formula", "numerator", "denominator", F.round(F.col("value").cast("double"), 5).alias("value"), "reason")
+    return text(out, "period_end", "numerator", "denominator")
 
 
-@query("derive_annual_growth", """SELECT cik, metric, period_end::VARCHAR AS period_end, CASE WHEN n < 4 THEN 'CHAIN_TOO_SHORT' WHEN NOT (p1 + 1 = s0 AND p2 + 1 = s1 AND p3 + 1 = s2) THEN 'NOT_CONTIGUOUS' END AS reason FROM t""", (V.FLOWS, _TTM))
+@query("derive_annual_growth", """SELECT cik, metric, period_end::VARCHAR AS period_end, reason, CASE WHEN reason IS NULL THEN round((v0::DOUBLE / v1::DOUBLE - 1) * 100, 4) END AS growth_percent, CASE WHEN reason IS NULL THEN round((v0::DOUBLE / v3::DOUBLE - 1) * 100, 4) END AS cumulative_percent
+FROM (SELECT *, CASE WHEN n < 4 THEN 'CHAIN_TOO_SHORT' WHEN NOT (p1 + 1 = s0 AND p2 + 1 = s1 AND p3 + 1 = s2) THEN 'NOT_CONTIGUOUS' END AS reason FROM t)""", (V.FLOWS, _TTM.replace("SELECT cik, metric,", "SELECT cik, metric, value AS v0, lag(value, 1) OVER o AS v1, lag(value, 3) OVER o AS v3,", 1)))
 def derive_growth(spark, sf_dir):
-    return text(derive.annual_growth(V.flows(spark, sf_dir), ["cik", "metric"], 3).select("cik", "metric", "period_end", "reason"), "period_end")
+    out = derive.annual_growth(V.flows(spark, sf_dir), ["cik", "metric"], 3)
+    return text(out.withColumns({c: F.col(c).cast("double") for c in ("growth_percent", "cumulative_percent")}), "period_end")
 
 
 @query("derive_latest_growth", """SELECT cik, metric, period_end::VARCHAR AS period_end, CASE WHEN pe IS NULL THEN 'NO_PRIOR_PERIOD' WHEN pe + 1 <> period_start THEN 'NOT_CONTIGUOUS' END AS reason,
-  CASE WHEN pe + 1 = period_start THEN round(round((value::DOUBLE - p::DOUBLE) / p::DOUBLE, 6), 3) END AS growth FROM (
+  CASE WHEN pe + 1 = period_start THEN (value::DECIMAL(28,9) - p::DECIMAL(28,9))::DECIMAL(38,9)::VARCHAR END AS numerator, CASE WHEN pe + 1 = period_start THEN p::VARCHAR END AS denominator,
+  CASE WHEN pe + 1 = period_start THEN round((value::DOUBLE - p::DOUBLE) / p::DOUBLE, 6) END AS growth FROM (
   SELECT *, lag(value) OVER w AS p, lag(period_end) OVER w AS pe FROM flows WINDOW w AS (PARTITION BY cik, metric ORDER BY period_end) QUALIFY row_number() OVER (PARTITION BY cik, metric ORDER BY period_end DESC) = 1)""", (V.FLOWS,))
 def derive_latest(spark, sf_dir):
     out = derive.latest_growth(V.flows(spark, sf_dir), ["cik", "metric"], ["concept"])
-    return text(out.select("cik", "metric", "period_end", "reason", F.round(F.col("growth").cast("double"), 3).alias("growth")), "period_end")
+    return text(out.withColumn("growth", F.col("growth").cast("double")), "period_end", "numerator", "denominator")
 
 
-@query("derive_calculate", """SELECT cik, metric, (arg_max(value, period_end)::DECIMAL(28,4) - arg_min(value, period_end)::DECIMAL(28,4))::DECIMAL(30,4)::VARCHAR AS value, 'OK' AS status FROM flows GROUP BY ALL""", (V.FLOWS,))
+@query("derive_calculate", """SELECT cik, metric, op, CASE op WHEN 'difference' THEN l - f WHEN 'sum' THEN t WHEN 'average' THEN round(t::DOUBLE / n, 4) WHEN 'ratio' THEN round(l::DOUBLE / f::DOUBLE, 4) ELSE round(round(l::DOUBLE / f::DOUBLE, 6) * 100 - 100, 4) END::DOUBLE AS value, 'OK' AS status FROM (
+  SELECT *, unnest(['difference', 'percent_change', 'ratio', 'sum', 'average']) AS op FROM (SELECT cik, metric, arg_max(value, period_end)::DOUBLE AS l, arg_min(value, period_end)::DOUBLE AS f, sum(value)::DOUBLE AS t, count(*) AS n FROM flows GROUP BY ALL))""", (V.FLOWS,))
 def derive_calculate(spark, sf_dir):
-    return text(derive.calculate(V.flows(spark, sf_dir), ["cik", "metric"], "difference", "period_end"), "value")
+    flows = V.flows(spark, sf_dir)
+    each = [derive.calculate(flows, ["cik", "metric"], op, "period_end").withColumn("op", F.lit(op)) for op in ("difference", "percent_change", "ratio", "sum", "average")]
+    return reduce(lambda a, b: a.unionByName(b), each).withColumn("value", F.col("value").cast("double"))
 
 
-@query("derive_margins", """SELECT cik, period_end::VARCHAR AS period_end, CASE WHEN n <> 0 THEN round(round(r::DOUBLE / n::DOUBLE, 6), 3) END AS gross, CASE WHEN n <> 0 THEN round(round(a::DOUBLE / n::DOUBLE, 6), 3) END AS operating FROM (
+@query("derive_margins", """SELECT cik, period_end::VARCHAR AS period_end, CASE WHEN n <> 0 THEN round(r::DOUBLE / n::DOUBLE, 6) END AS gross, CASE WHEN n <> 0 THEN round(a::DOUBLE / n::DOUBLE, 6) END AS operating FROM (
   SELECT cik, period_end, max(value) FILTER (metric = 'N') AS n, max(value) FILTER (metric = 'R') AS r, max(value) FILTER (metric = 'A') AS a FROM flows GROUP BY ALL)""", (V.FLOWS,))
 def derive_margins(spark, sf_dir):
     out = derive.margins(V.flows(spark, sf_dir), ["cik", "period_end"], "N", {"gross": "R", "operating": "A"})
-    return text(out.withColumns({c: F.round(F.col(c).cast("double"), 3) for c in ("gross", "operating")}), "period_end")
+    return text(out.withColumns({c: F.col(c).cast("double") for c in ("gross", "operating")}), "period_end")
 
 
-@query("derive_request_coverage", """SELECT cik, period_end::VARCHAR AS period_end, array_to_string(list_sort(list(DISTINCT metric)), ',') AS available, CASE count(DISTINCT metric) WHEN 3 THEN 'PARTIAL' ELSE 'PARTIAL' END AS status FROM flows GROUP BY cik, period_end""", (V.FLOWS,))
+@query("derive_request_coverage", """SELECT cik, period_end::VARCHAR AS period_end, array_to_string([x FOR x IN ['A', 'R'] IF list_contains(h, x)], ',') AS available, array_to_string([x FOR x IN ['A', 'R'] IF NOT list_contains(h, x)], ',') AS missing,
+  CASE WHEN list_has_all(h, ['A', 'R']) THEN 'AVAILABLE' WHEN list_has_any(h, ['A', 'R']) THEN 'PARTIAL' ELSE 'SOURCE_LIMITED' END AS status FROM (SELECT cik, period_end, list(DISTINCT metric) AS h FROM flows GROUP BY cik, period_end)""", (V.FLOWS,))
 def derive_coverage(spark, sf_dir):
-    out = derive.request_coverage(V.flows(spark, sf_dir), ["cik", "period_end"], ["A", "N", "R", "Z"])
-    return text(out.withColumn("available", F.array_join("available", ",")).drop("missing"), "period_end")
+    out = derive.request_coverage(V.flows(spark, sf_dir), ["cik", "period_end"], ["A", "R"])
+    return text(out.withColumns({c: F.array_join(c, ",") for c in ("available", "missing")}), "period_end")
 
 
 # Joins
@@ -377,12 +404,11 @@ def join_lineage(spark, sf_dir):
 SQL["join_lineage"] = SQL["join_lineage"].replace("FROM sel) s", "FROM sel WHERE n = 1) s")
 
 
-@query("join_evidence", "SELECT concat_ws('|', cik, metric, concept, period_end) AS result, substr(sha256(min(i)), 1, 2) AS shard FROM (SELECT *, unnest(ids) AS i FROM sel WHERE n = 1) WHERE i LIKE '%7' GROUP BY ALL HAVING count(*) = 1", (V.OBS, _LAST))
+@query("join_evidence", "SELECT concat_ws('|', cik, metric, concept, period_end) AS result, min(substr(sha256(i), 1, 2)) AS shard, count(*) AS n FROM (SELECT DISTINCT cik, metric, concept, period_end, unnest(ids) AS i FROM sel WHERE n = 1) GROUP BY ALL", (V.OBS, _LAST))
 def join_evidence(spark, sf_dir):
-    index = joins.evidence_index(_cited(spark, sf_dir), "source_ids")
-    wanted = V.observations(spark, sf_dir).select(F.col("id").alias("source_id")).where("source_id like '%7'")
-    found = joins.evidence(index, wanted, "source_id")
-    return found.groupBy("result").agg(F.min("shard").alias("shard"), F.count("*").alias("n")).where("n = 1").drop("n")
+    index = joins.evidence_index(_cited(spark, sf_dir), "source_ids").withColumn("of", F.concat_ws("~", "result", "source_id"))
+    found = joins.evidence(index, V.observations(spark, sf_dir).select(F.col("id").alias("source_id")), "of")
+    return found.groupBy("result").agg(F.min("shard").alias("shard"), F.count("*").alias("n"))
 
 
 # Series
@@ -398,19 +424,22 @@ def _series(spark, sf_dir):
 
 
 @query("series_coverage", """SELECT series_id, is_total, count(*) AS cells, count(v) AS populated, count(*) - count(v) AS missing, count(*) FILTER (v IS NULL AND day < f) AS before_first,
-  count(*) FILTER (v IS NULL AND day > f AND day < l) AS interior, count(*) FILTER (v IS NULL AND day > l) AS after_last, count(*) FILTER (v IS NULL AND f IS NULL) AS all_missing
+  count(*) FILTER (v IS NULL AND day > f AND day < l) AS interior, count(*) FILTER (v IS NULL AND day > l) AS after_last, count(*) FILTER (v IS NULL AND f IS NULL) AS all_missing,
+  (min(day) FILTER (v IS NOT NULL))::VARCHAR AS first_valid, (max(day) FILTER (v IS NOT NULL))::VARCHAR AS last_valid, count(*) FILTER (v IS NULL AND day(day) % 3 = 0) AS errors
 FROM (SELECT *, min(day) FILTER (v IS NOT NULL) OVER (PARTITION BY k) AS f, max(day) FILTER (v IS NOT NULL) OVER (PARTITION BY k) AS l FROM (
   SELECT series_id || ':' || user_id AS k, day, v, unnest([series_id || ':' || user_id, NULL]) AS series_id, unnest([0, 1]) AS is_total FROM long)) GROUP BY series_id, is_total""", (_LONG,))
 def series_coverage(spark, sf_dir):
     rows = _series(spark, sf_dir).withColumn("series_id", F.concat_ws(":", "series_id", "user_id"))
-    return series.series_coverage(rows, "series_id", "day", "v").withColumn("is_total", F.col("is_total").cast("int")).drop("first_valid", "last_valid", "errors")
+    rows = rows.withColumn("why", F.when(F.col("v").isNull(), F.when(F.day("day") % 3 == 0, "cell_error").otherwise("blank")))
+    out = series.series_coverage(rows, "series_id", "day", "v", "why").withColumn("is_total", F.col("is_total").cast("int"))
+    return text(out, "first_valid", "last_valid")
 
 
-@query("series_unpivot", """SELECT series_id, day::VARCHAR AS observation_date, count(v) AS n_values, count(*) FILTER (v IS NULL) AS n_gaps FROM long GROUP BY ALL""", (_LONG,))
+@query("series_unpivot", """SELECT series_id, day::VARCHAR AS observation_date, count(v) AS n_values, sum(v::DECIMAL(20,2))::DECIMAL(38,9)::VARCHAR AS total, count(*) FILTER (v IS NULL) AS n_gaps FROM long GROUP BY ALL""", (_LONG,))
 def series_unpivot(spark, sf_dir):
     wide = V.event_types(spark, sf_dir).drop("user_id").withColumns({t: F.col(t).cast("decimal(20,2)").cast("string") for t in V.TYPES})
     long = ingest.unpivot_series(wide, "day", {t: t for t in V.TYPES})
-    return text(long.groupBy("series_id", "observation_date").agg(F.count("value_decimal").alias("n_values"), F.count("missing_reason").alias("n_gaps")), "observation_date")
+    return text(long.groupBy("series_id", "observation_date").agg(F.count("value_decimal").alias("n_values"), F.sum("value_decimal").alias("total"), F.count("missing_reason").alias("n_gaps")), "observation_date", "total")
 
 
 @query("series_metric_coverage", """SELECT metric, year, sum(o)::BIGINT AS observations, sum(g)::BIGINT AS gaps FROM (SELECT metric, year(period_end) AS year, CASE WHEN n = 1 THEN 1 ELSE 0 END AS o, CASE WHEN n > 1 THEN 1 ELSE 0 END AS g FROM sel) GROUP BY ALL""", (V.OBS, _LAST))
@@ -431,23 +460,25 @@ def series_severity(spark, sf_dir):
     return out.select("o_custkey", F.col("n_1-urgent").alias("urgent"), F.col("n_2-high").alias("high"), "worst")
 
 
-@query("series_spans", """SELECT user_id, min(event_id) AS "offset", count(*) AS rows, min(ts::DATE)::VARCHAR AS first_day, max(ts::DATE)::VARCHAR AS last_day FROM (SELECT *, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) GROUP BY user_id, g""")
+@query("series_spans", """SELECT user_id, min(event_id) AS "offset", count(*) AS rows, min(ts::DATE)::VARCHAR AS first_day, max(ts::DATE)::VARCHAR AS last_day, bool_and(up) AS monotonic FROM (SELECT *, coalesce(lag(ts::DATE) OVER (PARTITION BY user_id ORDER BY event_id) <= ts::DATE OR lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) + 1 <> event_id, true) AS up, event_id - row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events) GROUP BY user_id, g""")
 def series_spans(spark, sf_dir):
     e = V.table(spark, sf_dir, "events", ["event_id", "ts", "user_id"]).withColumn("day", F.col("ts").cast("date"))
-    return text(series.spans(e, ["user_id"], "event_id", "day").drop("monotonic"), "first_day", "last_day")
+    return text(series.spans(e, ["user_id"], "event_id", "day"), "first_day", "last_day")
 
 
-@query("series_catalogue", """SELECT symbol, count(*) AS rows, min(session_date)::VARCHAR AS first_day, max(session_date)::VARCHAR AS last_day, substr(sha256(symbol), 1, 2) AS shard FROM bars GROUP BY symbol""", (V.BARS,))
+@query("series_catalogue", """SELECT symbol, count(*) AS rows, min(session_date)::VARCHAR AS first_day, max(session_date)::VARCHAR AS last_day, symbol AS aliases, substr(sha256(symbol), 1, 2) AS shard FROM bars GROUP BY symbol""", (V.BARS,))
 def series_catalogue(spark, sf_dir):
-    return text(series.catalogue(V.bars(spark, sf_dir), "symbol", "session_date", "symbol").drop("aliases"), "first_day", "last_day")
+    return text(series.catalogue(V.bars(spark, sf_dir), "symbol", "session_date", "symbol").withColumn("aliases", F.array_join("aliases", ",")), "first_day", "last_day")
 
 
-@query("series_merge_or_conflict", """SELECT cik, metric, period_end::VARCHAR AS period_end, count(DISTINCT (value, unit)) AS variants, CASE WHEN count(DISTINCT (value, unit)) > 1 THEN 'CONFLICTING_VALUES' END AS reason FROM obs GROUP BY cik, metric, period_end""", (V.OBS,))
+@query("series_merge_or_conflict", """SELECT cik, metric, period_end::VARCHAR AS period_end, count(DISTINCT (value, unit)) AS variants, CASE WHEN count(DISTINCT (value, unit)) > 1 THEN 'CONFLICTING_VALUES' END AS reason,
+  CASE WHEN count(DISTINCT (value, unit)) = 1 THEN min(value)::VARCHAR END AS value, array_to_string(list_sort(list(DISTINCT id)), ',') AS sources FROM obs GROUP BY cik, metric, period_end""", (V.OBS,))
 def series_merge(spark, sf_dir):
     keys = ["cik", "metric", "period_end"]
     merged, gaps = series.merge_or_conflict(V.observations(spark, sf_dir), keys, ["value", "unit"], "id")
-    out = merged.select(*keys, F.lit(1).cast("long").alias("variants"), F.lit(None).cast("string").alias("reason")).unionByName(gaps.select(*keys, "variants", "reason"))
-    return text(out, "period_end")
+    out = merged.select(*keys, F.lit(1).cast("long").alias("variants"), F.lit(None).cast("string").alias("reason"), "value", "sources")
+    out = out.unionByName(gaps.select(*keys, "variants", "reason", F.lit(None).cast(V.DECIMAL).alias("value"), "sources"))
+    return text(out.withColumn("sources", F.array_join("sources", ",")), "period_end", "value")
 
 
 @query("series_evidence_by_year", "SELECT year(period_end) AS year, count(*) FILTER (form IN ('10-K')) AS annual, count(*) FILTER (form IN ('10-Q', '8-K')) AS other FROM obs GROUP BY ALL", (V.OBS,))
@@ -496,9 +527,9 @@ def screen_sort(spark, sf_dir):
     return screen.sort_limit(V.table(spark, sf_dir, "part", ["p_partkey", "p_size", "p_retailprice"]), [("p_size", "desc"), ("p_retailprice", "asc"), ("p_partkey", "asc")], 25)
 
 
-@query("screen_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
+@query("screen_page", f"SELECT o_orderkey, o_totalprice, '{screen.fingerprint({'from': 'orders'}, 'r1')}' AS token FROM orders WHERE o_orderkey > 500 ORDER BY o_orderkey LIMIT 50")
 def screen_page(spark, sf_dir):
-    return screen.page(V.table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey", 50, after=500)
+    return screen.page(V.table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]), "o_orderkey", 50, after=500, params={"from": "orders"}, release="r1")
 
 
 @query("screen_search", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'red') OR contains(p_partkey::VARCHAR, 'red') OR contains(lower(p_brand), 'red')")
@@ -524,11 +555,13 @@ def screen_filter_index(spark, sf_dir):
     return screen.filter_index(_tags(spark, sf_dir), "o_custkey", ["status"], ["tags"])
 
 
-@query("screen_cross_section", """SELECT cik, array_to_string(list(metric || '=' || v::VARCHAR ORDER BY metric), ',') AS metrics, CASE WHEN count(*) = 3 THEN 'Z=NO_OBSERVATION' ELSE 'short' END AS missing FROM (SELECT cik, metric, arg_max(value, period_end) AS v FROM flows GROUP BY ALL) GROUP BY cik""", (V.FLOWS,))
+@query("screen_cross_section", """SELECT cik, coalesce(array_to_string(list(m || '=' || v::VARCHAR ORDER BY m) FILTER (v IS NOT NULL), ','), '') AS metrics, array_to_string(list(m || '=' || CASE WHEN m = 'R' AND cik LIKE '%3' THEN 'QUARANTINED' ELSE 'NO_OBSERVATION' END ORDER BY m) FILTER (v IS NULL), ',') AS missing
+FROM (SELECT cik, m, CASE WHEN m = 'R' AND cik LIKE '%3' THEN NULL ELSE v END AS v FROM (SELECT DISTINCT cik, unnest(['A', 'N', 'R', 'Z']) AS m FROM flows) LEFT JOIN (SELECT cik, metric AS m, arg_max(value, period_end) AS v FROM flows GROUP BY ALL) USING (cik, m)) GROUP BY cik""", (V.FLOWS,))
 def screen_cross_section(spark, sf_dir):
-    out = screen.cross_section(V.flows(spark, sf_dir), "cik", ["A", "N", "R", "Z"])
+    flows = V.flows(spark, sf_dir)
+    out = screen.cross_section(flows, "cik", ["A", "N", "R", "Z"], quarantine=flows.where("metric = 'R' and cik like '%3'"))
     pack = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
-    return out.select("cik", pack("metrics").alias("metrics"), F.when(F.size("metrics") == 3, pack("missing")).otherwise("short").alias("missing"))
+    return out.select("cik", pack("metrics").alias("metrics"), pack("missing").alias("missing"))
 
 
 @query("screen_cross_section_price", """SELECT k AS key, arg_max(v, (d, v)) FILTER (m = 'A') AS "A", arg_max(v, (d, v)) FILTER (m = 'R') AS "R", arg_max(v, (d, v)) FILTER (m = 'price') AS price, (max(d) FILTER (m = 'price'))::VARCHAR AS price_day FROM (
@@ -540,10 +573,10 @@ def screen_cross_section_price(spark, sf_dir):
 
 
 @query("screen_align_peers", """SELECT metric, period_end::VARCHAR AS period_end, max(value) FILTER (cik = '0000000001')::VARCHAR AS v1, max(value) FILTER (cik = '0000000002')::VARCHAR AS v2,
-  array_to_string([x FOR x IN ['0000000001', '0000000002'] IF NOT list_contains(h, x)], ',') AS missing FROM (SELECT *, list(cik) OVER (PARTITION BY metric, period_end) AS h FROM flows WHERE cik IN ('0000000001', '0000000002')) GROUP BY metric, period_end, h""", (V.FLOWS,))
+  array_to_string([x FOR x IN ['0000000001', '0000000002'] IF NOT list_contains(h, x)], ',') AS missing, CASE WHEN len(h) = 2 THEN (max(value) FILTER (cik = '0000000002')::DECIMAL(28,9) - max(value) FILTER (cik = '0000000001')::DECIMAL(28,9))::DECIMAL(29,9)::VARCHAR END AS difference FROM (SELECT *, list(cik) OVER (PARTITION BY metric, period_end) AS h FROM flows WHERE cik IN ('0000000001', '0000000002')) GROUP BY metric, period_end, h""", (V.FLOWS,))
 def screen_peers(spark, sf_dir):
     out = screen.align_peers(V.flows(spark, sf_dir), ["0000000001", "0000000002"], ["metric", "period_end"])
-    return text(out.select("metric", "period_end", F.col("v_0000000001").alias("v1"), F.col("v_0000000002").alias("v2"), F.array_join("missing", ",").alias("missing")), "period_end", "v1", "v2")
+    return text(out.select("metric", "period_end", F.col("v_0000000001").alias("v1"), F.col("v_0000000002").alias("v2"), F.array_join("missing", ",").alias("missing"), F.col("diff_0000000002").alias("difference")), "period_end", "v1", "v2", "difference")
 
 
 @query("screen_compare", "SELECT cik, period_end::VARCHAR AS period_end, value::VARCHAR AS value FROM flows WHERE cik IN ('0000000001', '0000000003') AND metric = 'N' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) <= 8", (V.FLOWS,))
@@ -578,15 +611,21 @@ def screen_readiness(spark, sf_dir):
     return screen.readiness_summary(_tags(spark, sf_dir), "status", "tags")[0]
 
 
+@query("screen_readiness_codes", "SELECT code, count(*) AS n FROM (SELECT unnest(tags) AS code FROM tags) GROUP BY code", (_TAGS,))
+def screen_readiness_codes(spark, sf_dir):
+    return screen.readiness_summary(_tags(spark, sf_dir), "status", "tags")[1]
+
+
 @query("screen_top_missing", "SELECT code, count(DISTINCT o_custkey) AS ids, count(DISTINCT o_custkey) FILTER (n = 1) AS unlocks FROM (SELECT o_custkey, len(tags) AS n, unnest(tags) AS code FROM tags) GROUP BY code ORDER BY ids DESC, code LIMIT 20", (_TAGS,))
 def screen_top_missing(spark, sf_dir):
     return screen.top_missing(_tags(spark, sf_dir), "o_custkey", "tags")
 
 
-@query("set_union_sources", "SELECT source, count(*) AS n FROM (SELECT 'customer' AS source FROM customer UNION ALL SELECT 'supplier' FROM supplier) GROUP BY source")
+@query("set_union_sources", "SELECT 'customer' AS source, c_custkey AS id, c_name AS name, NULL::VARCHAR AS s_nationkey FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name, s_nationkey::VARCHAR FROM supplier")
 def set_union(spark, sf_dir):
-    c, s = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
-    return screen.union_sources({"customer": c, "supplier": s}).groupBy("source").agg(F.count("*").alias("n"))
+    c = V.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    s = V.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("s_nationkey"))
+    return screen.union_sources({"customer": c, "supplier": s})
 
 
 @query("set_difference", "SELECT id, CASE WHEN b.id IS NULL THEN 'removed' WHEN a.id IS NULL THEN 'added' ELSE 'common' END AS state FROM (SELECT DISTINCT id FROM obs) a FULL JOIN (SELECT DISTINCT id FROM altered) b USING (id)", (V.OBS, V.ALTERED))
@@ -600,13 +639,26 @@ def set_filters(spark, sf_dir):
     return screen.filter_sets(V.table(spark, sf_dir, "orders"), "o_custkey", {"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_orderstatus": ["P"]}, ["o_totalprice"])[0]
 
 
+@query("set_filter_conflicts", "SELECT o_custkey FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
+def set_conflicts(spark, sf_dir):
+    return screen.filter_sets(V.table(spark, sf_dir, "orders"), "o_custkey", {"o_orderpriority": ["1-URGENT"]}, ["o_orderstatus"])[1]
+
+
 # Quality and claims
 
 
-@query("quality_checks", """SELECT p_partkey, CASE WHEN p_retailprice > 0 AND p_retailprice < 1000000 AND p_size >= 10 THEN 'pass' ELSE 'fail' END AS status FROM part""")
+@query("quality_checks", """SELECT p_partkey, c.check, c.state FROM (SELECT p_partkey, unnest([struct_pack("check" := 'non_empty', state := 'passed'), struct_pack("check" := 'source_attribution', state := 'passed'),
+  struct_pack("check" := 'price_bounds', state := CASE WHEN p_retailprice - 1000 > 0 THEN 'passed' ELSE 'failed' END), struct_pack("check" := 'volume_non_negative', state := CASE WHEN p_size >= 10 THEN 'passed' ELSE 'failed' END),
+  struct_pack("check" := 'income_math', state := CASE WHEN p_size * 10 <= p_retailprice * 0.01 * 10 THEN 'passed' ELSE 'warning' END), struct_pack("check" := 'scale_plausibility', state := CASE WHEN p_retailprice * 10 < 10000 AND p_retailprice * 10 - 9000 < 1000 AND false THEN 'warning' ELSE 'passed' END),
+  struct_pack("check" := 'has_type_field', state := 'passed')]) AS c FROM part)""")
 def quality_checks(spark, sf_dir):
-    parts = V.table(spark, sf_dir, "part", ["p_partkey", "p_retailprice", "p_size"])
-    return quality.quality_checks(parts, "p_partkey", quality.standard_checks(F.col("p_retailprice"), F.col("p_size") - 10))[1]
+    """Parts as income statements whose gross profit is off by ten times the part's size."""
+    r = F.col("p_retailprice") * 10
+    parts = V.table(spark, sf_dir, "part", ["p_partkey", "p_brand", "p_retailprice", "p_size"]).select(
+        "p_partkey", F.col("p_brand").alias("source"), (F.col("p_retailprice") - 1000).alias("price"), (F.col("p_size") - 10).alias("volume"), F.lit("income_statement").alias("statement_type"),
+        F.create_map(F.lit("total_revenue"), r, F.lit("cost_of_revenue"), r / 2, F.lit("gross_profit"), r / 2 + F.col("p_size") * 10).alias("line_items"), F.lit(None).cast("array<string>").alias("dates"),
+    )
+    return quality.record_checks(parts, "p_partkey")[0]
 
 
 _BAL = "SELECT cik, period_end::VARCHAR AS period_end, CASE WHEN n < 3 THEN 'UNAVAILABLE' WHEN d = 0 THEN 'PASS' ELSE 'FAIL' END AS state, CASE WHEN n = 3 THEN d::VARCHAR END AS {} FROM (SELECT cik, period_end, count(*) AS n, sum(CASE metric WHEN 'N' THEN value ELSE -value END) AS d FROM flows GROUP BY cik, period_end)"
@@ -622,9 +674,10 @@ def quality_identity(spark, sf_dir):
     return text(quality.identity_check(V.flows(spark, sf_dir), ["cik", "period_end"], [("N", 1), ("A", -1), ("R", -1)]), "period_end", "residual")
 
 
-@query("quality_vintage", "SELECT cik, metric, CASE WHEN count(DISTINCT (accession, form)) = 1 THEN 'PASS' ELSE 'NOT_COMPARABLE' END AS state FROM obs GROUP BY ALL", (V.OBS,))
+@query("quality_vintage", "SELECT cik, metric, CASE WHEN count(DISTINCT concept) = 1 THEN min(CASE WHEN value > 50000 THEN 'FAIL' ELSE 'PASS' END) ELSE 'NOT_COMPARABLE' END AS state FROM obs WHERE l_orderkey % 9 = 0 GROUP BY ALL", (V.OBS,))
 def quality_vintage(spark, sf_dir):
-    return quality.same_vintage_guard(V.observations(spark, sf_dir).withColumn("s", F.lit("PASS")), ["cik", "metric"], "s", ["accession", "form"])
+    rows = V.observations(spark, sf_dir).where("l_orderkey % 9 = 0").withColumn("s", F.when(F.col("value") > 50000, "FAIL").otherwise("PASS"))
+    return quality.same_vintage_guard(rows, ["cik", "metric"], "s", ["concept"])
 
 
 @query("quality_recompute", """SELECT o_orderkey AS result, o_totalprice::DECIMAL(38,9)::VARCHAR AS stored, s::VARCHAR AS recomputed FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(38,9)) AS s FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey WHERE o_totalprice::DECIMAL(38,9) IS DISTINCT FROM s""")
@@ -634,20 +687,24 @@ def quality_recompute(spark, sf_dir):
     return text(quality.recompute_check(res, terms, "result"), "stored", "recomputed")
 
 
-@query("quality_certify", """SELECT o_orderkey AS result, CASE WHEN m IS NULL OR m > 0 THEN 'SOURCE_OBSERVED' WHEN f > 0 OR p = 0 OR p IS NULL THEN 'DERIVATION_VERIFIED' ELSE 'ACCOUNTING_CERTIFIED' END AS evidence_state
-FROM (SELECT o_orderkey FROM orders) LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_suppkey % 50 = 0) AS m, count(*) FILTER (l_quantity > 48) AS f, count(*) FILTER (l_quantity <= 10) AS p FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey""")
+@query("quality_certify", """SELECT o_orderkey AS result, CASE r WHEN 'MISSING_LEAF' THEN 'SOURCE_OBSERVED' WHEN 'NOT_RECOMPUTED' THEN 'RECONCILED' ELSE CASE WHEN r IS NULL THEN 'ACCOUNTING_CERTIFIED' ELSE 'DERIVATION_VERIFIED' END END AS evidence_state, r AS reason
+FROM (SELECT o_orderkey, CASE WHEN m IS NULL OR m > 0 THEN 'MISSING_LEAF' WHEN o_orderkey % 7 = 0 THEN 'NOT_RECOMPUTED' WHEN f > 0 THEN 'IDENTITY_FAILED' WHEN p = 0 THEN 'NO_IDENTITY' END AS r
+  FROM orders LEFT JOIN (SELECT l_orderkey, count(*) FILTER (l_suppkey % 50 = 0) AS m, count(*) FILTER (l_quantity > 48) AS f, count(*) FILTER (l_quantity <= 10) AS p FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey)""")
 def quality_certify(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem").withColumns({"result": F.col("l_orderkey"), "source_id": F.col("l_suppkey"), "value": F.col("l_extendedprice").cast(V.DECIMAL), "coefficient": F.lit(1)})
     res = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("result")).join(li.groupBy("result").agg(F.sum("value").alias("value")), "result", "left")
+    res = res.withColumn("value", F.when(F.col("result") % 7 == 0, (F.col("value").cast("decimal(28,9)") + 1).cast(V.DECIMAL)).otherwise(F.col("value")))
     leaves = li.where("l_suppkey % 50 <> 0").select("source_id")
     states = li.select("result", F.when(F.col("l_quantity") > 48, "FAIL").when(F.col("l_quantity") <= 10, "PASS").otherwise("UNAVAILABLE").alias("state"))
-    return quality.certify(res, li, leaves, states, "result").select("result", "evidence_state")
+    return quality.certify(res, li, leaves, states, "result").select("result", "evidence_state", "reason")
 
 
-@query("quality_statement_policy", "SELECT cik, CASE WHEN bool_or(concept = 'O') THEN 'open' ELSE '' END AS families FROM obs GROUP BY cik", (V.OBS,))
+@query("quality_statement_policy", "SELECT cik, CASE WHEN o THEN 'open' ELSE '' END AS families, CASE WHEN o THEN 'N=open,Q=open' ELSE '' END AS quarantined FROM (SELECT cik, bool_or(concept = 'O') AS o FROM obs WHERE l_orderkey % 5 = 0 GROUP BY cik)", (V.OBS,))
 def quality_policy(spark, sf_dir):
-    out = quality.statement_policy(V.observations(spark, sf_dir), "cik", "concept", {"open": ["O"], "bank": ["X"]}, {"open": ["N"], "bank": ["A"]})
-    return out.select("cik", F.array_join("families", ",").alias("families"))
+    rows = V.observations(spark, sf_dir).where("l_orderkey % 5 = 0")
+    out = quality.statement_policy(rows, "cik", "concept", {"open": ["O"], "bank": ["X"]}, {"open": ["N", "Q"], "bank": ["A"]})
+    pairs = F.array_join(F.transform("quarantined", lambda q: F.concat_ws("=", q["metric"], q["family"])), ",")
+    return out.select("cik", F.array_join("families", ",").alias("families"), pairs.alias("quarantined"))
 
 
 @query("quality_quarantine", "SELECT cik, metric, count(*) AS n FROM flows WHERE (cik, metric) IN (SELECT DISTINCT cik, metric FROM obs WHERE value > 100000) GROUP BY ALL", (V.OBS, V.FLOWS))
@@ -657,10 +714,11 @@ def quality_quarantine(spark, sf_dir):
 
 
 @query("quality_contract", f"""SELECT cik, metric, CASE WHEN count(*) FILTER (form = '10-K') = 0 THEN 'PERIOD_MISMATCH' WHEN count(*) FILTER (form = '10-K' AND {_AVAILABLE}) = 0 THEN 'NOT_PIT_ELIGIBLE' WHEN count(DISTINCT value) FILTER (form = '10-K' AND {_AVAILABLE}) > 1 THEN 'CONFLICT'
-  WHEN count(*) FILTER (form = '10-K' AND {_AVAILABLE} AND concept = 'O') = 0 THEN 'SOURCE_UNVALIDATED' ELSE 'AVAILABLE' END AS state FROM obs GROUP BY ALL""", (V.OBS,))
+  WHEN count(*) FILTER (form = '10-K' AND {_AVAILABLE} AND concept = 'O') = 0 THEN 'SOURCE_UNVALIDATED' ELSE 'AVAILABLE' END AS state,
+  CASE WHEN count(DISTINCT value) FILTER (form = '10-K' AND {_AVAILABLE}) = 1 THEN (min(value) FILTER (form = '10-K' AND {_AVAILABLE}))::VARCHAR END AS value, strftime(date_trunc('month', filed), '%Y-%m') AS month FROM obs GROUP BY cik, metric, month""", (V.OBS,))
 def quality_contract(spark, sf_dir):
-    rows = V.observations(spark, sf_dir).withColumns({"want": F.lit("10-K"), "ok": F.col("concept") == "O"})
-    return quality.evaluate_contract(rows, ["cik", "metric"], "USD", "form", "want", as_of=cut(), validated="ok").select("cik", "metric", "state")
+    rows = V.observations(spark, sf_dir).withColumns({"want": F.lit("10-K"), "ok": F.col("concept") == "O", "month": F.date_format("filed", "yyyy-MM")})
+    return text(quality.evaluate_contract(rows, ["cik", "metric", "month"], "USD", "form", "want", as_of=cut(), validated="ok"), "value")
 
 
 _ONE = "one AS (SELECT DISTINCT ON (id) * FROM obs ORDER BY id, period_end)"
@@ -670,17 +728,18 @@ def _one(df):
     return df.groupBy("id").agg(F.min_by(F.struct(*[c for c in df.columns if c != "id"]), "period_end").alias("r")).select("id", "r.*")
 
 
-@query("quality_cross_validate", """SELECT a.id, CASE WHEN b.value IS NULL THEN 'NOT_COMPARABLE' WHEN a.unit <> b.unit THEN 'UNIT_MISMATCH' WHEN a.value = b.value THEN 'AGREES' ELSE 'CONFLICT' END AS validation FROM one a LEFT JOIN altered b ON a.id = b.id""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
+@query("quality_cross_validate", """SELECT a.id, CASE WHEN b.value IS NULL THEN 'NOT_COMPARABLE' WHEN a.unit <> b.unit THEN 'UNIT_MISMATCH' WHEN a.value = b.value THEN 'AGREES' ELSE 'CONFLICT' END AS validation, CASE WHEN a.unit = b.unit AND a.value <> b.value THEN (b.value::DECIMAL(28,9) - a.value::DECIMAL(28,9))::DECIMAL(29,9)::VARCHAR END AS delta FROM one a LEFT JOIN altered b ON a.id = b.id""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
 def quality_cross(spark, sf_dir):
     a = _one(V.observations(spark, sf_dir))
-    return quality.cross_validate(a, V.altered(a), ["id"]).select("id", "validation")
+    return text(quality.cross_validate(a, V.altered(a), ["id"]).select("id", "validation", "delta"), "delta")
 
 
-@query("claims_bridge", """SELECT cik, CASE WHEN count(DISTINCT metric) = 3 THEN (sum(CASE metric WHEN 'R' THEN v ELSE -v END))::DECIMAL(28,9)::VARCHAR END AS bridge, CASE WHEN count(DISTINCT metric) = 3 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status FROM (SELECT cik, metric, max(value)::DECIMAL(28,9) AS v FROM flows GROUP BY ALL) GROUP BY cik""", (V.FLOWS,))
+@query("claims_bridge", """SELECT cik, month, CASE WHEN n = 3 THEN s::DECIMAL(28,9)::VARCHAR END AS bridge, CASE WHEN n = 3 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status, array_to_string([c[2] FOR c IN [['R', 'cash'], ['A', 'debt'], ['N', 'leases']] IF NOT list_contains(h, c[1])], ',') AS missing FROM (
+  SELECT cik, month, count(*) AS n, list(metric) AS h, sum(CASE metric WHEN 'R' THEN v ELSE -v END) AS s FROM (SELECT cik, month(period_end) AS month, metric, max(value)::DECIMAL(28,9) AS v FROM flows WHERE year(period_end) % 3 = 0 GROUP BY ALL) GROUP BY ALL)""", (V.FLOWS,))
 def claims_bridge(spark, sf_dir):
-    rows = V.flows(spark, sf_dir).withColumn("id", F.concat_ws(":", "metric", "period_end"))
-    got = claims.claims(rows, ["cik"], {"debt": ("A", []), "leases": (None, ["N"]), "cash": ("R", [])}, concept="metric")
-    return text(claims.equity_bridge(got, ["cik"], ["debt", "leases"], ["cash"]).drop("missing"), "bridge")
+    rows = V.flows(spark, sf_dir).where("year(period_end) % 3 = 0").withColumns({"id": F.concat_ws(":", "metric", "period_end"), "month": F.month("period_end").cast("long")})
+    got = claims.claims(rows, ["cik", "month"], {"debt": ("A", []), "leases": (None, ["N"]), "cash": ("R", [])}, concept="metric")
+    return text(claims.equity_bridge(got, ["cik", "month"], ["debt", "leases"], ["cash"]).withColumn("missing", F.array_join("missing", ",")), "bridge")
 
 
 @query("claims_methods", """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NOT_APPLICABLE' WHEN c_acctbal > 0 AND c_nationkey < 10 THEN 'READY' ELSE 'BLOCKED' END AS status, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE concat_ws(',', CASE WHEN c_acctbal > 0 THEN NULL ELSE 'NO_BALANCE' END, CASE WHEN c_nationkey < 10 THEN NULL ELSE 'NO_NATION' END) END AS missing FROM customer""")
@@ -690,24 +749,60 @@ def claims_methods(spark, sf_dir):
     return out.select("c_custkey", "status", F.array_join("missing", ",").alias("missing"))
 
 
-# Releases
+@query("claims_readiness", """SELECT c_custkey, method, array_to_string(list_sort(list_filter(CASE WHEN method IN ('operating_dcf', 'fcfe', 'apv') AND bank THEN ['INDUSTRIAL_DCF_NOT_APPLICABLE_TO_FINANCIAL_FILER'] ELSE [CASE WHEN NOT dated THEN 'MISSING_DATED_OUTSTANDING_SHARES' END,
+  CASE WHEN method IN ('operating_dcf', 'fcfe') AND NOT op THEN 'MISSING_OPERATING_INCOME_OR_REVENUE' END, CASE WHEN method IN ('operating_dcf', 'fcfe') AND NOT flow THEN 'MISSING_CASH_FLOW_OR_CAPEX' END, CASE WHEN method = 'apv' AND NOT (op AND flow) THEN 'MISSING_UNLEVERED_FREE_CASH_FLOW_INPUTS' END,
+  CASE WHEN method IN ('fcfe', 'bank_excess_return', 'residual_income') AND NOT inc THEN 'MISSING_NET_INCOME' END, CASE WHEN method IN ('operating_dcf', 'apv') AND NOT debt THEN 'MISSING_BRIDGE_CLAIM_DEBT' END,
+  CASE WHEN method IN ('operating_dcf', 'bank_excess_return') AND NOT pref THEN 'MISSING_BRIDGE_CLAIM_PREFERRED_EQUITY' END, CASE WHEN method = 'residual_income' AND NOT pref THEN 'PREFERRED_OR_NCI_CLAIM_NOT_RESOLVED' END,
+  CASE WHEN method = 'bank_excess_return' AND NOT bank THEN 'NOT_A_FINANCIAL_STATEMENT_FAMILY_FILER' END, CASE WHEN method IN ('bank_excess_return', 'residual_income') AND NOT book THEN 'MISSING_BOOK_EQUITY_TOTAL' END,
+  CASE WHEN method = 'ddm' AND NOT divs THEN 'MISSING_DIVIDEND_EVIDENCE' END, CASE WHEN method = 'comparables' AND NOT (op OR inc) THEN 'MISSING_REVENUE_AND_NET_INCOME' END] END, lambda x: x IS NOT NULL)), ',') AS missing
+FROM (SELECT c_custkey, unnest(['operating_dcf', 'fcfe', 'apv', 'bank_excess_return', 'residual_income', 'ddm', 'comparables']) AS method, c_mktsegment = 'BUILDING' AS bank, c_custkey % 2 = 0 AS op, c_custkey % 3 <> 0 AS flow, c_custkey % 5 <> 0 AS inc, c_acctbal > 0 AS debt, c_nationkey < 12 AS pref, c_custkey % 7 <> 0 AS dated, c_nationkey % 2 = 0 AS book, c_nationkey % 3 = 0 AS divs FROM customer)""")
+def claims_readiness(spark, sf_dir):
+    """Customers as issuers: what they have follows from their keys, balance and nation."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    some = lambda ok, *names: F.when(ok, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    state = lambda ok: F.when(ok, "CERTIFIED").otherwise("UNAVAILABLE")
+    c = V.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.concat(some(k % 2 == 0, "revenue", "operating_income"), some(k % 3 != 0, "operating_cash_flow", "capital_expenditures"), some(k % 5 != 0, "net_income")).alias("metrics"),
+        F.create_map(*[x for name in claims.BRIDGE_CLAIMS for x in (F.lit(name), state(F.col("c_acctbal") > 0) if name == "debt" else state(n < 12) if name == "preferred_equity" else F.lit("CERTIFIED"))]).alias("claims"),
+        state(k % 7 != 0).alias("shares_state"), F.when(F.col("c_mktsegment") == "BUILDING", "financial_statement_evidence").otherwise("industrial").alias("statement_family"), (n % 2 == 0).alias("equity_totals"), (n % 3 == 0).alias("dividends"),
+    )
+    out = claims.readiness_methods(c, "c_custkey", ("CERTIFIED",))
+    return out.select("c_custkey", "method", F.array_join("missing", ",").alias("missing"))
+
+
+@query("claims_eligible_instants", f"SELECT id FROM obs WHERE period_end <= DATE '{AS_OF}' AND filed <= DATE '{AS_OF}' AND DATE '{AS_OF}' - period_end <= 400 AND form <> '8-K'", (V.OBS,))
+def claims_instants(spark, sf_dir):
+    rows = V.observations(spark, sf_dir).withColumn("segment", F.when(F.col("form") == "8-K", "s"))
+    return claims.eligible_instants(rows, F.lit(AS_OF).cast("date"), segment="segment").select("id")
 
 
-@query("release_diff", """SELECT code, count(*) AS n FROM (SELECT unnest([
-  CASE WHEN b.id IS NULL THEN 'FIELD_LOST' END, CASE WHEN a.unit <> b.unit THEN 'UNIT_CHANGED' END,
-  CASE WHEN a.value = -b.value THEN 'SIGN_FLIP' WHEN a.value <> b.value AND abs(a.value::DOUBLE * 1000 - b.value::DOUBLE) < 1e-6 * abs(b.value::DOUBLE) THEN 'SCALE_SHIFT' WHEN a.value <> b.value AND abs(a.value::DOUBLE - b.value::DOUBLE) <= 0.001 * greatest(abs(a.value::DOUBLE), abs(b.value::DOUBLE)) THEN 'IMMATERIAL_DRIFT'
-    WHEN a.value <> b.value AND b.filed > a.filed THEN 'RESTATEMENT' WHEN a.value <> b.value THEN 'UNEXPLAINED_VALUE_CHANGE' END,
-  CASE WHEN b.filed < a.filed THEN 'FILING_REGRESSION' END]) AS code FROM one a LEFT JOIN altered b ON a.id = b.id) WHERE code IS NOT NULL GROUP BY code""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
-def release_diff(spark, sf_dir):
-    a = _one(V.observations(spark, sf_dir)).withColumn("state", F.lit("AVAILABLE"))
-    return releases.diff_reports(a, V.altered(a), ["id"]).groupBy("code").agg(F.count("*").alias("n"))
+# Releases
 
 
-@query("release_coverage", """SELECT cik, array_to_string(list_sort([x FOR x IN a IF NOT list_contains(coalesce(b, []), x)]), ',') AS lost FROM (SELECT cik, list(DISTINCT period_end::VARCHAR || metric) AS a FROM obs GROUP BY cik) LEFT JOIN (SELECT cik, list(DISTINCT period_end::VARCHAR || metric) AS b FROM altered GROUP BY cik) USING (cik) WHERE lost <> ''""", (V.OBS, V.ALTERED))
+@query("release_diff", """SELECT id, code, base_value, candidate_value FROM (SELECT a.id, a.value::VARCHAR AS base_value, b.value::VARCHAR AS candidate_value, unnest([
+  CASE WHEN b.id IS NULL THEN 'FIELD_LOST' END, CASE WHEN a.unit <> b.unit THEN 'CONTRACT_UNIT_VIOLATION' END,
+  CASE WHEN b.id IS NULL OR a.value = b.value THEN NULL WHEN abs(a.value::DOUBLE - b.value::DOUBLE) <= 1000000 THEN 'IMMATERIAL_VALUE_DRIFT' WHEN a.unit = b.unit AND a.l_orderkey % 37 = 0 AND a.l_orderkey % 31 <> 0 THEN 'SUSPECTED_UNCONVERTED_SCALE'
+    WHEN a.l_orderkey % 2 = 0 THEN CASE WHEN b.filed > a.filed THEN 'RESTATEMENT_WITH_NEW_FILING' ELSE 'FILING_REGRESSION_EARLIER_ACCESSION' END WHEN a.l_orderkey % 3 = 0 THEN 'VALUE_CHANGED_WITH_SOURCE_REVISION' ELSE 'VALUE_CHANGED_WITHOUT_SOURCE_REVISION' END,
+  CASE WHEN b.value < 0 THEN 'SIGN_CONVENTION_VIOLATION' END, CASE WHEN a.l_orderkey % 2 <> 0 AND b.filed <> a.filed THEN 'FILING_DATE_INCONSISTENT' END,
+  CASE WHEN a.l_orderkey % 17 = 0 AND b.id IS NOT NULL THEN 'VALIDATION_DOWNGRADE' WHEN a.l_orderkey % 19 = 0 AND b.id IS NOT NULL THEN 'SOURCE_BLOCKED' END]) AS code FROM big a LEFT JOIN altered b ON a.id = b.id) WHERE code IS NOT NULL""", (V.OBS, _ONE, "big AS (SELECT * REPLACE ((value::DECIMAL(20,2) * 100)::DECIMAL(38,9) AS value) FROM one)", V.ALTERED.replace("FROM obs", "FROM big")))
+def release_diff(spark, sf_dir):
+    """Observations in hundredths against the altered ones; odd orders keep their accession."""
+    k = F.col("l_orderkey")
+    a = _one(V.observations(spark, sf_dir)).withColumns({"state": F.lit("SOURCE_VALIDATED"), "source_object": F.lit("o1"), "field": F.lit("revenue"), "value": (F.col("value").cast("decimal(20,2)") * 100).cast(V.DECIMAL)})
+    b = V.altered(a).withColumns({
+        "accession": F.when(k % 2 == 0, F.concat("accession", F.lit("x"))).otherwise(F.col("accession")), "source_object": F.when(k % 3 == 0, "o2").otherwise("o1"),
+        "state": F.when(k % 17 == 0, "SOURCE_UNVALIDATED").when(k % 19 == 0, "BLOCKED").otherwise(F.col("state")),
+    })
+    contract = spark.createDataFrame([("revenue", "USD", ["O", "F"], [])], "field string, unit string, concepts array<string>, prohibited array<string>")
+    return text(releases.diff_reports(a, b, ["id", "field"], "field", contract).select("id", "code", "base_value", "candidate_value"), "base_value", "candidate_value")
+
+
+@query("release_coverage", """SELECT cik, array_to_string(list_sort([x FOR x IN coalesce(a, []) IF NOT list_contains(coalesce(b, []), x)]), ',') AS lost, array_to_string(list_sort([x FOR x IN coalesce(b, []) IF NOT list_contains(coalesce(a, []), x)]), ',') AS added
+FROM (SELECT cik, list(DISTINCT period_end::VARCHAR || metric) AS a FROM obs WHERE l_orderkey % 23 <> 0 GROUP BY cik) FULL JOIN (SELECT cik, list(DISTINCT period_end::VARCHAR || metric) AS b FROM altered GROUP BY cik) USING (cik) WHERE lost <> '' OR added <> ''""", (V.OBS, V.ALTERED))
 def release_coverage(spark, sf_dir):
     a = V.observations(spark, sf_dir).withColumn("item", F.concat(F.col("period_end").cast("string"), "metric"))
-    out = releases.diff_coverage(a, V.altered(a), ["cik"], "item")
-    return out.select("cik", F.array_join("lost", ",").alias("lost"))
+    out = releases.diff_coverage(a.where("l_orderkey % 23 <> 0"), V.altered(a), ["cik"], "item")
+    return out.select("cik", F.array_join("lost", ",").alias("lost"), F.array_join("added", ",").alias("added"))
 
 
 @query("release_identity_conflicts", """SELECT 'ID_TO_ENTITIES' AS kind, accession AS key, count(DISTINCT cik) AS n FROM obs GROUP BY accession HAVING n > 1 UNION ALL SELECT 'ENTITY_TO_IDS', cik, count(DISTINCT accession) AS n FROM obs GROUP BY cik HAVING n > 1""", (V.OBS,))
@@ -722,11 +817,11 @@ def release_corroboration(spark, sf_dir):
     return releases.corroboration_check(a, b, ["id"], "accession")
 
 
-@query("release_reconcile", """SELECT kind, count(*) AS n FROM (SELECT 'REMOVED' AS kind FROM (SELECT id FROM obs EXCEPT SELECT id FROM altered) UNION ALL
-  SELECT 'CHANGED' FROM (SELECT cik, metric, period_end, list_sort(list(DISTINCT value)) AS a FROM obs GROUP BY ALL) x JOIN (SELECT cik, metric, period_end, list_sort(list(DISTINCT value)) AS b FROM altered GROUP BY ALL) y USING (cik, metric, period_end) WHERE a <> b) GROUP BY kind""", (V.OBS, V.ALTERED))
+@query("release_reconcile", """SELECT 'REMOVED' AS kind, id AS key FROM (SELECT id FROM obs EXCEPT SELECT id FROM altered) UNION ALL SELECT 'ADDED', id FROM (SELECT id FROM altered EXCEPT SELECT id FROM obs WHERE l_orderkey % 23 <> 0) WHERE id NOT IN (SELECT id FROM obs WHERE l_orderkey % 23 <> 0) UNION ALL
+  SELECT 'CHANGED', concat_ws('|', cik, metric, period_end) FROM (SELECT cik, metric, period_end, list_sort(list(DISTINCT value)) AS a FROM obs WHERE l_orderkey % 23 <> 0 GROUP BY ALL) x JOIN (SELECT cik, metric, period_end, list_sort(list(DISTINCT value)) AS b FROM altered GROUP BY ALL) y USING (cik, metric, period_end) WHERE a <> b""".replace("SELECT id FROM obs EXCEPT", "SELECT id FROM obs WHERE l_orderkey % 23 <> 0 EXCEPT"), (V.OBS, V.ALTERED))
 def release_reconcile(spark, sf_dir):
     a = V.observations(spark, sf_dir)
-    return releases.reconcile(a, V.altered(a), "id", ["cik", "metric", "period_end"], "value").groupBy("kind").agg(F.count("*").alias("n"))
+    return releases.reconcile(a.where("l_orderkey % 23 <> 0"), V.altered(a), "id", ["cik", "metric", "period_end"], "value")
 
 
 @query("release_replace", "SELECT cik, count(*) AS n, sum(value)::VARCHAR AS total FROM (SELECT cik, value FROM obs WHERE cik NOT LIKE '%7' UNION ALL SELECT cik, value FROM altered WHERE cik LIKE '%7') GROUP BY cik", (V.OBS, V.ALTERED))
@@ -736,12 +831,13 @@ def release_replace(spark, sf_dir):
     return text(out.groupBy("cik").agg(F.count("*").alias("n"), F.sum("value").alias("total")), "total")
 
 
-@query("release_reproduce", "SELECT kind, count(*) AS n FROM (SELECT 'CONTENT_LOST' AS kind FROM (SELECT id, metric, value FROM obs EXCEPT SELECT id, metric, value FROM altered) UNION ALL SELECT 'CONTENT_NEW' FROM (SELECT id, metric, value FROM altered EXCEPT SELECT id, metric, value FROM obs)) GROUP BY kind", (V.OBS, V.ALTERED))
+@query("release_reproduce", """SELECT kind, count(*) AS n FROM (SELECT 'CONTENT_LOST' AS kind FROM (SELECT id, metric, value FROM obs EXCEPT SELECT id, metric, value FROM altered) UNION ALL SELECT 'CONTENT_NEW' FROM (SELECT id, metric, value FROM altered EXCEPT SELECT id, metric, value FROM obs)
+  UNION ALL SELECT 'COVERAGE_SHRANK' FROM (SELECT DISTINCT o.accession FROM obs o WHERE NOT EXISTS (FROM altered a WHERE a.accession = o.accession AND a.metric = o.metric))) GROUP BY kind""", (V.OBS, V.ALTERED))
 def release_reproduce(spark, sf_dir):
-    a = V.observations(spark, sf_dir).select("id", "metric", "value", "l_orderkey", "filed", "unit", "cik")
+    a = V.observations(spark, sf_dir).select("id", "metric", "value", "l_orderkey", "filed", "unit", "accession")
     b = V.altered(a)
-    out = releases.reproduce_check(a.dropDuplicates(["id", "metric", "value"]), b.dropDuplicates(["id", "metric", "value"]), ["id", "metric", "value"], ["cik"], "metric")
-    return out.where("kind like 'CONTENT%'").groupBy("kind").agg(F.count("*").alias("n"))
+    out = releases.reproduce_check(a.dropDuplicates(["id", "metric", "value"]), b.dropDuplicates(["id", "metric", "value"]), ["id", "metric", "value"], ["accession"], "metric")
+    return out.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("release_multiset", "SELECT metric, period_end::VARCHAR AS period_end, value::VARCHAR AS value, sum(n)::BIGINT AS surplus FROM (SELECT metric, period_end, value, 1 AS n FROM obs UNION ALL SELECT metric, period_end, value, -1 FROM altered) GROUP BY ALL HAVING sum(n) <> 0", (V.OBS, V.ALTERED))
@@ -751,10 +847,14 @@ def release_multiset(spark, sf_dir):
     return text(releases.multiset_difference(a.select(*cols), V.altered(a).select(*cols)), "period_end", "value")
 
 
-@query("release_gate", "SELECT bool_and(s_acctbal > 0) AS promote, coalesce(array_to_string(list_sort(list(DISTINCT s_name) FILTER (s_acctbal <= 0)), ','), '') AS failed FROM supplier")
+@query("release_gate", "SELECT bool_and(s_acctbal > 0) AS promote, count(*) AS checks, count(*) FILTER (s_acctbal <= 0) AS failed FROM supplier")
 def release_gate(spark, sf_dir):
-    checks = V.table(spark, sf_dir, "supplier").withColumn("ok", F.col("s_acctbal") > 0)
-    return releases.gate(checks, "s_name", "ok").select("promote", F.array_join("failed", ",").alias("failed"))
+    return releases.gate(V.table(spark, sf_dir, "supplier").withColumn("ok", F.col("s_acctbal") > 0), "s_name", "ok")[0]
+
+
+@query("release_gate_failed", "SELECT DISTINCT s_name FROM supplier WHERE s_acctbal <= 0")
+def release_gate_failed(spark, sf_dir):
+    return releases.gate(V.table(spark, sf_dir, "supplier").withColumn("ok", F.col("s_acctbal") > 0), "s_name", "ok")[1]
 
 
 @query("release_inventory", """SELECT path, CASE WHEN b IS NULL THEN 'MISSING' WHEN a IS NULL THEN 'UNREGISTERED' WHEN a <> b THEN 'SIZE_MISMATCH' ELSE 'MATCH' END AS state FROM
@@ -791,20 +891,26 @@ def source_json(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
-@query("source_content_dedupe", "SELECT count(DISTINCT (l_suppkey, l_returnflag, l_linestatus, l_shipdate::DATE)) AS ids FROM lineitem")
+@query("source_content_dedupe", """SELECT DISTINCT sha256('{"day":"' || l_shipdate::DATE::VARCHAR || '","l_linestatus":"' || l_linestatus || '","l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey::VARCHAR || '}') AS id FROM lineitem""")
 def source_dedupe(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_linestatus", F.col("l_shipdate").cast("date").alias("day"))
-    return ingest.dedupe_by_id(ingest.with_content_id(li, li.columns)).agg(F.count("*").alias("ids"))
+    return ingest.dedupe_by_id(ingest.with_content_id(li, li.columns)).select("id")
+
 
+_LINEITEM = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string", "l_shipdate": "timestamp"}
 
-@query("source_describe", "SELECT 'n_name' AS \"column\", count(*) AS rows, count(*) FILTER (n_name IS NULL) AS nulls FROM nation")
+
+@query("source_describe", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS type, count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls FROM lineitem" for c, t in _LINEITEM.items()))
 def source_describe(spark, sf_dir):
-    return ingest.describe(V.table(spark, sf_dir, "nation", ["n_name"])).drop("type")
+    return ingest.describe(V.table(spark, sf_dir, "lineitem", list(_LINEITEM))).withColumn("type", F.regexp_replace("type", "timestamp_ntz", "timestamp"))
+
 
+_CRC = "(xor(list_reduce(list_concat([4294967295::UBIGINT], [ascii(x)::UBIGINT FOR x IN string_split({}, '')]), lambda c, b: list_reduce(list_concat([xor(c, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))), 4294967295::UBIGINT))"
 
-@query("source_clustered", "SELECT s_suppkey, s_name FROM supplier")
+
+@query("source_clustered", f"SELECT s_suppkey, s_name, ({_CRC.format('s_suppkey::VARCHAR')} % 16)::INT AS g FROM supplier")
 def source_clustered(spark, sf_dir):
-    return sinks.with_group(V.table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]), "s_suppkey").select("s_suppkey", "s_name")
+    return sinks.with_group(V.table(spark, sf_dir, "supplier", ["s_suppkey", "s_name"]), "s_suppkey")
 
 
 @query("source_canonical", "SELECT lpad(s_suppkey::VARCHAR, 10, '0') AS cik, s_acctbal::DECIMAL(38,9)::VARCHAR AS value FROM supplier")
@@ -818,26 +924,65 @@ def text_markdown(spark, sf_dir):
     return documents.html_to_markdown(V.table(spark, sf_dir, "pages", ["page_id", "html"]), "page_id", "html")
 
 
-@query("text_sections", "SELECT doc_id, 'full' AS item, sha256(coalesce(text, '')) AS content_sha256, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')))::BIGINT AS end_line FROM documents")
+@query("text_sections", "SELECT doc_id, 'full' AS item, 'Full Document' AS title, sha256(coalesce(text, '')) AS content_sha256, 0 AS start_line, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS end_line FROM documents")
 def text_sections(spark, sf_dir):
     out = documents.sections(V.table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
-    return out.select("doc_id", "item", F.sha2("content", 256).alias("content_sha256"), F.col("end_line").cast("long").alias("end_line"))
+    return out.select("doc_id", "item", "title", F.sha2("content", 256).alias("content_sha256"), "start_line", F.col("end_line").cast("long").alias("end_line"))
 
 
-@query("text_section_summary", "SELECT doc_id, 1::BIGINT AS n_sections, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents")
-def text_summary(spark, sf_dir):
-    out = documents.sections(V.table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
-    return documents.section_summary(out, "doc_id", ["1A"]).drop("missing_items")
+def _filings(spark, sf_dir):
+    """Documents in which every third line is an item: a heading, or a plain line where the id is divisible by three."""
+    d = V.table(spark, sf_dir, "documents", ["doc_id", "text"])
+    mark = F.when(F.col("doc_id") % 3 == 0, "ITEM ").otherwise("## Item ")
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.when(i % 3 == 1, F.concat(mark, (i % 14 + 1).cast("string"), F.when(i % 2 == 0, F.concat(F.lit(". "), F.substring(F.regexp_replace(x, "[^a-z]", ""), 1, 20))).otherwise(""))).otherwise(x))
+    return d.select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
-@query("text_table_values", None)
-def text_tables(spark, sf_dir):
-    return documents.table_values(V.table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+_TITLES = "MAP {" + ", ".join("'{}': '{}'".format(k, v.replace("'", "''")) for k, v in documents.TITLES.items()) + "}"
+_FILINGS = f"""lines AS (SELECT doc_id, i, CASE WHEN i % 3 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'ITEM ' ELSE '## Item ' END || (i % 14 + 1)::VARCHAR || CASE WHEN i % 2 = 0 THEN '. ' || name ELSE '' END ELSE x END AS line, name
+  FROM (SELECT doc_id, x, i, left(regexp_replace(x, '[^a-z]', '', 'g'), 20) AS name FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)))),
+marks AS (SELECT doc_id, i AS s, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS e, 'Item ' || (i % 14 + 1)::VARCHAR AS item, CASE WHEN i % 2 = 0 AND name <> '' THEN name ELSE coalesce({_TITLES}[(i % 14 + 1)::VARCHAR], '') END AS title FROM lines WHERE i % 3 = 1),
+items AS (SELECT m.doc_id, item, title, s AS start_line, coalesce(e, max(i) + 1) AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\\s+|\\s+$', '', 'g') AS content FROM marks m JOIN lines l ON m.doc_id = l.doc_id AND i >= s AND (e IS NULL OR i < e) GROUP BY m.doc_id, item, title, s, e
+  UNION ALL SELECT doc_id, 'full', 'Full Document', 0, 1, coalesce(text, '') FROM documents WHERE strpos(coalesce(text, ''), chr(10)) = 0)"""
+
 
+@query("text_section_items", "SELECT doc_id, item, title, start_line, end_line, sha256(content) AS content_sha256 FROM items", (_FILINGS,))
+def text_items(spark, sf_dir):
+    out = documents.sections(_filings(spark, sf_dir), "doc_id", "text")
+    return out.select("doc_id", "item", "title", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha2("content", 256).alias("content_sha256"))
 
-@query("text_cover_facts", None)
+
+@query("text_section_summary", "SELECT doc_id, count(*) AS n_sections, sum(length(content))::BIGINT AS n_chars, array_to_string([x FOR x IN ['Item 2', 'Item 5', 'full'] IF NOT list_contains(list(item), x)], ',') AS missing_items FROM items GROUP BY doc_id", (_FILINGS,))
+def text_summary(spark, sf_dir):
+    out = documents.section_summary(documents.sections(_filings(spark, sf_dir), "doc_id", "text"), "doc_id", ["Item 2", "Item 5", "full"])
+    return out.withColumn("missing_items", F.array_join("missing_items", ","))
+
+
+@query("text_table_values", """SELECT l_orderkey, 0::BIGINT AS table_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_quantity)::INT AS row_index, 'line ' || l_linenumber AS label,
+  (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END * l_extendedprice::DECIMAL(20,2))::DECIMAL(38,9)::VARCHAR AS value, 1000 AS scale, (CASE WHEN l_linenumber % 2 = 0 THEN -1000 ELSE 1000 END * l_extendedprice::DECIMAL(20,2))::DECIMAL(38,9)::VARCHAR AS scaled_value FROM lineitem""")
+def text_tables(spark, sf_dir):
+    """A page for each order with its line items in a table, even lines as (1,234.50)."""
+    li = V.table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"])
+    price = F.format_number(F.col("l_extendedprice").cast("decimal(20,2)"), 2)
+    cell = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("$ ("), price, F.lit(")"))).otherwise(F.concat(F.lit("$"), price))
+    row = F.concat(F.lit("| line "), F.col("l_linenumber").cast("string"), F.lit(" | - | "), cell, F.lit(" |"))
+    each = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_quantity", row.alias("row")))).alias("r"))  # an order's lines
+    page = F.concat(F.lit("Amounts (in thousands)\n| Line | None | Price |\n| --- | --- | --- |\n"), F.array_join(F.transform("r", lambda x: x["row"]), "\n"), F.lit("\nend"))
+    out = documents.table_values(each.select("l_orderkey", page.alias("page")), "l_orderkey", "page")
+    return text(out.drop("raw_text"), "value", "scaled_value")
+
+
+@query("text_cover_facts", """SELECT o_orderkey, unnest(['dei:TradingSymbol', 'dei:Shares']) AS name, unnest([o_orderdate::DATE::VARCHAR, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE::VARCHAR END]) AS day, unnest([NULL, (o_custkey * 1000)::VARCHAR]) AS value,
+  unnest([NULL, CASE WHEN o_orderkey % 2 = 1 THEN 'DIMENSIONS' END]) AS reason FROM orders""")
 def text_cover(spark, sf_dir):
-    return documents.cover_facts(V.table(spark, sf_dir, "pages", ["page_id", "html"]), "page_id", "html")
+    """A cover page for each order; odd ones report shares for one class."""
+    o = V.table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
+    lit_, even = F.lit, F.col("o_orderkey") % 2 == 0
+    html = F.concat(
+        lit_('<xbrli:context id="c1"><xbrli:instant>'), F.col("o_orderdate").cast("date").cast("string"), lit_('</xbrli:instant></xbrli:context><xbrli:context id="c2"><x dimension="us:ClassAxis"/></xbrli:context><ix:nonNumeric name="dei:TradingSymbol" contextRef="c1">S</ix:nonNumeric>'),
+        lit_('<ix:nonFraction name="dei:Shares" scale="3" contextRef="'), F.when(even, "c1").otherwise("c2"), lit_('">'), F.col("o_custkey").cast("string"), lit_("</ix:nonFraction>"),
+    )
+    return documents.cover_facts(o.select("o_orderkey", html.alias("html")), "o_orderkey", "html").select("o_orderkey", "name", "day", "value", "reason")
 
 
 @query("text_leaks", f"SELECT doc_id, marker FROM (SELECT doc_id, unnest([{', '.join(f'CASE WHEN regexp_matches(text, $x${p}$x$) THEN {k!r} END' for k, p in values.PRIVATE.items())}]) AS marker FROM documents) WHERE marker IS NOT NULL")
@@ -869,22 +1014,28 @@ def function_local(spark, sf_dir):
     return e.where(back["status"] == "ok").select("event_id", ts("l").alias("local"))
 
 
-@query("function_sessions", None)
+@query("function_sessions", """SELECT event_id, d::VARCHAR AS session_date, strftime(d + INTERVAL 14 HOUR + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS open_utc, strftime(d + INTERVAL 21 HOUR, '%Y-%m-%d %H:%M:%S') AS close_utc
+FROM (SELECT event_id, ((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')::DATE AS d FROM events) WHERE isodow(d) < 6 AND d NOT IN (DATE '2023-12-25', DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19')""")
 def function_sessions(spark, sf_dir):
     days = V.table(spark, sf_dir, "events", ["event_id", "ts"]).select("event_id", F.from_utc_timestamp("ts", "America/New_York").cast("date").alias("session_date"))
     s = F.broadcast(temporal.sessions(spark, 2023, 2025))  # at most 366 rows a year
     return text(days.join(s, "session_date").select("event_id", "session_date", ts("open_utc").alias("open_utc"), ts("close_utc").alias("close_utc")), "session_date")
 
 
-@query("function_numbers", "SELECT p_partkey, p_retailprice::DECIMAL(38,9)::VARCHAR AS value FROM part")
+@query("function_numbers", "SELECT p_partkey, (CASE WHEN p_size % 5 = 1 THEN -1 ELSE 1 END * CASE p_size % 5 WHEN 2 THEN p_retailprice::DECIMAL(20,2) * 1000000 WHEN 3 THEN p_retailprice::DECIMAL(20,2)::DECIMAL(20,4) / 100 ELSE p_retailprice::DECIMAL(20,2) END)::DECIMAL(38,9)::VARCHAR AS value FROM part WHERE p_size % 5 <> 4 UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size % 5 = 4")
 def function_numbers(spark, sf_dir):
-    p = V.table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
-    return text(p.select("p_partkey", values.parse_number(F.concat(F.lit("$"), F.col("p_retailprice").cast("decimal(20,2)").cast("string"))).alias("value")), "value")
+    p = V.table(spark, sf_dir, "part", ["p_partkey", "p_retailprice", "p_size"])
+    n, k = F.format_number(F.col("p_retailprice").cast("decimal(20,2)"), 2), F.col("p_size") % 5
+    shown = F.when(k == 0, F.concat(F.lit("$"), n)).when(k == 1, F.concat(F.lit("("), n, F.lit(")"))).when(k == 2, F.concat(n, F.lit("M"))).when(k == 3, F.concat(n, F.lit("%"))).otherwise("-")
+    return text(p.select("p_partkey", values.parse_number(shown).alias("value")), "value")
 
 
-@query("function_scale", None)
+@query("function_scale", "SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(t, '(?i){lead}{word}{close}') THEN {n}" for lead, close in zip(values.SCALE_LEADS, ("", r"\)", ""), strict=True) for word, n in values.SCALE_WORDS) + " ELSE 1 END::BIGINT AS scale FROM (SELECT doc_id, text || CASE doc_id % 7 WHEN 0 THEN ' $ in Millions, (in thousands)' WHEN 1 THEN ' (in thousands) in billions' WHEN 2 THEN ' of millions' WHEN 3 THEN ' in  billion' ELSE '' END AS t FROM documents WHERE text IS NOT NULL)")
 def function_scale(spark, sf_dir):
-    return V.table(spark, sf_dir, "documents", ["doc_id", "text"]).select("doc_id", values.scale_of(F.col("text")).alias("scale"))
+    d = V.table(spark, sf_dir, "documents", ["doc_id", "text"]).where("text is not null")
+    k = F.col("doc_id") % 7
+    note = F.when(k == 0, " $ in Millions, (in thousands)").when(k == 1, " (in thousands) in billions").when(k == 2, " of millions").when(k == 3, " in  billion").otherwise("")
+    return d.select("doc_id", values.scale_of(F.concat("text", note)).alias("scale"))
 
 
 @query("function_terminating", "SELECT p_partkey, CASE WHEN (p_partkey * 1000000000) % (p_size + 1) = 0 THEN (p_partkey * 1000000000 // (p_size + 1))::BIGINT::VARCHAR END AS nanos FROM part")
@@ -906,3 +1057,99 @@ def function_path(spark, sf_dir):
 def function_as_of(spark, sf_dir):
     li = V.table(spark, sf_dir, "lineitem", ["l_shipdate"]).select(F.col("l_shipdate").cast("date").alias("a"), F.date_add("l_shipdate", 1).alias("b"))
     return text(values.data_as_of(li, ["a", "b"]), "data_as_of")
+
+
+# Operators that need a source of their own, made from the driver's tables
+
+
+@query("source_flatten_facts", """SELECT cik, metric, concept, unit, value::VARCHAR AS value, period_end::VARCHAR AS period_end, accession FROM obs WHERE metric <> 'A' AND form <> '8-K' AND period_end <= filed""", (V.OBS,))
+def source_flatten(spark, sf_dir):
+    """Observations nested by issuer, taxonomy, tag and unit, then flattened to the registry's tags and admitted."""
+    o = V.observations(spark, sf_dir).select("cik", "concept", "metric", "unit", F.struct(F.col("value").cast("string").alias("val"), F.lit(None).cast("string").alias("start"), F.col("period_end").cast("string").alias("end"), F.col("filed").cast("string").alias("filed"), F.col("accession").alias("accn"), "form", F.lit(None).cast("string").alias("fy"), F.lit(None).cast("string").alias("fp"), F.lit(None).cast("string").alias("frame")).alias("r"))
+    units = o.groupBy("cik", "metric", "concept", "unit").agg(F.collect_list("r").alias("rows")).groupBy("cik", "metric", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "rows"))).alias("units"))
+    tag = F.struct(F.col("concept"), F.struct(F.lit("l").alias("label"), F.lit("d").alias("description"), "units"))
+    raw = units.groupBy("cik", "metric").agg(F.map_from_entries(F.collect_list(tag)).alias("tags")).groupBy("cik").agg(F.lit("x").alias("entityName"), F.map_from_entries(F.collect_list(F.struct("metric", "tags"))).alias("facts"))
+    registry = spark.createDataFrame([(t, c, t) for t in "NR" for c in "OF"], "taxonomy string, concept string, metric string")
+    good, _ = ingest.admit(ingest.flatten_facts(raw, registry), ["USD"], ["10-K", "10-Q"])
+    return text(good.select("cik", "metric", "concept", "unit", "value", "period_end", F.col("accn").alias("accession")), "value", "period_end")
+
+
+@query("series_parse_bars", """SELECT symbol, session_date::VARCHAR AS session_date, open, high, low, close, volume::DOUBLE AS volume, CASE WHEN least(open, high, low, close) <= 0 THEN 'NOT_POSITIVE' END AS reason FROM bars""", (V.BARS,))
+def series_parse(spark, sf_dir):
+    """Bars as a JSON page for each symbol, stamped at noon UTC."""
+    b = V.bars(spark, sf_dir)
+    bar = F.struct(F.concat(F.col("session_date").cast("string"), F.lit("T12:00:00Z")).alias("t"), F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").cast("double").alias("v"))
+    pages = b.groupBy("symbol").agg(F.collect_list(bar).alias("x")).select(F.to_json(F.struct(F.create_map("symbol", "x").alias("bars"))).alias("page"))
+    good, gaps = ingest.parse_bars(pages, "page")
+    cols = ["symbol", "session_date", "open", "high", "low", "close", "volume"]
+    return text(good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(gaps.select(*cols, "reason")), "session_date")
+
+
+@query("series_monthly", """SELECT type AS series_id, month::VARCHAR AS observation_date, v::DECIMAL(20,2)::DECIMAL(38,9)::VARCHAR AS value_decimal, CASE WHEN v IS NULL THEN 'BLANK' END AS missing_reason FROM (
+  SELECT date_trunc('month', o_orderdate)::DATE AS month, unnest(['F', 'O', 'P']) AS type, unnest([sum(o_totalprice::DECIMAL(20,2)) FILTER (o_orderstatus = 'F'), sum(o_totalprice::DECIMAL(20,2)) FILTER (o_orderstatus = 'O'), sum(o_totalprice::DECIMAL(20,2)) FILTER (o_orderstatus = 'P')]) AS v FROM orders GROUP BY month)""")
+def series_monthly(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders", ["o_orderdate", "o_orderstatus", "o_totalprice"]).withColumn("v", F.col("o_totalprice").cast("decimal(20,2)"))
+    sheet = o.groupBy(F.date_format("o_orderdate", "yyyy'M'MM").alias("month")).agg(*[F.sum(F.when(F.col("o_orderstatus") == t, F.col("v"))).cast("string").alias(t) for t in "FOP"])
+    return text(ingest.monthly_series(sheet, "month", {t: (t, "USD") for t in "FOP"}).select("series_id", "observation_date", "value_decimal", "missing_reason"), "observation_date", "value_decimal")
+
+
+@query("screen_between_dates", "SELECT o_orderkey FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'")
+def screen_dates(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]).withColumn("day", F.col("o_orderdate").cast("date"))
+    return screen.between_dates(o, "day", "1996-01-01", "1997-06-30").select("o_orderkey")
+
+
+@query("function_classify_period", """SELECT cik, metric, period_start::VARCHAR AS period_start, period_end::VARCHAR AS period_end, CASE WHEN d BETWEEN 330 AND 380 AND metric <> 'A' THEN 'annual' WHEN d BETWEEN 75 AND 105 THEN 'quarter' END AS kind FROM (
+  SELECT DISTINCT cik, metric, period_start, period_end, period_end - period_start + 1 AS d FROM (SELECT cik, metric, period_start, period_end FROM flows UNION ALL SELECT cik, metric, period_start, period_end FROM ytd))""", (V.FLOWS, V.CUMULATIVE))
+def function_classify(spark, sf_dir):
+    cols = ["cik", "metric", "period_start", "period_end"]
+    both = V.flows(spark, sf_dir).select(*cols).unionByName(V.cumulative(spark, sf_dir).select(*cols)).distinct()
+    kind = temporal.classify_period(F.col("period_start"), F.col("period_end"), F.when(F.col("metric") == "A", "10-Q").otherwise("10-K"))
+    return text(both.withColumn("kind", kind), "period_start", "period_end")
+
+
+@query("quality_observation_codes", """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, CASE WHEN l_partkey % 11 = 0 THEN 'MISSING_ACCESSION' WHEN l_partkey % 7 = 0 THEN 'BAD_LAYER' WHEN l_returnflag = 'A' THEN 'UNIT_MISMATCH' WHEN l_linenumber = 2 THEN 'BAD_DECIMAL' WHEN l_linenumber = 3 THEN 'NULL_WITHOUT_STATUS' END AS code FROM lineitem""")
+def quality_codes(spark, sf_dir):
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    li = V.table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag"]).withColumns({
+        "accession": F.when(p % 11 != 0, F.col("l_orderkey")), "layer": F.when(p % 7 == 0, "other").otherwise("native"), "unit": F.lit("USD"), "native_unit": F.when(F.col("l_returnflag") == "A", "EUR").otherwise("USD"),
+        "value_text": F.when(n == 2, "1,000").when(n == 3, None).otherwise(F.col("l_extendedprice").cast("decimal(20,2)").cast("string")), "value_status": F.lit(None).cast("string"),
+    })
+    return quality.validate_observation(li, ["accession"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "code")
+
+
+@query("series_inventory_ledger", """SELECT namespace, role, count(*) FILTER (o) AS objects, count(*) FILTER (o AND NOT r) AS unregistered, count(*) FILTER (NOT o) AS absent FROM (
+  SELECT 'ns' || (o_orderkey % 5)::VARCHAR AS namespace, CASE o_orderkey % 3 WHEN 0 THEN 'manifest' WHEN 1 THEN 'data' ELSE 'other' END AS role, o_orderkey % 11 <> 0 AS o, o_orderkey % 13 <> 0 AS r FROM orders) WHERE o OR r GROUP BY ALL""")
+def series_ledger(spark, sf_dir):
+    k = F.col("o_orderkey")
+    name = F.when(k % 3 == 0, "manifest.json").when(k % 3 == 1, "part.parquet").otherwise("notes")
+    paths = V.table(spark, sf_dir, "orders", ["o_orderkey"]).withColumn("path", F.concat_ws("/", F.concat(F.lit("ns"), (k % 5).cast("string")), k.cast("string"), name))
+    return series.inventory_ledger(paths.where("o_orderkey % 11 <> 0"), paths.where("o_orderkey % 13 <> 0"), "path")
+
+
+@query("pit_top1", "SELECT cik, metric, id FROM obs QUALIFY row_number() OVER (PARTITION BY cik, metric ORDER BY filed DESC, id DESC) = 1", (V.OBS,))
+def pit_top(spark, sf_dir):
+    return pit.top1(V.observations(spark, sf_dir), ["cik", "metric"], [F.desc("filed"), F.desc("id")]).select("cik", "metric", "id")
+
+
+@query("join_lineage_missing", "SELECT concat_ws('|', s.cik, s.metric, s.concept, s.period_end) AS result, i AS id FROM (SELECT *, unnest(ids) AS i FROM sel WHERE n = 1) s WHERE i NOT IN (SELECT id FROM altered)", (V.OBS, _LAST, V.ALTERED))
+def join_lineage_missing(spark, sf_dir):
+    return joins.lineage(_cited(spark, sf_dir), V.altered(V.observations(spark, sf_dir)).select("id", "accession"), "result", "source_ids", "id")[1]
+
+
+@query("release_overall_moves", """SELECT c_custkey, CASE WHEN b IS NULL THEN 'COMPANY_LOST' WHEN a IS NULL THEN 'COMPANY_ADDED' WHEN b < a THEN 'COMPANY_OVERALL_DOWNGRADE' WHEN b > a THEN 'COMPANY_OVERALL_UPGRADE' END AS code FROM (
+  SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_acctbal > 0 THEN 4 ELSE 0 END END AS a, CASE WHEN c_custkey % 13 <> 0 THEN CASE WHEN c_nationkey > 12 THEN 4 ELSE 0 END END AS b FROM customer) WHERE (a IS NOT NULL OR b IS NOT NULL) AND a IS DISTINCT FROM b""")
+def release_moves(spark, sf_dir):
+    c = V.table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_nationkey"])
+    state = lambda ok: F.when(ok, "SOURCE_VALIDATED").otherwise("BLOCKED").alias("overall")
+    return releases.overall_moves(c.where("c_custkey % 11 <> 0").select("c_custkey", state(F.col("c_acctbal") > 0)), c.where("c_custkey % 13 <> 0").select("c_custkey", state(F.col("c_nationkey") > 12)), "c_custkey").select("c_custkey", "code")
+
+
+@query("stream_latest", "SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
+def stream_latest(spark, sf_dir):
+    """Events as a stream: the latest of each user and type is kept in a table of the shared folder."""
+    base = f"{spark.conf.get('spark.checkpoint.dir')}/tidemark-{uuid.uuid4().hex}"
+    kind = V.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes no single file
+    upkeep.latest_stream(stream, f"{base}-latest", f"{base}-progress", ["user_id", "event_type"], ["ts", "event_id"], 8).start().awaitTermination()
+    return upkeep.current(spark, f"{base}-latest").select("user_id", "event_type", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "value")

@@ -20,8 +20,11 @@ def release_id(manifest_rows: DataFrame, key: str) -> DataFrame:
 
 
 def write_release(df: DataFrame, path: str, key: str, day: str) -> None:
-    """Write data and manifest under a path that must not exist; a release is never changed."""
-    df.repartition(key).write.mode("errorifexists").partitionBy(key).parquet(f"{path}/data")
+    """Write data and manifest under a path that must not exist; a release is never changed.
+
+    Rows are dealt by key and Spark splits what is more than a task should write, so a hot key has several files.
+    """
+    df.hint("rebalance", F.col(key)).write.mode("errorifexists").partitionBy(key).parquet(f"{path}/data")
     manifest(df.sparkSession.read.parquet(f"{path}/data"), key, day).write.mode("errorifexists").parquet(f"{path}/manifest")
 
 
@@ -30,8 +33,8 @@ def with_group(df: DataFrame, key: str, n: int = 16, name: str = "g") -> DataFra
     return df.withColumn(name, (F.crc32(F.col(key).cast("string")) % n).cast("int"))
 
 
-def write_clustered(df: DataFrame, path: str, key: str, n: int = 16, sort: list[str] = (), files: int = 1) -> None:
-    """Partitioned by group and sorted inside. ``files`` splits a group by the key's hash, for groups that hold
-    more than one task should write. Readers add the group to their filter to prune."""
-    grouped = with_group(df, key, n).withColumn("_f", F.pmod(F.xxhash64(key), F.lit(files)))
-    grouped.repartition("g", "_f").drop("_f").sortWithinPartitions("g", *(sort or [key])).write.mode("errorifexists").partitionBy("g").parquet(path)
+def write_clustered(df: DataFrame, path: str, key: str, n: int = 16, sort: list[str] = ()) -> None:
+    """Partitioned by group and sorted inside; a group that is more than one task should write is split by Spark.
+    Readers add the group to their filter to prune."""
+    grouped = with_group(df, key, n).hint("rebalance", F.col("g"))
+    grouped.sortWithinPartitions("g", *(sort or [key])).write.mode("errorifexists").partitionBy("g").parquet(path)

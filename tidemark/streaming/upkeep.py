@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.releases import replace_snapshot
 
+BUCKETS = 64  # of a maintained table; a batch rewrites only those its keys fall in
+
 
 def ingest(spark: SparkSession, path: str, schema: T.StructType, ident: str, event_time: str, late: str = "30 days", fmt: str = "parquet") -> DataFrame:
     """A stream of new files, each content id once within the watermark, so the state stays bounded."""
@@ -17,44 +20,60 @@ def ingest(spark: SparkSession, path: str, schema: T.StructType, ident: str, eve
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark([ident])
 
 
-def _swap(spark: SparkSession, table: str, epoch: int, merge: Callable[[DataFrame | None], DataFrame]) -> None:
-    """Write version ``epoch`` from the newest earlier one. A batch that is tried again overwrites its own version and
-    reads the one before it, so the table is the same however often that happens."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    old = [int(x.getPath().getName()[2:]) for x in fs.listStatus(fs_path) if x.getPath().getName().startswith("v=")] if fs.exists(fs_path) else []
-    done = [v for v in old if v < epoch and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/_SUCCESS"))]
-    prev = spark.read.parquet(f"{table}/v={max(done)}") if done else None
-    merge(prev).write.mode("overwrite").parquet(f"{table}/v={epoch}")
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:  # nothing has been written yet
+        return None
+
+
+def _merge(df: DataFrame, epoch: int, table: str, keys: list[str], buckets: int, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Put a batch into the table: only the buckets that its keys fall in are read, merged and overwritten.
+
+    The merged buckets are first written beside the table and marked with the batch's number. A batch that is tried again
+    after the mark only publishes them once more, so an interrupted publication loses nothing.
+    """
+    spark = df.sparkSession
+    batch = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    staged, mark = f"{table}-staged", f"{table}-mark"
+    done = _there(spark, mark)
+    if done is None or done.first()["epoch"] != epoch:
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # at most ``buckets`` rows
+        prev = _there(spark, table)
+        merged = batch if prev is None else merge(prev.where(F.col("bucket").isin(touched)).select(*batch.columns), batch)
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
+        spark.createDataFrame([(epoch,)], "epoch long").coalesce(1).write.mode("overwrite").parquet(mark)
+    kept = _there(spark, staged)
+    if kept is not None:
+        kept.select(*batch.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
-    """The newest complete version of a maintained table."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [int(x.getPath().getName()[2:]) for x in fs.listStatus(path) if x.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x.getPath()}/_SUCCESS"))]
-    return spark.read.parquet(f"{table}/v={max(done)}")
+    """A maintained table as it stands."""
+    return spark.read.parquet(table).drop("bucket")
+
 
+def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str, buckets: int = BUCKETS):
+    """Keep a table in which a key that arrives in a batch takes the batch's rows in full. A null key is a key."""
 
-def upsert_stream(stream: DataFrame, table: str, checkpoint: str, key: str):
-    """Keep a table in which a key that arrives in a batch takes the batch's rows in full."""
+    def replaced(prev: DataFrame, df: DataFrame) -> DataFrame:
+        return replace_snapshot(prev, df, key)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        _swap(df.sparkSession, table, epoch, lambda prev: df if prev is None else replace_snapshot(prev, df, key))
+        _merge(df, epoch, table, [key], buckets, replaced)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def latest_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str]):
+def latest_stream(stream: DataFrame, table: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = BUCKETS):
     """Keep the latest revision of each context; a maximum does not mind late or repeated rows."""
 
-    def merge(df: DataFrame, prev: DataFrame | None) -> DataFrame:
-        both = df if prev is None else prev.unionByName(df)
+    def best(df: DataFrame) -> DataFrame:
         rest = [c for c in df.columns if c not in keys]
-        best = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-        return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+        got = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+        return got.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        _swap(df.sparkSession, table, epoch, lambda prev: merge(df, prev))
+        _merge(best(df), epoch, table, keys, buckets, lambda prev, new: best(prev.unionByName(new)))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True)
