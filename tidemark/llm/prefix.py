@@ -1,10 +1,10 @@
 """Exact candidates for a Jaccard join of sets of shingles, by prefixes and positions.
 
 Shingles have one order for all sets: those seen often in a sample of the sets come last, the others lie by hash. Two
-sets of n and m shingles with a Jaccard of t or more have a = ceil(t / (1 + t) * (n + m)) in common, so that the first
-one they share lies among the first n - a + 1 and m - a + 1 of them. Each set is sent to the sizes that its partners can
-have, with only as many shingles as those sizes ask for: what many sets share is at the end and links none that differ
-before it. The order only decides how much is compared; no pair is lost by it.
+sets of n and m >= n shingles with a Jaccard of t or more have a = ceil(t / (1 + t) * (n + m)) in common, so that the first
+one they share lies among the first n - ceil(2 t / (1 + t) * n) + 1 of the smaller set and the first m - ceil(t * m) + 1 of
+the larger one. Only these are joined: what many sets share is at the end and links none that differ before it. The order
+only decides how much is compared; no pair is lost by it.
 
 A set also carries a parity sketch: a bit for each of SKETCH hash values, set if an odd number of its shingles has the
 value. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more
@@ -13,6 +13,9 @@ than (1 - t) / (1 + t) * (n + m) bits can't have a Jaccard of t and never leaves
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +26,6 @@ from tidemark.llm.common import written
 
 SAMPLE = 16  # one of so many sets is looked at for common shingles
 COMMON, MOST = 3, 1 << 19  # a shingle is common if so many sampled sets hold it; so many of these are told apart
-WIDTH = float(np.log(1.05))  # sizes of one class differ by 5 % at most
 SKETCH = 512  # bits
 GROUP = 256  # texts whose prefixes are sent at once
 
@@ -34,10 +36,6 @@ def _hashes(grams) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([xxh64_digest(g) for g in grams]), np.int64))
 
 
-def _size_class(n):
-    return np.floor(np.log(n) / WIDTH).astype(np.int32)
-
-
 def _common(texts: DataFrame, grams) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and the rank of each, 1 and more."""
 
@@ -54,10 +52,7 @@ def _common(texts: DataFrame, grams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
-    """(key, n, class, least, sigs, most, sketch) for (key, text): the shingles in order as far as any partner can ask for them.
-
-    ``least`` is the class of the smallest partner, ``most`` per shingle that of the largest which it is sent to.
-    """
+    """(key, n, sigs, sketch) for (key, text): the shingles in order as far as any partner can ask for them."""
     sent = texts.sparkSession.sparkContext.broadcast(_common(texts, grams))
 
     def run(batches):
@@ -65,27 +60,20 @@ def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
         for b in batches:
             keys, every = b.column(0), b.column(1).to_pylist()
             for lo in range(0, len(every), GROUP):
-                n, least, sigs, most, sketch = [], [], [], [], []
+                n, sigs, sketch = [], [], []
                 for t in every[lo : lo + GROUP]:
                     h = _hashes(grams(t))
                     sketch.append(np.packbits(np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
                     if len(common):
                         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.lexsort((h, np.where(common[at] == h, ranks[at], 0)))]
-                    small = max(1, int(np.ceil(threshold * len(h) - 1e-9)))
-                    h, size = h[: len(h) - small + 1], len(h)
-                    large = np.floor((size - np.arange(len(h))) * ((1 + threshold) / threshold) - size + 1e-6)
-                    n.append(size)
-                    least.append(small)
-                    sigs.append(h)
-                    most.append(_size_class(np.maximum(large, small)))
+                    n.append(len(h))
+                    sigs.append(h[: len(h) - max(1, int(np.ceil(threshold * len(h) - 1e-9))) + 1])
                 ends = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (sigs, most)]
-                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketch))))
-                sizes = [pa.array(np.array(n, np.int32)), pa.array(_size_class(np.array(n))), pa.array(_size_class(np.array(least)))]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(n)), *sizes, *lists], ["key", "n", "class", "least", "sigs", "most", "sketch"])
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sigs))), pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketch)))]
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, len(n)), pa.array(np.array(n, np.int32)), *lists], ["key", "n", "sigs", "sketch"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, n int, class int, least int, sigs array<bigint>, most array<int>, sketch array<bigint>")
+    return texts.select("key", "text").mapInArrow(run, "key binary, n int, sigs array<bigint>, sketch array<bigint>")
 
 
 def pairs(texts: DataFrame, parts: DataFrame, grams, threshold: float) -> DataFrame:
@@ -97,20 +85,22 @@ def pairs(texts: DataFrame, parts: DataFrame, grams, threshold: float) -> DataFr
     spark = texts.sparkSession
     sets = written(prefixes(texts, grams, threshold).dropDuplicates(["key"]), "prefixes")
     sets = sets.join(parts, sets.key == parts.node, "left").withColumn("part", F.xxhash64(F.coalesce("component", "key")))
-    each = sets.select("key", "part", "n", "class", "least", "sketch", F.posexplode(F.arrays_zip("sigs", "most")).alias("p", "x"))
-    each = each.select("key", "part", "n", "class", "least", "sketch", "p", F.col("x.sigs").alias("sig"), F.col("x.most").alias("most"))
+    each = sets.select("key", "part", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
     several = F.min("part") < F.max("part")
     met = each.groupBy("sig").agg(several.alias("several")).where("several").select("sig")
     each = each.where(might_hold(spark, build_filter(written(met, "met"), "sig"), "sig"))
-    rows = each.withColumn("other", F.explode(F.sequence("least", "most"))).select("key", "part", "n", "class", "p", "other", "sketch", F.xxhash64("sig", F.least("class", "other"), F.greatest("class", "other")).alias("post"))
-    # parts that meet; pairs are taken from all but the largest part of a posting, so that it never meets itself
-    tops = rows.groupBy("post").agg(F.mode("part").alias("top"), several.alias("several")).where("several").select("post", "top")
-    rows = written(rows.join(tops, "post"), "postings")
-    x, y = rows.where("part <> top"), rows.select("post", *[F.col(c).alias(f"{c}2") for c in ("key", "part", "n", "class", "p", "other", "sketch")])
-    shared = F.least(F.col("n") - F.col("p"), F.col("n2") - F.col("p2"))
-    enough = shared >= F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("n2")) - 1e-9)
-    bits = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("sketch2")[0])))
-    enough &= bits <= F.floor(F.lit((1 - threshold) / (1 + threshold)) * (F.col("n") + F.col("n2")) + 1e-9)
-    once = (F.col("part2") == F.col("top")) | (F.col("key") < F.col("key2"))
-    near = x.join(y, "post").where((F.col("part") != F.col("part2")) & once & (F.col("class") == F.col("other2")) & (F.col("other") == F.col("class2")) & enough)
-    return near.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("m")).distinct()
+    # parts that meet; pairs are never taken within the largest part of a shingle, which may hold most sets
+    tops = each.groupBy("sig").agg(F.mode("part").alias("top"), several.alias("several")).where("several").select("sig", "top")
+    rows = written(each.join(tops, "sig"), "postings")
+    names = ["key", "part", "n", "p", "sketch"]
+    half = (1 - threshold) / (1 + threshold)
+    x = rows.where(F.col("p") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9))
+    y = rows.select("sig", *[F.col(c).alias(f"{c}2") for c in names], F.col("top").alias("top2"))
+    n, m = F.col("n"), F.col("n2")
+    order = (n < m) | ((n == m) & (F.col("key") < F.col("key2")))
+    sizes = (F.col("part") != F.col("part2")) & order & (n >= F.ceil(F.lit(threshold) * m - 1e-9))
+    enough = F.least(n - F.col("p"), m - F.col("p2")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
+    differ = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)]
+    near = sizes & enough & (reduce(add, differ) <= F.floor(F.lit(half) * (n + m) + 1e-9))
+    found = x.where("part <> top").join(y, "sig").where(near).unionByName(x.where("part = top").join(y.where("part2 <> top2"), "sig").where(near))
+    return found.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("m")).distinct()
