@@ -437,3 +437,42 @@ def test_line_hashes_give_the_jaccard_of_shingles():
             b[rng.randrange(len(b))] = rng.choice("abcxyz")
         x, y = lines.shingle_hashes([a, "".join(b)])
         assert lines.alike(x, y, 0.8) == (lines.similarity(a, "".join(b)) >= 0.8)
+
+
+def brute_signatures(t):
+    """The signature rule once more, word by word: anchors start chains of two content words, common words never count."""
+    from xxhash import xxh64_intdigest
+
+    w = re.findall(r"\w+", (t or "").lower())
+    found = []
+    for i, x in enumerate(w):
+        if x in spotsigs.ANCHORS:
+            rest = [y for y in w[i + 1 :] if y not in spotsigs.COMMON][:2]
+            if len(rest) == 2:
+                found.append(" ".join([x, *rest]))
+    if w and not found:
+        return {xxh64_intdigest(" ".join(w), 1 << 32)}
+    return {xxh64_intdigest(s, found[:i].count(s)) for i, s in enumerate(found)}
+
+
+def test_spot_signatures_match_brute_force():
+    rng = random.Random(12)
+    for _ in range(300):
+        t = " ".join(rng.choice(["the", "a", "is", "and", "of", "der", "une", "cat", "dog", "Tree", "é", "x1"]) for _ in range(rng.randrange(30)))
+        assert spotsigs.spot_signatures(t) == brute_signatures(t)
+    assert spotsigs.spot_signatures(None) == spotsigs.spot_signatures("  ") == brute_signatures("") == frozenset()
+
+
+def test_spotsigs_query_tells_classes(spark, tmp_path):
+    rng = random.Random(13)
+    say = lambda n: [rng.choice(["the", "a", "is"]) if i % 3 == 0 else f"w{rng.randrange(3000)}" for i in range(n)]
+    base = say(240)
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:236], *say(4)])), (3, " ".join(say(200))), (4, None), (5, ""), (6, " ".join(base)), (2, "another text of the same id"), (None, " ".join(base))]
+    rows += [(100 + i, " ".join([*base[:220], *say(20)])) for i in range(40)]  # variants: each near the base, fewer near each other
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = spotsigs.op1_spotsigs(spark, str(tmp_path)).collect()
+    sigs = [spotsigs.spot_signatures(t) for _, t in rows]
+    part = components(len(rows), lambda i, j: spotsigs.jaccard(sigs[i], sigs[j]) >= 0.8)
+    least = {p: min(r[0] for r, q in zip(rows, part, strict=True) if q == p and r[0] is not None) for p in part}
+    assert sorted(((r["doc_id"], r["class_id"]) for r in found), key=str) == sorted(((r[0], least[p]) for r, p in zip(rows, part, strict=True)), key=str)
+    assert len(found) == len(rows) and len({r["class_id"] for r in found}) == 4

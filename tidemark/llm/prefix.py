@@ -8,7 +8,8 @@ only decides how much is compared; no pair is lost by it.
 
 A set also carries a parity sketch: a bit for each of SKETCH hash values, set if an odd number of its shingles has the
 value. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more
-than (1 - t) / (1 + t) * (n + m) bits can't have a Jaccard of t and never leaves the join.
+than (1 - t) / (1 + t) * (n + m) bits can't have a Jaccard of t and never leaves the join. Sets are joined by length partition:
+n and m of such a pair lie in the same or in adjacent ones.
 """
 
 from __future__ import annotations
@@ -76,31 +77,58 @@ def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, n int, sigs array<bigint>, sketch array<bigint>")
 
 
-def pairs(texts: DataFrame, parts: DataFrame, grams, threshold: float) -> DataFrame:
-    """(key, m): every pair of (key, text) rows that can have a Jaccard of ``threshold``, unless it is of one part.
+def postings(texts: DataFrame, grams, threshold: float) -> DataFrame:
+    """(key, n, sketch, p, sig): the prefix shingles that several of the (key, text) rows may have, written.
 
-    ``parts`` is (node, component) as of ``connected_components``; other keys are parts of their own. ``grams`` gives
-    the set of shingles of a text as bytes, at least one. Repeated rows of a key count once. Pairs are yet to be verified.
+    ``grams`` gives the set of shingles of a text as bytes, at least one. Repeated rows of a key count once.
     """
-    spark = texts.sparkSession
     sets = written(prefixes(texts, grams, threshold).dropDuplicates(["key"]), "prefixes")
-    sets = sets.join(parts, sets.key == parts.node, "left").withColumn("part", F.xxhash64(F.coalesce("component", "key")))
-    each = sets.select("key", "part", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
-    several = F.min("part") < F.max("part")
-    met = each.groupBy("sig").agg(several.alias("several")).where("several").select("sig")
-    each = each.where(might_hold(spark, build_filter(written(met, "met"), "sig"), "sig"))
+    each = sets.select("key", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
+    h = F.xxhash64("key")
+    met = each.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig")
+    return written(each.where(might_hold(texts.sparkSession, build_filter(written(met, "met"), "sig"), "sig")), "postings")
+
+
+def length_partition(n, threshold: float):
+    """Partition by set length: sets that can be alike are in the same or in adjacent ones."""
+    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(1 / threshold))) + 1e-12)
+
+
+def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+    """(key, m): each set with the smallest key of its length partition that shares a prefix shingle with it.
+
+    That joins large groups with few pairs; ``join_postings`` then looks at what is between the groups.
+    """
+    rows = posts.select("key", "sig", length_partition(F.col("n"), threshold).alias("lp"))
+    first = rows.groupBy("sig", "lp").agg(F.min("key").alias("m"), F.max("key").alias("last")).where("m <> last").drop("last")
+    return rows.join(first, ["sig", "lp"]).where("key <> m").select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
+
+
+def join_postings(posts: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(key, m): every pair of ``postings`` sets that can have a Jaccard of ``threshold``, unless it is of one part.
+
+    ``parts`` is (node, component) as of ``connected_components``; other keys are parts of their own. A shingle's sets
+    are joined by length partition. Pairs are yet to be verified.
+    """
+    each = posts.join(parts, posts.key == parts.node, "left").withColumn("part", F.xxhash64(F.coalesce("component", "key"))).drop("node", "component")
     # parts that meet; pairs are never taken within the largest part of a shingle, which may hold most sets
-    tops = each.groupBy("sig").agg(F.mode("part").alias("top"), several.alias("several")).where("several").select("sig", "top")
-    rows = written(each.join(tops, "sig"), "postings")
+    tops = each.groupBy("sig").agg(F.mode("part").alias("top"), (F.min("part") < F.max("part")).alias("several")).where("several").select("sig", "top")
+    rows = written(each.join(tops, "sig").withColumn("lp", length_partition(F.col("n"), threshold)), "meeting")
     names = ["key", "part", "n", "p", "sketch"]
     half = (1 - threshold) / (1 + threshold)
     x = rows.where(F.col("p") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9))
-    y = rows.select("sig", *[F.col(c).alias(f"{c}2") for c in names], F.col("top").alias("top2"))
+    y = rows.select("sig", F.explode(F.array(F.col("lp"), F.col("lp") - 1)).alias("lp"), *[F.col(c).alias(f"{c}2") for c in names], F.col("top").alias("top2"))
     n, m = F.col("n"), F.col("n2")
     order = (n < m) | ((n == m) & (F.col("key") < F.col("key2")))
     sizes = (F.col("part") != F.col("part2")) & order & (n >= F.ceil(F.lit(threshold) * m - 1e-9))
     enough = F.least(n - F.col("p"), m - F.col("p2")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
     differ = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)]
     near = sizes & enough & (reduce(add, differ) <= F.floor(F.lit(half) * (n + m) + 1e-9))
-    found = x.where("part <> top").join(y, "sig").where(near).unionByName(x.where("part = top").join(y.where("part2 <> top2"), "sig").where(near))
+    on = ["sig", "lp"]
+    found = x.where("part <> top").join(y, on).where(near).unionByName(x.where("part = top").join(y.where("part2 <> top2"), on).where(near))
     return found.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("m")).distinct()
+
+
+def pairs(texts: DataFrame, parts: DataFrame, grams, threshold: float) -> DataFrame:
+    """(key, m): every pair of (key, text) rows that can have a Jaccard of ``threshold``, unless it is of one part."""
+    return join_postings(postings(texts, grams, threshold), parts, threshold)

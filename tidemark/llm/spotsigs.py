@@ -15,7 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, read, with_range, written
+from tidemark.llm.bloom import build_filter, might_hold
+from tidemark.llm.common import connected_components, merged_components, read, small_batches, with_range, written
+from tidemark.llm.prefix import join_postings, pivot_pairs, postings
 
 # Anchors and further common words, in English, German, French and Spanish.
 ANCHORS = frozenset("a an is the das der die ist la le les un una el los est es".split())
@@ -76,17 +78,23 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, run, schema: str) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, run, schema: str, told: DataFrame | None = None) -> DataFrame:
     """Apply ``run(iterator of (id, text, next text))`` in descending id order, the first row following the last.
 
+    With ``told``, (id, key, class_id) rows with the md5 of each text as key, the iterator's rows also have the class.
+
     Ranges of ids are cut at approximate quantiles, each range also gets the first row of the range after it, and the
     texts are shuffled once. Rows of one id are ordered by text; null ids come last.
     """
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    if told is not None:  # few bytes each: they travel with the texts, so that these are dealt once
+        none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        rows = rows.select("id", "text", none("binary", "key"), none("long", "class_id")).unionByName(told.select("id", none("string", "text"), "key", "class_id"))
+    more = [c for c in rows.columns if c not in ("id", "text")]
     rows, n = with_range(rows, "id", "b")
-    rows = rows.select("id", "text", F.when(F.col("b") == n - 1, n).otherwise(n - F.col("b")).alias("r"))
+    rows = rows.select("id", "text", *more, F.when(F.col("b") == n - 1, n).otherwise(n - F.col("b")).alias("r"))
     tops = rows.groupBy("r").agg(F.max("id").alias("top")).collect()  # one row a range
     ranges = sorted(r["r"] for r in tops)
     if not ranges:
@@ -96,16 +104,24 @@ def with_next(df: DataFrame, id_col: str, text_col: str, run, schema: str) -> Da
     first = F.broadcast(spark.createDataFrame([(r["r"], r["top"], before[r["r"]]) for r in tops], f"r2 int, top {kind}, b int"))
     heads = rows.join(first, (F.col("r") == F.col("r2")) & F.col("id").eqNullSafe(F.col("top")))
     heads = heads.groupBy("b").agg(F.min("text").alias("text")).select(F.lit(None).cast(kind).alias("id"), "text", F.col("b").alias("r"), F.lit(1).alias("head"))
-    dealt = rows.withColumn("head", F.lit(0)).unionByName(heads).repartition(parts, "r")
-    dealt = dealt.sortWithinPartitions("r", "head", F.col("id").desc_nulls_last(), "text")
+    dealt = rows.withColumn("head", F.lit(0)).unionByName(heads, allowMissingColumns=True).repartition(parts, "r")
+    dealt = dealt.sortWithinPartitions("r", "head", F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
+
+    carried = told is not None
 
     def pairs(batches):
-        pending = None
+        pending, of, known = None, None, {}
         for b in batches:
-            for r, i, t, head in zip(*(b.column(c).to_pylist() for c in ("r", "id", "text", "head")), strict=True):
+            extra = [b.column(c).to_pylist() for c in more] or [[None] * b.num_rows] * 2
+            for r, i, t, head, key, c in zip(*(b.column(c).to_pylist() for c in ("r", "id", "text", "head")), *extra, strict=True):
+                if t is None:  # what is told about the texts of an id comes before them
+                    if (r, i) != of:
+                        of, known = (r, i), {}
+                    known[key] = c
+                    continue
                 if pending:
-                    yield pending[1], pending[2], t
-                pending = None if head else (r, i, t)
+                    yield (*pending[:2], t, *pending[2:])
+                pending = None if head else (i, t) if not carried else (i, t, known.get(hashlib.md5(t.encode()).digest()) if (r, i) == of else None)
 
     def task(batches):
         yield from run(pairs(batches))
@@ -120,61 +136,97 @@ def _compare(rows):
     names = [c.split()[0] for c in OP1_SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     out: list[tuple] = []
+
+    def batch(out):
+        n = len(out[0])  # with the class or without
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [*kinds, pa.int64()][:n], strict=True)], [*names, "class_id"][:n])
+
     text = sigs = None
-    for i, t, following in rows:
+    for i, t, following, *more in rows:
         own = sigs if t is text else spot_signatures(t)
         new = edited(t, following)
         text, sigs = following, spot_signatures(following)
         new_sigs = spot_signatures(new)
-        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), digest(own), digest(new_sigs), jaccard(own, new_sigs), jaccard(own, sigs)))
+        out.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), digest(own), digest(new_sigs), jaccard(own, new_sigs), jaccard(own, sigs), *more))
         if len(out) == 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+            yield batch(out)
             out = []
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        yield batch(out)
 
 
-def op1_spotsigs(spark, sf_dir):
-    return with_next(read(spark, sf_dir, "documents"), "doc_id", "text", _compare, OP1_SCHEMA)
+def _as_sets(chain: int):
+    """(key, text) -> (key, s): the sorted signature hashes of a text as bytes."""
 
+    def run(batches):
+        for b in batches:
+            sigs = [np.array(sorted(spot_signatures(t, chain)), np.uint64).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["key", "s"])
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
-    """(id, class_id, n_links): rows whose fingerprints have a Jaccard of at least ``threshold`` share a class.
+    return run
 
-    Equal fingerprints are one class at once. Distinct ones are partitioned by set length, so that a partition's sets
-    can only match those of their own and the following partition; within these, two sets that match must share one of
-    the first (rarest) n - ceil(threshold * n) + 1 signatures, which is what they are joined on before the pruned exact
-    comparison. class_id is the smallest id of the class; n_links counts links to other fingerprints. Texts without
-    words form one class. Null ids take part but name no class.
-    """
-    kind = df.schema[id_col].dataType.simpleString()
+
+def _alike(threshold: float):
+    """(key, m, s, s2) -> (key, m) where the pruned Jaccard of the two sets reaches the threshold."""
 
     def run(batches):
         for b in batches:
-            sigs = [sorted(spot_signatures(t, chain)) for t in b.column(1).to_pylist()]
-            signed = [np.array(s, np.uint64).view(np.int64).tolist() for s in sigs]
-            keys = [hashlib.md5(np.array(s, ">u8").tobytes()).hexdigest() for s in sigs]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array(signed, pa.list_(pa.int64()))], ["id", "k", "s"])
-
-    marked = written(df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, k string, s array<bigint>"), "spots")
-    sets = written(marked.dropDuplicates(["k"]).select("k", "s").where("size(s) > 0"), "sets")
-    each = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("sig"))
-    counts = each.groupBy("sig").agg(F.count("*").alias("f")).where("f > 1")
-    # a signature of one set only can link nothing; it takes a place in the prefix all the same
-    ranked = each.join(counts, "sig", "left").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "sig"))).alias("o"))
-    keep = (F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).cast("int")
-    step = float(np.log(1 / threshold)) if threshold < 1 else 1.0
-    prefix = ranked.select("k", "n", F.explode(F.slice("o", F.lit(1), keep)).alias("x")).where("x.f > 1")
-    prefix = prefix.select("k", "n", F.col("x.sig").alias("sig"), F.floor(F.log(F.col("n").cast("double")) / step).alias("part"))
-    probe = prefix.select(F.col("k").alias("k2"), F.col("n").alias("n2"), "sig", F.explode(F.array(F.col("part"), F.col("part") - 1)).alias("part"))
-    near = (F.col("n") <= F.col("n2")) & (F.col("n") >= F.lit(threshold) * F.col("n2")) & ((F.col("n") < F.col("n2")) | (F.col("k") < F.col("k2")))
-    pairs = prefix.join(probe, ["sig", "part"]).where(near).select("k", "k2").distinct()
-    both = pairs.join(sets, "k").join(sets.select(F.col("k").alias("k2"), F.col("s").alias("s2")), "k2")
-    common = F.size(F.array_intersect("s", "s2"))
-    links = written(both.where(common >= F.lit(threshold) * (F.size("s") + F.size("s2") - common) - 1e-9).select("k", "k2"), "links")
-    parts = connected_components(links, "k", "k2")
-    degree = links.select("k").union(links.select("k2")).groupBy("k").agg(F.count("*").alias("n_links"))
-    classes = marked.groupBy("k").agg(F.min("id").alias("least")).join(parts, F.col("k") == F.col("node"), "left").join(degree, "k", "left")
-    classes = classes.select("k", "least", F.coalesce("component", "k").alias("part"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = classes.join(classes.groupBy("part").agg(F.min("least").alias("class_id")), "part").select("k", "class_id", "n_links")
-    return marked.select("id", "k").join(named, "k").select("id", "class_id", "n_links")
+            ok, last, held = [], None, frozenset()
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if y != last:  # rows come in runs of one partner
+                    last, held = y, frozenset(np.frombuffer(y, np.uint64).tolist())
+                small, large = sorted((len(x) // 8, len(held)))
+                ok.append(small >= threshold * large - 1e-9 and jaccard(frozenset(np.frombuffer(x, np.uint64).tolist()), held) >= threshold)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["key", "m"]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
+    """(id, key, class_id), key being the md5 of the text: rows whose fingerprints have a Jaccard of at least ``threshold``, or a chain of such rows, share
+    a class.
+
+    Equal texts take part once. Fingerprints are partitioned by set length, so that a partition's sets can only match
+    those of their own and the adjacent one; within these, two sets that match share one of their first (rarest)
+    signatures. First each set meets the first one of its partition with such a signature; between the groups found so,
+    all pairs are compared whose lengths, prefixes and sketches allow it. Every pair is verified by the pruned Jaccard.
+    class_id is the smallest id of the class. Texts without words, null ones among them, form one class. Null ids take
+    part but name no class; a repeated row is of the class of the other. No rows give none.
+    """
+    spark = df.sparkSession
+    base = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    small_batches(spark)
+    ids = written(base.select("id", "key"), "ids")
+    texts = base.select("key", "text")
+    posts = postings(texts, lambda t: [s.to_bytes(8, "little") for s in spot_signatures(t, chain)] or [b""], threshold)
+
+    def verified(near: DataFrame) -> DataFrame:
+        near = written(near, "candidates")
+        sent = build_filter(near.select("key").union(near.select("m")).distinct().select(F.hex("key").alias("h")), "h")
+        sets = texts.where(might_hold(spark, sent, F.hex("key"))).mapInArrow(_as_sets(chain), "key binary, s binary")
+        sets = written(sets.dropDuplicates(["key"]), "sets")
+        both = near.join(sets, "key").join(sets.select(F.col("key").alias("m"), F.col("s").alias("s2")), "m")
+        return both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary")
+
+    parts = written(connected_components(verified(pivot_pairs(posts, threshold)), "key", "m"), "parts")
+    parts = merged_components(parts, verified(join_postings(posts, parts, threshold)), "key", "m")
+    least = ids.groupBy("key").agg(F.min("id").alias("least"))
+    each = least.join(parts, least.key == parts.node, "left").select("key", "least", F.coalesce("component", "key").alias("part"))
+    named = each.join(each.groupBy("part").agg(F.min("least").alias("class_id")), "part").select(F.col("key").alias("k"), "class_id")
+    return written(ids.join(named, F.col("key") == F.col("k")).select("id", "key", "class_id"), "spot-classes")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
+    """(id, class_id) of every row, as of ``classes``."""
+    return classes(df, id_col, text_col, threshold, chain).select("id", "class_id")
+
+
+def op1_spotsigs(spark, sf_dir):
+    """Fingerprints of every text and its edited text, and the class of near duplicates by fingerprint.
+
+    Null texts are empty; texts without words have an empty fingerprint and are alike. Repeated rows stay repeated, with
+    the next row in order as theirs; null ids come last and have no class of their own. No rows give none.
+    """
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    told = classes(docs).distinct()
+    return with_next(docs, "doc_id", "text", _compare, f"{OP1_SCHEMA}, class_id long", told)
