@@ -16,9 +16,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only in local mode, where none is configured."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
@@ -32,6 +34,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``written`` table that nothing will read again."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most ``rows`` rows for whole texts in Python workers, unless the session has a size of its own.
 
@@ -70,7 +80,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Alternating large-star and small-star steps: each is an aggregation to the smallest neighbour (combined
     before the shuffle) and a join that Spark can split when one node has very many links. Every round is
-    written to the shared folder. Self-links and repeated links are ignored; no edges give an empty result.
+    written to the shared folder and replaces the one before. Self-links and repeated links are ignored; no edges give an
+    empty result. The number of rounds grows with the logarithm of the longest chain; ``max_rounds`` is a guard.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     state, seen = written(pairs, "links"), None
@@ -86,7 +97,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        state = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, state = state, written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
     raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
 
 

@@ -108,4 +108,6 @@ def clean(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFra
 
 
 def op8_decontaminate(spark, sf_dir):
+    """Words of every document, how many are in benchmark windows, and the items hit. Null texts have no words; repeated
+    rows get the same answer; an empty benchmark hits nothing; no documents give no rows."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -30,12 +30,24 @@ def records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
 
 
 def offsets(recs: DataFrame) -> DataFrame:
-    """(file, record_id, nth, start, n_bytes, sha256) in file order: by id, repeats of an id by their content."""
+    """(file, record_id, nth, start, n_bytes, sha256) in file order: by id, repeats of an id by their content.
+
+    Equal records are one row until the end, and records of one id are dealt by the first byte of their hash, so pages
+    without an id or of one id need no task of their own. Sizes are summed by cell before they are added up in order.
+    """
     hashed = recs.select("file", "record_id", F.length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("sha256"))
-    order = Window.partitionBy("file").orderBy("record_id", "sha256")  # an archive file is bounded
-    before = F.coalesce(F.sum("n_bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    same = Window.partitionBy("file", "record_id").orderBy("sha256")
-    return hashed.select("file", "record_id", F.row_number().over(same).alias("nth"), before.alias("start"), "n_bytes", "sha256")
+    same = hashed.groupBy("file", "record_id", "sha256", "n_bytes").agg(F.count("*").alias("c")).withColumn("cell", F.substring("sha256", 1, 2))
+    size = F.col("n_bytes") * F.col("c")
+    sums = same.groupBy("file", "record_id", "cell").agg(F.sum(size).alias("b"), F.sum("c").alias("n"))
+    past = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(past(w)), F.lit(0).cast("long"))
+    of_file = Window.partitionBy("file").orderBy("record_id", "cell")  # at most PER_FILE ids of at most 256 cells
+    of_id = Window.partitionBy("file", "record_id").orderBy("cell")
+    before = sums.select(F.col("file").alias("f"), F.col("record_id").alias("i"), F.col("cell").alias("x"), so_far("b", of_file).alias("at"), so_far("n", of_id).alias("seen"))
+    rows = same.join(before, (same.file == before.f) & same.record_id.eqNullSafe(before.i) & (same.cell == before.x))
+    inside = Window.partitionBy("file", "record_id", "cell").orderBy("sha256")
+    rows = rows.select("file", "record_id", "n_bytes", "sha256", (F.col("at") + so_far(size, inside)).alias("at"), (F.col("seen") + so_far(F.col("c"), inside)).alias("seen"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k"))
+    return rows.select("file", "record_id", (F.col("seen") + F.col("k") + 1).cast("int").alias("nth"), (F.col("at") + F.col("k") * F.col("n_bytes")).alias("start"), "n_bytes", "sha256")
 
 
 def tree(leaves: DataFrame, levels: int) -> list[DataFrame]:
@@ -100,6 +112,8 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def op4_warc_fixity(spark, sf_dir):
+    """Every record with its place, digest and status. Null urls and html are empty, pages without an id are in file -1,
+    repeated ids are told apart by content; no pages give no rows."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return audit(offsets(records(pages)), offsets(records(damaged(pages)))).drop("nth").withColumnRenamed("record_id", "page_id")
 

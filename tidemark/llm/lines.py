@@ -234,5 +234,7 @@ def clean(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_CHARS) -
 
 
 def op7_line_dedup(spark, sf_dir):
+    """Lines of every document, how many stay and which go. Null texts have one empty line; empty lines stay; of equal
+    rows both keep the same lines; rows without an id come last in order; no rows give none."""
     found = removed_lines(read(spark, sf_dir, "documents"), min_chars=1)
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size("gone")).alias("n_kept"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))

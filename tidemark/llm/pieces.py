@@ -300,6 +300,8 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark, sf_dir):
+    """Number and digest of the ids of every text and the digest of what they decode to. Null texts are empty; repeated
+    rows stay repeated; no rows give none."""
     import public_tokenizers
 
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

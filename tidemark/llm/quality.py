@@ -19,7 +19,6 @@ from tidemark.llm.common import read, small_batches
 
 PASSAGE = 1024  # bytes
 SAMPLE_DOCS = 4000  # labelled documents that are learned from, at most: the first by a hash of the id
-SAMPLE_PASSAGES = 32  # evenly spaced passages of such a document, at most; scoring takes them all
 THRESHOLD = 0.3
 
 
@@ -128,7 +127,8 @@ def held_out(doc_id):
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """Fit on at most ``sample_docs`` labelled rows outside the held-out fifth; None if there are none.
 
-    Repeated labels of a document are averaged and rounded up; null labels and labels without a document are ignored.
+    Every passage of such a document counts. Repeated labels of a document are averaged and rounded up; null labels and
+    labels without a document are ignored.
     Of repeated rows of a document one is learned from, whatever their order: that of the smallest features.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -139,12 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_doc
 
     def run(batches):
         for b in batches:
-            out = []
-            for t in b.column(2).to_pylist():
-                f = features(t)
-                if len(f) > SAMPLE_PASSAGES:
-                    f = f[np.linspace(0, len(f) - 1, SAMPLE_PASSAGES).astype(int)]
-                out.append(f.tobytes())
+            out = [features(t).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "y", "f"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,6 +180,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
 
 
 def op10_quality(spark, sf_dir):
+    """Held out or not, score and prediction of every row. Null and empty texts are scored like any others; repeated rows
+    get the same score; without usable labels every score is 0.5; no documents give no rows."""
     docs = read(spark, sf_dir, "documents")
     scored = score(docs, learn(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

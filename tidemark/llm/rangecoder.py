@@ -308,6 +308,8 @@ def read_index(spark, path: str) -> DataFrame:
 
 
 def op9_range_coder(spark, sf_dir):
+    """Place, number and checksum of every document's ids, as read back from the files. Null texts have only the end id;
+    rows of one id are in order of text; rows without an id come last; no rows give none."""
     import uuid
 
     import public_tokenizers

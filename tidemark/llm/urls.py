@@ -71,6 +71,8 @@ def marked_urls(pages: DataFrame, marker: str = MARKER) -> DataFrame:
 
 
 def op2_url_filter(spark, sf_dir):
+    """Every page with host, path, rule, verdict and whether it is listed. Null and schemeless urls have neither host nor
+    path; repeated pages get the same answer; no pages give no rows."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return judge(pages, marked_urls(pages)).select("page_id", "host", "path", "rule", "verdict", "listed")
 
