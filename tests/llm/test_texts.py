@@ -476,3 +476,21 @@ def test_spotsigs_query_tells_classes(spark, tmp_path):
     least = {p: min(r[0] for r, q in zip(rows, part, strict=True) if q == p and r[0] is not None) for p in part}
     assert sorted(((r["doc_id"], r["class_id"]) for r in found), key=str) == sorted(((r[0], least[p]) for r, p in zip(rows, part, strict=True)), key=str)
     assert len(found) == len(rows) and len({r["class_id"] for r in found}) == 4
+
+
+def test_words_match_the_tokenizers_library():
+    rng = random.Random(2)
+    own = rangecoder.Words(tokenizer("byte_bpe_50k.json"), keep=500)
+    some = " \n\t\r\x0b\x1c\x85\xa0abzé's'llİſ123²½ªµ!?.,-–—…€“”"
+    texts = ["".join(rng.choice(some + odd) for _ in range(rng.randrange(60))) for odd in ("", "日本　🎉\x00") for _ in range(1500)] + ["<|endoftext|> a", "", "a\n\n\n b  c \n", "x" * 20000]
+    want = [e.ids for e in own.library.encode_batch(texts, add_special_tokens=False)]
+    for lo in range(0, len(texts), 400):
+        assert [x.tolist() for x in own.encode(texts[lo : lo + 400])] == want[lo : lo + 400]
+
+
+def test_range_coder_on_many_blocks():
+    rng = np.random.default_rng(3)
+    blocks = [(rng.zipf(1.2, rng.integers(0, rangecoder.BLOCK + 1)) % 50257).astype(np.int64) for _ in range(120)]
+    data = rangecoder.encode_blocks(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode_blocks(data), strict=True))
+    assert sum(map(len, data)) < 2 * sum(map(len, blocks))
