@@ -494,3 +494,17 @@ def test_range_coder_on_many_blocks():
     data = rangecoder.encode_blocks(blocks)
     assert all(np.array_equal(a, b) for a, b in zip(blocks, rangecoder.decode_blocks(data), strict=True))
     assert sum(map(len, data)) < 2 * sum(map(len, blocks))
+
+
+def test_all_lines_against_all_pairs(spark):
+    rng = random.Random(14)
+    texts = ["-" * n for n in range(3, 30)] + ["ab" * n for n in range(2, 12)] + ["abc" * n + "ab" for n in range(1, 6)] + ["xyzzy", "xyzzyx", "les.", "Les. ", "abababa", "bababab"]
+    for _ in range(60):
+        t = "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(5, 80))).strip() or "x"
+        texts += [t, t[: len(t) // 2] + rng.choice("xyz") + t[len(t) // 2 + 1 :], t + rng.choice("xyz"), t[2:]]
+    lowered = [t.lower().strip() for t in texts]
+    part = components(len(texts), lambda i, j: lowered[i] == lowered[j] or lines.similarity(lowered[i], lowered[j]) >= 0.8)
+    first = {p: i for i, p in reversed(list(enumerate(part)))}
+    rows = {r["doc_id"]: r["gone"] for r in lines.removed_lines(lines_as_docs(spark, texts), min_chars=1).collect()}
+    want, got = {i for i, p in enumerate(part) if first[p] != i}, {i for i in rows if rows[i]}
+    assert got <= want and len(want - got) <= 0.02 * len(want) and set(range(3, 27)) <= got

@@ -3,14 +3,17 @@
 Lines are compared as sets of 5-character shingles. For candidates every line's 8-character shingles, which unrelated
 lines hardly share, are hashed once: they fall into bins by hash and each bin keeps its smallest hash (one-permutation
 MinHash, empty bins borrow from the next). Bands of four bins find candidates with high recall (98.7 % of pairs with a
-similarity of 0.80 to 0.85 when measured). A band's lines first meet its smallest and largest key; bands that then still
-hold lines of several components, lines of one template for instance, have all pairs of these compared, large bands by an
+similarity of 0.80 to 0.85 when measured). A band's lines first meet its smallest and largest key, those of a large band
+some further pivots; bands that then still hold lines of several components, lines of one template for instance, have all pairs of these compared, large bands by an
 exact prefix join, so that no pair of a band is left out. Each candidate is verified by the exact Jaccard; distributed union-find joins what
 is alike, and one line of each component, the first by document id and position, stays.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +28,7 @@ WIDE = 8  # characters of a shingle in signatures
 BANDS, ROWS = 12, 4
 BINS = 48
 GROUP_CHARS = 1 << 16  # characters of the lines whose signatures are computed at once: arrays of 0.5 MB
+PIVOTS = 4  # pairs of further pivots of a large band
 SMALL_BAND = 32  # lines of a band that are paired with one another; larger bands take the prefix join
 MIN_CHARS = 10  # unless a caller asks for shorter lines too, as the query and the pipeline do; empty lines always stay
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -40,19 +44,24 @@ def bands(lines: list[str]) -> np.ndarray:
     sizes = np.array([len(x) for x in lines])
     ends = np.cumsum(sizes)
     # polynomial hash of every WIDE characters: runs of 1, 2, 4 and 8 are joined pairwise
-    h, base = chars + np.uint64(1), 0x100000001B3
+    h, base = chars, 0x100000001B3
+    h += np.uint64(1)
     for run in (1, 2, 4):
-        h = h[:-run] * np.uint64(pow(base, run, 1 << 64)) + h[run:]
+        joined = h[:-run] * np.uint64(pow(base, run, 1 << 64))
+        joined += h[run:]
+        h = joined
     h ^= h >> np.uint64(31)
     h *= _M
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(32)
-    line = np.repeat(np.arange(len(lines)), sizes)[: len(h)]
-    whole = np.arange(len(h)) + WIDE <= ends[line]
+    whole = np.ones(len(h), bool)
+    whole[(ends[:-1, None] - np.arange(WIDE - 1, 0, -1)).ravel()] = False  # these reach into the next line
+    h = h[whole]
+    at = ((h >> np.uint64(44)).astype(np.uint32) * np.uint32(BINS) >> np.uint32(20)).astype(np.int64)
+    at += np.repeat(np.arange(len(lines)) * BINS, sizes - (WIDE - 1))
     sig = np.full(len(lines) * BINS, _NONE, np.uint64)
-    at = line * BINS + ((h >> np.uint64(44)) * np.uint64(BINS) >> np.uint64(20)).astype(np.int64)
-    np.minimum.at(sig, at[whole], (h & np.uint64((1 << 44) - 1))[whole])
+    np.minimum.at(sig, at, h & np.uint64((1 << 44) - 1))
     sig = sig.reshape(-1, BINS)
     short = np.flatnonzero((sig == _NONE).any(axis=1))
     if len(short):
@@ -165,12 +174,26 @@ def _verify_task(threshold: float):
     return run
 
 
+def same_sets(lines: DataFrame) -> DataFrame:
+    """(key, m): lines too short for a signature, or of a period of three characters at most, and the smallest key of
+    those with the very same shingles. Lines with so few shingles are alike only if they have the same ones."""
+    line = F.col("line")
+    periodic = reduce(or_, [F.substring(line, p + 1, 1 << 30) == line.substr(F.lit(1), F.length(line) - p) for p in (1, 2, 3)])
+    few = lines.where((F.length(line) >= SHINGLE) & ((F.length(line) < WIDE) | periodic)).select("key", "line").distinct()
+    head = F.substring(line, 1, WIDE - 1)  # holds every shingle of such a line
+    cut = F.transform(F.sequence(F.lit(1), F.length(head) - SHINGLE + 1), lambda i: F.col("line").substr(i, F.lit(SHINGLE)))
+    sets = few.select("key", F.to_json(F.array_sort(F.array_distinct(cut))).alias("set"))
+    first = sets.groupBy("set").agg(F.min("key").alias("m"), F.max("key").alias("last")).where("m <> last")
+    return sets.join(first, "set").where("key <> m").select("key", "m")
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, k, n_lines, gone): ``gone`` is the sorted array of positions of a document's lines that go.
 
     A document is an (id, text) pair, k being a hash of the text: repeated rows are one document and keep the same
     lines. Null texts have one empty line. Lines of fewer than ``min_chars`` characters stay, and empty ones. Lines of
-    fewer than WIDE characters are repeats only if they are equal.
+    fewer than WIDE characters have three shingles at most and are repeats only of lines with the same ones, lines of
+    fewer than SHINGLE characters only of equal ones.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("k"))
@@ -183,19 +206,23 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     full = each.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("band")
     sent = spark.sparkContext.broadcast(build_filter(written(full, "full"), "band"))
     marks = written(signed.mapInArrow(_mark_task(sent), "key binary, band long"), "bands")
-    ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    near = marks.join(ends, "band").select("key", F.explode(F.array("lo", "hi")).alias("m")).where("key <> m")
+    # large bands have further pivots, so that more of what is alike in them is joined before the exact search
+    orders = [F.xxhash64(F.lit(seed), "key") for seed in range(PIVOTS)]
+    more = F.array(*[x for h in orders for x in (F.min_by("key", h), F.max_by("key", h))])
+    ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), more.alias("more")).where("lo <> hi")
+    pivots = F.when(F.col("n") > SMALL_BAND, F.array_distinct(F.concat(F.array("lo", "hi"), "more"))).otherwise(F.array("lo", "hi"))
+    near = marks.join(ends.select("band", pivots.alias("pivots")), "band").select("key", F.explode("pivots").alias("m")).where("key <> m")
     near = written(near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct(), "candidates")
-    names = near.select("key").union(near.select("m")).distinct().select(F.hex("key").alias("h"))
-    sent = build_filter(names, "h")
-    texts = where.select("key", "line").where(might_hold(spark, sent, F.hex("key"))).dropDuplicates(["key"])
+    names = near.select("key").union(near.select("m")).distinct()
+    sent = build_filter(names, "key")
+    texts = where.select("key", "line").where(might_hold(spark, sent, "key")).dropDuplicates(["key"])
     texts = written(texts, "texts")
 
     def verified(near):
         both = near.join(texts, "key").join(texts.select(F.col("key").alias("m"), F.col("line").alias("other")), "m")
         return both.select("key", "m", "line", "other").mapInArrow(_verify_task(threshold), "key binary, m binary")
 
-    parts = written(connected_components(verified(near), "key", "m"), "parts")
+    parts = written(connected_components(verified(near).unionByName(same_sets(where)), "key", "m"), "parts")
     # bands of more than two lines whose lines are not all of one component have pairs that nobody has looked at
     named = marks.distinct().join(parts, marks.key == parts.node, "left").select("band", "key", F.coalesce("component", "key").alias("part"))
     sizes = named.groupBy("band").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count("*").alias("n")).where("a <> b and n > 2")
