@@ -508,3 +508,74 @@ def test_all_lines_against_all_pairs(spark):
     rows = {r["doc_id"]: r["gone"] for r in lines.removed_lines(lines_as_docs(spark, texts), min_chars=1).collect()}
     want, got = {i for i, p in enumerate(part) if first[p] != i}, {i for i in rows if rows[i]}
     assert got <= want and len(want - got) <= 0.02 * len(want) and set(range(3, 27)) <= got
+
+
+LONG = " ".join(f"w{i % 977}x{i % 1013}" for i in range(30000)) + "\n" + "the same tail of every long text, said once more. " * 20
+
+
+def test_long_texts_and_clashing_columns(spark, tmp_path):
+    """Texts of 300 KB through every operator, among empty ones, repeated rows and columns named like the operators' own."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    data = [(1, LONG), (2, LONG[:-500] + "another end"), (2, LONG[:-500] + "another end"), (3, ""), (None, None)]
+    df = spark.createDataFrame([(*r, *["x"] * 6) for r in data], "doc_id long, text string, key string, id string, band string, sig string, part string, fp string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, LONG[:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from tidemark.llm import queries
+
+    got = {n: f(spark, str(tmp_path)).collect() for n, f in queries.QUERIES.items() if n not in ("op2_url_filter", "op4_warc_fixity")}
+    assert all(len(rows) == len(data) for rows in got.values())
+    pick = lambda n, i=1: next(r for r in got[n] if r["doc_id"] == i)
+    alike = spotsigs.jaccard(*(spotsigs.spot_signatures(t) for t in (LONG, data[1][1]))) >= 0.8
+    assert pick("op1_spotsigs")["class_id"] == 1 and pick("op1_spotsigs", 2)["class_id"] == (1 if alike else 2) and pick("op1_spotsigs")["n_chars"] == len(LONG)
+    assert pick("op3_simhash")["fingerprint"] == f"{brute_simhash(LONG):016x}"
+    # the tail repeats itself, so all of both texts is said elsewhere
+    assert pick("op5_suffix_dedup", 2)["n_removed"] == len(data[1][1]) and pick("op5_suffix_dedup")["n_removed"] == len(LONG)
+    ids = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model")).encode(LONG, add_bos=True, add_eos=True)
+    assert pick("op6_sentencepiece")["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert pick("op7_line_dedup")["removed"] == "" and pick("op8_decontaminate")["contaminated"] and not pick("op8_decontaminate", 3)["contaminated"]
+    ids = [*Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).encode(LONG, add_special_tokens=False).ids, 2]
+    assert pick("op9_range_coder")["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert 0 <= pick("op10_quality", None)["score"] <= 1
+
+
+def test_no_rows_at_all(spark, tmp_path):
+    from tidemark.llm import queries
+
+    for t, kind in (("documents", "doc_id long, text string"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int"), ("pages", "page_id long, url string, html string")):
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert {n: f(spark, str(tmp_path)).count() for n, f in queries.QUERIES.items()} == dict.fromkeys(queries.QUERIES, 0)
+
+
+def test_suffix_dedup_at_the_length_of_the_query(spark):
+    rng = random.Random(15)
+    shared = words(rng, 80)
+    texts = [f"{words(rng, 30)} {shared[: 150 + 10 * i]} {words(rng, 30)}" for i in range(12)] + ["ab" * 300, "z" * 199, "z" * 201]
+    raw, n = [t.encode() for t in texts], 200
+    seen = Counter(t[i : i + n] for t in raw for i in range(len(t) - n + 1))
+    want = {}
+    for k, t in enumerate(raw):
+        gone = {b for i in range(len(t) - n + 1) if seen[t[i : i + n]] > 1 for b in range(i, i + n)}
+        want[k] = (len(gone), hashlib.sha256(bytes(b for i, b in enumerate(t) if i not in gone)).hexdigest())
+    rows = suffixes.repeated(lines_as_docs(spark, texts)).collect()
+    assert {r["id"]: (r["n_removed"], r["kept_sha256"]) for r in rows} == want and any(x for x, _ in want.values())
+
+
+def test_gradient_of_the_attention_model():
+    rng = np.random.default_rng(5)
+    x, starts, y = rng.normal(size=(9, 4)), np.array([0, 2, 3, 7]), np.array([1.0, 0, 0, 1])
+    w = {"E": rng.normal(size=(4, 3)), "e": rng.normal(size=3), "V": rng.normal(size=(3, 2)), "U": rng.normal(size=(3, 2)), "w": rng.normal(size=2), "c": rng.normal(size=3), "b": rng.normal(size=1)}
+
+    def loss(w):
+        p = quality._forward(w, x, starts)["p"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    grad = quality.gradient(w, x, starts, y)
+    for k in w:
+        for at in np.ndindex(w[k].shape):
+            up, down = ({**w, k: w[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - grad[k][at]) < 1e-6

@@ -93,6 +93,19 @@ def _forward(w, x, starts):
     return {"n": n, "h": h, "t": t, "g": g, "a": a, "z": z, "p": p}
 
 
+def gradient(w, x, starts, y) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of whole bags, by each weight."""
+    f = _forward(w, x, starts)
+    dz = (f["p"] - y)[:, None] / len(y)
+    dh_bag = np.repeat(dz * w["c"], f["n"], axis=0)
+    da = (dh_bag * f["h"]).sum(axis=1)
+    ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), f["n"]))
+    dtg = ds[:, None] * w["w"]
+    dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
+    dh = (f["a"][:, None] * dh_bag + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+    return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dz[:, 0], "b": dz.sum(axis=0)}
+
+
 def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, hidden: int = 16, gates: int = 8, steps: int = 300, rate: float = 0.02, decay: float = 1e-4) -> Model:
     """Adam on the cross-entropy of whole bags; the same input gives the same model."""
     rng = np.random.default_rng(7)
@@ -102,15 +115,7 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, hidden: int = 16, gate
     w = {"E": rng.normal(0, d**-0.5, (d, hidden)), "e": np.zeros(hidden), "V": rng.normal(0, 0.3, (hidden, gates)), "U": rng.normal(0, 0.3, (hidden, gates)), "w": rng.normal(0, 0.3, gates), "c": rng.normal(0, 0.3, hidden), "b": np.zeros(1)}
     m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        f = _forward(w, x, starts)
-        dz = (f["p"] - y)[:, None] / len(y)
-        dh_bag = np.repeat(dz * w["c"], f["n"], axis=0)
-        da = (dh_bag * f["h"]).sum(axis=1)
-        ds = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), f["n"]))
-        dtg = ds[:, None] * w["w"]
-        dt, dg = dtg * f["g"] * (1 - f["t"] ** 2), dtg * f["t"] * f["g"] * (1 - f["g"])
-        dh = (f["a"][:, None] * dh_bag + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-        grad = {"E": x.T @ dh, "e": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ dz[:, 0], "b": dz.sum(axis=0)}
+        grad = gradient(w, x, starts, y)
         for k, g in grad.items():
             g = g + decay * w[k]
             m1[k] = 0.9 * m1[k] + 0.1 * g
