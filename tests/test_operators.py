@@ -202,6 +202,7 @@ def test_flatten_and_admit(spark):
     df = spark.createDataFrame(raw, ingest.FACTS)
     every = ingest.flatten_all(df)
     assert every.count() == 8 and rows(ingest.flatten_all(df, "GAAP", "oth"), "concept", "unit", "val") == [("Other", "EUR", "3")]
+    assert rows(ingest.namespace_counts(every)) == sorted([("us-gaap", 7), ("dei", 1), (None, 8)], key=str)
     registry = spark.createDataFrame([("us-gaap", "Revenues", "revenue", 1, "x"), ("us-gaap", "Other", "revenue", 2, "x")], "taxonomy string, concept string, metric string, concept_priority int, unit string")
     found = ingest.flatten_facts(df, registry)
     assert found.count() == 7 and {r["metric"] for r in found.collect()} == {"revenue"}
@@ -523,6 +524,13 @@ def test_lineage_points_and_evidence(spark):
     assert rows(joins.point_join(anchor, [("price", price, ["cik"], "close"), ("identity", ident, ["cik"], "sec")]), "cik", "reason") == [("1", None), ("2", "NO_IDENTITY"), ("3", "NO_PRICE")]
 
 
+def test_point_screen_orders_its_reasons(spark):
+    c = spark.createDataFrame([(1, 5.0), (2, 50.0), (3, None), (4, 5.0)], "k int, p double")
+    ident = spark.createDataFrame([(1, "a", 1), (2, "b", 9), (3, "c", 1)], "k int, sec string, v int")
+    good, bad = joins.point_screen(c, [("identity", ident, ["k"], "sec")], {"p": (0, 10), "v": (0, 5)})
+    assert rows(good, "k") == [(1,)] and rows(bad, "k", "reason") == [(2, "OUTSIDE_P"), (3, "OUTSIDE_P"), (4, "NO_IDENTITY")]
+
+
 def test_series_coverage_places_gaps(spark):
     cells = [("s", 1, None, "blank"), ("s", 2, 0.0, None), ("s", 3, None, "cell_error"), ("s", 4, 5.0, None), ("s", 5, None, "blank"), ("none", 1, None, "blank"), (None, 1, 1.0, None)]
     df = spark.createDataFrame([(k, day(f"2024-01-0{d}"), v, r) for k, d, v, r in cells], "k string, d date, v double, r string")

@@ -74,6 +74,17 @@ def point_join(candidates: DataFrame, stages: list[tuple[str, DataFrame, list[st
     return out.withColumn("reason", reason)
 
 
+def point_screen(candidates: DataFrame, stages: list[tuple[str, DataFrame, list[str], str]], ranges: dict[str, tuple]) -> tuple[DataFrame, DataFrame]:
+    """J7 as a screen: (matches, rejected). Candidates are joined as by ``point_join``; of complete ones those within
+    every inclusive range match, the others are rejected as OUTSIDE_<COLUMN>, the first that fails. A null is outside."""
+    out = point_join(candidates, stages)
+    why = F.col("reason")
+    for col, (low, high) in reversed(ranges.items()):
+        why = F.coalesce(F.col("reason"), F.when(~F.coalesce(F.col(col).between(F.lit(low), F.lit(high)), F.lit(False)), f"OUTSIDE_{col.upper()}"), why)
+    out = out.withColumn("reason", why)
+    return out.where("reason is null").drop("reason"), out.where("reason is not null")
+
+
 def asof_latest(df: DataFrame, keys: list[str], ts: str, cutoff) -> DataFrame:
     """Per key the newest row not after the cutoff. Rows of one instant are told apart by their other columns."""
     rest = [c for c in df.columns if c not in keys]

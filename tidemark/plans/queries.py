@@ -359,6 +359,16 @@ def join_points(spark, sf_dir):
     return joins.point_join(c, stages).select("c_custkey", "reason", "close")
 
 
+@query("join_point_screen", """SELECT o_orderkey, CASE WHEN c_custkey IS NULL THEN 'NO_CUSTOMER' WHEN n_nationkey IS NULL THEN 'NO_NATION' WHEN o_totalprice NOT BETWEEN 50000 AND 250000 THEN 'OUTSIDE_O_TOTALPRICE' WHEN c_acctbal NOT BETWEEN 0 AND 5000 THEN 'OUTSIDE_C_ACCTBAL' END AS reason
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey <> 3) ON c_nationkey = n_nationkey""")
+def join_point_screen(spark, sf_dir):
+    o = V.table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice"])
+    c = V.table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_nationkey"]).where("c_custkey % 7 <> 0").withColumnRenamed("c_custkey", "o_custkey")
+    n = V.table(spark, sf_dir, "nation", ["n_nationkey", "n_name"]).where("n_nationkey <> 3").withColumnRenamed("n_nationkey", "c_nationkey")
+    good, bad = joins.point_screen(o, [("customer", c, ["o_custkey"], "c_acctbal"), ("nation", n, ["c_nationkey"], "n_name")], {"o_totalprice": (50000, 250000), "c_acctbal": (0, 5000)})
+    return good.select("o_orderkey", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("o_orderkey", "reason"))
+
+
 @query("join_asof_latest", "SELECT symbol, max(session_date)::VARCHAR AS session_date, arg_max(close, session_date) AS close FROM bars WHERE session_date <= DATE '2024-01-15' GROUP BY symbol", (V.BARS,))
 def join_asof_latest(spark, sf_dir):
     return text(joins.asof_latest(V.bars(spark, sf_dir), ["symbol"], "session_date", F.lit("2024-01-15").cast("date")).select("symbol", "session_date", "close"), "session_date")

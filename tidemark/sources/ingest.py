@@ -40,6 +40,11 @@ def flatten_all(raw: DataFrame, namespace: str | None = None, concept: str | Non
     return out.select("cik", "entityName", "taxonomy", "concept", "label", "unit", F.explode("rows").alias("r")).select("cik", "entityName", "taxonomy", "concept", "label", "unit", "r.*")
 
 
+def namespace_counts(flat: DataFrame) -> DataFrame:
+    """(taxonomy, n) of flattened facts, and their total in the row without a taxonomy."""
+    return flat.rollup("taxonomy").agg(F.count("*").alias("n"))
+
+
 def flatten_facts(raw: DataFrame, registry: DataFrame) -> DataFrame:
     """Facts of the registry's concepts with metric and priority. The registry (taxonomy, concept, metric,
     concept_priority, unit kind...) is a small reference table."""
