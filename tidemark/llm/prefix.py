@@ -28,6 +28,7 @@ from tidemark.llm.common import written
 SAMPLE = 16  # one of so many sets is looked at for common shingles
 COMMON, MOST = 3, 1 << 19  # a shingle is common if so many sampled sets hold it; so many of these are told apart
 SKETCH = 512  # bits
+LARGE, PIVOTS = 32, 4
 GROUP = 256  # texts whose prefixes are sent at once
 
 
@@ -95,13 +96,18 @@ def length_partition(n, threshold: float):
 
 
 def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
-    """(key, m): each set with the smallest key of its length partition that shares a prefix shingle with it.
+    """(key, m): each set with the smallest key of its length partition that shares a prefix shingle with it, and in
+    partitions of more than LARGE sets with those that PIVOTS hashed orders put first and last.
 
     That joins large groups with few pairs; ``join_postings`` then looks at what is between the groups.
     """
     rows = posts.select("key", "sig", length_partition(F.col("n"), threshold).alias("lp"))
-    first = rows.groupBy("sig", "lp").agg(F.min("key").alias("m"), F.max("key").alias("last")).where("m <> last").drop("last")
-    return rows.join(first, ["sig", "lp"]).where("key <> m").select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
+    orders = [F.xxhash64(F.lit(seed), "key") for seed in range(PIVOTS)]
+    more = F.array(*[x for h in orders for x in (F.min_by("key", h), F.max_by("key", h))])
+    ends = rows.groupBy("sig", "lp").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), more.alias("more")).where("lo <> hi")
+    pivots = F.when(F.col("n") > LARGE, F.array_distinct(F.concat(F.array("lo", "hi"), "more"))).otherwise(F.array("lo"))
+    near = rows.join(ends.select("sig", "lp", pivots.alias("pivots")), ["sig", "lp"]).select("key", F.explode("pivots").alias("m")).where("key <> m")
+    return near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
 
 
 def join_postings(posts: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:

@@ -188,7 +188,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     Equal texts take part once. Fingerprints are partitioned by set length, so that a partition's sets can only match
     those of their own and the adjacent one; within these, two sets that match share one of their first (rarest)
-    signatures. First each set meets the first one of its partition with such a signature; between the groups found so,
+    signatures. First each set meets some pivots of its partition with such a signature; between the groups found so,
     all pairs are compared whose lengths, prefixes and sketches allow it. Every pair is verified by the pruned Jaccard.
     class_id is the smallest id of the class. Texts without words, null ones among them, form one class. Null ids take
     part but name no class; a repeated row is of the class of the other. No rows give none.
@@ -202,8 +202,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     def verified(near: DataFrame) -> DataFrame:
         near = written(near, "candidates")
-        sent = build_filter(near.select("key").union(near.select("m")).distinct().select(F.hex("key").alias("h")), "h")
-        sets = texts.where(might_hold(spark, sent, F.hex("key"))).mapInArrow(_as_sets(chain), "key binary, s binary")
+        sent = build_filter(near.select("key").union(near.select("m")).distinct().select("key"), "key")
+        sets = texts.where(might_hold(spark, sent, "key")).mapInArrow(_as_sets(chain), "key binary, s binary")
         sets = written(sets.dropDuplicates(["key"]), "sets")
         both = near.join(sets, "key").join(sets.select(F.col("key").alias("m"), F.col("s").alias("s2")), "m")
         return both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary")
