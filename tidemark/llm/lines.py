@@ -28,7 +28,7 @@ WIDE = 8  # characters of a shingle in signatures
 BANDS, ROWS = 12, 4
 BINS = 48
 GROUP_CHARS = 1 << 16  # characters of the lines whose signatures are computed at once: arrays of 0.5 MB
-PIVOTS = 4  # pairs of further pivots of a large band
+LARGE_BAND, PIVOTS = 256, 4  # lines of a band beyond which it has so many pairs of further pivots
 SMALL_BAND = 32  # lines of a band that are paired with one another; larger bands take the prefix join
 MIN_CHARS = 10  # unless a caller asks for shorter lines too, as the query and the pipeline do; empty lines always stay
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -178,7 +178,8 @@ def same_sets(lines: DataFrame) -> DataFrame:
     """(key, m): lines too short for a signature, or of a period of three characters at most, and the smallest key of
     those with the very same shingles. Lines with so few shingles are alike only if they have the same ones."""
     line = F.col("line")
-    periodic = reduce(or_, [F.substring(line, p + 1, 1 << 30) == line.substr(F.lit(1), F.length(line) - p) for p in (1, 2, 3)])
+    begins = reduce(or_, [F.substring(line, p + 1, WIDE - p) == F.substring(line, 1, WIDE - p) for p in (1, 2, 3)])  # cheap, and false for most
+    periodic = begins & reduce(or_, [F.substring(line, p + 1, 1 << 30) == line.substr(F.lit(1), F.length(line) - p) for p in (1, 2, 3)])
     few = lines.where((F.length(line) >= SHINGLE) & ((F.length(line) < WIDE) | periodic)).select("key", "line").distinct()
     head = F.substring(line, 1, WIDE - 1)  # holds every shingle of such a line
     cut = F.transform(F.sequence(F.lit(1), F.length(head) - SHINGLE + 1), lambda i: F.col("line").substr(i, F.lit(SHINGLE)))
@@ -206,12 +207,13 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     full = each.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("band")
     sent = spark.sparkContext.broadcast(build_filter(written(full, "full"), "band"))
     marks = written(signed.mapInArrow(_mark_task(sent), "key binary, band long"), "bands")
+    ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    near = marks.join(ends.select("band", "lo", "hi"), "band").select("key", F.explode(F.array("lo", "hi")).alias("m"))
     # large bands have further pivots, so that more of what is alike in them is joined before the exact search
     orders = [F.xxhash64(F.lit(seed), "key") for seed in range(PIVOTS)]
     more = F.array(*[x for h in orders for x in (F.min_by("key", h), F.max_by("key", h))])
-    ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"), more.alias("more")).where("lo <> hi")
-    pivots = F.when(F.col("n") > SMALL_BAND, F.array_distinct(F.concat(F.array("lo", "hi"), "more"))).otherwise(F.array("lo", "hi"))
-    near = marks.join(ends.select("band", pivots.alias("pivots")), "band").select("key", F.explode("pivots").alias("m")).where("key <> m")
+    pivots = marks.join(ends.where(F.col("n") > LARGE_BAND).select("band"), "band").groupBy("band").agg(more.alias("pivots"))
+    near = near.union(marks.join(pivots, "band").select("key", F.explode("pivots").alias("m"))).where("key <> m")
     near = written(near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct(), "candidates")
     names = near.select("key").union(near.select("m")).distinct()
     sent = build_filter(names, "key")

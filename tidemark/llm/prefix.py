@@ -8,7 +8,7 @@ only decides how much is compared; no pair is lost by it.
 
 A set also carries a parity sketch: a bit for each of SKETCH hash values, set if an odd number of its shingles has the
 value. Two sketches differ in at most as many bits as the sets differ in shingles, so a pair whose sketches differ in more
-than (1 - t) / (1 + t) * (n + m) bits can't have a Jaccard of t and never leaves the join. Sets are joined by length partition:
+than (1 - t) / (1 + t) * (n + m) bits can't have a Jaccard of t and never leaves the join. Sets may be joined by length partition:
 n and m of such a pair lie in the same or in adjacent ones.
 """
 
@@ -110,11 +110,11 @@ def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
 
 
-def join_postings(posts: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_length: bool = False) -> DataFrame:
     """(key, m): every pair of ``postings`` sets that can have a Jaccard of ``threshold``, unless it is of one part.
 
-    ``parts`` is (node, component) as of ``connected_components``; other keys are parts of their own. A shingle's sets
-    are joined by length partition. Pairs are yet to be verified.
+    ``parts`` is (node, component) as of ``connected_components``; other keys are parts of their own. ``by_length`` first
+    tells by length partition which sets of a shingle can match. Pairs are yet to be verified.
     """
     each = posts.join(parts, posts.key == parts.node, "left").withColumn("part", F.xxhash64(F.coalesce("component", "key"))).drop("node", "component")
     # parts that meet; pairs are never taken within the largest part of a shingle, which may hold most sets
@@ -123,14 +123,16 @@ def join_postings(posts: DataFrame, parts: DataFrame, threshold: float) -> DataF
     names = ["key", "part", "n", "p", "sketch"]
     half = (1 - threshold) / (1 + threshold)
     x = rows.where(F.col("p") <= F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9))
-    y = rows.select("sig", F.explode(F.array(F.col("lp"), F.col("lp") - 1)).alias("lp"), *[F.col(c).alias(f"{c}2") for c in names], F.col("top").alias("top2"))
+    y = rows.select("sig", F.col("lp").alias("lp2"), *[F.col(c).alias(f"{c}2") for c in names], F.col("top").alias("top2"))
     n, m = F.col("n"), F.col("n2")
     order = (n < m) | ((n == m) & (F.col("key") < F.col("key2")))
     sizes = (F.col("part") != F.col("part2")) & order & (n >= F.ceil(F.lit(threshold) * m - 1e-9))
     enough = F.least(n - F.col("p"), m - F.col("p2")) >= F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - 1e-9)
     differ = [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)]
     near = sizes & enough & (reduce(add, differ) <= F.floor(F.lit(half) * (n + m) + 1e-9))
-    on = ["sig", "lp"]
+    if by_length:
+        near = F.col("lp2").between(F.col("lp"), F.col("lp") + 1) & near
+    on = "sig"
     found = x.where("part <> top").join(y, on).where(near).unionByName(x.where("part = top").join(y.where("part2 <> top2"), on).where(near))
     return found.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("m")).distinct()
 

@@ -209,7 +209,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         return both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary")
 
     parts = written(connected_components(verified(pivot_pairs(posts, threshold)), "key", "m"), "parts")
-    parts = merged_components(parts, verified(join_postings(posts, parts, threshold)), "key", "m")
+    parts = merged_components(parts, verified(join_postings(posts, parts, threshold, by_length=True)), "key", "m")
     least = ids.groupBy("key").agg(F.min("id").alias("least"))
     each = least.join(parts, least.key == parts.node, "left").select("key", "least", F.coalesce("component", "key").alias("part"))
     named = each.join(each.groupBy("part").agg(F.min("least").alias("class_id")), "part").select(F.col("key").alias("k"), "class_id")
