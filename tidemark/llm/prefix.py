@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, might_hold
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, merged_components, written
 
 SAMPLE = 16  # one of so many sets is looked at for common shingles
 COMMON, MOST = 3, 1 << 19  # a shingle is common if so many sampled sets hold it; so many of these are told apart
@@ -33,11 +33,18 @@ GROUP = 256  # texts whose prefixes are sent at once
 
 
 def _hashes(grams) -> np.ndarray:
+    """Sorted distinct hashes of shingles given as bytes; an array is taken for such hashes."""
+    if isinstance(grams, np.ndarray):
+        return grams
     from xxhash import xxh64_digest
 
     return np.unique(np.frombuffer(b"".join([xxh64_digest(g) for g in grams]), np.int64))
 
 
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64)
+
+
 def _common(texts: DataFrame, grams) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and the rank of each, 1 and more."""
 
@@ -65,7 +72,7 @@ def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
                 n, sigs, sketch = [], [], []
                 for t in every[lo : lo + GROUP]:
                     h = _hashes(grams(t))
-                    sketch.append(np.packbits(np.bincount(h & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64))
+                    sketch.append(parity_sketch(h))
                     if len(common):
                         at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                         h = h[np.lexsort((h, np.where(common[at] == h, ranks[at], 0)))]
@@ -81,7 +88,8 @@ def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
 def postings(texts: DataFrame, grams, threshold: float) -> DataFrame:
     """(key, n, sketch, p, sig): the prefix shingles that several of the (key, text) rows may have, written.
 
-    ``grams`` gives the set of shingles of a text as bytes, at least one. Repeated rows of a key count once.
+    ``grams`` gives the set of shingles of a text as bytes, or as a sorted array of distinct hashes; a text without any
+    has no rows. Repeated rows of a key count once.
     """
     sets = written(prefixes(texts, grams, threshold).dropDuplicates(["key"]), "prefixes")
     each = sets.select("key", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
@@ -110,6 +118,49 @@ def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
 
 
+def near_enough(threshold: float):
+    """Whether sets of n and n2 shingles with ``sketch`` and ``sketch2`` can have a Jaccard of ``threshold``."""
+    n, m = F.col("n"), F.col("n2")
+    differ = reduce(add, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)])
+    sizes = F.least(n, m) >= F.ceil(F.lit(threshold) * F.greatest(n, m) - 1e-9)
+    return sizes & (differ <= F.floor(F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9))
+
+
+def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``parts`` joined as far as a few likely pairs of them show, and the ``posts`` of shingles that several parts have.
+
+    In a round each shingle and length partition names up to four of its sets, two by a hash of the set and two by a hash
+    of the part, so that small parts are named too. Its other sets meet these where part, size and sketch allow it; of
+    each two parts that meet so the nearest pair and one more are verified, and parts with a link become one. Two parts
+    with many links are joined after a few pairs instead of one for each link; what has none yet is left to
+    ``join_postings``. ``verified`` takes (key, m) rows and returns those that are links.
+    """
+    for r in range(rounds):
+        named = posts.join(parts, posts.key == parts.node, "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        h = F.xxhash64("part")
+        several = named.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig")
+        met = written(named.join(several, "sig").withColumn("lp", length_partition(F.col("n"), threshold)), "met")
+        if r:
+            discard(posts)
+        posts = met.select("key", "n", "sketch", "p", "sig")
+        one, by_set, by_part = F.struct("key", "n", "sketch", "part"), F.xxhash64(F.lit(r), "key"), F.xxhash64(F.lit(r), "part")
+        order = F.struct(by_part, by_set)
+        named = F.array(F.min_by(one, by_set), F.max_by(one, by_set), F.min_by(one, order), F.max_by(one, order))
+        pivots = met.groupBy("sig", "lp").agg(F.array_distinct(named).alias("q"))
+        pivots = pivots.select("sig", F.explode(F.array("lp", F.col("lp") + 1)).alias("lp"), "q").select("sig", "lp", F.explode("q").alias("q"))
+        pivots = pivots.select("sig", "lp", F.col("q.key").alias("m"), F.col("q.n").alias("n2"), F.col("q.sketch").alias("sketch2"), F.col("q.part").alias("part2"))
+        near = met.join(pivots, ["sig", "lp"]).where((F.col("part") != F.col("part2")) & near_enough(threshold))
+        differ = reduce(add, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)])
+        pair = F.struct(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m"))
+        near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"))
+        best = near.groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
+        links = verified(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("pair")).select("pair.key", "pair.m"))
+        if links.isEmpty():
+            break
+        parts = written(merged_components(parts, links, "key", "m"), "parts")
+    return parts, posts
+
+
 def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_length: bool = False) -> DataFrame:
     """(key, m): every pair of ``postings`` sets that can have a Jaccard of ``threshold``, unless it is of one part.
 

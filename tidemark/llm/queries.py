@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import decontaminate, fixity, lines, pieces, quality, rangecoder, simhash, spotsigs, suffixes, urls
+from tidemark.llm import decontaminate, fixity, lines, lexical, minhash, phrases, pieces, quality, rangecoder, simhash, spotsigs, suffixes, urls
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_range_coder": rangecoder.op9_range_coder,
     "op10_quality": quality.op10_quality,
+    "op11_minhash": minhash.op11_minhash,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_collocations": phrases.op13_collocations,
 }
-SQL = {"op2_url_filter": urls.OP2_SQL, "op4_warc_fixity": fixity.OP4_SQL}
+SQL = {"op2_url_filter": urls.OP2_SQL, "op4_warc_fixity": fixity.OP4_SQL, "op11_minhash": minhash.OP11_SQL, "op12_lexical_search": lexical.OP12_SQL, "op13_collocations": phrases.OP13_SQL}
