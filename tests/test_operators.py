@@ -2,12 +2,15 @@
 
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal as D
+from decimal import getcontext
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import temporal, values
+from tidemark.functions import exact, temporal, values
 from tidemark.operators import claims, derive, joins, pit, quality, releases, screen, series
 from tidemark.sources import documents, ingest, sinks
 from tidemark.streaming import upkeep
@@ -443,6 +446,63 @@ def test_formulas_refuse(spark, name, more, reason):
     assert r["reason"] == reason and r["value"] is None
 
 
+def random_decimal(rng):
+    v = D(rng.randrange(10 ** rng.choice([1, 6, 15, 22, 30, 38]))).scaleb(-9)
+    return (-v if rng.random() < 0.4 else v) if rng.random() < 0.7 else D(int(v))
+
+
+def test_exact_arithmetic_against_fractions(spark):
+    """Every result is that of Python's fractions, or null because it has more digits than there is room for."""
+    getcontext().prec = 100
+    rng, most = random.Random(9), 10**38
+    items = [(i, random_decimal(rng), random_decimal(rng)) for i in range(400)] + [(-1, D("12.345678912"), D(10**9)), (-2, D(2 * 10**15), D(1)), (-3, D(3 * 10**20), D(7)), (-4, D(0), D(5)), (-5, D(5), D(0)), (-6, None, D(1))]
+    df = spark.createDataFrame(items, "i int, a decimal(38,9), b decimal(38,9)")
+    a, b = F.col("a"), F.col("b")
+    x, y = exact.fraction(a), exact.fraction(b)
+    made = {"plus": exact.plus(a, b), "minus": exact.minus(a, b), "fraction": exact.fraction(a, b), "times": exact.times(x, y), "over": exact.over(x, y), "sum": exact.plus_fractions(x, y), "compare": exact.compare(x, y), "rounded": exact.rounded(exact.fraction(a, b)), "whole": exact.by_whole(a, F.lit(-700_000_001))}
+    refused = Counter()
+    for r in df.select("i", "a", "b", *[c.alias(n) for n, c in made.items()]).collect():
+        if r["a"] is None:
+            assert all(r[n] is None for n in made)
+            continue
+        p, q = Fraction(r["a"]), Fraction(r["b"])
+        half = lambda f: (lambda n: Fraction((-n if f < 0 else n), 10**9))((2 * abs(f) * 10**9 + 1) // 2)
+        want = {"plus": p + q, "minus": p - q, "times": p * q, "sum": p + q, "compare": Fraction((p > q) - (p < q)), "whole": p * -700_000_001, **({"fraction": p / q, "over": p / q, "rounded": half(p / q)} if q else {"fraction": None, "over": None, "rounded": None})}
+        for n, w in want.items():
+            got = r[n] if r[n] is None or n in ("plus", "minus", "whole", "rounded", "compare") else Fraction(int(r[n]["n"]), int(r[n]["d"]))
+            if got is not None:
+                assert w is not None and Fraction(got) == w, (n, r["a"], r["b"])
+            elif w is not None:
+                refused[n] += 1
+                fits = abs(w.numerator) < most and w.denominator < most
+                assert n == "rounded" or n == "sum" or (abs(w * 10**9) >= most if n in ("plus", "minus", "whole") else not fits), (n, r["a"], r["b"])
+    assert not refused["compare"] and not refused["fraction"] and refused["times"] and refused["rounded"] < 100
+
+
+def test_wide_values_are_exact_or_refused(spark):
+    cap = formula(spark, "market_cap", {"price": {"value": "12.345678912"}, "shares_outstanding": {"value": "1000000000"}})
+    assert (cap["value"], int(cap["numerator"]), int(cap["denominator"]), cap["terminates"], cap["reason"]) == (D(12345678912), 12345678912, 1, True, None)
+    small = formula(spark, "market_cap", {"price": {"value": "0.000000003"}, "shares_outstanding": {"value": "0.5"}})
+    assert (int(small["numerator"]), int(small["denominator"]), small["terminates"]) == (3, 2 * 10**9, False)
+    third = formula(spark, "net_margin", {"net_income": {"value": "1"}, "revenue": {"value": "3"}})
+    assert (int(third["numerator"]), int(third["denominator"]), third["value"], third["terminates"]) == (1, 3, D("0.333333333"), False)
+    huge = formula(spark, "market_cap", {"price": {"value": "12345678901234567890.123456789"}, "shares_outstanding": {"value": "98765432109876543210.987654321"}})
+    assert (huge["reason"], huge["value"], huge["numerator"]) == ("OUT_OF_RANGE", None, None)
+    wide = formula(spark, "enterprise_value", {"market_cap": {"value": "30000000000000000000000.000000001"}})
+    assert wide["value"] == D("30000000000000000000100.000000001")
+    df = periods(spark, ("1", "m", "2020-01-01", "2020-12-31", 2 * 10**15), ("1", "m", "2021-01-01", "2021-12-31", 3 * 10**15), ("2", "m", "2020-01-01", "2020-12-31", 3 * 10**20), ("2", "m", "2021-01-01", "2021-12-31", 6 * 10**20))
+    growth = {r["cik"]: r for r in derive.annual_growth(df, ["cik", "metric"], 1).where("reason is null").collect()}
+    assert growth["1"]["growth_percent"] == D(50) and growth["2"]["cumulative_percent"] == D(100)
+    last = {r["cik"]: r for r in derive.latest_growth(df.withColumn("concept", F.lit("c")), ["cik", "metric"], ["concept"]).collect()}
+    assert (last["1"]["growth"], last["2"]["numerator"], last["2"]["growth"]) == (D("0.5"), D(3 * 10**20), D(1))
+    for op in ("difference", "percent_change", "ratio", "sum", "average"):
+        assert {r["status"] for r in derive.calculate(df, ["cik"], op, "period_end").collect()} == {"OK"}
+    top = D("99999999999999999999999999999.999999999")
+    most = spark.createDataFrame([("x", "1", 1, top, "USD", None), ("x", "2", 1, top, "USD", None), ("y", "1", -1, top, "USD", None), ("z", "1", 2, top, "USD", None)], "r string, id string, coefficient int, value decimal(38,9), unit string, available_at timestamp")
+    got = {r["r"]: (r["value"], r["reason"]) for r in derive.linear_combine(most, "r").collect()}
+    assert got == {"x": (None, "OUT_OF_RANGE"), "y": (-top, None), "z": (None, "OUT_OF_RANGE")}
+
+
 def test_growth_and_calculators(spark):
     years = [("1", "m", f"{y}-01-01", f"{y}-12-31", v) for y, v in ((2019, 100), (2020, 110), (2021, 121))]
     gap = [("2", "m", f"{y}-01-01", f"{y}-12-31", 5) for y in (2019, 2021)]

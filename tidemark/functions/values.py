@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import exact
+
 DECIMAL = "decimal(38,9)"
 
 
@@ -60,9 +62,8 @@ def scale_of(c: Column) -> Column:
 
 def terminating(num: Column, den: Column, digits: int = 9) -> Column:
     """num / den as a decimal if it ends within ``digits`` places, else null; null for a zero denominator."""
-    n, d = num.cast("decimal(20,0)"), den.cast("decimal(20,0)")
-    whole = F.when(d != 0, (n * F.lit(10**digits).cast("decimal(16,0)")) % d) == 0
-    return F.when(whole, F.try_divide(n, d).cast(f"decimal(38,{digits})"))
+    made = exact.lowest(num.try_cast("decimal(38,0)"), den.try_cast("decimal(38,0)"))
+    return exact.let(made, lambda f: F.when(exact.ends_within(f, digits), exact.rounded(f, digits)))
 
 
 def slug(c: Column) -> Column:

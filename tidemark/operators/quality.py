@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import exact
 from tidemark.functions.values import decimal_token
 
 
@@ -126,8 +127,8 @@ LADDER = ["SOURCE_OBSERVED", "RECONCILED", "DERIVATION_VERIFIED", "ACCOUNTING_CE
 
 def recompute_check(results: DataFrame, terms: DataFrame, ident: str, value: str = "value", coefficient: str = "coefficient") -> DataFrame:
     """(id, stored, recomputed) where a stored result is not exactly the sum of its signed terms."""
-    signed = F.when(F.col(coefficient) == 1, F.col(value)).when(F.col(coefficient) == -1, -F.col(value)).otherwise((F.col(value).cast("decimal(28,9)") * F.col(coefficient).cast("decimal(9,0)")).cast("decimal(38,9)"))
-    again = terms.groupBy(ident).agg(F.sum(signed).alias("recomputed"))
+    signed = F.when(F.col(coefficient) == 1, F.col(value)).otherwise(exact.by_whole(F.col(value), F.col(coefficient)))
+    again = terms.groupBy(ident).agg(F.try_sum(signed).alias("recomputed"))
     out = results.select(ident, F.col(value).alias("stored")).join(again, ident, "left")
     return out.where(~F.col("stored").eqNullSafe(F.col("recomputed")))
 
@@ -179,6 +180,6 @@ def cross_validate(primary: DataFrame, secondary: DataFrame, keys: list[str], va
     (no second value) or PRIMARY_NOT_AVAILABLE. One row a key on each side."""
     s = secondary.select(*[F.col(k).alias("_" + k) for k in keys], F.col(value).alias("_v"), F.col(unit).alias("_u"))
     out = primary.join(s, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys], "left")
-    delta = F.col("_v").cast("decimal(28,9)") - F.col(value).cast("decimal(28,9)")
+    delta = exact.minus(F.col("_v"), F.col(value))
     state = F.when(F.col(value).isNull(), "PRIMARY_NOT_AVAILABLE").when(F.col("_v").isNull(), "NOT_COMPARABLE").when(F.col(unit) != F.col("_u"), "UNIT_MISMATCH").when(F.abs(delta) <= F.lit(tolerance) * F.abs(F.col(value)), "AGREES").otherwise("CONFLICT")
     return out.select(*primary.columns, state.alias("validation"), F.when(state == "CONFLICT", delta).alias("delta"))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import exact
+
 OPS = {"eq": lambda c, v: c == v, "ne": lambda c, v: c != v, "gt": lambda c, v: c > v, "gte": lambda c, v: c >= v, "lt": lambda c, v: c < v, "lte": lambda c, v: c <= v, "between": lambda c, v: c.between(F.lit(v[0]), F.lit(v[1]))}
 
 
@@ -171,8 +173,8 @@ def align_peers(obs: DataFrame, ids: list[str], keys: list[str], ident: str = "c
     col = lambda i: F.max(F.when(F.col(ident) == i, F.col(value)))
     n = lambda i: F.count_distinct(F.when(F.col(ident) == i, F.col(value)))
     got = mine.groupBy(*keys).agg(*[col(i).alias(f"v_{i}") for i in ids], F.collect_set(ident).alias("_has"), F.greatest(*[n(i) for i in ids], F.lit(0)).alias("_n"))
-    first = F.col(f"v_{ids[0]}").cast("decimal(28,9)")
-    diffs = [(F.col(f"v_{i}").cast("decimal(28,9)") - first).alias(f"diff_{i}") for i in ids[1:]]
+    first = F.col(f"v_{ids[0]}")
+    diffs = [exact.minus(F.col(f"v_{i}"), first).alias(f"diff_{i}") for i in ids[1:]]
     return got.select(*keys, *[f"v_{i}" for i in ids], *diffs, F.array_sort(F.array_except(F.array(*map(F.lit, ids)), "_has")).alias("missing"), F.when(F.col("_n") > 1, "AMBIGUOUS").alias("reason"))
 
 

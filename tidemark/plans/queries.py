@@ -247,15 +247,16 @@ def derive_difference(spark, sf_dir):
 _FORMULA_METRICS = {"A": "net_income", "N": "revenue", "R": "operating_income"}
 
 
-@query("derive_formulas", """SELECT cik, period_end::VARCHAR AS period_end, formula, CASE WHEN reason IS NULL THEN num::VARCHAR END AS numerator, CASE WHEN reason IS NULL THEN den::VARCHAR END AS denominator,
-  CASE WHEN reason IS NULL THEN round(num::DOUBLE / den::DOUBLE, 5) END AS value, reason FROM (
-  SELECT *, CASE formula WHEN 'revenue_growth' THEN (rev::DECIMAL(28,9) - prior::DECIMAL(28,9))::DECIMAL(38,9) WHEN 'operating_margin' THEN op ELSE net END AS num, CASE formula WHEN 'revenue_growth' THEN prior ELSE rev END AS den,
+@query("derive_formulas", """SELECT cik, period_end::VARCHAR AS period_end, formula, reason, n::VARCHAR AS numerator, d::VARCHAR AS denominator, 1000000000::HUGEINT % d = 0 AS terminates,
+  CASE WHEN n < 0 THEN '-' ELSE '' END || (v // 1000000000)::VARCHAR || '.' || lpad((v % 1000000000)::VARCHAR, 9, '0') AS value FROM (
+  SELECT *, (2000000000 * abs(n) + d) // (2 * d) AS v FROM (SELECT *, CASE WHEN reason IS NULL THEN num // gcd(num, den) END AS n, CASE WHEN reason IS NULL THEN den // gcd(num, den) END AS d FROM (
+  SELECT *, CASE formula WHEN 'revenue_growth' THEN rev - prior WHEN 'operating_margin' THEN op ELSE net END AS num, CASE formula WHEN 'revenue_growth' THEN prior ELSE rev END AS den,
     CASE formula WHEN 'revenue_growth' THEN CASE WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' WHEN prior IS NULL THEN 'MISSING_COMPONENT:prior_revenue' END
       WHEN 'operating_margin' THEN CASE WHEN op IS NULL THEN 'MISSING_COMPONENT:operating_income' WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' END
       ELSE CASE WHEN net IS NULL THEN 'MISSING_COMPONENT:net_income' WHEN rev IS NULL THEN 'MISSING_COMPONENT:revenue' END END AS reason
   FROM (SELECT *, unnest(['revenue_growth', 'operating_margin', 'net_margin']) AS formula FROM (
     SELECT cik, period_end, max(value) FILTER (metric = 'N') AS rev, max(value) FILTER (metric = 'R') AS op, max(value) FILTER (metric = 'A') AS net, max(value) FILTER (metric = 'P') AS prior
-    FROM (SELECT cik, metric, period_end, value FROM flows UNION ALL SELECT cik, 'P', last_day(period_end + INTERVAL 1 YEAR)::DATE, value FROM flows WHERE metric = 'N') GROUP BY ALL)))""", (V.FLOWS,))
+    FROM (SELECT cik, metric, period_end, replace(value::VARCHAR, '.', '')::HUGEINT AS value FROM flows UNION ALL SELECT cik, 'P', last_day(period_end + INTERVAL 1 YEAR)::DATE, replace(value::VARCHAR, '.', '')::HUGEINT FROM flows WHERE metric = 'N') GROUP BY ALL)))))""", (V.FLOWS,))
 def derive_formulas(spark, sf_dir):
     """Quarterly flows as revenue, operating and net income, and the revenue of the same quarter a year before."""
     names = F.create_map(*[F.lit(x) for kv in _FORMULA_METRICS.items() for x in kv])
@@ -264,8 +265,8 @@ def derive_formulas(spark, sf_dir):
     prior = flows.where("metric = 'N'").withColumns({"metric": F.lit("prior_revenue"), "at": F.last_day(F.add_months("period_end", 12))})
     rows = rows.unionByName(prior).withColumns({"unit": F.lit("USD"), "currency": F.lit("USD"), "frequency": F.lit("quarterly"), "available_at": F.col("period_end").cast("timestamp"), "source_ids": F.array(F.concat_ws(":", "metric", "period_end"))})
     out = derive.formulas(rows.withColumnRenamed("at", "period"), ["cik", "period"], ["revenue_growth", "operating_margin", "net_margin"], F.lit("2030-01-01").cast("timestamp"))
-    out = out.select("cik", F.col("period").alias("period_end"), "formula", "numerator", "denominator", F.round(F.col("value").cast("double"), 5).alias("value"), "reason")
-    return text(out, "period_end", "numerator", "denominator")
+    out = out.select("cik", F.col("period").alias("period_end"), "formula", "numerator", "denominator", "terminates", "value", "reason")
+    return text(out, "period_end", "numerator", "denominator", "value")
 
 
 @query("derive_annual_growth", """SELECT cik, metric, period_end::VARCHAR AS period_end, reason, CASE WHEN reason IS NULL THEN round((v0::DOUBLE / v1::DOUBLE - 1) * 100, 4) END AS growth_percent, CASE WHEN reason IS NULL THEN round((v0::DOUBLE / v3::DOUBLE - 1) * 100, 4) END AS cumulative_percent
