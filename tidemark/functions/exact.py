@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 DECIMAL, WHOLE = "decimal(38,9)", "decimal(38,0)"
 PLACES = 9
 LIMB = 10**13
+TRIES = 40  # steps of Euclid's algorithm on bigints before it goes on with decimals
 STEPS = 185  # of Euclid's algorithm for numbers of 38 digits: F(184) has 38 digits
 
 
@@ -83,12 +84,37 @@ def _pair(n: Column, d: Column) -> Column:
     return F.struct(F.when(d < 0, negated(n)).otherwise(n).cast(WHOLE).alias("n"), size(d).alias("d"))
 
 
+def _lowest_long(n: Column, d: Column) -> Column:
+    """struct(n, d) in lowest terms of numbers that fit a bigint, by Euclid's algorithm on what is left without common
+    closing zeros; null where TRIES steps don't end it."""
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b")))
+
+    def zeros(x):
+        t = x.cast("string")
+        return F.when(x == 0, 18).otherwise(F.length(t) - F.length(F.rtrim(t, F.lit("0"))))
+
+    def cut(s):
+        ten = F.pow(F.lit(10.0), F.least(zeros(s["n"]), zeros(s["d"]))).cast("long")
+        return F.struct(F.call_function("div", s["n"], ten).alias("n"), F.call_function("div", s["d"], ten).alias("d"))
+
+    def made(s):
+        start = F.struct(F.abs(s["n"]).alias("a"), F.abs(s["d"]).alias("b"))
+        g = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), start, step, lambda s: F.when(s["b"] == 0, s["a"]))
+        part = lambda x, g: F.call_function("div", x, g).cast(WHOLE)
+        sign = F.when(s["d"] < 0, F.lit(-1)).otherwise(F.lit(1)).cast("long")
+        return let(g, lambda g: F.when(g > 0, F.struct(part(s["n"] * sign, g).alias("n"), part(F.abs(s["d"]), g).alias("d"))))
+
+    return let(let(F.struct(n.cast("long").alias("n"), d.cast("long").alias("d")), cut), made)
+
+
 def lowest(n: Column, d: Column) -> Column:
     """struct(n, d) in lowest terms with d above 0; null for a zero or null denominator or a null numerator."""
 
     def made(s):
-        short = let(gcd(s["n"], s["d"]), lambda g: _pair(divided(s["n"], g), divided(s["d"], g)))
-        return F.when(s["n"].isNotNull() & (s["d"] != 0), short)
+        small = F.greatest(s["n"], s["d"]) < whole(10**18)
+        small &= F.least(s["n"], s["d"]) > whole(-(10**18))
+        slow = let(gcd(s["n"], s["d"]), lambda g: _pair(divided(s["n"], g), divided(s["d"], g)))
+        return F.when(s["n"].isNotNull() & (s["d"] != 0), F.coalesce(F.when(small, _lowest_long(s["n"], s["d"])), slow))
 
     return let(F.struct(n.cast(WHOLE).alias("n"), d.cast(WHOLE).alias("d")), made)
 
@@ -186,7 +212,13 @@ def rounded(f: Column, places: int = PLACES) -> Column:
         more = let(rest, lambda r: F.struct(r.alias("r"), F.try_multiply(r, unit).alias("m")))
         return let(let(more, lambda s: F.struct(s["r"].alias("r"), s["m"].alias("m"), (s["m"] % f["d"]).cast(WHOLE).alias("l"))), parts)
 
-    return let(f, made)
+    def quick(f):  # as a bigint of units
+        few = (f["n"] > whole(-(10**18))) & (f["n"] < whole(10**18)) & (f["d"] < whole(10**18))
+        near = few & (size(f["n"]) < (f["d"] * whole(10 ** (17 - places))).cast(WHOLE))
+        q = F.call_function("div", (size(f["n"]) * whole(2 * 10**places) + f["d"]).cast(WHOLE), (f["d"] * whole(2)).cast(WHOLE)) * F.when(f["n"] < 0, F.lit(-1)).otherwise(F.lit(1))
+        return F.when(near, F.try_divide(q.cast("decimal(18,0)"), F.lit(str(10**places)).cast(f"decimal({places + 1},0)")).cast(f"decimal(38,{places})"))
+
+    return let(f, lambda f: F.coalesce(quick(f), made(f)))
 
 
 def ends_within(f: Column, places: int = PLACES) -> Column:

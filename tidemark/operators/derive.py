@@ -183,6 +183,7 @@ def formulas(df: DataFrame, keys: list[str], names: list[str], as_of: Column, ro
     aggs = [a for i, r in enumerate(roles) for a in (F.first(of(r), ignorenulls=True).alias(f"_{i}"), F.count(of(r)).alias(f"_n{i}"))]
     got = rows.groupBy(*keys).agg(F.max("_industry").alias("_industry"), F.max("_scope").alias("_scope"), *aggs)
     at = {r: i for i, r in enumerate(roles)}
+    one_unit = F.lit(1).cast(DECIMAL)
 
     def one(name):
         parts = FORMULAS[name]
@@ -233,27 +234,27 @@ def formulas(df: DataFrame, keys: list[str], names: list[str], as_of: Column, ro
                 rules.append((no(x[a](c) == x[b](c)), "PERIOD_MISMATCH"))
         a, b = parts[0], parts[-1]
         v = lambda r: x[r]("value")
-        made = exact.fraction(v(a), v(b))
+        num, den, by = v(a), v(b), None
         if name == "revenue_growth":
             lengths = F.abs(days(a) - days(b))
             rules += [(~x[a]("frequency").eqNullSafe(x[b]("frequency")) | x[a]("period_start").isNull() | x[b]("period_start").isNull(), "PERIOD_MISMATCH")]
             rules += [(no(F.datediff(x[a]("period_end"), x[b]("period_end")).between(350, 378)) | no(lengths <= 8), "NONCOMPARABLE_PRIOR_PERIOD"), (v(b) <= 0, "NONPOSITIVE_DENOMINATOR")]
-            made = exact.fraction(exact.minus(v(a), v(b)), v(b))
+            num = exact.minus(v(a), v(b))
         elif name == "free_cash_flow":
             define(b)
             rules.append((v(b) < 0, DEFINITIONS[b][1]))
-            made = exact.fraction(exact.minus(v(a), v(b)))
+            num, den = exact.minus(v(a), v(b)), one_unit
         elif name == "market_cap":
             rules.append((no((x[a]("price_basis") == "RAW") & (x[a]("adjustment_method") == "NONE")), "PRICE_SHARE_ADJUSTMENT_BASIS_UNVERIFIED"))
             define(b)
             rules += [(no(F.col("_scope") == "SINGLE_COMMON_CLASS_VERIFIED"), "SECURITY_SCOPE_UNVERIFIED"), (no(x[a]("security_id") == x[b]("security_id")), "SECURITY_SCOPE_MISMATCH")]
             rules += [((v(a) <= 0) | (v(b) <= 0), "NONPOSITIVE_EQUITY_INPUT"), (no(x[a]("period_end") == x[b]("period_end")), "SAME_DATE_SHARE_COUNT_REQUIRED")]
-            made = exact.times(exact.fraction(v(a)), exact.fraction(v(b)))
+            num, den, by = v(a), one_unit, v(b)
         elif name == "enterprise_value":
             define("total_debt")
             balance = [r for r in parts if r != "market_cap"]
             rules += [(no(x[r]("period_end") == x[balance[0]]("period_end")), "BALANCE_PERIOD_MISMATCH") for r in balance]
-            made = exact.fraction(exact.minus(reduce(exact.plus, [v("market_cap"), v("total_debt"), v("preferred_equity"), v("noncontrolling_interest")]), v("cash")))
+            num, den = exact.minus(reduce(exact.plus, [v("market_cap"), v("total_debt"), v("preferred_equity"), v("noncontrolling_interest")]), v("cash")), one_unit
         else:
             if name == "price_to_earnings":
                 rules.append((no(x["net_income"]("definition") == "NET_INCOME_ATTRIBUTABLE_TO_COMMON"), "COMMON_INCOME_SCOPE_UNVERIFIED"))
@@ -267,12 +268,15 @@ def formulas(df: DataFrame, keys: list[str], names: list[str], as_of: Column, ro
             reason = F.when(test, why).otherwise(reason)
         ids = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x[r]("source_ids"), F.array().cast("array<string>")) for r in parts])))
         return F.struct(
-            F.lit(name).alias("formula"), F.when(reason.isNull(), made).alias("made"), (currency if name in AMOUNTS else F.lit("ratio")).alias("unit"), currency.alias("currency"),
+            F.lit(name).alias("formula"), *[F.when(reason.isNull(), F.lit(None) if c is None else c).cast(DECIMAL).alias(n) for c, n in ((num, "_num"), (den, "_den"), (by, "_by"))], (currency if name in AMOUNTS else F.lit("ratio")).alias("unit"), currency.alias("currency"),
             ids.alias("source_ids"), F.greatest(*[x[r]("available_at") for r in parts]).alias("available_at"), reason.alias("reason"),
         )
 
     each = got.select(*keys, F.explode(F.array(*[one(n) for n in names])).alias("_f")).select(*keys, "_f.*")
-    each = each.withColumn("value", exact.rounded(F.col("made")))
+    made = exact.fraction(F.col("_num"), F.col("_den"))
+    if "market_cap" in names:
+        made = F.when(F.col("_by").isNull(), made).otherwise(exact.times(exact.fraction(F.col("_num")), exact.fraction(F.col("_by"))))
+    each = each.withColumn("made", made).withColumn("value", exact.rounded(F.col("made")))
     reason = F.coalesce("reason", F.when(F.col("value").isNull(), "OUT_OF_RANGE"))
     if_made = lambda c: F.when(reason.isNull(), c)
     return each.select(
