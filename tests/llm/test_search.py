@@ -223,21 +223,21 @@ def test_collocations_in_small_groups_and_sums(spark, docs, monkeypatch):
     """Many groups of texts and partial sums a task give the same rows (tasks of this test run in new workers)."""
     some = docs.where("length(text) < 1000").repartition(2)
     want = got(phrases.collocations(some, least=6))
-    run = phrases._fingerprints
+    for name in ("_counts", "_pointed"):
 
-    def small(sent, lengths):
-        inner = run(sent, lengths)
+        def small(*sent, make=getattr(phrases, name)):
+            inner = make(*sent)
 
-        def task(batches):
-            from tidemark.llm import phrases as p
+            def task(batches):
+                from tidemark.llm import phrases as p
 
-            p.GROUP_WORDS, p.HELD = 50, 200
-            yield from inner(batches)
-            p.GROUP_WORDS, p.HELD = 1 << 18, 1 << 20
+                p.GROUP_WORDS, p.HELD = 50, 200
+                yield from inner(batches)
+                p.GROUP_WORDS, p.HELD = 1 << 18, 1 << 20
 
-        return task
+            return task
 
-    monkeypatch.setattr(phrases, "_fingerprints", small)
+        monkeypatch.setattr(phrases, name, small)
     assert want and got(phrases.collocations(some, least=6)) == want
 
 

@@ -4,14 +4,17 @@ Words are counted first. A longer phrase can only be frequent if all its words a
 the second pass hashes pairs of frequent words, and the third phrases of three to five words whose pairs are frequent;
 "frequent" is asked of a Bloom filter of bounded size, whose errors only cost work. In a pass numpy builds prefix
 polynomials of the word hashes of many texts at once, from which the fingerprint of every run of words is a difference
-and a product. A task sums equal fingerprints before the shuffle; each keeps a pointer to one occurrence (hash of the
-text and position). Fingerprints are 64 bits, with 64 bits of an independent polynomial over independent word hashes beside them, and rows
-are summed by both, so that phrases that collide in one are still told apart. Only of frequent phrases is the text cut
-out where the pointer leads, and both hashes are verified against it. Scores are then joined by the phrases themselves.
+and a product. A task sums equal fingerprints before the shuffle, which in these passes carries them and their counts
+alone. The last pass meets the fingerprints that were frequent once more, now with a pointer to one occurrence (hash of
+the text and position) and with 64 bits of an independent polynomial over independent word hashes; rows are summed by
+both, so that phrases that collide in one are told apart and counted apart. Only of frequent phrases is the text cut out
+where the pointer leads, and both hashes are verified against it. Scores are then joined by the phrases themselves.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +35,7 @@ _known: dict[tuple[str, int], WordHashes] = {}
 
 def pieces_and_words(text: bytes) -> list[bytes]:
     """Words in order, with ``_CUT`` between pieces."""
-    return [w for w in text.translate(_SIGNS).replace(_CUT, b" \xff ").split(b" ") if w]
+    return text.translate(_SIGNS).replace(_CUT, b" \xff ").split()
 
 
 def _seed(lang: str, which: int) -> int:
@@ -54,117 +57,161 @@ def _texts(b):
 
 def _count_words(batches):
     """(lang, text) -> (lang, word, f), summed in the task."""
-    held: dict[tuple[str, bytes], int] = {}
+    held: dict[str, Counter] = defaultdict(Counter)
 
     def out():
-        words, n = list(held), pa.array(held.values(), pa.int64())
-        r = pa.RecordBatch.from_arrays([pa.array([w[0] for w in words], pa.string()), pa.array([w[1] for w in words], pa.binary()).cast(pa.string()), n], ["lang", "word", "f"])
+        for lang, counts in held.items():
+            counts.pop(_CUT, None)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "f"])
         held.clear()
-        return r
 
     for b in batches:
         for lang, t in _texts(b):
-            for w in pieces_and_words(t):
-                if w != _CUT:
-                    held[lang, w] = held.get((lang, w), 0) + 1
-            if len(held) >= HELD:
-                yield out()
-    if held:
-        yield out()
+            held[lang].update(pieces_and_words(t))
+        if sum(map(len, held.values())) >= HELD:
+            yield from out()
+    yield from out()
+
+
+class _Group:
+    """The words of some texts as hashes, side by side: h, and with ``second`` the independent ones in g; the piece and
+    the text of each word."""
+
+    def __init__(self, texts: list[tuple], second: bool):
+        h = [_hashes(lang, 0).of(w) for lang, w, *_ in texts]
+        cut = np.concatenate([np.append(x == _hashes(lang, 0)[_CUT], True) for x, (lang, *_) in zip(h, texts, strict=True)])  # a text ends its last piece
+        keep = np.flatnonzero(~cut)
+        flat = lambda parts: np.concatenate([np.append(x, np.uint64(0)) for x in parts])[keep]
+        self.h = flat(h)
+        self.g = flat([_hashes(lang, 1).of(w) for lang, w, *_ in texts]) if second else None
+        self.piece = np.cumsum(cut)[keep]
+        self.text = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in h])[keep]
+        self.first = np.searchsorted(self.text, np.arange(len(texts)))
+        self.polynomials = [prefix_polynomials(x, i) for i, x in enumerate((self.h, self.g)) if x is not None]
+
+    def inside(self) -> np.ndarray:
+        """For each word but the last whether the next one is of its piece."""
+        return self.piece[1:] == self.piece[:-1]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and fingerprints of pairs of words within a piece."""
+        at = np.flatnonzero(self.inside())
+        return at, self.fingerprints(at, 2)
+
+    def fingerprints(self, at: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+        return run_hashes(self.polynomials[which], at, n, which)
+
+    def runs(self, n: int, follow: np.ndarray) -> np.ndarray:
+        """Positions of runs of n words each of which may be followed by the next."""
+        chain = np.append(0, np.cumsum(follow))
+        return np.flatnonzero(chain[n - 1 :] - chain[: max(0, len(chain) - n + 1)] == n - 1)
+
+    def following(self, table: np.ndarray) -> np.ndarray:
+        """For each word but the last whether it and the next are a pair that the filter may hold."""
+        out = np.zeros(max(0, len(self.h) - 1), bool)
+        at, fp = self.pairs()
+        out[at] = holds(table, fp.view(np.int64))
+        return out
+
+
+def _groups(batches, second: bool):
+    """Groups of about GROUP_WORDS words of (lang, text, ...) rows, with the last column of each row."""
+    group, size = [], 0
+    for b in batches:
+        for (lang, t), k in zip(_texts(b), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            w = pieces_and_words(t)
+            group.append((lang, w, k))
+            size += len(w)
+            if size >= GROUP_WORDS:
+                yield _Group(group, second), [x[2] for x in group]
+                group, size = [], 0
+    if group:
+        yield _Group(group, second), [x[2] for x in group]
 
 
-def _runs(words: np.ndarray, second: np.ndarray, piece: np.ndarray, lengths, may_follow: np.ndarray):
-    """(n, positions, fingerprints, second hashes) of the runs of each length within a piece, all of whose neighbouring
-    words may follow one another."""
-    p, q = prefix_polynomials(words), prefix_polynomials(second, 1)
-    inside = may_follow & (piece[1:] == piece[:-1])
-    chain = np.append(0, np.cumsum(inside))
-    for n in lengths:
-        at = np.flatnonzero(chain[n - 1 :] - chain[: max(0, len(chain) - n + 1)] == n - 1)
-        yield n, at, run_hashes(p, at, n), run_hashes(q, at, n, 1)
+def _sums(fp: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(fp)
+    fp = fp[order]
+    first = np.flatnonzero(np.append(True, fp[1:] != fp[:-1]))
+    return fp[first], np.add.reduceat(f[order], first)
 
 
-class _Sums:
-    """Fingerprints of a task: equal ones are summed whenever HELD are gathered."""
+def _counts(sent, lengths: tuple[int, ...]):
+    """(lang, text) -> (fp, f). The filter holds frequent words if ``lengths`` are (2,), else frequent pairs."""
+
+    def run(batches):
+        table, held, size = sent.value, [], 0
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+        def out():
+            fp, f = _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            return pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(f)], ["fp", "f"])
 
-    def add(self, *cols: np.ndarray) -> None:
-        self.parts.append(cols)
-        self.size += len(cols[0])
+        for group, _ in _groups(batches, False):
+            if lengths == (2,):
+                known, of = np.unique(group.h, return_inverse=True)
+                ok = holds(table, known.view(np.int64))[of] if len(known) else np.zeros(0, bool)
+                follow = group.inside() & ok[1:] & ok[:-1]
+            else:
+                follow = group.following(table)
+            fp = np.concatenate([group.fingerprints(group.runs(n, follow), n) for n in lengths])
+            if len(fp):
+                held.append(_sums(fp, np.ones(len(fp), np.int64)))
+                size += len(held[-1][0])
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
-    def taken(self) -> pa.RecordBatch:
-        fp, alt, n, k, pos = (np.concatenate(c) for c in zip(*self.parts, strict=True))
-        order = np.lexsort((alt, fp))
-        fp, alt = fp[order], alt[order]
-        first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (alt[1:] != alt[:-1]))) if len(fp) else np.zeros(0, np.int64)
-        f = np.diff(np.append(first, len(fp)))
-        self.parts, self.size = [], 0
-        at = order[first]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[first].view(np.int64), alt[first].view(np.int64), n[at], f.astype(np.int64), k[at], pos[at])], ["fp", "alt", "n", "f", "k", "pos"])
+    return run
 
 
 FOUND = "fp long, alt long, n byte, f long, k long, pos int"
 
 
-def _fingerprints(sent, lengths: tuple[int, ...]):
-    """(lang, text, k) -> FOUND rows. The filter holds frequent words if ``lengths`` begin at 2, else frequent pairs."""
+def _pointed(pairs, listed):
+    """(lang, text, k) -> FOUND rows of the phrases that the filter ``listed`` may hold; ``pairs`` is that of pairs."""
 
     def run(batches):
-        table, sums = sent.value, _Sums()
-        group, size = [], 0
-
-        def add():
-            pieces = [(_hashes(lang, 0).of(w), _hashes(lang, 1).of(w), np.array([x == _CUT for x in w], bool), k) for lang, w, k in group]
-            cut = np.concatenate([np.append(p[2], True) for p in pieces])  # a text ends its last piece
-            word = ~cut
-            keep = np.flatnonzero(word)
-            h, g = (np.concatenate([np.append(p[i], np.uint64(0)) for p in pieces])[keep] for i in (0, 1))
-            piece = np.cumsum(cut)[keep]
-            text = np.repeat(np.arange(len(pieces)), [int((~p[2]).sum()) for p in pieces])
-            first = np.searchsorted(text, np.arange(len(pieces)))
-            if not len(h):
-                return
-            if lengths[0] == 2:
-                ok = holds(table, h.view(np.int64))
-                follow = ok[1:] & ok[:-1]
-            else:
-                follow = np.zeros(len(h) - 1, bool)
-                _, at, fp, _ = next(_runs(h, g, piece, (2,), np.ones(len(h) - 1, bool)))
-                follow[at] = holds(table, fp.view(np.int64))
-            keys = np.array([p[3] for p in pieces], np.int64)
-            for n, at, fp, alt in _runs(h, g, piece, lengths, follow):
-                of = text[at]
-                sums.add(fp, alt, np.full(len(at), n, np.int8), keys[of], (at - first[of]).astype(np.int32))
-
-        for b in batches:
-            for (lang, t), k in zip(_texts(b), b.column(2).to_pylist(), strict=True):
-                w = pieces_and_words(t)
-                group.append((lang, w, k))
-                size += len(w)
-                if size >= GROUP_WORDS:
-                    add()
-                    group, size = [], 0
-                    if sums.size >= HELD:
-                        yield sums.taken()
-        if group:
-            add()
-        if sums.size:
-            yield sums.taken()
+        held, size = [], 0
+
+        def out():
+            fp, alt, n, k, pos = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((alt, fp))
+            fp, alt = fp[order], alt[order]
+            first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (alt[1:] != alt[:-1])))
+            at, f = order[first], np.diff(np.append(first, len(fp)))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (fp[first].view(np.int64), alt[first].view(np.int64), n[at], f.astype(np.int64), k[at], pos[at])], ["fp", "alt", "n", "f", "k", "pos"])
+
+        for group, keys in _groups(batches, True):
+            keys, follow = np.array(keys, np.int64), group.following(pairs.value)
+            for n in range(2, LONGEST + 1):
+                at = group.runs(n, follow)
+                fp = group.fingerprints(at, n)
+                ok = holds(listed.value, fp.view(np.int64))
+                at, fp = at[ok], fp[ok]
+                of = group.text[at]
+                if len(at):
+                    held.append((fp, group.fingerprints(at, n, 1), np.full(len(at), n, np.int8), keys[of], (at - group.first[of]).astype(np.int32)))
+                    size += len(at)
+            if size >= HELD:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
 
     return run
 
 
 def _materialise(batches):
     """(lang, text, pointers) -> (lang, phrase, n, f) where the words at a pointer have its hashes."""
+    at = np.zeros(1, np.int64)
     for b in batches:
         out: list[tuple] = []
         for (lang, t), pointers in zip(_texts(b), b.column(2).to_pylist(), strict=True):
             words = [w for w in pieces_and_words(t) if w != _CUT]
             for p in pointers:
                 w = words[p["pos"] : p["pos"] + p["n"]]
-                at = np.zeros(1, np.int64)
                 same = all(int(run_hashes(prefix_polynomials(_hashes(lang, i).of(w), i), at, len(w), i).view(np.int64)[0]) == p[c] for i, c in enumerate(("fp", "alt"))) if len(w) == p["n"] else False
                 if same:
                     out.append((lang, b" ".join(w), p["n"], p["f"]))
@@ -186,15 +233,16 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     discard(counts)
     keyed = base.select("lang", "text", F.xxhash64("lang", "text").alias("k"))
 
-    def mined(frequent: DataFrame, col: str, lengths: tuple[int, ...]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(build_filter(frequent, col))
-        found = keyed.mapInArrow(_fingerprints(sent, lengths), FOUND)
-        found = found.groupBy("fp", "alt", "n").agg(F.sum("f").alias("f"), F.min("k").alias("k"), F.min_by("pos", "k").alias("pos"))
-        return written(found.where(F.col("f") >= least), "phrases")
+    def mined(filter_of: DataFrame, col: str, lengths: tuple[int, ...]):
+        sent = spark.sparkContext.broadcast(build_filter(filter_of, col))
+        found = base.mapInArrow(_counts(sent, lengths), "fp long, f long").groupBy("fp").agg(F.sum("f").alias("f"))
+        return sent, written(found.where(F.col("f") >= least).select("fp"), "fingerprints")
 
-    pairs = mined(words.select(F.xxhash64("lang", "word").alias("h")), "h", (2,))
-    longer = mined(pairs.select("fp"), "fp", tuple(range(3, LONGEST + 1)))
-    both = pairs.unionByName(longer)
+    _, pairs = mined(words.select(F.xxhash64("lang", "word").alias("h")), "h", (2,))
+    sent, longer = mined(pairs, "fp", tuple(range(3, LONGEST + 1)))
+    listed = spark.sparkContext.broadcast(build_filter(pairs.union(longer), "fp"))
+    both = keyed.mapInArrow(_pointed(sent, listed), FOUND).groupBy("fp", "alt", "n").agg(F.sum("f").alias("f"), F.min("k").alias("k"), F.min_by("pos", "k").alias("pos"))
+    both = written(both.where(F.col("f") >= least), "phrases")
     pointers = written(both.groupBy("k").agg(F.collect_list(F.struct("fp", "alt", "n", "f", "pos")).alias("pointers")), "pointers")  # a text's own phrases
     listed = build_filter(pointers, "k")
     some = keyed.where(might_hold(spark, listed, "k")).groupBy("k", F.md5("text")).agg(F.first("lang").alias("lang"), F.first("text").alias("text"))
@@ -203,7 +251,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, text_col: str = "text",
     n, m = out.where(F.col("n") > 1).count(), both.count()
     if n != m:
         raise RuntimeError(f"{m - n} phrases were not found where their pointers lead")
-    discard(words, pairs, longer, pointers)
+    discard(words, pairs, longer, both, pointers)
     return totals, out
 
 
