@@ -26,7 +26,9 @@ from tidemark.llm.words import WordHashes, prefix_polynomials, run_hashes
 
 LONGEST = 5
 GROUP_WORDS = 1 << 18  # words of the texts that are hashed at once
-HELD = 1 << 20  # fingerprints, or words, a task sums up before it sends them
+HELD = 1 << 20  # fingerprints a task sums up before it sends them
+HELD_WORDS = 1 << 18  # and words
+CACHED = 1 << 16  # word hashes that a worker remembers, for each language and kind
 #: A-Z as a-z, tabs as spaces, and the signs between pieces as a byte that UTF-8 never has.
 _CUT = b"\xff"
 _SIGNS = bytes(0xFF if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else 32 if b == 9 else b for b in range(256))
@@ -47,7 +49,7 @@ def _seed(lang: str, which: int) -> int:
 def _hashes(lang: str, which: int) -> WordHashes:
     if len(_known) > 64:
         _known.clear()
-    return _known.setdefault((lang, which), WordHashes(_seed(lang, which)))
+    return _known.setdefault((lang, which), WordHashes(_seed(lang, which), CACHED))
 
 
 def _texts(b):
@@ -68,7 +70,7 @@ def _count_words(batches):
     for b in batches:
         for lang, t in _texts(b):
             held[lang].update(pieces_and_words(t))
-        if sum(map(len, held.values())) >= HELD:
+        if sum(map(len, held.values())) >= HELD_WORDS:
             yield from out()
     yield from out()
 
