@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import lexical, minhash, phrases
+from tidemark.llm import lexical, minhash, phrases, prefix
 from tidemark.llm.words import prefix_polynomials, run_hashes
 
 SCHEMA = "doc_id long, text string, lang string, n long, key string, part string, band long, id long, item string, score long, fp long"
@@ -231,9 +231,9 @@ def test_collocations_in_small_groups_and_sums(spark, docs, monkeypatch):
             def task(batches):
                 from tidemark.llm import phrases as p
 
-                p.GROUP_WORDS, p.HELD = 50, 200
+                p.GROUP_WORDS, p.HELD, p.HELD_WORDS = 50, 200, 30
                 yield from inner(batches)
-                p.GROUP_WORDS, p.HELD = 1 << 18, 1 << 20
+                p.GROUP_WORDS, p.HELD, p.HELD_WORDS = 1 << 18, 1 << 20, 1 << 18
 
             return task
 
@@ -262,3 +262,16 @@ def test_fingerprints_are_the_same_wherever_a_phrase_stands():
     for n in range(1, 6):
         f = run_hashes(p, np.arange(len(h) - n + 1), n)
         assert f[4000] == f[17] and len(np.unique(f)) == len(f) - (6 - n)
+
+
+def test_long_sketches_never_part_alike_sets():
+    rng, parted = np.random.default_rng(2), 0
+    for i in range(300):
+        n = int(rng.integers(1, 4000))
+        both = rng.integers(0, 1 << 64, n, np.uint64)
+        a, b = (np.unique(np.append(both, rng.integers(0, 1 << 64, int(rng.integers(0, 1 + n // (1 + i % 12))), np.uint64))) for _ in range(2))
+        k = len(np.intersect1d(a, b))
+        near = prefix.sketches_near(prefix.long_sketch(a), prefix.long_sketch(b), len(a), len(b), 0.85)
+        assert near or 100 * k < 85 * (len(a) + len(b) - k)
+        parted += not near
+    assert parted > 100

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, holds, might_hold
 from tidemark.llm.common import connected_components, discard, merged_components, read, small_batches, written
-from tidemark.llm.prefix import SKETCH, contract, join_postings, near_enough, parity_sketch, postings
+from tidemark.llm.prefix import SKETCH, contract, join_postings, long_sketch, near_enough, parity_sketch, postings, sketches_near
 from tidemark.llm.words import WordHashes, prefix_polynomials, run_hashes
 
 BANDS, ROWS = 20, 6
@@ -124,7 +124,20 @@ def _as_sets(size: int):
     def run(batches):
         for b in batches:
             for keys, texts in _distinct(b):
-                yield pa.RecordBatch.from_arrays([keys, pa.array([shingle_set(t, size).tobytes() for t in texts], pa.binary())], ["key", "s"])
+                sets = [shingle_set(t, size) for t in texts]
+                cols = [pa.array([len(s) for s in sets], pa.int32()), pa.array(map(long_sketch, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([keys, *cols], ["key", "n", "sketch", "s"])
+
+    return run
+
+
+def _sieve(threshold: float):
+    """(key, m, n, sketch, n2, sketch2) -> (key, m) unless the long sketches show that a pair is unlike."""
+
+    def run(batches):
+        for b in batches:
+            ok = [sketches_near(x, y, n, m, threshold) for n, x, m, y in zip(*[b.column(i).to_pylist() for i in range(2, 6)], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["key", "m"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
@@ -179,11 +192,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(near: DataFrame) -> DataFrame:
         near = written(near, "candidates")
         listed = build_filter(near.select("key").union(near.select("m")).distinct(), "key")
-        sets = texts.where(might_hold(spark, listed, "key")).mapInArrow(_as_sets(size), "key binary, s binary")
+        sets = texts.where(might_hold(spark, listed, "key")).mapInArrow(_as_sets(size), "key binary, n int, sketch binary, s binary")
         sets = written(sets.dropDuplicates(["key"]), "sets")
-        both = near.join(sets, "key").join(sets.select(F.col("key").alias("m"), F.col("s").alias("s2")), "m")
+        other = sets.select(F.col("key").alias("m"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("s").alias("s2"))
+        both = near.join(sets.select("key", "n", "sketch"), "key").join(other.select("m", "n2", "sketch2"), "m")
+        left = written(both.select("key", "m", "n", "sketch", "n2", "sketch2").mapInArrow(_sieve(threshold), "key binary, m binary"), "sieved")
+        both = left.join(sets.select("key", "s"), "key").join(other.select("m", "s2"), "m")
         found = written(both.select("key", "m", "s", "s2").mapInArrow(_alike(percent), "key binary, m binary"), "links")
-        discard(near, sets)
+        discard(near, sets, left)
         return found
 
     links = verified(star_links(marks, threshold))

@@ -45,6 +45,20 @@ def parity_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(hashes & (SKETCH - 1), minlength=SKETCH) & 1).view(np.int64)
 
 
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of two bits or more for each shingle; it is folded to compare it with a shorter one."""
+    bits = max(SKETCH, 1 << (2 * len(hashes) - 1).bit_length())
+    return np.packbits(np.bincount(hashes.view(np.int64) & (bits - 1), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def sketches_near(a: bytes, b: bytes, n: int, m: int, threshold: float) -> bool:
+    """Whether sets of n and m shingles with these long sketches can have a Jaccard of ``threshold``."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= int((1 - threshold) / (1 + threshold) * (n + m) + 1e-9)
+
+
 def _common(texts: DataFrame, grams) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles, sorted, and the rank of each, 1 and more."""
 
@@ -136,24 +150,26 @@ def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rou
     ``join_postings``. ``verified`` takes (key, m) rows and returns those that are links.
     """
     for r in range(rounds):
-        named = posts.join(parts, posts.key == parts.node, "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        named = posts.join(parts, posts.key == parts.node, "left").withColumns({"part": F.coalesce("component", "key"), "several": F.col("node").isNotNull()}).drop("node", "component")
         h = F.xxhash64("part")
         several = named.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig")
         met = written(named.join(several, "sig").withColumn("lp", length_partition(F.col("n"), threshold)), "met")
         if r:
             discard(posts)
         posts = met.select("key", "n", "sketch", "p", "sig")
-        one, by_set, by_part = F.struct("key", "n", "sketch", "part"), F.xxhash64(F.lit(r), "key"), F.xxhash64(F.lit(r), "part")
+        one, by_set, by_part = F.struct("key", "n", "sketch", "part", "several"), F.xxhash64(F.lit(r), "key"), F.xxhash64(F.lit(r), "part")
         order = F.struct(by_part, by_set)
         named = F.array(F.min_by(one, by_set), F.max_by(one, by_set), F.min_by(one, order), F.max_by(one, order))
         pivots = met.groupBy("sig", "lp").agg(F.array_distinct(named).alias("q"))
         pivots = pivots.select("sig", F.explode(F.array("lp", F.col("lp") + 1)).alias("lp"), "q").select("sig", "lp", F.explode("q").alias("q"))
-        pivots = pivots.select("sig", "lp", F.col("q.key").alias("m"), F.col("q.n").alias("n2"), F.col("q.sketch").alias("sketch2"), F.col("q.part").alias("part2"))
+        pivots = pivots.select("sig", "lp", F.col("q.key").alias("m"), F.col("q.n").alias("n2"), F.col("q.sketch").alias("sketch2"), F.col("q.part").alias("part2"), F.col("q.several").alias("several2"))
         near = met.join(pivots, ["sig", "lp"]).where((F.col("part") != F.col("part2")) & near_enough(threshold))
         differ = reduce(add, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)])
         pair = F.struct(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m"))
-        near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"))
-        best = near.groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
+        # two sets that are parts of their own have one pair, which ``join_postings`` makes
+        joined = F.col("several") | F.col("several2")
+        near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"), joined.alias("joined"))
+        best = near.where("joined").groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
         links = verified(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("pair")).select("pair.key", "pair.m"))
         if links.isEmpty():
             break
