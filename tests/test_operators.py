@@ -861,3 +861,41 @@ def test_a_batch_tried_again_changes_nothing(spark, tmp_path):
     upkeep._merge(df, 1, table, ["k"], 4, sum_up)
     upkeep._merge(df, 1, table, ["k"], 4, sum_up)
     assert rows(upkeep.current(spark, table)) == [("a", 1), ("a", 1), ("b", 2), ("b", 2)]
+
+
+def stream_of(spark, path, data, schema):
+    spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def test_queries_take_turns_at_a_table(spark, tmp_path):
+    """Each query numbers its batches from 0: the mark must tell whose batch it was."""
+    up = lambda s, c: upkeep.upsert_stream(s, f"{tmp_path}/t", f"{tmp_path}/{c}", "k", 4).start().awaitTermination()
+    up(stream_of(spark, f"{tmp_path}/one", [("a", 1)], "k string, v int"), "c1")
+    up(stream_of(spark, f"{tmp_path}/two", [("b", 2)], "k string, v int"), "c2")
+    assert rows(upkeep.current(spark, f"{tmp_path}/t")) == [("a", 1), ("b", 2)]
+    up(stream_of(spark, f"{tmp_path}/one", [("c", 3)], "k string, v int"), "c1")
+    assert rows(upkeep.current(spark, f"{tmp_path}/t")) == [("a", 1), ("b", 2), ("c", 3)]
+    last = lambda s, c: upkeep.latest_stream(s, f"{tmp_path}/l", f"{tmp_path}/{c}", ["k"], ["v"], 4).start().awaitTermination()
+    last(stream_of(spark, f"{tmp_path}/three", [("a", 1)], "k string, v int"), "c3")
+    last(stream_of(spark, f"{tmp_path}/four", [("a", 5), ("b", 2)], "k string, v int"), "c4")
+    assert rows(upkeep.current(spark, f"{tmp_path}/l")) == [("a", 5), ("b", 2)]
+
+
+def test_ids_are_taken_once_for_good(spark, tmp_path):
+    schema = "id string, v int"
+    run = lambda data: upkeep.ingest_once(stream_of(spark, f"{tmp_path}/in", data, schema), f"{tmp_path}/t", f"{tmp_path}/c", "id", 4).start().awaitTermination()
+    run([("a", 2), ("a", 1), ("b", 5), (None, 4)])
+    run([("a", 0), ("c", 3), (None, 1)])
+    run([("b", 9)])
+    assert rows(upkeep.current(spark, f"{tmp_path}/t")) == sorted([("a", 1), ("b", 5), ("c", 3), (None, 4)], key=str)
+
+
+def test_digests_see_moved_nulls_and_cells(spark):
+    schema = "g string, a string, b string"
+    make = lambda *data: spark.createDataFrame([("g", *x) for x in data], schema)
+    tables = [make(("x", None), (None, "y")), make((None, "x"), ("y", None)), make(("x", "y")), make(("x", "y"), ("x", "y")), make(("1:x|1:y", "")), make(("x", "1:y")), make(("~", None)), make((None, "~"))]
+    digests = {releases.group_digest(t, ["g"]).first()["digest"] for t in tables}
+    ids = {sinks.release_id(sinks.manifest(t.withColumn("d", F.lit("2024-01-01")), "g", "d"), "g").first()[0] for t in tables}
+    assert len(digests) == len(ids) == len(tables)
+    assert releases.group_digest(tables[0], ["g"]).first() == releases.group_digest(make((None, "y"), ("x", None)).repartition(2), ["g"]).first()

@@ -238,6 +238,12 @@ def minus(a: Column, b: Column) -> Column:
     return F.coalesce(fast.cast(DECIMAL), of_units(F.try_subtract(units(a), units(b))))
 
 
+def total(values: list[Column]) -> Column:
+    """Sum of decimals, null ones left out, as decimal(38,9); 0 without any, null if it doesn't fit."""
+    each = F.array_compact(F.array(*[units(v) for v in values]))
+    return of_units(F.aggregate(each, whole(0), lambda a, x: F.try_add(a, x).cast(WHOLE)))
+
+
 def by_whole(v: Column, k: Column) -> Column:
     """v times a whole number as decimal(38,9); null if it doesn't fit."""
     fast = v.try_cast("decimal(28,9)") * k.try_cast("decimal(9,0)")

@@ -109,3 +109,16 @@ def pad_id(c: Column, width: int = 10) -> Column:
     """an identifier padded with zeros on the left, never cut."""
     t = c.cast("string")
     return F.when(F.length(t) >= width, t).otherwise(F.lpad(t, width, "0"))
+
+
+def row_md5(cols: list[str]) -> Column:
+    """MD5 of a row: each value as text after its length, nulls told apart from any text, so that values can't move
+    between columns unseen."""
+    cell = lambda c: F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("~"))
+    return F.md5(F.concat_ws("|", *[cell(c) for c in cols]))
+
+
+def rows_digest(cols: list[str]) -> Column:
+    """Aggregate: an order-free digest of rows as text, two sums of 60 bits each of ``row_md5``."""
+    half = lambda at: F.sum(F.conv(F.substring(row_md5(cols), at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.concat_ws("-", half(1), half(16))

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import rows_digest
+
 #: Finding code -> severity.
 SEVERITY = {
     "FIELD_LOST": "WARNING", "FIELD_ADDED": "INFO",
@@ -183,7 +185,7 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def group_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     """Per group its rows and an order-free digest: equal groups have equal digests."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("digest"))
+    return df.groupBy(*keys).agg(F.count("*").alias("rows"), rows_digest(rest).alias("digest"))
 
 
 def reproduce_check(old_result: DataFrame, new_result: DataFrame, content: list[str], keys: list[str], metric: str) -> DataFrame:

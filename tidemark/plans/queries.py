@@ -888,9 +888,15 @@ def release_audit(spark, sf_dir):
     return releases.audit_totals(V.altered(a), a.groupBy("form").agg(F.count("*").alias("n")), "form")
 
 
-@query("release_manifest", "SELECT metric, count(*) AS rows, min(period_end)::VARCHAR AS first_day, max(period_end)::VARCHAR AS last_day FROM obs GROUP BY metric", (V.OBS,))
+_MANIFEST = ["cik", "concept", "period_start", "period_end", "value", "unit", "accession"]
+_MANIFEST_MD5 = "md5(concat_ws('|', " + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '~')" for c in _MANIFEST) + "))"
+
+
+@query("release_manifest", f"""SELECT metric, count(*) AS rows, min(period_end)::VARCHAR AS first_day, max(period_end)::VARCHAR AS last_day, sum(('0x' || m[1:15])::HUGEINT)::HUGEINT::VARCHAR || '-' || sum(('0x' || m[16:30])::HUGEINT)::HUGEINT::VARCHAR AS digest
+FROM (SELECT *, {_MANIFEST_MD5} AS m FROM obs) GROUP BY metric""", (V.OBS,))
 def release_manifest(spark, sf_dir):
-    return text(sinks.manifest(V.observations(spark, sf_dir), "metric", "period_end").drop("digest"), "first_day", "last_day")
+    """The digest covers a column that is null throughout."""
+    return text(sinks.manifest(V.observations(spark, sf_dir).select("metric", *_MANIFEST), "metric", "period_end"), "first_day", "last_day")
 
 
 # Sources and functions
@@ -1156,11 +1162,39 @@ def release_moves(spark, sf_dir):
     return releases.overall_moves(c.where("c_custkey % 11 <> 0").select("c_custkey", state(F.col("c_acctbal") > 0)), c.where("c_custkey % 13 <> 0").select("c_custkey", state(F.col("c_nationkey") > 12)), "c_custkey").select("c_custkey", "code")
 
 
+def _event_stream(spark, sf_dir):
+    """A new place in the shared folder, and the events as a stream."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    kind = V.table(spark, sf_dir, "events").schema
+    return f"{shared}/tidemark-{uuid.uuid4().hex}", spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes no single file
+
+
+@query("stream_ingest", "SELECT user_id, min(event_id) AS event_id FROM events GROUP BY ALL")
+def stream_ingest(spark, sf_dir):
+    """Events as a stream, twice over by two queries: of each user the first row by content is kept for good."""
+    base, stream = _event_stream(spark, sf_dir)
+    rows = stream.select("user_id", "event_id")
+    for i in range(2):
+        upkeep.ingest_once(rows, f"{base}-once", f"{base}-progress{i}", "user_id", 8).start().awaitTermination()
+    return upkeep.current(spark, f"{base}-once")
+
+
+@query("stream_upsert", "SELECT user_id, event_id, CASE WHEN user_id % 3 = 0 THEN -value ELSE value END AS value FROM events")
+def stream_upsert(spark, sf_dir):
+    """Events as a stream; then, by a second query with a checkpoint of its own, those of a third of the users replaced."""
+    base, stream = _event_stream(spark, sf_dir)
+    rows = stream.select("user_id", "event_id", "value")
+    again = rows.where("user_id % 3 = 0").withColumn("value", -F.col("value"))
+    for i, x in enumerate((rows, again)):
+        upkeep.upsert_stream(x, f"{base}-upsert", f"{base}-progress{i}", "user_id", 8).start().awaitTermination()
+    return upkeep.current(spark, f"{base}-upsert")
+
+
 @query("stream_latest", "SELECT user_id, event_type, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def stream_latest(spark, sf_dir):
     """Events as a stream: the latest of each user and type is kept in a table of the shared folder."""
-    base = f"{spark.conf.get('spark.checkpoint.dir')}/tidemark-{uuid.uuid4().hex}"
-    kind = V.table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes no single file
+    base, stream = _event_stream(spark, sf_dir)
     upkeep.latest_stream(stream, f"{base}-latest", f"{base}-progress", ["user_id", "event_type"], ["ts", "event_id"], 8).start().awaitTermination()
     return upkeep.current(spark, f"{base}-latest").select("user_id", "event_type", "event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "value")

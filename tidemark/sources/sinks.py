@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.values import rows_digest
+
 
 def manifest(df: DataFrame, key: str, day: str) -> DataFrame:
     """Per key: rows, date range and an order-free digest of the rows."""
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(key).agg(F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.sum(F.xxhash64(*rest).cast("decimal(38,0)")).alias("digest"))
+    return df.groupBy(key).agg(F.count("*").alias("rows"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), rows_digest(rest).alias("digest"))
 
 
 def release_id(manifest_rows: DataFrame, key: str) -> DataFrame:
