@@ -752,6 +752,83 @@ def test_claims_and_bridge(spark):
     assert rows(claims.eligible_instants(inst, lit("2021-06-30", "date"), segment="segment"), "i") == [(0,)]
 
 
+def fact(key, concept, value, end="2023-12-31", unit="USD", filed="2024-02-01", accession="1", start=None, segment=None):
+    return (key, concept, unit, None if value is None else D(value), start and day(start), day(end), day(filed), accession, segment, f"{concept}@{end}")
+
+
+FACTS = "cik string, concept string, unit string, value decimal(38,9), period_start date, period_end date, filed date, accession string, segment string, id string"
+
+
+def test_instants_are_selected_or_ambiguous(spark):
+    data = [
+        fact("1", "A", 1, end="2023-09-30"), fact("1", "A", 2), fact("1", "A", 3, filed="2024-03-01"), fact("1", "A", 4, filed="2024-03-01", accession="2"), fact("1", "A", 9, filed="2024-07-01"), fact("1", "A", 8, end="2024-07-31"),
+        fact("1", "A", 7, start="2023-01-01", filed="2024-03-05"), fact("1", "A", 6, segment="x", filed="2024-03-05"), fact("2", "A", 5, end="2022-01-31"), fact("3", "A", 5), fact("3", "A", 6), fact("3", "B", 5), fact("3", "B", 5), fact("3", "B", None), fact("4", "A", 0), fact("4", "A", 3, unit="EUR"),
+    ]
+    got = claims.select_instants(spark.createDataFrame(data, FACTS), ["cik"], lit("2024-06-30", "date"))
+    assert rows(got, "cik", "concept", "unit", "value", "ambiguous") == [("1", "A", "USD", D(4), False), ("3", "A", "USD", None, True), ("3", "B", "USD", D(5), False), ("4", "A", "EUR", D(3), False), ("4", "A", "USD", D(0), False)]
+
+
+SCOPED_CASES = {
+    # a component equal to the stated total may be inside it: a duplicate, not added, nothing to say
+    "equal part": ([("DebtCurrent", 10), ("LongTermDebtCurrent", 10), ("LongTermDebtNoncurrent", 40)], "debt", 50, "REPORTED", ["LongTermDebtCurrent"], []),
+    "smaller part": ([("DebtCurrent", 10), ("CommercialPaper", 4), ("LongTermDebtNoncurrent", 40)], "debt", 50, "REPORTED", ["CommercialPaper"], ["POTENTIAL_DUPLICATE:CommercialPaper"]),
+    "part above total": ([("DebtCurrent", 10), ("LongTermDebtCurrent", 11)], "debt", None, "CONFLICTING", ["LongTermDebtCurrent"], ["POTENTIAL_DUPLICATE:LongTermDebtCurrent", "COMPONENT_ABOVE_TOTAL"]),
+    "part of other period": ([("DebtCurrent", 10), ("LongTermDebtCurrent", 11, "2023-09-30")], "debt", 10, "REPORTED", [], []),
+    "parts alone": ([("LongTermDebtCurrent", 3), ("CommercialPaper", 4), ("ShortTermBorrowings", 1), ("LongTermDebtNoncurrent", 40)], "debt", 48, "REPORTED", [], []),
+    "combined alone": ([("LongTermDebt", 70)], "debt", 70, "REPORTED", [], ["NO_CURRENT_DEBT_CONCEPT", "COMBINED_TOTAL_USED"]),
+    "combined differs": ([("LongTermDebt", 70), ("LongTermDebtCurrent", 5), ("LongTermDebtNoncurrent", 60)], "debt", 65, "REPORTED", [], ["COMBINED_TOTAL_DIFFERS"]),
+    "combined agrees": ([("LongTermDebt", 65), ("LongTermDebtCurrent", 5), ("LongTermDebtNoncurrent", 60)], "debt", 65, "REPORTED", [], []),
+    "combined beside a stated total": ([("LongTermDebt", 70), ("DebtCurrent", 5), ("LongTermDebtNoncurrent", 60)], "debt", 65, "REPORTED", [], ["COMBINED_TOTAL_OF_OTHER_SCOPE"]),
+    "combined and noncurrent": ([("LongTermDebt", 60), ("LongTermDebtNoncurrent", 60)], "debt", 60, "REPORTED", [], ["NO_CURRENT_DEBT_CONCEPT", "COMBINED_TOTAL_MATCHES"]),
+    "combined of other period": ([("LongTermDebt", 60, "2023-09-30"), ("LongTermDebtNoncurrent", 61)], "debt", 61, "REPORTED", [], ["NO_CURRENT_DEBT_CONCEPT", "COMBINED_TOTAL_OF_OTHER_PERIOD"]),
+    "no debt": ([("CashAndCashEquivalentsAtCarryingValue", 1)], "debt", None, "REVIEWED_ABSENT", [], []),
+    "zero debt": ([("DebtCurrent", 0)], "debt", 0, "REPORTED", [], []),
+    "leases in total": ([("FinanceLeaseLiability", 9), ("FinanceLeaseLiabilityCurrent", 2), ("FinanceLeaseLiabilityNoncurrent", 7)], "finance_leases", 9, "REPORTED", ["FinanceLeaseLiabilityCurrent", "FinanceLeaseLiabilityNoncurrent"], []),
+    "leases in parts": ([("FinanceLeaseLiabilityCurrent", 2), ("FinanceLeaseLiabilityNoncurrent", 7, "2023-09-30")], "finance_leases", 9, "REPORTED", [], ["PARTS_SPAN_PERIODS"]),
+    "leases differ": ([("FinanceLeaseLiability", 9), ("CapitalLeaseObligations", 8), ("FinanceLeaseLiabilityCurrent", 2)], "finance_leases", 8, "REPORTED", ["FinanceLeaseLiabilityCurrent"], ["SEVERAL_TOTALS", "TOTAL_DIFFERS_FROM_PARTS"]),
+    "operating leases": ([("OperatingLeaseLiability", 5), ("OperatingLeaseLiabilityCurrent", 5, "2023-09-30")], "operating_leases", 5, "REPORTED", [], ["PARTS_OF_OTHER_PERIOD"]),
+    "securities once": ([("CashAndCashEquivalentsAtCarryingValue", 1), ("ShortTermInvestments", 3), ("MarketableSecuritiesCurrent", 2), ("MarketableSecuritiesNoncurrent", 4), ("LongTermInvestments", 99)], "nonoperating_assets", 7, "REPORTED", [], ["NOT_ADDED:ShortTermInvestments", "EXCLUDED:LongTermInvestments"]),
+    "preferred": ([("PreferredStockValueOutstanding", 6), ("PreferredStockValue", 5)], "preferred_equity", 5, "REPORTED", [], ["CARRYING_VALUES_DISAGREE"]),
+    "minority": ([("MinorityInterest", 6), ("NoncontrollingInterestInVariableInterestEntity", 6)], "noncontrolling_interests", 6, "REPORTED", [], []),
+    "minority disagrees": ([("MinorityInterest", 6), ("NoncontrollingInterestInVariableInterestEntity", 5)], "noncontrolling_interests", None, "CONFLICTING", [], ["MEASURES_DISAGREE"]),
+    "minority by entities": ([("NoncontrollingInterestInVariableInterestEntity", 5)], "noncontrolling_interests", 5, "REPORTED", [], ["VIE_MEASURE_USED"]),
+    "shares": ([("EntityCommonStockSharesOutstanding", 100), ("CommonStockSharesOutstanding", 90)], "common_shares", 100, "REPORTED", [], []),
+    "shares of balance sheet": ([("CommonStockSharesOutstanding", 90)], "common_shares", 90, "REPORTED", [], ["BALANCE_SHEET_COUNT_USED"]),
+    "no shares": ([("DebtCurrent", 90)], "common_shares", None, "UNAVAILABLE", [], []),
+    "several values": ([("DebtCurrent", 10), ("LongTermDebtNoncurrent", 5), ("LongTermDebtNoncurrent", 6)], "debt", None, "CONFLICTING", [], ["AMBIGUOUS_VALUE:LongTermDebtNoncurrent"]),
+    "too large": ([("CommercialPaper", "99999999999999999999999999999"), ("LongTermDebtNoncurrent", 5)], "debt", None, "OUT_OF_RANGE", [], []),
+}
+
+
+def test_claims_by_scope(spark):
+    data = [fact(k, c, v, *end, unit="shares" if "Shares" in c else "USD") for k, (facts, *_) in SCOPED_CASES.items() for c, v, *end in facts]
+    got = {(r["cik"], r["claim"]): r for r in claims.scoped_claims(claims.select_instants(spark.createDataFrame(data, FACTS), ["cik"], lit("2024-06-30", "date")), ["cik"]).collect()}
+    assert len(got) == 8 * len(SCOPED_CASES)
+    for k, (_, claim, value, state, duplicates, notes) in SCOPED_CASES.items():
+        r = got[k, claim]
+        assert (r["value"], r["state"], r["duplicates"], r["notes"]) == (None if value is None else D(value), state, duplicates, notes), k
+        assert r["permitted"] == (state in ("REPORTED", "REVIEWED_ABSENT")), k
+    r = got["smaller part", "debt"]
+    assert (r["sources"], r["candidates"], r["current"], r["noncurrent"], r["period_end"]) == (["DebtCurrent@2023-12-31", "LongTermDebtNoncurrent@2023-12-31"], ["CommercialPaper"], D(10), D(40), day("2023-12-31"))
+    assert got["part above total", "debt"]["sources"] == ["DebtCurrent@2023-12-31", "LongTermDebtCurrent@2023-12-31"]
+    assert (got["leases in total", "finance_leases"]["current"], got["leases in total", "finance_leases"]["noncurrent"]) == (D(2), D(7))
+    assert got["leases in total", "finance_leases"]["sources"] == ["FinanceLeaseLiability@2023-12-31"]
+    assert got["minority disagrees", "noncontrolling_interests"]["sources"] == ["MinorityInterest@2023-12-31", "NoncontrollingInterestInVariableInterestEntity@2023-12-31"]
+
+
+def test_bridge_of_scoped_claims(spark):
+    """Reviewed absent claims count as nothing, conflicting ones make the bridge unavailable."""
+    data = [fact("1", "DebtCurrent", 10), fact("1", "CashAndCashEquivalentsAtCarryingValue", 4), fact("2", "DebtCurrent", 10), fact("2", "CommercialPaper", 11), fact("2", "CashAndCashEquivalentsAtCarryingValue", 4)]
+    got = claims.scoped_claims(claims.select_instants(spark.createDataFrame(data, FACTS), ["cik"], lit("2024-06-30", "date")), ["cik"])
+    assert rows(claims.equity_bridge(got, ["cik"], claims.DEDUCTED, ["cash"], claims.USABLE)) == [("1", D(-6), "AVAILABLE", []), ("2", None, "UNAVAILABLE", ["debt"])]
+
+
+def test_two_values_of_a_concept_conflict(spark):
+    df = spark.createDataFrame([("1", "DebtTotal", D(5), "a"), ("1", "DebtTotal", D(6), "b"), ("1", "CashAndEquivalents", D(1), "c"), ("1", "CashAndEquivalents", D(1), "d")], "cik string, concept string, value decimal(38,9), id string")
+    got = {r["claim"]: (r["value"], r["state"]) for r in claims.claims(df, ["cik"]).collect()}
+    assert got["debt"] == (None, "CONFLICTING") and got["cash"] == (D(1), "REPORTED")
+
+
 def test_seven_methods(spark):
     every = ["revenue", "operating_income", "operating_cash_flow", "capital_expenditures", "net_income"]
     full = {c: "CERTIFIED" for c in claims.BRIDGE_CLAIMS}

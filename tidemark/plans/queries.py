@@ -5,6 +5,7 @@ Dates and decimals are returned as text, so that both engines print them alike.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from functools import reduce
 
@@ -745,12 +746,35 @@ def quality_cross(spark, sf_dir):
     return text(quality.cross_validate(a, V.altered(a), ["id"]).select("id", "validation", "delta"), "delta")
 
 
-@query("claims_bridge", """SELECT cik, month, CASE WHEN n = 3 THEN s::DECIMAL(28,9)::VARCHAR END AS bridge, CASE WHEN n = 3 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status, array_to_string([c[2] FOR c IN [['R', 'cash'], ['A', 'debt'], ['N', 'leases']] IF NOT list_contains(h, c[1])], ',') AS missing FROM (
-  SELECT cik, month, count(*) AS n, list(metric) AS h, sum(CASE metric WHEN 'R' THEN v ELSE -v END) AS s FROM (SELECT cik, month(period_end) AS month, metric, max(value)::DECIMAL(28,9) AS v FROM flows WHERE year(period_end) % 3 = 0 GROUP BY ALL) GROUP BY ALL)""", (V.FLOWS,))
+@query("claims_bridge", """SELECT cik, period_end::VARCHAR AS period_end, CASE WHEN n = 3 THEN s::DECIMAL(28,9)::VARCHAR END AS bridge, CASE WHEN n = 3 THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS status, array_to_string([c[2] FOR c IN [['R', 'cash'], ['A', 'debt'], ['N', 'leases']] IF NOT list_contains(h, c[1])], ',') AS missing FROM (
+  SELECT cik, period_end, count(*) AS n, list(metric) AS h, sum(CASE metric WHEN 'R' THEN v ELSE -v END) AS s FROM (SELECT cik, period_end, metric, value::DECIMAL(28,9) AS v FROM flows) GROUP BY ALL)""", (V.FLOWS,))
 def claims_bridge(spark, sf_dir):
-    rows = V.flows(spark, sf_dir).where("year(period_end) % 3 = 0").withColumns({"id": F.concat_ws(":", "metric", "period_end"), "month": F.month("period_end").cast("long")})
-    got = claims.claims(rows, ["cik", "month"], {"debt": ("A", []), "leases": (None, ["N"]), "cash": ("R", [])}, concept="metric")
-    return text(claims.equity_bridge(got, ["cik", "month"], ["debt", "leases"], ["cash"]).withColumn("missing", F.array_join("missing", ",")), "bridge")
+    rows = V.flows(spark, sf_dir).withColumn("id", F.concat_ws(":", "metric", "period_end"))
+    got = claims.claims(rows, ["cik", "period_end"], {"debt": ("A", []), "leases": (None, ["N"]), "cash": ("R", [])}, concept="metric")
+    return text(claims.equity_bridge(got, ["cik", "period_end"], ["debt", "leases"], ["cash"]).withColumn("missing", F.array_join("missing", ",")), "period_end", "bridge")
+
+
+_SCOPED = ["DebtCurrent", "LongTermDebtCurrent", "ShortTermBorrowings", "LongTermDebtNoncurrent", "LongTermDebt", "MinorityInterest", "NoncontrollingInterestInVariableInterestEntity"]
+
+
+@query("claims_scoped", """SELECT cik, claim, state, CASE WHEN state = 'REPORTED' THEN value END::VARCHAR AS value, CASE WHEN state <> 'REVIEWED_ABSENT' THEN duplicates ELSE '' END AS duplicates FROM (
+  SELECT cik, 'debt' AS claim, array_to_string([x FOR x IN [CASE WHEN e1 = e0 THEN 'LongTermDebtCurrent' END, CASE WHEN e2 = e0 THEN 'ShortTermBorrowings' END] IF x IS NOT NULL], ',') AS duplicates,
+    CASE WHEN a0 OR a1 OR a2 OR a3 OR a4 OR coalesce(e1 = e0 AND v1 > v0, false) OR coalesce(e2 = e0 AND v2 > v0, false) THEN 'CONFLICTING' WHEN coalesce(e0, e1, e2, e3, e4) IS NULL THEN 'REVIEWED_ABSENT' ELSE 'REPORTED' END AS state,
+    (coalesce(v0, coalesce(v1, 0) + coalesce(v2, 0)) + coalesce(v3, v4, 0))::DECIMAL(38,9) AS value FROM p
+  UNION ALL SELECT cik, 'noncontrolling_interests', '', CASE WHEN a5 OR a6 OR coalesce(v5 <> v6, false) THEN 'CONFLICTING' WHEN coalesce(e5, e6) IS NULL THEN 'REVIEWED_ABSENT' ELSE 'REPORTED' END, coalesce(v5, v6)::DECIMAL(38,9) FROM p)""", (
+    "facts AS (SELECT lpad(l_suppkey::VARCHAR, 10, '0') AS cik, l_partkey % 7 AS c, (date_trunc('quarter', l_shipdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS e, o_orderdate::DATE AS filed, l_orderkey::VARCHAR AS acc, l_extendedprice::DECIMAL(20,2) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "sel AS (SELECT * FROM (SELECT cik, c, e, filed, acc, min(v) AS lo, max(v) AS hi FROM facts WHERE e <= DATE '1996-01-01' AND filed <= DATE '1996-01-01' AND DATE '1996-01-01' - e <= 400 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY cik, c ORDER BY e DESC, filed DESC, acc DESC) = 1)",
+    "p AS (SELECT cik, " + ", ".join(f"max(CASE WHEN c = {i} AND lo = hi THEN lo END) AS v{i}, max(CASE WHEN c = {i} THEN e END) AS e{i}, coalesce(bool_or(lo <> hi) FILTER (c = {i}), false) AS a{i}" for i in range(7)) + " FROM sel GROUP BY cik)"))
+def claims_scoped(spark, sf_dir):
+    """Line items as instants of seven concepts, of which several may be of one filing."""
+    li = V.table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"]).join(V.table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"]), F.col("l_orderkey") == F.col("o_orderkey"))
+    end = F.date_sub(F.add_months(F.date_trunc("quarter", "l_shipdate").cast("date"), 3), 1)
+    facts = li.select(
+        values.pad_id(F.col("l_suppkey")).alias("cik"), F.element_at(F.array(*map(F.lit, _SCOPED)), (F.col("l_partkey") % 7 + 1).cast("int")).alias("concept"), F.lit("USD").alias("unit"), F.col("l_extendedprice").cast(V.DECIMAL).alias("value"),
+        F.lit(None).cast("date").alias("period_start"), end.alias("period_end"), F.col("o_orderdate").cast("date").alias("filed"), F.col("l_orderkey").cast("string").alias("accession"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
+    )
+    got = claims.scoped_claims(claims.select_instants(facts, ["cik"], dt.date(1996, 1, 1)), ["cik"]).where(F.col("claim").isin("debt", "noncontrolling_interests"))
+    return text(got.select("cik", "claim", "state", "value", F.array_join("duplicates", ",").alias("duplicates")), "value")
 
 
 @query("claims_methods", """SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'NOT_APPLICABLE' WHEN c_acctbal > 0 AND c_nationkey < 10 THEN 'READY' ELSE 'BLOCKED' END AS status, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE concat_ws(',', CASE WHEN c_acctbal > 0 THEN NULL ELSE 'NO_BALANCE' END, CASE WHEN c_nationkey < 10 THEN NULL ELSE 'NO_NATION' END) END AS missing FROM customer""")
