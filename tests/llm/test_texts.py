@@ -365,7 +365,7 @@ def test_prefix_pairs_miss_none(spark):
     grams = simhash._shingles
     df = spark.createDataFrame([(hashlib.md5(t.encode()).digest(), t) for t in texts], "key binary, text string").repartition(3)
     none = spark.createDataFrame([], "node binary, component binary")
-    found = {(bytes(a), bytes(b)) for a, b in prefix.pairs(df, none, lambda t: grams(t, 5), 0.8).collect()}
+    found = {(bytes(a), bytes(b)) for a, b in prefix.join_postings(prefix.postings(df, lambda t: grams(t, 5), 0.8), none, 0.8).collect()}
     keys = [hashlib.md5(t.encode()).digest() for t in texts]
     sets = [grams(t, 5) for t in texts]
     want = {tuple(sorted((keys[i], keys[j]))) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
@@ -579,3 +579,40 @@ def test_gradient_of_the_attention_model():
             up[k][at] += 1e-5
             down[k][at] -= 1e-5
             assert abs((loss(up) - loss(down)) / 2e-5 - grad[k][at]) < 1e-6
+
+
+def test_contraction_joins_parts_with_few_pairs_and_loses_no_link(spark):
+    """Two large parts with very many links between them become one after a few pairs; all components are as by all pairs."""
+    from tidemark.llm import prefix
+    from tidemark.llm.common import connected_components, written
+
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(120):
+        w = list(base)
+        w[rng.randrange(60)] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(w))
+    texts += [words(rng, 50, 4000) for _ in range(30)]
+    texts = list(dict.fromkeys(texts))
+    keys, sets = [hashlib.md5(t.encode()).digest() for t in texts], [simhash._shingles(t, 2) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "key binary, text string").repartition(3)
+    near = [i for i in range(len(texts)) if "b" in texts[i]]
+    halves = [[i for i in near if rng.random() < 0.5 or i == near[0]]]
+    halves.append([i for i in near if i not in halves[0]])
+    parts = written(connected_components(spark.createDataFrame([(keys[a], keys[b]) for h in halves for a, b in zip(h, h[1:], strict=False)], "a binary, b binary"), "a", "b"), "parts")
+    asked = []
+
+    def verified(pairs):
+        rows = [(bytes(a), bytes(b)) for a, b in pairs.collect()]
+        asked.append(len(rows))
+        at = {k: i for i, k in enumerate(keys)}
+        return spark.createDataFrame([(a, b) for a, b in rows if alike(at[a], at[b])], "key binary, m binary")
+
+    posts = prefix.postings(df, lambda t: simhash._shingles(t, 2), 0.8)
+    got = {bytes(r["node"]): bytes(r["component"]) for r in prefix.joined_parts(posts, parts, 0.8, verified).collect()}
+    want = components(len(texts), alike)
+    groups = lambda of: {frozenset(i for i in range(len(texts)) if of(i) == g) for g in {of(i) for i in range(len(texts))}}
+    assert groups(lambda i: got.get(keys[i], keys[i])) == groups(lambda i: want[i])
+    assert sum(asked) < len(halves[0]) * len(halves[1]) / 20

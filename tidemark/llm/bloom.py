@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +74,20 @@ def might_hold(spark, table: np.ndarray, col):
         return pd.Series(_probe(sent.value, block.to_numpy(np.int64), g.to_numpy(np.int64).view(np.uint64)))
 
     return probe(F.pmod(F.xxhash64(c), F.lit(len(table))), _second(c))
+
+
+def map_listed(df: DataFrame, table: np.ndarray, col: str, task, schema: str) -> DataFrame:
+    """``df.mapInArrow(task, schema)`` over the rows whose key the filter may hold, probed in the task's own worker."""
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        def kept():
+            for b in batches:
+                n = b.num_columns - 2
+                ok = _probe(sent.value, b.column(n).to_numpy(zero_copy_only=False), b.column(n + 1).to_numpy(zero_copy_only=False).view(np.uint64))
+                if ok.any():
+                    yield pa.RecordBatch.from_arrays(b.columns[:n], b.schema.names[:n]).filter(pa.array(ok))
+
+        yield from task(kept())
+
+    return df.select(*df.columns, F.pmod(F.xxhash64(col), F.lit(len(table))).alias("__block"), _second(F.col(col)).alias("__bits")).mapInArrow(run, schema)

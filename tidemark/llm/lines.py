@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, holds, might_hold
-from tidemark.llm.common import connected_components, merged_components, read, written
-from tidemark.llm.prefix import pairs
+from tidemark.llm.common import connected_components, read, written
+from tidemark.llm.prefix import joined_parts, postings
 
 SHINGLE = 5
 WIDE = 8  # characters of a shingle in signatures
@@ -233,8 +233,8 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     other = few.select("band", F.col("key").alias("m"), F.col("part").alias("part2"))
     more = few.join(other, "band").where((F.col("key") < F.col("m")) & (F.col("part") != F.col("part2"))).select("key", "m")
     many = texts.join(rest.where(F.col("n") > SMALL_BAND).select("key").distinct(), "key")
-    more = more.union(pairs(many.select("key", F.col("line").alias("text")), parts, _grams, threshold)).distinct()
-    parts = written(merged_components(parts, verified(written(more, "more")), "key", "m"), "parts")
+    posts = postings(many.select("key", F.col("line").alias("text")), _grams, threshold)
+    parts = joined_parts(posts, parts, threshold, verified, more=more, rounds=2)
     placed = where.drop("line").join(parts, where.key == parts.node, "left").select("doc_id", "k", "pos", F.coalesce("component", "key").alias("part"))
     placed = written(placed, "placed")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k", "pos")

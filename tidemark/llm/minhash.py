@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bloom import build_filter, holds, might_hold
-from tidemark.llm.common import connected_components, discard, merged_components, read, small_batches, written
-from tidemark.llm.prefix import SKETCH, contract, join_postings, long_sketch, near_enough, parity_sketch, postings, sketches_near
+from tidemark.llm.bloom import build_filter, holds, map_listed
+from tidemark.llm.common import connected_components, discard, read, small_batches, written
+from tidemark.llm.prefix import SKETCH, joined_parts, long_sketch, near_enough, parity_sketch, postings, sketches_near
 from tidemark.llm.words import WordHashes, prefix_polynomials, run_hashes
 
 BANDS, ROWS = 20, 6
@@ -192,7 +192,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(near: DataFrame) -> DataFrame:
         near = written(near, "candidates")
         listed = build_filter(near.select("key").union(near.select("m")).distinct(), "key")
-        sets = texts.where(might_hold(spark, listed, "key")).mapInArrow(_as_sets(size), "key binary, n int, sketch binary, s binary")
+        sets = map_listed(texts, listed, "key", _as_sets(size), "key binary, n int, sketch binary, s binary")
         sets = written(sets.dropDuplicates(["key"]), "sets")
         other = sets.select(F.col("key").alias("m"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"), F.col("s").alias("s2"))
         both = near.join(sets.select("key", "n", "sketch"), "key").join(other.select("m", "n2", "sketch2"), "m")
@@ -206,10 +206,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(full, marks)
     parts = written(connected_components(links, "key", "m"), "parts")
     posts = postings(texts, lambda t: shingle_set(t.encode(), size).view(np.int64), threshold)
-    parts, met = contract(posts, parts, threshold, verified)
-    rest = verified(join_postings(met, parts, threshold))
-    parts = written(merged_components(parts, rest, "key", "m"), "parts")
-    discard(links, posts, met, rest)
+    parts = joined_parts(posts, parts, threshold, verified)
+    discard(links, posts)
     each = ids.groupBy("key").agg(F.min("id").alias("least")).join(signed.select("key", "n"), "key").join(parts, F.col("key") == F.col("node"), "left")
     each = written(each.select("key", "n", "least", F.coalesce("component", "key").alias("part")), "named")
     named = each.join(each.groupBy("part").agg(F.min("least").alias("component_id")), "part").select("key", "n", "component_id")

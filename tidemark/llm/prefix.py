@@ -170,7 +170,7 @@ def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rou
         joined = F.col("several") | F.col("several2")
         near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"), joined.alias("joined"))
         best = near.where("joined").groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
-        links = verified(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("pair")).select("pair.key", "pair.m"))
+        links = written(verified(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("pair")).select("pair.key", "pair.m")), "links")
         if links.isEmpty():
             break
         parts = written(merged_components(parts, links, "key", "m"), "parts")
@@ -204,6 +204,10 @@ def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_lengt
     return found.select(F.least("key", "key2").alias("key"), F.greatest("key", "key2").alias("m")).distinct()
 
 
-def pairs(texts: DataFrame, parts: DataFrame, grams, threshold: float) -> DataFrame:
-    """(key, m): every pair of (key, text) rows that can have a Jaccard of ``threshold``, unless it is of one part."""
-    return join_postings(postings(texts, grams, threshold), parts, threshold)
+def joined_parts(posts: DataFrame, parts: DataFrame, threshold: float, verified, by_length: bool = False, more: DataFrame | None = None, rounds: int = 3) -> DataFrame:
+    """``parts`` (node, component) joined by every link between sets of ``posts``, and by those of the ``more`` pairs:
+    first parts as wholes by ``contract``, then each pair that is left."""
+    parts, met = contract(posts, parts, threshold, verified, rounds)
+    rest = join_postings(met, parts, threshold, by_length)
+    rest = rest if more is None else rest.unionByName(more).distinct()
+    return written(merged_components(parts, verified(written(rest, "rest")), "key", "m"), "parts")

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bloom import build_filter, might_hold
-from tidemark.llm.common import connected_components, merged_components, read, small_batches, with_range, written
-from tidemark.llm.prefix import join_postings, pivot_pairs, postings
+from tidemark.llm.bloom import build_filter, map_listed
+from tidemark.llm.common import connected_components, read, small_batches, with_range, written
+from tidemark.llm.prefix import joined_parts, pivot_pairs, postings
 
 # Anchors and further common words, in English, German, French and Spanish.
 ANCHORS = frozenset("a an is the das der die ist la le les un una el los est es".split())
@@ -188,8 +188,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
     Equal texts take part once. Fingerprints are partitioned by set length, so that a partition's sets can only match
     those of their own and the adjacent one; within these, two sets that match share one of their first (rarest)
-    signatures. First each set meets some pivots of its partition with such a signature; between the groups found so,
-    all pairs are compared whose lengths, prefixes and sketches allow it. Every pair is verified by the pruned Jaccard.
+    signatures. First each set meets some pivots of its partition with such a signature; groups found so are joined by a
+    few likely pairs of each two, and between those left all pairs are compared whose lengths, prefixes and sketches allow it. Every pair is verified by the pruned Jaccard.
     class_id is the smallest id of the class. Texts without words, null ones among them, form one class. Null ids take
     part but name no class; a repeated row is of the class of the other. No rows give none.
     """
@@ -203,13 +203,13 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     def verified(near: DataFrame) -> DataFrame:
         near = written(near, "candidates")
         sent = build_filter(near.select("key").union(near.select("m")).distinct().select("key"), "key")
-        sets = texts.where(might_hold(spark, sent, "key")).mapInArrow(_as_sets(chain), "key binary, s binary")
+        sets = map_listed(texts, sent, "key", _as_sets(chain), "key binary, s binary")
         sets = written(sets.dropDuplicates(["key"]), "sets")
         both = near.join(sets, "key").join(sets.select(F.col("key").alias("m"), F.col("s").alias("s2")), "m")
         return both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary")
 
     parts = written(connected_components(verified(pivot_pairs(posts, threshold)), "key", "m"), "parts")
-    parts = merged_components(parts, verified(join_postings(posts, parts, threshold, by_length=True)), "key", "m")
+    parts = joined_parts(posts, parts, threshold, verified, by_length=True)
     least = ids.groupBy("key").agg(F.min("id").alias("least"))
     each = least.join(parts, least.key == parts.node, "left").select("key", "least", F.coalesce("component", "key").alias("part"))
     named = each.join(each.groupBy("part").agg(F.min("least").alias("class_id")), "part").select(F.col("key").alias("k"), "class_id")
