@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact, temporal, values
-from tidemark.operators import claims, derive, joins, pit, quality, releases, screen, series
+from tidemark.operators import claims, comparison, derive, joins, pit, quality, releases, screen, series
 from tidemark.sources import documents, ingest, sinks
 from tidemark.streaming import upkeep
 
@@ -849,7 +849,7 @@ CONTRACT = [("revenue", "USD", ["Revenues", "SalesRevenueNet"], ["OtherIncome"])
 
 
 @pytest.mark.parametrize(("before", "after", "codes"), [
-    ({}, {}, []), ({}, None, ["FIELD_LOST"]), (None, {}, ["FIELD_ADDED"]), ({}, {"unit": "EUR"}, ["CONTRACT_UNIT_VIOLATION"]), ({"unit": "EUR"}, {}, ["UNIT_CORRECTED"]), ({}, {"concept": "SalesRevenueNet"}, ["CONCEPT_PRIORITY_DEMOTED"]),
+    ({}, {}, []), ({}, None, ["FIELD_LOST"]), (None, {}, ["FIELD_GAINED"]), ({}, {"unit": "EUR"}, ["CONTRACT_UNIT_VIOLATION"]), ({"unit": "EUR"}, {}, ["UNIT_CORRECTED"]), ({}, {"concept": "SalesRevenueNet"}, ["CONCEPT_PRIORITY_DEMOTED"]),
     ({"concept": "SalesRevenueNet"}, {}, ["CONCEPT_CHANGED"]), ({}, {"concept": "OtherIncome"}, ["PROHIBITED_BASIS_SUBSTITUTION"]), ({}, {"concept": "Unknown"}, ["BASIS_SUBSTITUTION_UNSUPPORTED"]), ({}, {"value": D(100_900_000)}, ["IMMATERIAL_VALUE_DRIFT"]),
     ({}, {"value": D(100_000)}, ["SUSPECTED_UNCONVERTED_SCALE"]), ({}, {"value": D(100_000_000_000_000)}, ["SUSPECTED_UNCONVERTED_SCALE"]), ({}, {"value": D(150_000_000), "accession": "a2", "filed": day("2021-05-01")}, ["RESTATEMENT_WITH_NEW_FILING"]),
     ({}, {"value": D(150_000_000), "accession": "a0", "filed": day("2020-05-01")}, ["FILING_REGRESSION_EARLIER_ACCESSION"]), ({}, {"value": D(150_000_000), "source_object": "o2"}, ["VALUE_CHANGED_WITH_SOURCE_REVISION"]), ({}, {"value": D(150_000_000)}, ["VALUE_CHANGED_WITHOUT_SOURCE_REVISION"]),
@@ -867,11 +867,87 @@ def test_release_findings(spark, before, after, codes):
 
 def test_report_and_company_findings(spark):
     rep = lambda mode, contract, as_of: spark.createDataFrame([(mode, contract, day(as_of))], "mode string, contract string, as_of date")
-    assert rows(releases.report_findings(rep("live", "v1", "2024-01-02"), rep("fixture", "v2", "2024-01-01")), "code") == [("AS_OF_REGRESSION",), ("INCOMPARABLE_CONTRACT",), ("INCOMPARABLE_MODE",)]
+    assert rows(releases.report_findings(rep("live", "v1", "2024-01-02"), rep("fixture", "v2", "2024-01-01")), "code") == [("AS_OF_REGRESSION",), ("CONTRACT_SCHEMA_MISMATCH",), ("MODE_MISMATCH",)]
     assert rows(releases.report_findings(rep("live", "v1", "2024-01-02"), rep("live", "v1", "2024-01-02"))) == []
     a = spark.createDataFrame([("A", "SOURCE_VALIDATED"), ("B", "BLOCKED"), ("C", "BLOCKED"), ("D", "BLOCKED"), ("E", "BLOCKED")], "t string, overall string")
     b = spark.createDataFrame([("A", "BLOCKED"), ("B", "SOURCE_VALIDATED"), ("C", "CONFLICT"), ("D", "BLOCKED"), ("F", "BLOCKED")], "t string, overall string")
-    assert rows(releases.overall_moves(a, b, "t"), "t", "code") == [("A", "COMPANY_OVERALL_DOWNGRADE"), ("B", "COMPANY_OVERALL_UPGRADE"), ("C", "COMPANY_OVERALL_CHANGED"), ("E", "COMPANY_LOST"), ("F", "COMPANY_ADDED")]
+    assert rows(releases.overall_moves(a, b, "t"), "t", "code") == [("A", "COMPANY_OVERALL_DOWNGRADE"), ("B", "COMPANY_OVERALL_UPGRADE"), ("C", "COMPANY_OVERALL_CHANGED"), ("E", "COMPANY_DROPPED"), ("F", "COMPANY_ADDED")]
+
+
+KINDS = {
+    "report": "mode string, contract string, as_of string, digest string", "families": "family string, state string, sample_complete boolean", "companies": "company string, cik string, overall string, blocking array<string>",
+    "checks": "company string, check string, state string",
+    "fields": "company string, period_end date, field string, value decimal(38,9), unit string, concept string, accession string, filed date, available_at timestamp, source_object string, state string, corroborations array<struct<source: string, agrees: boolean>>",
+}
+
+
+def report_field(company="A", end="2023-12-31", field="revenue", value=10**9, unit="USD", concept="Revenues", accession="1", filed="2024-02-01", available="2024-02-01", source="o1", state="SOURCE_UNVALIDATED", corroborations=()):
+    return (company, day(end), field, None if value is None else D(value), unit, concept, accession, day(filed), at(available), source, state, None if corroborations is None else list(corroborations))
+
+
+GOOD = {
+    "report": [("live", "v1", "2024-03-01", "d1")], "families": [("facts", "resolved", True)], "companies": [("A", "1", "SOURCE_UNVALIDATED", [])], "checks": [("A", "facts", "MATCH")],
+    "fields": [report_field(), report_field(end="2022-12-31", value=9 * 10**8)],
+}
+CONTRACT_RULES = [("revenue", "USD", ["Revenues", "SalesRevenueNet"], ["GrossProfit"])]
+#: What changes in the second report (level -> its rows), the findings, and the outcome.
+TREE_CASES = {
+    "unchanged": ({}, [], "PASS"),
+    "content address": ({"report": [("live", "v1", "2024-03-01", "d2")]}, [("report", "REPORT_CONTENT_ADDRESS_CHANGED")], "INFO"),
+    "earlier instant": ({"report": [("live", "v1", "2024-02-01", "d1")]}, [("report", "AS_OF_REGRESSION")], "WARNING"),
+    "other mode and contract": ({"report": [("fixture", "v2", "2024-03-01", "d1")]}, [("report", "CONTRACT_SCHEMA_MISMATCH"), ("report", "MODE_MISMATCH")], "FAIL"),
+    "new period": ({"fields": [*GOOD["fields"], report_field(end="2024-12-31")]}, [("company", "PERIOD_OBSERVED_ADDED"), ("field", "NEW_PERIOD_FIELD_OBSERVED")], "INFO"),
+    "lost period": ({"fields": GOOD["fields"][:1]}, [("company", "PERIOD_OBSERVED_LOST")], "WARNING"),
+    "new field": ({"fields": [*GOOD["fields"], report_field(field="net_income")]}, [("field", "FIELD_GAINED")], "INFO"),
+    "restated": ({"fields": [report_field(value=2 * 10**9, accession="2", filed="2024-02-20", available="2024-02-20"), GOOD["fields"][1]]}, [("field", "RESTATEMENT_WITH_NEW_FILING")], "INFO"),
+    "regressed filing": ({"fields": [report_field(value=2 * 10**9, accession="0", filed="2024-01-20", available="2024-01-20"), GOOD["fields"][1]]}, [("field", "FILING_REGRESSION_EARLIER_ACCESSION")], "FAIL"),
+    "observation lost": ({"fields": [report_field(value=None, concept=None, unit=None, accession=None, source=None, state="MISSING_OBSERVATION"), GOOD["fields"][1]]}, [("field", "OBSERVATION_LOST")], "WARNING"),
+    "demoted": ({"fields": [report_field(concept="SalesRevenueNet"), GOOD["fields"][1]]}, [("field", "CONCEPT_PRIORITY_DEMOTED")], "WARNING"),
+    "prohibited": ({"fields": [report_field(concept="GrossProfit"), GOOD["fields"][1]]}, [("field", "PROHIBITED_BASIS_SUBSTITUTION")], "FAIL"),
+    "scale": ({"fields": [report_field(value=10**6), GOOD["fields"][1]]}, [("field", "SUSPECTED_UNCONVERTED_SCALE")], "FAIL"),
+    "unit": ({"fields": [report_field(unit="EUR"), GOOD["fields"][1]]}, [("field", "CONTRACT_UNIT_VIOLATION")], "FAIL"),
+    "other source object": ({"fields": [report_field(value=2 * 10**9, source="o2"), GOOD["fields"][1]]}, [("field", "VALUE_CHANGED_WITH_SOURCE_REVISION")], "WARNING"),
+    "unexplained": ({"fields": [report_field(value=2 * 10**9), GOOD["fields"][1]]}, [("field", "VALUE_CHANGED_WITHOUT_SOURCE_REVISION")], "FAIL"),
+    "family": ({"families": [("facts", "unresolved", False)]}, [("family", "MANIFEST_ARTIFACT_SAMPLE_INCOMPLETE"), ("family", "SOURCE_FAMILY_UNRESOLVED")], "FAIL"),
+    "family gone or new": ({"families": [("prices", "unresolved", False)]}, [], "PASS"),
+    "validated alone": ({"fields": [report_field(state="SOURCE_VALIDATED"), GOOD["fields"][1]]}, [("field", "NON_INDEPENDENT_CORROBORATION"), ("field", "STATE_IMPROVED")], "FAIL"),
+    "validated by the same object": ({"fields": [report_field(state="SOURCE_VALIDATED", corroborations=[("x", True)]), GOOD["fields"][1]]}, [("field", "NON_INDEPENDENT_CORROBORATION"), ("field", "STATE_IMPROVED")], "FAIL"),
+    "validated by another": ({"fields": [report_field(state="SOURCE_VALIDATED", corroborations=[("x", True)]), GOOD["fields"][1]], "checks": [("A", "facts", "MATCH"), ("A", "other", "DIFFERENT_SOURCE_OBJECT")]}, [("company", "SOURCE_IDENTITY_DIVERGENCE_OBSERVED"), ("field", "STATE_IMPROVED")], "INFO"),
+    "validated without provenance": ({"fields": [report_field(state="SOURCE_VALIDATED", corroborations=None), GOOD["fields"][1]]}, [("field", "STATE_IMPROVED")], "INFO"),
+    "identity check": ({"checks": [("A", "facts", "DIFFERENT_SOURCE_OBJECT")]}, [("company", "SOURCE_IDENTITY_REGRESSION")], "WARNING"),
+    "future": ({"fields": [report_field(available="2025-01-01"), GOOD["fields"][1]]}, [("field", "FUTURE_AVAILABILITY_UNSUPPORTED")], "FAIL"),
+    "issuer": ({"companies": [("A", "2", "SOURCE_UNVALIDATED", [])]}, [("company", "ISSUER_IDENTITY_CHANGED")], "FAIL"),
+    "no issuer": ({"companies": [("A", None, "SOURCE_UNVALIDATED", [])]}, [("company", "ISSUER_IDENTITY_UNRESOLVED")], "FAIL"),
+    "collision": ({"companies": [("A", "1", "SOURCE_UNVALIDATED", []), ("A", "2", "SOURCE_UNVALIDATED", [])]}, [("company", "TICKER_IDENTITY_COLLISION")], "FAIL"),
+    "blocked": ({"companies": [("A", "1", "BLOCKED", ["x", "y"])]}, [("company", "BLOCKING_ISSUE_ADDED"), ("company", "BLOCKING_ISSUE_ADDED"), ("company", "COMPANY_OVERALL_DOWNGRADE")], "FAIL"),
+    "better": ({"companies": [("A", "1", "SOURCE_VALIDATED", [])]}, [("company", "COMPANY_OVERALL_UPGRADE")], "INFO"),
+    "dropped": ({"companies": [("B", "9", "BLOCKED", ["x"])], "fields": [report_field("B"), report_field("B", end="2020-12-31")], "checks": [("B", "facts", "DIFFERENT_SOURCE_OBJECT")]}, [("company", "COMPANY_ADDED"), ("company", "COMPANY_DROPPED")], "WARNING"),
+}
+
+
+def make_report(spark, change=()):
+    data = {**GOOD, **dict(change)}
+    return comparison.Report(*[spark.createDataFrame(data[k], KINDS[k]).coalesce(1) for k in comparison.Report._fields])
+
+
+@pytest.mark.parametrize("name", sorted(TREE_CASES))
+def test_reports_as_trees(spark, name):
+    change, want, outcome = TREE_CASES[name]
+    rules = spark.createDataFrame(CONTRACT_RULES, "field string, unit string, concepts array<string>, prohibited array<string>")
+    found = comparison.compare_reports(make_report(spark), make_report(spark, change), rules, lit("2024-06-01", "timestamp")).cache()
+    assert rows(found, "level", "code") == sorted(want)
+    assert comparison.outcome(found).first()["outcome"] == outcome
+
+
+def test_findings_tell_what_they_are_about(spark):
+    """A field lost within a period that is still there, removed where it was unusable; a resolved issue; carried over claims."""
+    was = {"fields": [*GOOD["fields"], report_field(field="capex", state="CONFLICT"), report_field(field="net_income"), report_field(field="assets", state="PASS")], "companies": [("A", "1", "SOURCE_UNVALIDATED", ["old"])]}
+    now = {"fields": [GOOD["fields"][0], report_field(field="assets", state="PASS")]}
+    found = comparison.compare_reports(make_report(spark, was), make_report(spark, now))
+    assert rows(found, "code", "severity", "company", "period_end", "field", "subject") == sorted([
+        ("UNUSABLE_FIELD_REMOVED", "INFO", "A", "2023-12-31", "capex", None), ("FIELD_LOST", "WARNING", "A", "2023-12-31", "net_income", None), ("PERIOD_OBSERVED_LOST", "WARNING", "A", None, None, "2022-12-31"),
+        ("BLOCKING_ISSUE_RESOLVED", "INFO", "A", None, None, "old"), ("NON_INDEPENDENT_CORROBORATION_PREEXISTING", "WARNING", "A", "2023-12-31", "assets", None),
+    ], key=str)
 
 
 def test_reconcile_and_parity(spark):

@@ -12,7 +12,7 @@ from tidemark.functions.values import rows_digest
 
 #: Finding code -> severity.
 SEVERITY = {
-    "FIELD_LOST": "WARNING", "FIELD_ADDED": "INFO",
+    "FIELD_LOST": "WARNING", "FIELD_GAINED": "INFO",
     "CONTRACT_UNIT_VIOLATION": "FAIL", "UNIT_CORRECTED": "INFO", "UNIT_CHANGED": "WARNING",
     "PROHIBITED_BASIS_SUBSTITUTION": "FAIL", "BASIS_SUBSTITUTION_UNSUPPORTED": "FAIL", "CONCEPT_PRIORITY_DEMOTED": "WARNING", "CONCEPT_CHANGED": "INFO",
     "IMMATERIAL_VALUE_DRIFT": "INFO", "SUSPECTED_UNCONVERTED_SCALE": "FAIL", "RESTATEMENT_WITH_NEW_FILING": "INFO", "FILING_REGRESSION_EARLIER_ACCESSION": "FAIL",
@@ -40,13 +40,13 @@ def _lookup(pairs: dict, key: Column, default=None) -> Column:
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
-def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], field: str | None = None, contract: DataFrame | None = None, as_of=None, positive: tuple[str, ...] = ("revenue", "depreciation_amortization", "capital_expenditure")) -> DataFrame:
+def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], field: str | None = None, contract: DataFrame | None = None, as_of=None, positive: tuple[str, ...] = ("revenue", "depreciation_amortization", "capital_expenditure"), base_state: bool = False) -> DataFrame:
     """(keys, code, severity, base_value, candidate_value): every finding about a field of two reports, which have
     ``keys`` and REPORT_COLUMNS, one row a key. Unchanged fields give no row.
 
     ``contract`` is a small table (field, unit, concepts, prohibited): the field's unit, its concepts from best to worst,
     and those that would change what it measures. ``field`` names the key column it is joined on. ``as_of`` is the
-    candidate report's own instant.
+    candidate report's own instant. With ``base_state`` the rows also have the state of the base's field.
 
     A changed value is drift if it is within a million or 0.05 %; else a shift by 10^3, 10^6 or 10^9 in one unit; else,
     under another accession, a restatement if that was filed later and a regression if not; else it is explained by
@@ -95,13 +95,13 @@ def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], field: str |
     before, after = (_lookup(STATE_RANK, side("state"), 0) for side in (old, new))
     state = F.when(after < before, _lookup(FALLS, new("state"), "STATE_REGRESSION")).when(after > before, "STATE_IMPROVED").otherwise("STATE_CHANGED")
     codes = F.array_compact(F.array(
-        F.when(F.col("in_b").isNull(), "FIELD_LOST"), F.when(F.col("in_a").isNull(), "FIELD_ADDED"), F.when(moved("unit"), unit), F.when(moved("concept"), basis), F.when(changed, kind),
+        F.when(F.col("in_b").isNull(), "FIELD_LOST"), F.when(F.col("in_a").isNull(), "FIELD_GAINED"), F.when(moved("unit"), unit), F.when(moved("concept"), basis), F.when(changed, kind),
         F.when(there & (p > 0) & (q < 0) & F.col("_name").isin(*positive), "SIGN_CONVENTION_VIOLATION"), F.when(there & p.isNotNull() & q.isNull() & usable, "VALUE_LOST_WITH_USABLE_STATE"),
         F.when(there & same & (new("available_at") < old("available_at")), "AVAILABILITY_CUTOFF_INCONSISTENT"), F.when(there & same & (new("filed") != old("filed")), "FILING_DATE_INCONSISTENT"),
         F.when(F.lit(as_of is not None) & there & usable & (new("available_at") > as_of if as_of is not None else F.lit(False)), "FUTURE_AVAILABILITY_UNSUPPORTED"),
         F.when(there & ~old("state").eqNullSafe(new("state")), state),
     ))
-    out = both.select(*[F.coalesce("a_" + k, "b_" + k).alias(k) for k in keys], F.explode(codes).alias("code"), p.alias("base_value"), q.alias("candidate_value"))
+    out = both.select(*[F.coalesce("a_" + k, "b_" + k).alias(k) for k in keys], F.explode(codes).alias("code"), p.alias("base_value"), q.alias("candidate_value"), *([old("state").alias("base_state")] if base_state else []))
     return out.withColumn("severity", _lookup(SEVERITY, F.col("code")))
 
 
@@ -114,17 +114,17 @@ def overall_moves(base: DataFrame, cand: DataFrame, key: str, state: str = "over
     b = cand.select(F.col(key).alias("_k"), F.col(state).alias("_s"))
     both = base.select(key, F.col(state).alias("_o")).join(b, F.col(key) == F.col("_k"), "full")
     before, after = _lookup(OVERALL_RANK, F.col("_o"), 2), _lookup(OVERALL_RANK, F.col("_s"), 2)
-    code = F.when(F.col("_k").isNull(), "COMPANY_LOST").when(F.col(key).isNull(), "COMPANY_ADDED").when(after < before, "COMPANY_OVERALL_DOWNGRADE").when(after > before, "COMPANY_OVERALL_UPGRADE").otherwise("COMPANY_OVERALL_CHANGED")
+    code = F.when(F.col("_k").isNull(), "COMPANY_DROPPED").when(F.col(key).isNull(), "COMPANY_ADDED").when(after < before, "COMPANY_OVERALL_DOWNGRADE").when(after > before, "COMPANY_OVERALL_UPGRADE").otherwise("COMPANY_OVERALL_CHANGED")
     rows = both.where(~(F.col("_o").eqNullSafe(F.col("_s")) & F.col("_k").isNotNull() & F.col(key).isNotNull())).select(F.coalesce(key, "_k").alias(key), code.alias("code"))
-    return rows.withColumn("severity", F.when(F.col("code").isin("COMPANY_LOST", "COMPANY_OVERALL_DOWNGRADE"), "WARNING").otherwise("INFO"))
+    return rows.withColumn("severity", F.when(F.col("code").isin("COMPANY_DROPPED", "COMPANY_OVERALL_DOWNGRADE"), "WARNING").otherwise("INFO"))
 
 
 def report_findings(base: DataFrame, cand: DataFrame) -> DataFrame:
-    """(code, severity) about two reports as a whole, each one row of mode, contract and as_of: INCOMPARABLE_MODE,
-    INCOMPARABLE_CONTRACT (both FAIL) and AS_OF_REGRESSION (WARNING)."""
-    a, b = (t.select(*[F.col(c).alias(n + c) for c in ("mode", "contract", "as_of")]) for t, n in ((base, "a_"), (cand, "b_")))
-    both = a.crossJoin(b)  # one row each
-    cells = [F.when(~F.col("a_mode").eqNullSafe(F.col("b_mode")), "INCOMPARABLE_MODE"), F.when(~F.col("a_contract").eqNullSafe(F.col("b_contract")), "INCOMPARABLE_CONTRACT"), F.when(F.col("b_as_of") < F.col("a_as_of"), "AS_OF_REGRESSION")]
+    """(code, severity) about two reports as a whole, each one row of mode, contract and as_of: MODE_MISMATCH,
+    CONTRACT_SCHEMA_MISMATCH (both FAIL) and AS_OF_REGRESSION (WARNING)."""
+    a, b = (t.agg(*[F.first(c).alias(n + c) for c in ("mode", "contract", "as_of")]) for t, n in ((base, "a_"), (cand, "b_")))
+    both = a.crossJoin(b)  # aggregates: one row each
+    cells = [F.when(~F.col("a_mode").eqNullSafe(F.col("b_mode")), "MODE_MISMATCH"), F.when(~F.col("a_contract").eqNullSafe(F.col("b_contract")), "CONTRACT_SCHEMA_MISMATCH"), F.when(F.col("b_as_of") < F.col("a_as_of"), "AS_OF_REGRESSION")]
     return both.select(F.explode(F.array_compact(F.array(*cells))).alias("code")).withColumn("severity", F.when(F.col("code") == "AS_OF_REGRESSION", "WARNING").otherwise("FAIL"))
 
 

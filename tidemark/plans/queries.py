@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from tidemark.functions import temporal, values
-from tidemark.operators import claims, derive, joins, pit, quality, releases, screen, series
+from tidemark.operators import claims, comparison, derive, joins, pit, quality, releases, screen, series
 from tidemark.plans import views as V
 from tidemark.sources import documents, ingest, sinks
 from tidemark.streaming import upkeep
@@ -882,6 +882,43 @@ def release_multiset(spark, sf_dir):
     return text(releases.multiset_difference(a.select(*cols), V.altered(a).select(*cols)), "period_end", "value")
 
 
+_TREE_SIDE = """co{n} AS (SELECT c_custkey AS company, CASE WHEN c_custkey % 31 = {n} THEN NULL ELSE c_nationkey + (c_custkey % 37 = {n})::INT END AS cik, CASE WHEN c_acctbal > {n} * 3000 THEN 'SOURCE_VALIDATED' ELSE 'BLOCKED' END AS overall, CASE WHEN c_acctbal > {n} * 2000 THEN [] ELSE [c_mktsegment] END AS blocking FROM customer WHERE c_custkey % 11 <> {n})"""
+_TREE_FIELDS = """fi{n} AS (SELECT o_custkey AS company, make_date(year(o_orderdate)::INT, 12, 31) AS period_end, o_orderpriority AS field, max(o_orderkey) % 5 = 0 AS bad FROM orders WHERE o_custkey % 11 <> {n} AND NOT (o_custkey % 7 = {n} AND year(o_orderdate) = 1993 + {n}) AND o_orderkey % 13 <> {n} GROUP BY ALL),
+pe{n} AS (SELECT DISTINCT company, period_end FROM fi{n})"""
+
+
+@query("release_tree", """SELECT level, company::VARCHAR AS company, period_end, field, subject, code, severity FROM (
+  SELECT 'company' AS level, company, NULL AS period_end, NULL AS field, NULL AS subject, CASE WHEN b.company IS NULL THEN 'COMPANY_DROPPED' ELSE 'COMPANY_ADDED' END AS code, CASE WHEN b.company IS NULL THEN 'WARNING' ELSE 'INFO' END AS severity FROM co0 a FULL JOIN co1 b USING (company) WHERE a.company IS NULL OR b.company IS NULL
+  UNION ALL SELECT 'company', company, NULL, NULL, NULL, CASE WHEN c2 IS NULL THEN 'ISSUER_IDENTITY_UNRESOLVED' ELSE 'ISSUER_IDENTITY_CHANGED' END, 'FAIL' FROM pair WHERE c1 IS NOT NULL AND c1 IS DISTINCT FROM c2
+  UNION ALL SELECT 'company', company, NULL, NULL, NULL, CASE WHEN o2 = 'BLOCKED' THEN 'COMPANY_OVERALL_DOWNGRADE' ELSE 'COMPANY_OVERALL_UPGRADE' END, CASE WHEN o2 = 'BLOCKED' THEN 'FAIL' ELSE 'INFO' END FROM pair WHERE o1 <> o2
+  UNION ALL SELECT 'company', company, NULL, NULL, unnest(list_filter(b2, lambda x: NOT list_contains(b1, x))), 'BLOCKING_ISSUE_ADDED', 'FAIL' FROM pair
+  UNION ALL SELECT 'company', company, NULL, NULL, unnest(list_filter(b1, lambda x: NOT list_contains(b2, x))), 'BLOCKING_ISSUE_RESOLVED', 'INFO' FROM pair
+  UNION ALL SELECT 'company', company, NULL, NULL, string_agg(period_end::VARCHAR, ', ' ORDER BY period_end), 'PERIOD_OBSERVED_LOST', 'WARNING' FROM pe0 JOIN pair USING (company) ANTI JOIN pe1 USING (company, period_end) GROUP BY company
+  UNION ALL SELECT 'company', company, NULL, NULL, string_agg(period_end::VARCHAR, ', ' ORDER BY period_end), 'PERIOD_OBSERVED_ADDED', 'INFO' FROM pe1 JOIN pair USING (company) ANTI JOIN pe0 USING (company, period_end) GROUP BY company
+  UNION ALL SELECT 'field', company, period_end::VARCHAR, field, NULL, CASE WHEN bad THEN 'UNUSABLE_FIELD_REMOVED' ELSE 'FIELD_LOST' END, CASE WHEN bad THEN 'INFO' ELSE 'WARNING' END FROM fi0 JOIN pair USING (company) SEMI JOIN pe1 USING (company, period_end) ANTI JOIN fi1 USING (company, period_end, field)
+  UNION ALL SELECT 'field', company, period_end::VARCHAR, field, NULL, CASE WHEN p.company IS NULL THEN 'NEW_PERIOD_FIELD_OBSERVED' ELSE 'FIELD_GAINED' END, 'INFO' FROM fi1 JOIN pair USING (company) LEFT JOIN pe0 p USING (company, period_end) ANTI JOIN fi0 USING (company, period_end, field))""", (
+    *[x.format(n=n) for n in (0, 1) for x in (_TREE_SIDE, _TREE_FIELDS)], "pair AS (SELECT company, a.cik AS c1, b.cik AS c2, a.overall AS o1, b.overall AS o2, a.blocking AS b1, b.blocking AS b2 FROM co0 a JOIN co1 b USING (company))"))
+def release_tree(spark, sf_dir):
+    """Customers as companies and their orders, by year and priority, as fields: two reports that lack different ones."""
+    c, o = V.table(spark, sf_dir, "customer"), V.table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"])
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def side(n):
+        companies = c.where(F.col("c_custkey") % 11 != n).select(
+            F.col("c_custkey").alias("company"), F.when(F.col("c_custkey") % 31 != n, (F.col("c_nationkey") + (F.col("c_custkey") % 37 == n).cast("int")).cast("string")).alias("cik"),
+            F.when(F.col("c_acctbal") > n * 3000, "SOURCE_VALIDATED").otherwise("BLOCKED").alias("overall"), F.when(F.col("c_acctbal") > n * 2000, F.array().cast("array<string>")).otherwise(F.array("c_mktsegment")).alias("blocking"),
+        )
+        year = F.year("o_orderdate")
+        held = o.where((F.col("o_custkey") % 11 != n) & ~((F.col("o_custkey") % 7 == n) & (year == 1993 + n)) & (F.col("o_orderkey") % 13 != n))
+        fields = held.groupBy(F.col("o_custkey").alias("company"), F.make_date(year, F.lit(12), F.lit(31)).alias("period_end"), F.col("o_orderpriority").alias("field")).agg((F.max("o_orderkey") % 5 == 0).alias("bad"))
+        fields = fields.select("company", "period_end", "field", none(V.DECIMAL).alias("value"), F.lit("USD").alias("unit"), F.lit("c").alias("concept"), F.lit("1").alias("accession"), none("date").alias("filed"), none("timestamp").alias("available_at"), F.lit("o").alias("source_object"), F.when(F.col("bad"), "CONFLICT").otherwise("SOURCE_UNVALIDATED").alias("state"), none("array<struct<source: string, agrees: boolean>>").alias("corroborations"))
+        one = c.agg(F.lit("live").alias("mode"), F.lit("v1").alias("contract"), F.lit("2024").alias("as_of"), F.lit("d").alias("digest"))
+        return comparison.Report(one, c.groupBy(F.col("c_mktsegment").alias("family")).agg(F.lit("resolved").alias("state"), F.lit(True).alias("sample_complete")), companies, companies.select("company", F.lit("facts").alias("check"), F.lit("MATCH").alias("state")), fields)
+
+    states = ("STATE_IMPROVED", "EVIDENCE_CONFLICT_INTRODUCED")  # of years whose largest order went
+    return comparison.compare_reports(side(0), side(1)).where(~F.col("code").isin(*states)).select("level", "company", "period_end", "field", "subject", "code", "severity")
+
+
 @query("release_gate", "SELECT bool_and(s_acctbal > 0) AS promote, count(*) AS checks, count(*) FILTER (s_acctbal <= 0) AS failed FROM supplier")
 def release_gate(spark, sf_dir):
     return releases.gate(V.table(spark, sf_dir, "supplier").withColumn("ok", F.col("s_acctbal") > 0), "s_name", "ok")[0]
@@ -1178,7 +1215,7 @@ def join_lineage_missing(spark, sf_dir):
     return joins.lineage(_cited(spark, sf_dir), V.altered(V.observations(spark, sf_dir)).select("id", "accession"), "result", "source_ids", "id")[1]
 
 
-@query("release_overall_moves", """SELECT c_custkey, CASE WHEN b IS NULL THEN 'COMPANY_LOST' WHEN a IS NULL THEN 'COMPANY_ADDED' WHEN b < a THEN 'COMPANY_OVERALL_DOWNGRADE' WHEN b > a THEN 'COMPANY_OVERALL_UPGRADE' END AS code FROM (
+@query("release_overall_moves", """SELECT c_custkey, CASE WHEN b IS NULL THEN 'COMPANY_DROPPED' WHEN a IS NULL THEN 'COMPANY_ADDED' WHEN b < a THEN 'COMPANY_OVERALL_DOWNGRADE' WHEN b > a THEN 'COMPANY_OVERALL_UPGRADE' END AS code FROM (
   SELECT c_custkey, CASE WHEN c_custkey % 11 <> 0 THEN CASE WHEN c_acctbal > 0 THEN 4 ELSE 0 END END AS a, CASE WHEN c_custkey % 13 <> 0 THEN CASE WHEN c_nationkey > 12 THEN 4 ELSE 0 END END AS b FROM customer) WHERE (a IS NOT NULL OR b IS NOT NULL) AND a IS DISTINCT FROM b""")
 def release_moves(spark, sf_dir):
     c = V.table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_nationkey"])
