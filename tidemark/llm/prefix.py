@@ -140,41 +140,45 @@ def near_enough(threshold: float):
     return sizes & (differ <= F.floor(F.lit((1 - threshold) / (1 + threshold)) * (n + m) + 1e-9))
 
 
-def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """``parts`` joined as far as a few likely pairs of them show, and the ``posts`` of shingles that several parts have.
-
-    In a round each shingle and length partition names up to four of its sets, two by a hash of the set and two by a hash
-    of the part, so that small parts are named too. Its other sets meet these where part, size and sketch allow it; of
-    each two parts that meet so the nearest pair and one more are verified, and parts with a link become one. Two parts
-    with many links are joined after a few pairs instead of one for each link; what has none yet is left to
-    ``join_postings``. ``verified`` takes (key, m) rows and returns those that are links.
+def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rounds: int = 3) -> DataFrame:
+    """``parts`` joined as far as a few likely pairs of them show.
+
+    Only shingles of sets that are joined already take part; two sets that are parts of their own have one pair, which is
+    left to ``join_postings``. In a round each shingle and length partition names up to four of its sets, two by a hash of
+    the set and two by a hash of the part, so that small parts are named too. Its other sets meet these where part, size
+    and sketch allow it; of each two parts that meet so the nearest pair and one more are verified, and parts with a link
+    become one. Two parts with many links are joined after a few pairs instead of one for each link. ``verified`` takes
+    (key, m) rows and returns those that are links.
     """
+    spark = posts.sparkSession
+    members = posts.where(might_hold(spark, build_filter(parts, "node"), "key")).select("sig").distinct()
+    work = written(posts.where(might_hold(spark, build_filter(written(members, "members"), "sig"), "sig")), "work")
     for r in range(rounds):
-        named = posts.join(parts, posts.key == parts.node, "left").withColumns({"part": F.coalesce("component", "key"), "several": F.col("node").isNotNull()}).drop("node", "component")
+        named = work.join(parts, work.key == parts.node, "left").withColumns({"part": F.coalesce("component", "key"), "several": F.col("node").isNotNull()}).drop("node", "component")
+        named = written(named.withColumn("lp", length_partition(F.col("n"), threshold)), "named")
         h = F.xxhash64("part")
-        several = named.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig")
-        met = written(named.join(several, "sig").withColumn("lp", length_partition(F.col("n"), threshold)), "met")
-        if r:
-            discard(posts)
-        posts = met.select("key", "n", "sketch", "p", "sig")
+        several = named.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.max("several").alias("s")).where("a <> b and s").select("sig")
+        met = written(named.join(several, "sig"), "met")
+        discard(work, named)
+        work = met.select("key", "n", "sketch", "p", "sig")
         one, by_set, by_part = F.struct("key", "n", "sketch", "part", "several"), F.xxhash64(F.lit(r), "key"), F.xxhash64(F.lit(r), "part")
         order = F.struct(by_part, by_set)
         named = F.array(F.min_by(one, by_set), F.max_by(one, by_set), F.min_by(one, order), F.max_by(one, order))
         pivots = met.groupBy("sig", "lp").agg(F.array_distinct(named).alias("q"))
         pivots = pivots.select("sig", F.explode(F.array("lp", F.col("lp") + 1)).alias("lp"), "q").select("sig", "lp", F.explode("q").alias("q"))
         pivots = pivots.select("sig", "lp", F.col("q.key").alias("m"), F.col("q.n").alias("n2"), F.col("q.sketch").alias("sketch2"), F.col("q.part").alias("part2"), F.col("q.several").alias("several2"))
-        near = met.join(pivots, ["sig", "lp"]).where((F.col("part") != F.col("part2")) & near_enough(threshold))
+        joined = F.col("several") | F.col("several2")
+        near = met.join(pivots, ["sig", "lp"]).where((F.col("part") != F.col("part2")) & joined & near_enough(threshold))
         differ = reduce(add, [F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("sketch2")[i])) for i in range(SKETCH // 64)])
         pair = F.struct(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m"))
-        # two sets that are parts of their own have one pair, which ``join_postings`` makes
-        joined = F.col("several") | F.col("several2")
-        near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"), joined.alias("joined"))
-        best = near.where("joined").groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
+        near = near.select(F.least("part", "part2").alias("x"), F.greatest("part", "part2").alias("y"), pair.alias("pair"), differ.alias("d"))
+        best = near.groupBy("x", "y").agg(F.min_by("pair", "d").alias("a"), F.min_by("pair", F.xxhash64(F.lit(r), "pair")).alias("b"))
         links = written(verified(best.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("pair")).select("pair.key", "pair.m")), "links")
         if links.isEmpty():
             break
         parts = written(merged_components(parts, links, "key", "m"), "parts")
-    return parts, posts
+    discard(work)
+    return parts
 
 
 def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_length: bool = False) -> DataFrame:
@@ -207,7 +211,7 @@ def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_lengt
 def joined_parts(posts: DataFrame, parts: DataFrame, threshold: float, verified, by_length: bool = False, more: DataFrame | None = None, rounds: int = 3) -> DataFrame:
     """``parts`` (node, component) joined by every link between sets of ``posts``, and by those of the ``more`` pairs:
     first parts as wholes by ``contract``, then each pair that is left."""
-    parts, met = contract(posts, parts, threshold, verified, rounds)
-    rest = join_postings(met, parts, threshold, by_length)
+    parts = contract(posts, parts, threshold, verified, rounds)
+    rest = join_postings(posts, parts, threshold, by_length)
     rest = rest if more is None else rest.unionByName(more).distinct()
     return written(merged_components(parts, verified(written(rest, "rest")), "key", "m"), "parts")
