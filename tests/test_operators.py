@@ -328,8 +328,13 @@ def test_releases_at_an_instant(spark):
 
 def test_long_quarters(spark):
     ends = ["2020-04-25", "2020-07-18", "2020-10-10", "2020-12-31"]  # 116, 84, 84 and 82 days
-    df = spark.createDataFrame([("1", day("2020-01-01"), day(e), at(f"2021-0{i + 1}-01")) for i, e in enumerate(ends)] + [("2", day("2020-01-01"), day(e), at("2021-01-01")) for e in ends[:3]], "cik string, period_start date, period_end date, available_at timestamp")
-    assert rows(pit.infer_long_quarters(df, ["cik"])) == [("1", day("2020-01-01"), day("2020-04-25"), at("2021-04-01"))]
+    row = lambda k, e, when, form: (k, day("2020-01-01"), day(e), at(when), form)
+    data = [row("1", e, f"2021-0{i + 1}-01", "10-K" if i == 3 else "10-Q") for i, e in enumerate(ends)] + [row("2", e, "2021-01-01", "10-K") for e in ends[:3]]
+    data += [row("3", e, "2021-01-01", "10-Q") for e in ends] + [row("4", e, "2021-01-01", "10-Q") for e in ends] + [row("4", ends[3], "2021-06-01", "10-K/A")]  # the year of a 10-Q; and of an amendment later
+    df = spark.createDataFrame(data, "cik string, period_start date, period_end date, available_at timestamp, form string")
+    found = lambda *key: (*key[:1], day("2020-01-01"), day("2020-04-25"), at(key[1]))
+    assert rows(pit.infer_long_quarters(df, ["cik"])) == [found("1", "2021-04-01"), found("4", "2021-06-01")]
+    assert rows(pit.infer_long_quarters(df, ["cik"], form=None)) == [found("1", "2021-04-01"), found("3", "2021-01-01"), found("4", "2021-01-01")]
 
 
 def test_fiscal_periods_and_leakage(spark):

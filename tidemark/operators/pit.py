@@ -126,15 +126,21 @@ def select_release(releases: DataFrame, dataset: str, as_of, published: str = "p
     return got.withColumn("status", F.when(F.col(ident).isNull(), "NO_RELEASE_AS_OF").otherwise("SELECTED"))
 
 
-def infer_long_quarters(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", available: str = "available_at") -> DataFrame:
+#: The forms whose contexts are evidence of a fiscal year.
+ANNUAL_FORMS = ("10-K", "10-K/A")
+
+
+def infer_long_quarters(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", available: str = "available_at", form: str | None = "form") -> DataFrame:
     """Quarters of 106 to 120 days for which the calendar gives evidence: cumulative contexts of one start whose
-    ends, with the start, cut a reported year (330 to 380 days) into four quarters of 75 to 120 days each.
+    ends, with the start, cut a reported year (330 to 380 days) into four quarters of 75 to 120 days each. The year must be
+    a context of an annual form (column ``form``; None: of any form); the others may be of any.
 
     Returns keys, q_start, q_end and evidence_at, the earliest instant at which all of the evidence was there.
     """
-    c = df.select(*keys, start, end, available).groupBy(*keys, start, end).agg(F.min(available).alias("a"))
+    contexts = lambda t: t.select(*keys, start, end, available).groupBy(*keys, start, end).agg(F.min(available).alias("a"))
+    c, years = contexts(df), contexts(df.where(F.col(form).isin(*ANNUAL_FORMS)) if form else df)
     days = lambda e, s: F.datediff(F.col(e), F.col(s)) + 1
-    step = lambda n: c.select(*[F.col(k).alias(f"{k}{n}") for k in keys], F.col(start).alias(f"s{n}"), F.col(end).alias(f"e{n}"), F.col("a").alias(f"a{n}"))
+    step = lambda n: (years if n == 4 else c).select(*[F.col(k).alias(f"{k}{n}") for k in keys], F.col(start).alias(f"s{n}"), F.col(end).alias(f"e{n}"), F.col("a").alias(f"a{n}"))
     out = step(1).where(days("e1", "s1").between(75, 120))
     for n in (2, 3, 4):
         t = step(n)

@@ -23,21 +23,6 @@ def validate_observation(df: DataFrame, required: list[str], layer: str = "layer
     return df.withColumn("code", code)
 
 
-def quality_checks(df: DataFrame, ident: str, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(id, check, state) for every row and check, state being pass, fail or, where the condition is null,
-    unavailable; and the overall status of each id: fail if any fails, else partial if any is unavailable, else pass."""
-    state = lambda c: F.when(c.isNull(), "unavailable").when(c, "pass").otherwise("fail")
-    cells = F.array(*[F.struct(F.lit(n).alias("check"), state(c).alias("state")) for n, c in checks.items()])
-    long = df.select(ident, F.explode(cells).alias("_c")).select(ident, "_c.check", "_c.state")
-    bad, gone = F.max(F.col("state") == "fail"), F.max(F.col("state") == "unavailable")
-    return long, long.groupBy(ident).agg(F.when(bad, "fail").when(gone, "partial").otherwise("pass").alias("status"))
-
-
-def standard_checks(price: Column, volume: Column) -> dict[str, Column]:
-    """The price and volume rules of P11."""
-    return {"price_bounds": (price > 0) & (price < 1_000_000), "volume_non_negative": volume >= 0}
-
-
 def record_checks(df: DataFrame, ident: str, source: str = "source", price: str = "price", volume: str = "volume", statement: str = "statement_type", items: str = "line_items", days: str = "dates") -> tuple[DataFrame, DataFrame]:
     """(id, check, state) of every rule that applies to a record, and (id, status, passed, warned, failed).
 
