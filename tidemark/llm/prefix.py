@@ -29,6 +29,7 @@ SAMPLE = 16  # one of so many sets is looked at for common shingles
 COMMON, MOST = 3, 1 << 19  # a shingle is common if so many sampled sets hold it; so many of these are told apart
 SKETCH = 512  # bits
 LARGE, PIVOTS = 32, 4
+NAMED = 1 << 17  # rows of (node, component) that are broadcast
 GROUP = 256  # texts whose prefixes are sent at once
 
 
@@ -132,6 +133,13 @@ def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct()
 
 
+def _with_parts(posts: DataFrame, parts: DataFrame) -> DataFrame:
+    """``posts`` with the node and component of their key, where it has one. Keys that are joined already are few beside
+    the postings: up to NAMED of them, some 8 MB, are sent to the postings, more are joined by a shuffle."""
+    small = parts.limit(NAMED + 1).count() <= NAMED
+    return posts.join(F.broadcast(parts) if small else parts, F.col("key") == F.col("node"), "left")
+
+
 def near_enough(threshold: float):
     """Whether sets of n and n2 shingles with ``sketch`` and ``sketch2`` can have a Jaccard of ``threshold``."""
     n, m = F.col("n"), F.col("n2")
@@ -154,7 +162,7 @@ def contract(posts: DataFrame, parts: DataFrame, threshold: float, verified, rou
     members = posts.where(might_hold(spark, build_filter(parts, "node"), "key")).select("sig").distinct()
     work = written(posts.where(might_hold(spark, build_filter(written(members, "members"), "sig"), "sig")), "work")
     for r in range(rounds):
-        named = work.join(parts, work.key == parts.node, "left").withColumns({"part": F.coalesce("component", "key"), "several": F.col("node").isNotNull()}).drop("node", "component")
+        named = _with_parts(work, parts).withColumns({"part": F.coalesce("component", "key"), "several": F.col("node").isNotNull()}).drop("node", "component")
         named = written(named.withColumn("lp", length_partition(F.col("n"), threshold)), "named")
         h = F.xxhash64("part")
         several = named.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b"), F.max("several").alias("s")).where("a <> b and s").select("sig")
@@ -187,7 +195,7 @@ def join_postings(posts: DataFrame, parts: DataFrame, threshold: float, by_lengt
     ``parts`` is (node, component) as of ``connected_components``; other keys are parts of their own. ``by_length`` first
     tells by length partition which sets of a shingle can match. Pairs are yet to be verified.
     """
-    each = posts.join(parts, posts.key == parts.node, "left").withColumn("part", F.xxhash64(F.coalesce("component", "key"))).drop("node", "component")
+    each = _with_parts(posts, parts).withColumn("part", F.xxhash64(F.coalesce("component", "key"))).drop("node", "component")
     # parts that meet; pairs are never taken within the largest part of a shingle, which may hold most sets
     tops = each.groupBy("sig").agg(F.mode("part").alias("top"), (F.min("part") < F.max("part")).alias("several")).where("several").select("sig", "top")
     rows = written(each.join(tops, "sig").withColumn("lp", length_partition(F.col("n"), threshold)), "meeting")
