@@ -935,15 +935,35 @@ def make_report(spark, change=()):
     return comparison.Report(*[spark.createDataFrame(data[k], KINDS[k]).coalesce(1) for k in comparison.Report._fields])
 
 
-@pytest.mark.parametrize("name", sorted(TREE_CASES))
+def contract_rules(spark):
+    return spark.createDataFrame(CONTRACT_RULES, "field string, unit string, concepts array<string>, prohibited array<string>")
+
+
+@pytest.mark.parametrize("name", sorted(k for k, (change, *_) in TREE_CASES.items() if not change or "report" in change or "families" in change))
 def test_reports_as_trees(spark, name):
     change, want, outcome = TREE_CASES[name]
-    rules = spark.createDataFrame(CONTRACT_RULES, "field string, unit string, concepts array<string>, prohibited array<string>")
-    found = comparison.compare_reports(make_report(spark), make_report(spark, change), rules, lit("2024-06-01", "timestamp")).cache()
+    found = comparison.compare_reports(make_report(spark), make_report(spark, change), contract_rules(spark), lit("2024-06-01", "timestamp")).cache()
     assert rows(found, "level", "code") == sorted(want)
     assert comparison.outcome(found).first()["outcome"] == outcome
 
 
+def test_companies_of_one_report(spark):
+    """The cases that change a company, each a company of its own (and its B another) in one pair of reports."""
+    cases = {k: c for k, c in TREE_CASES.items() if c[0] and not {"report", "families"} & set(c[0])}
+    before, after = ({**GOOD, "companies": [], "checks": [], "fields": []} for _ in range(2))
+    for name, (change, *_) in cases.items():
+        named = lambda data, name=name: [(f"{name}/{r[0]}", *r[1:]) for r in data]
+        for level in ("companies", "checks", "fields"):
+            before[level] = before[level] + named(GOOD[level])
+            after[level] = after[level] + named(change.get(level, GOOD[level]))
+    found = comparison.compare_reports(make_report(spark, before), make_report(spark, after), contract_rules(spark), lit("2024-06-01", "timestamp")).collect()
+    assert all(r["company"] for r in found)
+    for name, (_, want, outcome) in cases.items():
+        own = [r for r in found if r["company"].startswith(f"{name}/")]
+        assert sorted((r["level"], r["code"]) for r in own) == sorted(want), name
+        assert max((r["severity"] for r in own), key=comparison.SCALE.index) == outcome, name
+
+
 def test_findings_tell_what_they_are_about(spark):
     """A field lost within a period that is still there, removed where it was unusable; a resolved issue; carried over claims."""
     was = {"fields": [*GOOD["fields"], report_field(field="capex", state="CONFLICT"), report_field(field="net_income"), report_field(field="assets", state="PASS")], "companies": [("A", "1", "SOURCE_UNVALIDATED", ["old"])]}
