@@ -1077,3 +1077,144 @@ def test_digests_see_moved_nulls_and_cells(spark):
     ids = {sinks.release_id(sinks.manifest(t.withColumn("d", F.lit("2024-01-01")), "g", "d"), "g").first()[0] for t in tables}
     assert len(digests) == len(ids) == len(tables)
     assert releases.group_digest(tables[0], ["g"]).first() == releases.group_digest(make((None, "y"), ("x", None)).repartition(2), ["g"]).first()
+
+
+# Ranges, bands and blocks against all pairs
+
+
+def some_days(rng, n, span=900):
+    return [day("2019-01-01") + dt.timedelta(days=rng.randrange(span)) if rng.random() > 0.05 else None for _ in range(n)]
+
+
+def test_interval_join_against_all_pairs(spark):
+    rng = random.Random(5)
+    far = [dt.date(1, 1, 1), dt.date(9999, 12, 31)]
+    key = lambda: rng.choice(["hot", "hot", "hot", "b", None])
+    iv = [(key(), rng.choice(["A", "B", "C", None]), a, b) for a, b in zip(some_days(rng, 40), some_days(rng, 40), strict=True)] + [("far", "Z", *far), ("one", "Y", far[1], far[1])]
+    pts = [(key(), d) for d in some_days(rng, 300)] + [("far", far[0]), ("far", far[1]), ("one", far[1]), ("one", far[0]), ("far", None)]
+    got = joins.interval_join(spark.createDataFrame(pts, "k string, d date"), spark.createDataFrame(iv, "k string, m string, a date, b date"), "k", "d", "a", "b", "m").collect()
+    found = {(r["k"], r["d"]): (r["points"], r["m"], r["status"]) for r in got}
+    assert len(found) == len(got) == len(set(pts))
+    for k, d in pts:
+        labels = {m for k2, m, a, b in iv if m and k and k2 == k and (a is None or d and d >= a) and (b is None or d and d <= b)}
+        assert found[k, d] == (pts.count((k, d)), min(labels) if len(labels) == 1 else None, ["NONE", "FOUND", "AMBIGUOUS"][min(len(labels), 2)])
+
+
+def test_interval_join_of_a_hot_key(spark):
+    """100,000 points and 100,000 intervals of one key are not paired (10^10 rows would not end)."""
+    n = spark.range(100_000)
+    pts = n.select(F.lit("hot").alias("k"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 40_000).cast("int")).alias("d"))
+    iv = n.select(F.lit("hot").alias("k"), F.lit("A").alias("m"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 30_000).cast("int")).alias("a"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") % 30_000 + F.col("id") % 17).cast("int")).alias("b"))
+    got = joins.interval_join(pts, iv, "k", "d", "a", "b", "m")
+    held = {d for i in range(100_000) for d in range(i % 30_000, i % 30_000 + i % 17 + 1)}
+    asked = [i % 40_000 for i in range(100_000)]
+    want = {("FOUND" if d in held else "NONE", d) for d in asked}
+    found = {r["status"]: (r["n"], r["p"]) for r in got.groupBy("status").agg(F.count("*").alias("n"), F.sum("points").alias("p")).collect()}
+    assert found == {s: (sum(t == s for t, _ in want), sum((d in held) == (s == "FOUND") for d in asked)) for s in ("FOUND", "NONE")}
+
+
+def test_bitemporal_against_all_pairs(spark):
+    rng = random.Random(6)
+    links = [(rng.choice(["n", None]), rng.choice("xy"), rng.choice(["e1", "e2", "e3", None]), a, b, rng.choice(["source_open_end", "closed", None]), k) for a, b, k in zip(some_days(rng, 40), some_days(rng, 40), some_days(rng, 40), strict=True)]
+    asked = [(i % 150, "n", rng.choice("xyz"), on, at_) for i, (on, at_) in enumerate(zip(some_days(rng, 200), some_days(rng, 200), strict=True))]
+    want = {}
+    for r, ns, i, on, as_of in asked:
+        hit = {e for n2, i2, e, a, b, kind, known in links if e and n2 == ns and i2 == i and (a is None or on and a <= on) and (kind == "source_open_end" if b is None else on is not None and on < b) and known and as_of and known <= as_of}
+        want.setdefault(r, set()).update(hit)
+    got = joins.resolve_bitemporal(spark.createDataFrame(links, "namespace string, identifier string, entity_id string, valid_from date, valid_to date, valid_to_kind string, known_at date"), spark.createDataFrame(asked, "r int, namespace string, identifier string, `on` date, as_of date"), "r")
+    assert {r["r"]: r["entities"] for r in got.collect()} == {r: sorted(e) for r, e in want.items()}
+
+
+def test_prior_year_against_all_pairs(spark):
+    rng = random.Random(7)
+    data = []
+    for i in range(250):
+        a = day("2017-01-01") + dt.timedelta(days=rng.randrange(1500))
+        data.append((rng.choice(["hot", "hot", "b", None]), None if rng.random() < 0.05 else a, a + dt.timedelta(days=rng.choice([89, 90, 97, 98, 181, 364])), i))
+    data += data[:5]
+    want = {}
+    for k, a, b, v in data:
+        old = [w for k2, c, d, w in data if k and k2 == k and a and c and 350 <= (b - d).days <= 378 and abs((b - a).days - (d - c).days) <= 8]
+        want[v] = (old[0] if len(old) == 1 else None, ["NONE", "FOUND", "AMBIGUOUS"][min(len(old), 2)])
+    got = joins.prior_year(spark.createDataFrame(data, "k string, s date, e date, v int"), ["k"], "s", "e", "v").collect()
+    assert len(got) == 250 and {r["v"]: (r["prior_value"], r["status"]) for r in got} == want
+    assert {"NONE", "FOUND", "AMBIGUOUS"} == {s for _, s in want.values()}
+
+
+def test_decumulate_against_all_pairs(spark):
+    rng = random.Random(8)
+    a = day("2020-01-01")
+    chain = [("k", "m", a, a + dt.timedelta(days=d), d) for d in sorted(rng.sample(range(70, 400), 60))]
+    good, gaps = derive.decumulate(spark.createDataFrame(chain, "cik string, metric string, period_start date, period_end date, value int").withColumn("value", F.col("value").cast("decimal(38,9)")), ["cik", "metric"])
+    prev = {d: [p for *_, p in chain if 75 <= p + 1 <= 300 and 75 <= d - p <= 105] for *_, d in chain if d + 1 >= 150}
+    codes = {(r["period_end"], r["reason"]) for r in gaps.collect() if r["reason"] != "CONFLICTING_QUARTER"}
+    assert codes == {(a + dt.timedelta(days=d), "NO_PREDECESSOR" if not p else "AMBIGUOUS_PREDECESSOR") for d, p in prev.items() if len(p) != 1}
+
+
+def test_blocks_change_nothing(spark):
+    rng = random.Random(9)
+    data, at_ = [], day("2000-01-01")
+    for i in range(160):  # a hot key with gaps of years, so that blocks are missing
+        at_ += dt.timedelta(days=rng.choice([0, 0, 0, 0, 0, 0, 1, 900]))
+        end = at_ + dt.timedelta(days=rng.choice([89, 90, 91]))
+        data.append(("hot", at_, end, i))
+        at_ = end + dt.timedelta(days=1)
+    data += [(k, day("2010-01-01") + dt.timedelta(days=91 * i), day("2010-04-01") + dt.timedelta(days=91 * i), i) for k in ("b", None) for i in range(6)]
+    df = spark.createDataFrame(data, "k string, period_start date, period_end date, v int").withColumns({"value": F.col("v").cast("decimal(38,9)"), "concept": F.lit("c")})
+    by_key = lambda k: [d for d in data if d[0] == k]
+    touch = {(k, d[3]): i > 0 and by_key(k)[i - 1][2] + dt.timedelta(days=1) == d[1] for k in ("hot", "b", None) for i, d in enumerate(by_key(k))}
+    quad = {(k, d[3]): all(i - j > 0 and touch[k, by_key(k)[i - j][3]] for j in range(3)) for k in ("hot", "b", None) for i, d in enumerate(by_key(k))}
+    sums = {(k, d[2]): sum(x[3] for x in by_key(k)[i - 3 : i + 1]) for k in ("hot", "b", None) for i, d in enumerate(by_key(k)) if quad[k, d[3]]}
+    assert any(sums) and not all(quad.values())
+    grown = None
+    for days in (7, 64, 400, 1 << 20):
+        assert {(r["k"], r["v"]): r["touches"] for r in series.contiguous(df, ["k"], "period_start", "period_end", days).collect()} == touch
+        got = derive.rolling_contiguous(df, ["k"], 4, "period_start", "period_end", days)
+        assert got.columns == [*df.columns, "contiguous"] and {(r["k"], r["v"]): r["contiguous"] for r in got.collect()} == quad
+        good, gaps = derive.ttm(df, ["k"], days=days)
+        assert {(r["k"], r["period_end"]): int(r["value"]) for r in good.collect()} == sums and gaps.count() == len(data) - len(sums)
+        growth = rows(derive.annual_growth(df, ["k"], 2, days=days))
+        assert grown in (None, growth)
+        grown = growth
+    seen = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), at("2020-01-01") + dt.timedelta(days=rng.randrange(900)) if rng.random() > 0.1 else None, f"{i:03}") for i in range(200)], "k string, available_at timestamp, id string")
+    order = sorted(seen.collect(), key=lambda r: (r["available_at"] is not None, r["available_at"] or at("1970-01-01"), r["id"]))
+    want = {r["id"]: 1 + sum(o["k"] == r["k"] for o in order[:i]) for i, r in enumerate(order)}
+    for block in ("day", "month", "year"):
+        assert {r["id"]: r["revision"] for r in pit.revisions(seen, ["k"], block=block).collect()} == want
+
+
+def test_reconcile_text_against_all_pairs(spark):
+    rng = random.Random(10)
+    number = lambda: rng.choice([0.0, -0.0, None, 1e-9, 999.99, 1000.0, 1.0, 0.001, 1e12]) if rng.random() < 0.3 else round(rng.choice([-1, 1]) * 10 ** rng.uniform(-3, 12), 4)
+    vals = [(rng.randrange(4), rng.choice(["Revenue", "Cash ", "Other"]), number()) for _ in range(120)]
+    facts = []
+    for i in range(200):
+        d, _, x = rng.choice(vals)
+        facts.append((d, f"{rng.choice(['revenue', 'cash'])}", None if x is None else x * rng.choice([1, -1]) * rng.choice([1e-9, 1e-6, 1e-3, 1, 1e3, 1e6, 1e9]) * rng.choice([1, 1.0049, 0.9951, 1.0051, 0.9949]), i))
+    # each fact is a metric of its own, so that each state is compared
+    names = {f"{m}{i}": m for _, m, _, i in facts}
+    close = lambda a, b: abs(a - b) <= 0.005 * max(abs(b), 1e-9)
+
+    def state(d, m, y):
+        best = 4
+        for d2, label, x in vals:
+            if d2 != d or x is None or y is None:
+                continue
+            named = label.strip().lower() == m
+            if named and close(x, y):
+                best = min(best, 0)
+            elif named and close(-x, y):
+                best = min(best, 1)
+            elif named and any(close(x * s, y) or close(x, y * s) for s in (1e3, 1e6, 1e9)):
+                best = min(best, 2)
+            elif close(x, y):
+                best = min(best, 3)
+        return ["matched", "sign_mismatch", "scale_mismatch", "label_mismatch", "missing"][best]
+
+    # facts of less than a billionth aren't decimals of nine places
+    facts = [f for f in facts if f[2] is None or f[2] == 0 or abs(f[2]) >= 1e-9]
+    want = {f"{m}{i}": state(d, m, y) for d, m, y, i in facts}
+    detail, _ = documents.reconcile_text(spark.createDataFrame([(d, f"{m}{i}", y) for d, m, y, i in facts], "id int, metric string, value double"), spark.createDataFrame(vals, "id int, label string, scaled_value double"), spark.createDataFrame(list(names.items()), "metric string, alias string"), "id")
+    assert {r["metric"]: r["state"] for r in detail.collect()} == want and len(set(want.values())) == 5
+    with pytest.raises(ValueError):
+        documents.reconcile_text(detail, detail, detail, "id", 0.9)

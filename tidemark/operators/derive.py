@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact
+from tidemark.operators.ranges import bucket, buckets, day_number, with_halo
 
 DECIMAL = "decimal(38,9)"
 
@@ -52,9 +53,10 @@ def decumulate(df: DataFrame, keys: list[str], start: str = "period_start", end:
     """
     days = F.datediff(end, start) + 1
     rows = df.select(*keys, start, end, value, days.alias("_d"))
-    prev = rows.where(F.col("_d").between(75, 300)).select(*[F.col(k).alias("_" + k) for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
-    long = rows.where(F.col("_d") >= 150)
-    on = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys] + [F.col(start) == F.col("_s"), F.datediff(F.col(end), F.col("_e")).between(75, most)]
+    width, day = most - 74, day_number(F.col(end))
+    prev = rows.where(F.col("_d").between(75, 300)).select(*[F.col(k).alias("_" + k) for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"), bucket(day, width).alias("_pb"))
+    long = rows.where(F.col("_d") >= 150).withColumn("_b", F.explode(buckets(day - most, day - 75, width)))
+    on = [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys] + [F.col(start) == F.col("_s"), F.col("_b") == F.col("_pb"), F.datediff(F.col(end), F.col("_e")).between(75, most)]
     got = long.join(prev, on, "left").groupBy(*keys, start, end).agg(F.count("_e").alias("n"), F.max("_e").alias("_e"), F.max(value).alias("_y"), F.max("_v").alias("_m"))
     q = got.withColumns({value: exact.minus(F.col("_y"), F.col("_m")), "_q": F.date_add("_e", 1)})
     wrong = F.when(F.col("n") == 0, "NO_PREDECESSOR").when(F.col("n") > 1, "AMBIGUOUS_PREDECESSOR")
@@ -69,26 +71,40 @@ def decumulate(df: DataFrame, keys: list[str], start: str = "period_start", end:
     return both.where("_n <= 1").drop("_n"), gaps
 
 
-def rolling_contiguous(df: DataFrame, keys: list[str], n: int, start: str, end: str) -> Column:
-    """True if a row and the n - 1 before it touch: each starts the day after the previous end."""
-    w = Window.partitionBy(*keys).orderBy(end, start)
+#: Days of a block of an ordered scan; it changes nothing in the result.
+BLOCK_DAYS = 1461
+
+
+def _laid(df: DataFrame, keys: list[str], n: int, start: str, end: str, days: int) -> tuple[DataFrame, Window]:
+    """Rows in blocks of days of their end, with what windows of n rows need of the block before, and that window."""
+    laid = with_halo(df, keys, [end, start], n, bucket(day_number(F.col(end)), days))
+    return laid, Window.partitionBy(*keys, "_block").orderBy(end, start)
+
+
+def _touching(df: DataFrame, w: Window, n: int, start: str, end: str) -> DataFrame:
     touch = F.coalesce(F.lag(F.date_add(end, 1)).over(w) == F.col(start), F.lit(False)).cast("int")
     return df.withColumn("_touch", touch).withColumn("contiguous", (F.sum("_touch").over(w.rowsBetween(-(n - 2), 0)) == n - 1) & (F.count("*").over(w.rowsBetween(-(n - 1), 0)) == n)).drop("_touch")
 
 
-def ttm(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", value: str = "value", concept: str = "concept", non_additive: list[str] | None = None, metric: str = "metric") -> tuple[DataFrame, DataFrame]:
+def rolling_contiguous(df: DataFrame, keys: list[str], n: int, start: str, end: str, days: int = BLOCK_DAYS) -> DataFrame:
+    """True if a row and the n - 1 (at least 1) before it touch: each starts the day after the previous end."""
+    laid, w = _laid(df, keys, n, start, end, days)
+    return _touching(laid, w, n, start, end).where("_own").select(*df.columns, "contiguous")
+
+
+def ttm(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", value: str = "value", concept: str = "concept", non_additive: list[str] | None = None, metric: str = "metric", days: int = BLOCK_DAYS) -> tuple[DataFrame, DataFrame]:
     """A3: (sums, gaps) of four touching quarters of one concept that span 330 to 380 days. Gaps: NON_ADDITIVE_METRIC,
     NOT_FOUR_CONTIGUOUS_QUARTERS, CONCEPT_CHANGE, SPAN, MISSING_VALUE, OUT_OF_RANGE."""
-    w = Window.partitionBy(*keys).orderBy(end, start).rowsBetween(-3, 0)
-    rows = rolling_contiguous(df, keys, 4, start, end)
+    laid, w = _laid(df, keys, 4, start, end, days)
+    rows, w = _touching(laid, w, 4, start, end), w.rowsBetween(-3, 0)
     rows = rows.select(
-        *keys, F.col(end), "contiguous", F.min(start).over(w).alias("ttm_start"), F.try_sum(value).over(w).alias("ttm_value"), F.count(value).over(w).alias("_n"),
+        *keys, F.col(end), "_own", "contiguous", F.min(start).over(w).alias("ttm_start"), F.try_sum(value).over(w).alias("ttm_value"), F.count(value).over(w).alias("_n"),
         (F.min(concept).over(w) != F.max(concept).over(w)).alias("_mixed") if concept not in keys else F.lit(False).alias("_mixed"),
     )
     span = F.datediff(F.col(end), F.col("ttm_start")) + 1
     reason = F.when(F.col(metric).isin(non_additive or []), "NON_ADDITIVE_METRIC") if non_additive else F.when(F.lit(False), "")
     reason = reason.when(~F.col("contiguous"), "NOT_FOUR_CONTIGUOUS_QUARTERS").when(F.col("_mixed"), "CONCEPT_CHANGE").when(~span.between(330, 380), "SPAN").when(F.col("_n") < 4, "MISSING_VALUE").when(F.col("ttm_value").isNull(), "OUT_OF_RANGE")
-    rows = rows.withColumn("reason", reason)
+    rows = rows.where("_own").withColumn("reason", reason)
     return rows.where("reason is null").select(*keys, F.col("ttm_start").alias(start), end, F.col("ttm_value").alias(value)), rows.where("reason is not null").select(*keys, end, "reason")
 
 
@@ -285,12 +301,12 @@ def formulas(df: DataFrame, keys: list[str], names: list[str], as_of: Column, ro
     )
 
 
-def annual_growth(df: DataFrame, keys: list[str], years: int, start: str = "period_start", end: str = "period_end", value: str = "value") -> DataFrame:
+def annual_growth(df: DataFrame, keys: list[str], years: int, start: str = "period_start", end: str = "period_end", value: str = "value", days: int = BLOCK_DAYS) -> DataFrame:
     """Per row and its ``years`` predecessors: yearly and cumulative growth in percent, or a reason: the chain must
     be full, touching and positive, and the result within 38 digits (OUT_OF_RANGE)."""
-    w = Window.partitionBy(*keys).orderBy(end, start)
-    rows = rolling_contiguous(df, keys, years + 1, start, end)
-    rows = rows.select(*keys, start, end, value, "contiguous", F.lag(value).over(w).alias("_p"), F.lag(value, years).over(w).alias("_b"), F.min(value).over(w.rowsBetween(-years, 0)).alias("_low"), F.count("*").over(w.rowsBetween(-years, 0)).alias("_n"))
+    laid, w = _laid(df, keys, years + 1, start, end, days * years)
+    rows = _touching(laid, w, years + 1, start, end)
+    rows = rows.select(*keys, start, end, value, "_own", "contiguous", F.lag(value).over(w).alias("_p"), F.lag(value, years).over(w).alias("_b"), F.min(value).over(w.rowsBetween(-years, 0)).alias("_low"), F.count("*").over(w.rowsBetween(-years, 0)).alias("_n"))
     reason = F.when(F.col("_n") <= years, "CHAIN_TOO_SHORT").when(~F.col("contiguous"), "NOT_CONTIGUOUS").when(F.col("_low") <= 0, "NOT_POSITIVE")
 
     def percent(a, b):
@@ -300,7 +316,7 @@ def annual_growth(df: DataFrame, keys: list[str], years: int, start: str = "peri
         return F.when(wide, exact.rounded(exact.times(exact.fraction(exact.minus(a, b), b), hundred), 4)).otherwise(fast)
 
     growth = {n: F.when(reason.isNull(), percent(F.col(value), F.col(c))) for n, c in (("growth_percent", "_p"), ("cumulative_percent", "_b"))}
-    rows = rows.select(*keys, end, *[c.alias(n) for n, c in growth.items()], reason.alias("_r"))
+    rows = rows.where("_own").select(*keys, end, *[c.alias(n) for n, c in growth.items()], reason.alias("_r"))
     reason = F.coalesce("_r", F.when(F.col("growth_percent").isNull() | F.col("cumulative_percent").isNull(), "OUT_OF_RANGE"))
     return rows.select(*keys, end, *[F.when(reason.isNull(), F.col(n)).alias(n) for n in growth], reason.alias("reason"))
 

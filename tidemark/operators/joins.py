@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import ranges
+
 
 def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> list[Column]:
     return [a[k].eqNullSafe(b[k]) for k in keys]
@@ -27,14 +29,24 @@ def joined_counts(anchor: DataFrame, facts: DataFrame, key: str) -> DataFrame:
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, day: str, start: str, end: str, label: str) -> DataFrame:
     """Each point with the label whose interval (both ends in, null ends open) holds its day: the label if it is
     the only one, else null, with status FOUND, AMBIGUOUS or NONE. Points are told apart by all their columns; repeated
-    points come back once with ``points`` counting them."""
+    points come back once with ``points`` counting them.
+
+    Intervals are cut into ranges of days of 4^n (``ranges.py``) and each different day of a key looks up the ranges that
+    hold it, of which each has one row, so points and intervals of a key are not paired. A null day is only in intervals
+    open at both ends; null keys and labels match nothing.
+    """
     cols = points.columns
     p = points.groupBy(*cols).agg(F.count("*").alias("points"))
     i = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(label).alias("_l"))
-    hit = (F.col(key) == F.col("_k")) & (F.col("_s").isNull() | (F.col(day) >= F.col("_s"))) & (F.col("_e").isNull() | (F.col(day) <= F.col("_e")))
-    got = p.join(i, hit, "left").groupBy(*cols, "points").agg(F.count_distinct("_l").alias("_n"), F.min("_l").alias("_l"))
-    status = F.when(F.col("_n") == 0, "NONE").when(F.col("_n") == 1, "FOUND").otherwise("AMBIGUOUS")
-    return got.select(*cols, "points", F.when(F.col("_n") == 1, F.col("_l")).alias(label), status.alias("status"))
+    i = ranges.cut(i.where("_k is not null and _l is not null"), F.col("_s"), F.col("_e"))
+    i = i.groupBy("_k", "_r").agg(F.min("_l").alias("_low"), F.max("_l").alias("_high"))
+    asked = points.where(F.col(key).isNotNull()).select(F.col(key).alias("_p"), F.col(day).alias("_d")).distinct()
+    hits = asked.withColumn("_in", F.explode(ranges.holding(F.col("_d")))).join(i, (F.col("_p") == F.col("_k")) & (F.col("_in") == F.col("_r")))
+    hits = hits.groupBy("_p", "_d").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    got = p.join(hits, F.col(key).eqNullSafe(F.col("_p")) & F.col(day).eqNullSafe(F.col("_d")), "left")
+    one = F.col("_low") == F.col("_high")
+    status = F.when(F.col("_low").isNull(), "NONE").when(one, "FOUND").otherwise("AMBIGUOUS")
+    return got.select(*cols, "points", F.when(one, F.col("_low")).alias(label), status.alias("status"))
 
 
 def resolve(intervals: DataFrame, symbol: str, entity: str, as_of, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
@@ -47,11 +59,21 @@ def resolve(intervals: DataFrame, symbol: str, entity: str, as_of, start: str =
 
 def resolve_bitemporal(links: DataFrame, requests: DataFrame, request_id: str, namespace: str = "namespace", identifier: str = "identifier", on: str = "on", as_of: str = "as_of") -> DataFrame:
     """(request, entity_id, status, entities) by valid time (half open) and by what was known at ``as_of``. A null
-    start is open; a null end is open only if valid_to_kind is ``source_open_end``."""
-    valid = (F.col("valid_from").isNull() | (F.col("valid_from") <= F.col(on))) & F.when(F.col("valid_to").isNull(), F.col("valid_to_kind") == "source_open_end").otherwise(F.col(on) < F.col("valid_to"))
-    l = links.select(F.col(namespace).alias("_ns"), F.col(identifier).alias("_i"), "valid_from", "valid_to", "valid_to_kind", "known_at", "entity_id")  # noqa: E741
-    hit = (F.col(namespace) == F.col("_ns")) & (F.col(identifier) == F.col("_i")) & valid & (F.col("known_at") <= F.col(as_of))
-    got = requests.join(l, hit, "left").groupBy(request_id).agg(F.array_sort(F.collect_set("entity_id")).alias("entities"))
+    start is open; a null end is open only if valid_to_kind is ``source_open_end``.
+
+    Validity is looked up by ranges of days as in ``interval_join``; of a range each entity has one row, with the instant
+    at which it was first known, so what is read beyond the answer are entities that weren't known yet. ``on`` and the
+    bounds are dates. Requests of equal contents are looked up once.
+    """
+    l = links.where(F.col("valid_to").isNotNull() | (F.col("valid_to_kind") == "source_open_end"))  # noqa: E741
+    l = l.select(F.col(namespace).alias("_ns"), F.col(identifier).alias("_i"), "valid_from", "valid_to", "known_at", "entity_id").dropna(subset=["_ns", "_i", "known_at", "entity_id"])  # noqa: E741
+    l = ranges.cut(l, F.col("valid_from"), F.date_sub("valid_to", 1)).groupBy("_ns", "_i", "_r", "entity_id").agg(F.min("known_at").alias("_known"))  # noqa: E741
+    asks = [namespace, identifier, on, as_of]
+    asked = requests.select(*[F.col(c).alias(f"_q{n}") for n, c in enumerate(asks)]).distinct()
+    hit = (F.col("_q0") == F.col("_ns")) & (F.col("_q1") == F.col("_i")) & (F.col("_in") == F.col("_r")) & (F.col("_known") <= F.col("_q3"))
+    found = asked.withColumn("_in", F.explode(ranges.holding(F.col("_q2")))).join(l, hit).groupBy("_q0", "_q1", "_q2", "_q3").agg(F.collect_set("entity_id").alias("_e"))
+    same = [F.col(c).eqNullSafe(F.col(f"_q{n}")) for n, c in enumerate(asks)]
+    got = requests.join(found, same, "left").groupBy(request_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_e")))).alias("entities"))
     n = F.size("entities")
     return got.select(request_id, F.when(n == 1, F.col("entities")[0]).alias("entity_id"), F.when(n == 0, "NONE").when(n == 1, "FOUND").otherwise("AMBIGUOUS").alias("status"), "entities")
 
@@ -116,11 +138,20 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, value
 
 def prior_year(df: DataFrame, keys: list[str], start: str = "period_start", end: str = "period_end", value: str = "value") -> DataFrame:
     """Rows with the value of the one period that ends 350 to 378 days earlier and is as long within 8 days; status
-    FOUND, NONE or AMBIGUOUS."""
-    p = df.select(*[F.col(k).alias("_" + k) for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias("_v"))
-    length = lambda s, e: F.datediff(F.col(e), F.col(s))
-    on = [F.col(k) == F.col("_" + k) for k in keys] + [F.datediff(F.col(end), F.col("_e")).between(350, 378), F.abs(length(start, end) - length("_s", "_e")) <= 8]
-    got = df.join(p, on, "left").groupBy(*keys, start, end, value).agg(F.count("_e").alias("_n"), F.max("_v").alias("_p"))
+    FOUND, NONE or AMBIGUOUS. Repeated rows come back once; a prior period that has two rows is AMBIGUOUS.
+
+    Periods meet in buckets of their end (29 days wide) and length (17 days), two of each for a row that asks, so the
+    periods of a key are not all paired.
+    """
+    length = lambda s, e: F.datediff(F.col(e), F.col(s)).cast("long")
+    day = ranges.day_number(F.col(end))
+    p = df.groupBy(*[F.col(k).alias("_" + k) for k in keys], F.col(start).alias("_s"), F.col(end).alias("_e")).agg(F.count("*").alias("_c"), F.max(value).alias("_v"))
+    p = p.withColumns({"_pb": ranges.bucket(ranges.day_number(F.col("_e")), 29), "_pl": ranges.bucket(length("_s", "_e"), 17)})
+    asked = df.select(*keys, start, end, value).distinct().withColumn("_b", F.explode_outer(ranges.buckets(day - 378, day - 350, 29)))
+    asked = asked.withColumn("_l", F.explode_outer(ranges.buckets(length(start, end) - 8, length(start, end) + 8, 17)))
+    on = [F.col(k) == F.col("_" + k) for k in keys] + [F.col("_b") == F.col("_pb"), F.col("_l") == F.col("_pl")]
+    on += [F.datediff(F.col(end), F.col("_e")).between(350, 378), F.abs(length(start, end) - length("_s", "_e")) <= 8]
+    got = asked.join(p, on, "left").groupBy(*keys, start, end, value).agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"), F.max("_v").alias("_p"))
     return got.select(*keys, start, end, value, F.when(F.col("_n") == 1, F.col("_p")).alias("prior_value"), F.when(F.col("_n") == 0, "NONE").when(F.col("_n") == 1, "FOUND").otherwise("AMBIGUOUS").alias("status"))
 
 

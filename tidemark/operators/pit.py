@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import numbered
+
 CONTEXT = ["cik", "metric", "concept", "period_start", "period_end"]
 
 
@@ -105,10 +107,10 @@ def void_overlaps(df: DataFrame, keys: list[str], start: str = "period_start", e
     return kept, cite.withColumn("reason", F.lit("OVERLAPPING_CONTEXTS"))
 
 
-def revisions(df: DataFrame, keys: list[str], available: str = "available_at", ident: str = "id") -> DataFrame:
-    """All revisions of each context with their number in order of availability."""
-    w = Window.partitionBy(*keys).orderBy(available, ident)
-    return df.withColumn("revision", F.row_number().over(w))
+def revisions(df: DataFrame, keys: list[str], available: str = "available_at", ident: str = "id", block: str = "year") -> DataFrame:
+    """All revisions of each context with their number in order of availability. Numbered in blocks of time (a unit
+    of date_trunc), so a context of very many revisions is several tasks' work; rows without availability come first."""
+    return numbered(df, keys, [available, ident], F.date_trunc(block, available), "revision")
 
 
 def dated_observations(df: DataFrame, keys: list[str], on, limit: int = 12, end: str = "period_end", filed: str = "filed", accession: str = "accession") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranges import bucket, day_number, with_halo
+
 
 def series_coverage(df: DataFrame, key: str, day: str, value: str, reason: str | None = None) -> DataFrame:
     """A10: per series, and in total (key null): cells, populated, missing, the missing ones before the first, between,
@@ -105,7 +107,10 @@ def lookback(df: DataFrame, keys: list[str], n: int, order: str, periods: bool =
     return df.withColumn("_rk", rank.over(w)).where(F.col("_rk") <= n).drop("_rk")
 
 
-def contiguous(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Rows with ``touches``: whether a row starts the day after the one before it ends."""
-    w = Window.partitionBy(*keys).orderBy(end, start)
-    return df.withColumn("touches", F.coalesce(F.lag(F.date_add(end, 1)).over(w) == F.col(start), F.lit(False)))
+def contiguous(df: DataFrame, keys: list[str], start: str, end: str, days: int = 1461) -> DataFrame:
+    """Rows with ``touches``: whether a row starts the day after the one before it ends. Keys are scanned in blocks of
+    ``days`` of the end, each with the last row before it."""
+    laid = with_halo(df, keys, [end, start], 2, bucket(day_number(F.col(end)), days))
+    w = Window.partitionBy(*keys, "_block").orderBy(end, start)
+    rows = laid.withColumn("touches", F.coalesce(F.lag(F.date_add(end, 1)).over(w) == F.col(start), F.lit(False)))
+    return rows.where("_own").select(*df.columns, "touches")

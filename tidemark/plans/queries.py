@@ -1154,6 +1154,24 @@ def source_flatten(spark, sf_dir):
     return text(good.select("cik", "metric", "concept", "unit", "value", "period_end", F.col("accn").alias("accession")), "value", "period_end")
 
 
+@query("text_reconcile", """SELECT l_orderkey, metric, CASE min(r) WHEN 0 THEN 'matched' WHEN 1 THEN 'sign_mismatch' WHEN 2 THEN 'scale_mismatch' WHEN 3 THEN 'label_mismatch' ELSE 'missing' END AS state FROM (
+  SELECT f.l_orderkey, metric, CASE WHEN name = label AND abs(x - y) <= 0.005 * abs(y) THEN 0 WHEN name = label AND abs(-x - y) <= 0.005 * abs(y) THEN 1
+    WHEN name = label AND (abs(x * 1e3 - y) <= 0.005 * abs(y) OR abs(x * 1e6 - y) <= 0.005 * abs(y) OR abs(x * 1e9 - y) <= 0.005 * abs(y) OR abs(x - y * 1e3) <= 0.005 * abs(y * 1e3) OR abs(x - y * 1e6) <= 0.005 * abs(y * 1e6) OR abs(x - y * 1e9) <= 0.005 * abs(y * 1e9)) THEN 2
+    WHEN abs(x - y) <= 0.005 * abs(y) THEN 3 ELSE 4 END AS r
+  FROM (SELECT l_orderkey, 'm' || l_linenumber AS metric, 'line ' || l_linenumber AS name, CASE k WHEN 0 THEN p WHEN 1 THEN -p WHEN 2 THEN p / 1000 WHEN 3 THEN p * 1.2 ELSE -1.001 * p END AS y
+    FROM (SELECT l_orderkey, l_linenumber, (l_orderkey + l_linenumber) % 5 AS k, 1000 * l_extendedprice AS p FROM lineitem)) f
+  JOIN (SELECT l_orderkey, 'line ' || l_linenumber AS label, (CASE WHEN l_linenumber % 2 = 0 THEN -1000 ELSE 1000 END * l_extendedprice::DECIMAL(20,2))::DOUBLE AS x FROM lineitem) v ON f.l_orderkey = v.l_orderkey) GROUP BY ALL""")
+def text_reconcile(spark, sf_dir):
+    """Prices of line items as facts, some with another sign, scale or value, against the tables of the orders' pages."""
+    li = V.table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_extendedprice"])
+    k, p = (F.col("l_orderkey") + F.col("l_linenumber")) % 5, F.lit(1000) * F.col("l_extendedprice")
+    y = F.when(k == 0, p).when(k == 1, -p).when(k == 2, p / 1000).when(k == 3, p * 1.2).otherwise(F.lit(-1.001) * p)
+    facts = li.select("l_orderkey", F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("metric"), y.alias("value"))
+    aliases = li.select(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("metric"), F.concat(F.lit("Line "), F.col("l_linenumber").cast("string")).alias("alias")).distinct()
+    values_ = text_tables(spark, sf_dir).select("l_orderkey", "label", F.col("scaled_value").cast("decimal(38,9)").alias("scaled_value"))
+    return documents.reconcile_text(facts, values_, aliases, "l_orderkey")[0]
+
+
 @query("series_parse_bars", """SELECT symbol, session_date::VARCHAR AS session_date, open, high, low, close, volume::DOUBLE AS volume, CASE WHEN least(open, high, low, close) <= 0 THEN 'NOT_POSITIVE' END AS reason FROM bars""", (V.BARS,))
 def series_parse(spark, sf_dir):
     """Bars as a JSON page for each symbol, stamped at noon UTC."""
