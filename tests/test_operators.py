@@ -1218,3 +1218,36 @@ def test_reconcile_text_against_all_pairs(spark):
     assert {r["metric"]: r["state"] for r in detail.collect()} == want and len(set(want.values())) == 5
     with pytest.raises(ValueError):
         documents.reconcile_text(detail, detail, detail, "id", 0.9)
+
+
+def test_lineage_over_levels(spark):
+    cites = [("ttm", "q1"), ("ttm", "q2"), ("q1", "h1"), ("q1", "a"), ("h1", "a"), ("h1", "b"), ("h1", "b"), ("q2", "gone"), ("x", "y"), ("y", "z"), ("z", "y"), ("over", "x"), ("over", "a"), ("self", "self"), ("flat", "a"), (None, "a"), ("flat", None)]
+    res = spark.createDataFrame([(r,) for r in ("ttm", "ttm", "q1", "over", "self", "flat", "none", None)], "r string")
+    e, src = spark.createDataFrame(cites, "r string, s string"), spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "s string, v int")
+    nodes, roots = joins.lineage_tree(res, e, src, "r", "s")
+    assert rows(roots, "r", "sources", "missing", "depth", "state") == sorted([("ttm", 2, 1, 3, "INCOMPLETE"), ("q1", 2, 0, 2, "COMPLETE"), ("over", 1, 0, 3, "CYCLE"), ("self", 0, 0, 1, "CYCLE"), ("flat", 1, 0, 1, "COMPLETE"), ("none", 0, 0, 0, "NO_SOURCES")], key=str)
+    assert rows(nodes.where("r = 'ttm'"), "s", "depth", "kind") == [("a", 2, "SOURCE"), ("b", 3, "SOURCE"), ("gone", 2, "MISSING"), ("h1", 2, "DERIVED"), ("q1", 1, "DERIVED"), ("q2", 1, "DERIVED")]
+    assert joins.lineage_tree(res, e.where("false"), src, "r", "s")[1].where("state <> 'NO_SOURCES'").count() == 0
+    rng = random.Random(11)
+    graph = [(f"n{rng.randrange(25)}", f"n{rng.randrange(25)}" if rng.random() < 0.5 else f"s{rng.randrange(9)}") for _ in range(40)]
+
+    def reach(n):
+        got, todo = set(), [n]
+        while todo:
+            m = todo.pop()
+            for down in {b for a, b in graph if a == m} - got:
+                got.add(down)
+                todo.append(down)
+        return got
+
+    nodes, roots = joins.lineage_tree(spark.createDataFrame([(f"n{i}",) for i in range(25)], "r string"), spark.createDataFrame(graph, "r string, s string"), src, "r", "s")
+    assert {(r["r"], r["s"]) for r in nodes.collect()} == {(f"n{i}", m) for i in range(25) for m in reach(f"n{i}")}
+    assert {r["r"] for r in roots.where("state = 'CYCLE'").collect()} == {f"n{i}" for i in range(25) if any(m in reach(m) for m in reach(f"n{i}"))}
+
+
+def test_altered_sources(spark):
+    shape = "id string, value decimal(38,9), unit string"
+    stored = spark.createDataFrame([("a", D(1), "USD"), ("b", D(2), None), ("c", D(3), "USD"), ("c", D(4), "USD")], shape)
+    claimed = spark.createDataFrame([("a", D(1), "USD"), ("b", D(2), "USD"), ("b", None, None), ("c", D(4), "USD"), ("c", D(5), "USD"), ("gone", D(1), "USD"), ("a", D(9), "EUR")], shape)
+    got = rows(joins.altered_sources(claimed, stored, "id", ["value", "unit"]), "id", "reason", "fields")
+    assert got == sorted([("b", "DIFFERS", ["unit"]), ("b", "DIFFERS", ["value"]), ("c", "DIFFERS", ["value"]), ("gone", "NOT_STORED", []), ("a", "DIFFERS", ["value", "unit"])], key=str)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +177,64 @@ def lineage(results: DataFrame, sources: DataFrame, result_id: str, ids: str, so
     return cited.join(sources, source_id), cited.join(sources.select(source_id), source_id, "left_anti")
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder of the session, so that rounds don't pile up in the plan. Where
+    spark.checkpoint.dir is unset, local mode takes a temporary folder; elsewhere that is an error."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lineage-"))
+    return df.checkpoint()
+
+
+def lineage_tree(results: DataFrame, cites: DataFrame, sources: DataFrame, result_id: str, source_id: str) -> tuple[DataFrame, DataFrame]:
+    """J13 over any number of levels: (nodes, roots).
+
+    ``cites`` (result_id, source_id) are the direct citations of results and of what they cite in turn; ``sources`` has
+    the stored ids. ``nodes``: each different id that a result rests on, with its least distance ``depth`` and ``kind``:
+    DERIVED if it cites others, else SOURCE or, if it isn't stored, MISSING. ``roots``: every result with the number of
+    its ``sources`` and ``missing`` ids, its ``depth`` and ``state``: CYCLE if it rests on something that rests on itself,
+    NO_SOURCES if it cites nothing, INCOMPLETE, or COMPLETE. Nulls and repeated citations count for nothing.
+
+    Two fixpoints, one round a level: what is newly reached is joined with the citations and written; and citations whose
+    source rests on nothing open are struck until none falls: what is left leads into a cycle.
+    """
+    e = _settled(cites.select(F.col(result_id).alias("_up"), F.col(source_id).alias("_down")).dropna().distinct())
+    roots = results.select(F.col(result_id).alias("_root")).dropna().distinct()
+    new = _settled(roots.join(e, F.col("_root") == F.col("_up")).select("_root", F.col("_down").alias("_node"), F.lit(1).alias("depth")))
+    seen, depth = new, 1
+    while not new.isEmpty():
+        depth += 1
+        step = new.join(e, F.col("_node") == F.col("_up")).select("_root", F.col("_down").alias("_node")).distinct()
+        new = _settled(step.join(seen, ["_root", "_node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(new)
+    open_, n = e, None
+    while n != (n := open_.count()):
+        open_ = _settled(open_.join(open_.select(F.col("_up").alias("_down")).distinct(), "_down", "left_semi"))
+    derived, stored = e.select(F.col("_up").alias("_node"), F.lit(True).alias("_derived")).distinct(), sources.select(F.col(source_id).alias("_node"), F.lit(True).alias("_stored")).distinct()
+    kind = F.when(F.col("_derived"), "DERIVED").when(F.col("_stored"), "SOURCE").otherwise("MISSING")
+    nodes = seen.join(derived, "_node", "left").join(stored, "_node", "left").select("_root", "_node", "depth", kind.alias("kind"))
+    sums = nodes.groupBy("_root").agg(F.count(F.when(F.col("kind") == "SOURCE", 1)).alias("sources"), F.count(F.when(F.col("kind") == "MISSING", 1)).alias("missing"), F.max("depth").alias("depth"))
+    cyclic = open_.select(F.col("_up").alias("_root"), F.lit(True).alias("_cycle")).distinct()
+    state = F.when(F.col("_cycle"), "CYCLE").when(F.col("depth").isNull(), "NO_SOURCES").when(F.col("missing") > 0, "INCOMPLETE").otherwise("COMPLETE")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    out = roots.join(sums, "_root", "left").join(cyclic, "_root", "left").select(F.col("_root").alias(result_id), none("sources"), none("missing"), none("depth"), state.alias("state"))
+    return nodes.select(F.col("_root").alias(result_id), F.col("_node").alias(source_id), "depth", "kind"), out
+
+
+def altered_sources(claimed: DataFrame, stored: DataFrame, source_id: str, fields: list[str]) -> DataFrame:
+    """Claimed source records held against the stored ones, field by field: (source_id, reason, fields). A record is
+    NOT_STORED, or DIFFERS in the named fields, nulls told from values; one that equals a stored record of its id is
+    left out. Of several stored records of an id one must agree; the fields are those that differ from every one."""
+    c = claimed.select(F.col(source_id).alias("_id"), F.struct(*fields).alias("_c")).distinct()
+    s = stored.groupBy(source_id).agg(F.collect_set(F.struct(*fields)).alias("_s"))
+    got = c.join(s, F.col("_id") == F.col(source_id), "left").where("_s is null or not exists(_s, x -> x <=> _c)")
+    differs = lambda f: F.forall("_s", lambda x: ~x[f].eqNullSafe(F.col(f"_c.{f}")))
+    off = F.array_compact(F.array(*[F.when(differs(f), f) for f in fields]))
+    return got.select(F.col("_id").alias(source_id), F.when(F.col("_s").isNull(), "NOT_STORED").otherwise("DIFFERS").alias("reason"), F.coalesce(off, F.array().cast("array<string>")).alias("fields"))
+
+
 def evidence_index(df: DataFrame, ids: str) -> DataFrame:
     """(shard, source_id, rest): one row for each cited id, sharded by the first two hex digits of its hash."""
     return df.withColumn("source_id", F.explode(ids)).drop(ids).withColumn("shard", F.substring(F.sha2("source_id", 256), 1, 2))

@@ -1230,6 +1230,25 @@ def pit_top(spark, sf_dir):
     return pit.top1(V.observations(spark, sf_dir), ["cik", "metric"], [F.desc("filed"), F.desc("id")]).select("cik", "metric", "id")
 
 
+@query("join_lineage_tree", """SELECT root AS result, count(*) FILTER (NOT derived AND stored) AS sources, count(*) FILTER (NOT derived AND NOT stored) AS missing,
+  CASE WHEN bool_or(root = node) THEN 'CYCLE' WHEN count(*) FILTER (NOT derived AND NOT stored) > 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS state FROM (
+  SELECT root, node, node IN (SELECT up FROM cites) AS derived, node IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 5) AS stored FROM reached) GROUP BY root""", ("""RECURSIVE cites AS (
+  SELECT 'N' || c_nationkey AS up, 'C' || c_custkey AS down FROM customer UNION SELECT 'C' || o_custkey, 'O' || o_orderkey FROM orders UNION SELECT 'O' || l_orderkey, 'P' || l_partkey FROM lineitem
+  UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation WHERE n_regionkey = 0 UNION SELECT 'R' || n_regionkey, 'N' || n_nationkey FROM nation)""", "reached AS (SELECT up AS root, down AS node FROM cites WHERE up LIKE 'N%' UNION SELECT root, down FROM reached JOIN cites ON node = up)"))
+def join_lineage_tree(spark, sf_dir):
+    """Nations rest on customers, these on orders, these on parts, of which small ones aren't stored; one region closes a cycle."""
+    take = lambda t, *c: V.table(spark, sf_dir, t, list(c))
+    ident = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    pair = lambda t, a, x, b, y: take(t, x, y).select(ident(a, x).alias("result"), ident(b, y).alias("source"))
+    nation = take("nation", "n_nationkey", "n_regionkey")
+    up = nation.where("n_regionkey = 0").select(ident("N", "n_nationkey").alias("result"), ident("R", "n_regionkey").alias("source"))
+    parts = [pair("customer", "N", "c_nationkey", "C", "c_custkey"), pair("orders", "C", "o_custkey", "O", "o_orderkey"), pair("lineitem", "O", "l_orderkey", "P", "l_partkey"), pair("nation", "R", "n_regionkey", "N", "n_nationkey"), up]
+    cites = reduce(lambda a, b: a.unionByName(b), parts)
+    stored = take("part", "p_partkey", "p_size").where("p_size > 5").select(ident("P", "p_partkey").alias("source"))
+    roots = cites.where("result like 'N%'").select("result")
+    return joins.lineage_tree(roots, cites, stored, "result", "source")[1].select("result", "sources", "missing", "state")
+
+
 @query("join_lineage_missing", "SELECT concat_ws('|', s.cik, s.metric, s.concept, s.period_end) AS result, i AS id FROM (SELECT *, unnest(ids) AS i FROM sel WHERE n = 1) s WHERE i NOT IN (SELECT id FROM altered)", (V.OBS, _LAST, V.ALTERED))
 def join_lineage_missing(spark, sf_dir):
     return joins.lineage(_cited(spark, sf_dir), V.altered(V.observations(spark, sf_dir)).select("id", "accession"), "result", "source_ids", "id")[1]
