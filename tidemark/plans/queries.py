@@ -688,10 +688,10 @@ def quality_identity(spark, sf_dir):
     return text(quality.identity_check(V.flows(spark, sf_dir), ["cik", "period_end"], [("N", 1), ("A", -1), ("R", -1)]), "period_end", "residual")
 
 
-@query("quality_vintage", "SELECT cik, metric, CASE WHEN count(DISTINCT concept) = 1 THEN min(CASE WHEN value > 50000 THEN 'FAIL' ELSE 'PASS' END) ELSE 'NOT_COMPARABLE' END AS state FROM obs WHERE l_orderkey % 9 = 0 GROUP BY ALL", (V.OBS,))
+@query("quality_vintage", "SELECT cik, metric, period_end::VARCHAR AS period_end, CASE WHEN count(DISTINCT concept) = 1 THEN min(CASE WHEN value > 50000 THEN 'FAIL' ELSE 'PASS' END) ELSE 'NOT_COMPARABLE' END AS state FROM obs GROUP BY ALL", (V.OBS,))
 def quality_vintage(spark, sf_dir):
-    rows = V.observations(spark, sf_dir).where("l_orderkey % 9 = 0").withColumn("s", F.when(F.col("value") > 50000, "FAIL").otherwise("PASS"))
-    return quality.same_vintage_guard(rows, ["cik", "metric"], "s", ["concept"])
+    rows = V.observations(spark, sf_dir).withColumn("s", F.when(F.col("value") > 50000, "FAIL").otherwise("PASS"))
+    return text(quality.same_vintage_guard(rows, ["cik", "metric", "period_end"], "s", ["concept"]), "period_end")
 
 
 @query("quality_recompute", """SELECT o_orderkey AS result, o_totalprice::DECIMAL(38,9)::VARCHAR AS stored, s::VARCHAR AS recomputed FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice::DECIMAL(38,9)) AS s FROM lineitem GROUP BY ALL) ON o_orderkey = l_orderkey WHERE o_totalprice::DECIMAL(38,9) IS DISTINCT FROM s""")
@@ -713,12 +713,11 @@ def quality_certify(spark, sf_dir):
     return quality.certify(res, li, leaves, states, "result").select("result", "evidence_state", "reason")
 
 
-@query("quality_statement_policy", "SELECT cik, CASE WHEN o THEN 'open' ELSE '' END AS families, CASE WHEN o THEN 'N=open,Q=open' ELSE '' END AS quarantined FROM (SELECT cik, bool_or(concept = 'O') AS o FROM obs WHERE l_orderkey % 5 = 0 GROUP BY cik)", (V.OBS,))
+@query("quality_statement_policy", "SELECT accession, CASE WHEN o THEN 'open' ELSE '' END AS families, CASE WHEN o THEN 'N=open,Q=open' ELSE '' END AS quarantined FROM (SELECT accession, bool_or(concept = 'O') AS o FROM obs GROUP BY accession)", (V.OBS,))
 def quality_policy(spark, sf_dir):
-    rows = V.observations(spark, sf_dir).where("l_orderkey % 5 = 0")
-    out = quality.statement_policy(rows, "cik", "concept", {"open": ["O"], "bank": ["X"]}, {"open": ["N", "Q"], "bank": ["A"]})
+    out = quality.statement_policy(V.observations(spark, sf_dir), "accession", "concept", {"open": ["O"], "bank": ["X"]}, {"open": ["N", "Q"], "bank": ["A"]})
     pairs = F.array_join(F.transform("quarantined", lambda q: F.concat_ws("=", q["metric"], q["family"])), ",")
-    return out.select("cik", F.array_join("families", ",").alias("families"), pairs.alias("quarantined"))
+    return out.select("accession", F.array_join("families", ",").alias("families"), pairs.alias("quarantined"))
 
 
 @query("quality_quarantine", "SELECT cik, metric, count(*) AS n FROM flows WHERE (cik, metric) IN (SELECT DISTINCT cik, metric FROM obs WHERE value > 100000) GROUP BY ALL", (V.OBS, V.FLOWS))
