@@ -35,7 +35,8 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, day: str, s
 
     Intervals are cut into ranges of days of 4^n (``ranges.py``) and each different day of a key looks up the ranges that
     hold it, of which each has one row, so points and intervals of a key are not paired. A null day is only in intervals
-    open at both ends; null keys and labels match nothing.
+    open at both ends; null keys and labels match nothing. Neither side is broadcast: Spark takes a row that stands for
+    twelve ranges for one.
     """
     cols = points.columns
     p = points.groupBy(*cols).agg(F.count("*").alias("points"))
@@ -43,7 +44,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, day: str, s
     i = ranges.cut(i.where("_k is not null and _l is not null"), F.col("_s"), F.col("_e"))
     i = i.groupBy("_k", "_r").agg(F.min("_l").alias("_low"), F.max("_l").alias("_high"))
     asked = points.where(F.col(key).isNotNull()).select(F.col(key).alias("_p"), F.col(day).alias("_d")).distinct()
-    hits = asked.withColumn("_in", F.explode(ranges.holding(F.col("_d")))).join(i, (F.col("_p") == F.col("_k")) & (F.col("_in") == F.col("_r")))
+    hits = asked.withColumn("_in", F.explode(ranges.holding(F.col("_d")))).hint("merge").join(i, (F.col("_p") == F.col("_k")) & (F.col("_in") == F.col("_r")))
     hits = hits.groupBy("_p", "_d").agg(F.min("_low").alias("_low"), F.max("_high").alias("_high"))
     got = p.join(hits, F.col(key).eqNullSafe(F.col("_p")) & F.col(day).eqNullSafe(F.col("_d")), "left")
     one = F.col("_low") == F.col("_high")
@@ -73,7 +74,7 @@ def resolve_bitemporal(links: DataFrame, requests: DataFrame, request_id: str, n
     asks = [namespace, identifier, on, as_of]
     asked = requests.select(*[F.col(c).alias(f"_q{n}") for n, c in enumerate(asks)]).distinct()
     hit = (F.col("_q0") == F.col("_ns")) & (F.col("_q1") == F.col("_i")) & (F.col("_in") == F.col("_r")) & (F.col("_known") <= F.col("_q3"))
-    found = asked.withColumn("_in", F.explode(ranges.holding(F.col("_q2")))).join(l, hit).groupBy("_q0", "_q1", "_q2", "_q3").agg(F.collect_set("entity_id").alias("_e"))
+    found = asked.withColumn("_in", F.explode(ranges.holding(F.col("_q2")))).hint("merge").join(l, hit).groupBy("_q0", "_q1", "_q2", "_q3").agg(F.collect_set("entity_id").alias("_e"))
     same = [F.col(c).eqNullSafe(F.col(f"_q{n}")) for n, c in enumerate(asks)]
     got = requests.join(found, same, "left").groupBy(request_id).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_e")))).alias("entities"))
     n = F.size("entities")

@@ -22,24 +22,20 @@ def cut(df: DataFrame, first: Column, last: Column, name: str = "_r") -> DataFra
     """Rows once for each range that their closed interval of dates is made of: at most six a level, some thirty for
     ten years. Null ends are open; an interval that ends before it starts has no ranges."""
     a, e = day_number(first, 0), day_number(F.date_add(last, 1), _DAYS)
-    laid = df.withColumns({"_a": a, "_e": e})
-
-    def part(low: Column, high: Column, level: int) -> Column:
-        none = F.array().cast("array<bigint>")
-        return F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), lambda x: x + (level << 32))).otherwise(none)
-
-    parts = []
-    for level in range(LEVELS):
-        low = F.ceil(F.col("_a") / float(4**level)).cast("long")
-        high = F.floor(F.col("_e") / float(4**level)).cast("long")
-        # what the next level's whole ranges leave over on the left and on the right
-        left = F.least(F.ceil(low / 4.0).cast("long") * 4, high)
-        right = F.greatest(F.floor(high / 4.0).cast("long") * 4, left)
-        if level == LEVELS - 1:
-            left, right = low, low
-        parts += [part(low, left, level), part(right, high, level)]
-    inside = F.when(F.col("_a") < F.col("_e"), F.flatten(F.array(*parts)))
-    return laid.withColumn(name, F.explode(inside)).drop("_a", "_e")
+    shift = lambda by, x, n: F.call_function(f"shift{by}", x, n)
+    width = F.col("_level") * 2
+    # a row a level first, so that all levels are one short expression
+    laid = df.withColumns({"_a": a, "_e": e}).where("_a < _e").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
+    laid = laid.withColumns({"_low": shift("right", F.col("_a") + shift("left", F.lit(1).cast("long"), width) - 1, width), "_high": shift("right", F.col("_e"), width)}).where("_low < _high")
+    # what the next level's whole ranges leave over on the left and on the right
+    left = F.when(F.col("_level") == LEVELS - 1, F.col("_high")).otherwise(F.least(F.shiftright(F.col("_low") + 3, 2) * 4, F.col("_high")))
+    laid = laid.withColumn("_left", left).withColumn("_right", F.greatest(F.shiftright(F.col("_high"), 2) * 4, F.col("_left")))
+
+    def part(low: str, high: str) -> Column:
+        first, last = (F.col(c) + shift("left", F.col("_level").cast("long"), F.lit(32)) for c in (low, high))
+        return F.when(F.col(low) < F.col(high), F.sequence(first, F.greatest(first, last - 1))).otherwise(F.array().cast("array<bigint>"))
+
+    return laid.withColumn(name, F.explode(F.concat(part("_low", "_left"), part("_right", "_high")))).select(*df.columns, name)
 
 
 def holding(day: Column) -> Column:
