@@ -1302,3 +1302,14 @@ def test_markdown_is_made_a_few_pages_at_a_time(spark):
     documents.html_to_markdown(Frame(), "id", "h")
     assert max(b.num_rows for b in made) <= documents.PAGES
     assert [x for b in made for x in b.column(1).to_pylist()] == [None if i % 7 == 0 else str(i) for i in range(1000)]
+
+
+def test_reproduction_reads_each_result_once(spark, tmp_path):
+    kind = "id string, c string, m string"
+    spark.createDataFrame([("1", "x", "p"), ("2", "x", "q"), ("3", None, "q"), ("4", "y", None), ("5", "y", "p"), ("6", "y", "p")], kind).write.parquet(f"{tmp_path}/old")
+    spark.createDataFrame([("7", "x", "p"), ("8", None, "r"), ("9", "y", "p")], kind).write.parquet(f"{tmp_path}/new")
+    got = releases.reproduce_check(spark.read.parquet(f"{tmp_path}/old"), spark.read.parquet(f"{tmp_path}/new"), ["c", "m"], ["c"], "m")
+    assert got._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 2
+    assert Counter(r["kind"] for r in got.collect()) == {"CONTENT_LOST": 4, "CONTENT_NEW": 1, "COVERAGE_SHRANK": 2}
+    assert [r["detail"] for r in got.where("kind = 'COVERAGE_SHRANK'").orderBy("detail").collect()] == ["", "x"]
+    assert got.where("kind <> 'COVERAGE_SHRANK' and not detail rlike '^[0-9a-f]{64}$'").count() == 0

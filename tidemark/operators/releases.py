@@ -190,12 +190,24 @@ def group_digest(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def reproduce_check(old_result: DataFrame, new_result: DataFrame, content: list[str], keys: list[str], metric: str) -> DataFrame:
     """What keeps a historical result from being reproduced: (kind, detail) rows CONTENT_LOST and CONTENT_NEW by
-    content, not id, and COVERAGE_SHRANK for keys that lost a metric. No rows: reproduced."""
-    sig = F.sha2(F.to_json(F.struct(*sorted(content)), {"ignoreNullFields": "false"}), 256)
-    diff = multiset_difference(old_result.select(sig.alias("detail")), new_result.select(sig.alias("detail")))
-    rows = diff.select(F.when(F.col("surplus") > 0, "CONTENT_LOST").otherwise("CONTENT_NEW").alias("kind"), "detail")
-    lost = diff_coverage(old_result, new_result, keys, metric).where("size(lost) > 0")
-    return rows.unionByName(lost.select(F.lit("COVERAGE_SHRANK").alias("kind"), F.concat_ws("|", *keys).alias("detail")))
+    content, not id, and COVERAGE_SHRANK for keys that lost a metric. No rows: reproduced.
+
+    Both results are read once each: a row counts for its content, as a digest of 32 bytes, and for its keys and metric.
+    """
+    digest = F.unhex(F.sha2(F.to_json(F.struct(*sorted(content)), {"ignoreNullFields": "false"}), 256))
+    own, items = [f"_k{n}" for n in range(len(keys))], [*keys, metric]
+    names = [*own, "_m"]
+
+    def side(t, n):
+        kinds = [t.schema[c].dataType for c in items]
+        by_content = F.struct(digest.alias("_sig"), *[F.lit(None).cast(k).alias(c) for c, k in zip(names, kinds, strict=True)])
+        by_keys = F.struct(F.lit(None).cast("binary").alias("_sig"), *[F.col(i).alias(c) for c, i in zip(names, items, strict=True)])
+        return t.select(F.explode(F.array(by_content, by_keys)).alias("_x"), F.lit(n).alias("_n")).select("_x.*", "_n").where("_sig is not null or _m is not null")
+
+    got = side(old_result, 1).unionByName(side(new_result, -1)).groupBy("_sig", *names).agg(F.sum("_n").alias("_surplus"), F.min("_n").alias("_least"))
+    kind = F.when(F.col("_sig").isNull(), F.when(F.col("_least") == 1, "COVERAGE_SHRANK")).when(F.col("_surplus") > 0, "CONTENT_LOST").when(F.col("_surplus") < 0, "CONTENT_NEW")
+    rows = got.select(kind.alias("kind"), "_sig", *own).where("kind is not null").distinct()
+    return rows.select("kind", F.when(F.col("_sig").isNull(), F.concat_ws("|", *own)).otherwise(F.lower(F.hex("_sig"))).alias("detail"))
 
 
 def gate(checks: DataFrame, name: str, passed: str) -> tuple[DataFrame, DataFrame]:
