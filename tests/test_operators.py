@@ -1313,3 +1313,11 @@ def test_reproduction_reads_each_result_once(spark, tmp_path):
     assert Counter(r["kind"] for r in got.collect()) == {"CONTENT_LOST": 4, "CONTENT_NEW": 1, "COVERAGE_SHRANK": 2}
     assert [r["detail"] for r in got.where("kind = 'COVERAGE_SHRANK'").orderBy("detail").collect()] == ["", "x"]
     assert got.where("kind <> 'COVERAGE_SHRANK' and not detail rlike '^[0-9a-f]{64}$'").count() == 0
+
+
+def test_merged_series_and_gaps_share_one_shuffle(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "x"), ("a", 1, "y"), ("b", 1, "x"), ("b", None, "z"), (None, None, "w")], "k string, v int, s string").write.parquet(f"{tmp_path}/t")
+    merged, gaps = series.merge_or_conflict(spark.read.parquet(f"{tmp_path}/t"), ["k"], ["v"], "s")
+    both = merged.select("k", F.lit(1).cast("long").alias("n"), "v", "sources").unionByName(gaps.select("k", F.col("variants").alias("n"), F.lit(None).cast("int").alias("v"), "sources"))
+    assert rows(both) == rows(spark.createDataFrame([("a", 1, 1, ["x", "y"]), ("b", 2, None, ["x", "z"]), (None, 1, None, ["w"])], "k string, n long, v int, s array<string>"))
+    assert both._jdf.queryExecution().sparkPlan().toString().count("Aggregate(keys=") == 4  # a partial and a final one a result

@@ -80,7 +80,9 @@ def catalogue(df: DataFrame, key: str, day: str, alias: str) -> DataFrame:
 def merge_or_conflict(df: DataFrame, keys: list[str], values: list[str], source: str) -> tuple[DataFrame, DataFrame]:
     """(merged, gaps). Rows of a key with equal values become one with all sources, sorted; keys whose rows differ
     are gaps CONFLICTING_VALUES with the number of variants."""
-    got = df.groupBy(*keys).agg(F.count_distinct(F.struct(*values)).alias("variants"), F.min(F.struct(*values)).alias("_v"), F.array_sort(F.collect_set(source)).alias("sources"))
+    # both results take the same aggregates, and no distinct count, so that they share one shuffle
+    got = df.groupBy(*keys).agg(F.array_distinct(F.collect_set(F.struct(*values))).alias("_all"), F.array_sort(F.collect_set(source)).alias("sources"))
+    got = got.select(*keys, F.size("_all").cast("long").alias("variants"), F.array_min("_all").alias("_v"), "sources")
     merged = got.where("variants = 1").select(*keys, "_v.*", "sources")
     return merged, got.where("variants > 1").select(*keys, "variants", "sources", F.lit("CONFLICTING_VALUES").alias("reason"))
 
