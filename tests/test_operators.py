@@ -1321,3 +1321,11 @@ def test_merged_series_and_gaps_share_one_shuffle(spark, tmp_path):
     both = merged.select("k", F.lit(1).cast("long").alias("n"), "v", "sources").unionByName(gaps.select("k", F.col("variants").alias("n"), F.lit(None).cast("int").alias("v"), "sources"))
     assert rows(both) == rows(spark.createDataFrame([("a", 1, 1, ["x", "y"]), ("b", 2, None, ["x", "z"]), (None, 1, None, ["w"])], "k string, n long, v int, s array<string>"))
     assert both._jdf.queryExecution().sparkPlan().toString().count("Aggregate(keys=") == 4  # a partial and a final one a result
+
+
+def test_wanted_sources_are_made_distinct_by_the_join_keys(spark):
+    index = joins.evidence_index(spark.range(20).select(F.col("id").alias("of"), F.array(F.concat(F.lit("s"), F.col("id") % 4)).alias("ids")), "ids")
+    wanted = spark.range(30).select(F.concat(F.lit("s"), F.col("id") % 3).alias("source_id"))
+    got = joins.evidence(index, wanted, "of")
+    assert "hashpartitioning(source_id#" not in got._jdf.queryExecution().executedPlan().toString()
+    assert rows(got, "of") == rows(spark.createDataFrame([(i,) for i in range(20) if i % 4 < 3], "of long"))

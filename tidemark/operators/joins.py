@@ -243,5 +243,6 @@ def evidence_index(df: DataFrame, ids: str) -> DataFrame:
 
 def evidence(index: DataFrame, wanted: DataFrame, observation_id: str) -> DataFrame:
     """Index rows of the wanted source ids, each observation once."""
-    asked = wanted.select("source_id").distinct().withColumn("shard", F.substring(F.sha2("source_id", 256), 1, 2))
+    # distinct by the join's own keys: one shuffle does for both
+    asked = wanted.select(F.substring(F.sha2("source_id", 256), 1, 2).alias("shard"), "source_id").distinct()
     return index.join(asked, ["shard", "source_id"], "left_semi").dropDuplicates([observation_id])
