@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact, temporal, values
-from tidemark.operators import claims, comparison, derive, joins, pit, quality, releases, screen, series
+from tidemark.operators import claims, comparison, derive, joins, pit, quality, ranges, releases, screen, series
 from tidemark.sources import documents, ingest, sinks
 from tidemark.streaming import upkeep
 
@@ -1329,3 +1329,12 @@ def test_wanted_sources_are_made_distinct_by_the_join_keys(spark):
     got = joins.evidence(index, wanted, "of")
     assert "hashpartitioning(source_id#" not in got._jdf.queryExecution().executedPlan().toString()
     assert rows(got, "of") == rows(spark.createDataFrame([(i,) for i in range(20) if i % 4 < 3], "of long"))
+
+
+def test_numbering_shuffles_rows_into_blocks_once(spark, tmp_path):
+    spark.range(100).select((F.col("id") % 3).alias("k"), (F.col("id") % 10).alias("b"), "id").write.parquet(f"{tmp_path}/t")
+    got = ranges.numbered(spark.read.parquet(f"{tmp_path}/t"), ["k"], ["b", "id"], F.col("b"), "n")
+    want = sorted((i % 3, i % 10, i) for i in range(100))
+    assert rows(got, "k", "b", "id", "n") == sorted(((*r, sum(w[0] == r[0] and w <= r for w in want)) for r in want), key=str)
+    got.collect()  # shuffles are found alike while the query runs
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()

@@ -78,7 +78,8 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, na
     rows = df.withColumn("_block", block)
     inside = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)))
     back = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    # counted by their own numbers: the rows are read and shuffled into blocks once
+    counts = inside.groupBy(*keys, "_block").agg(F.max(name).alias("_n"))
     counts = counts.select(*[F.col(k).alias("_of_" + k) for k in [*keys, "_block"]], F.coalesce(F.sum("_n").over(back), F.lit(0)).alias("_before"))
     on = [F.col(k).eqNullSafe(F.col("_of_" + k)) for k in [*keys, "_block"]]
     return inside.join(counts, on).select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
