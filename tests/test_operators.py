@@ -1338,3 +1338,18 @@ def test_numbering_shuffles_rows_into_blocks_once(spark, tmp_path):
     assert rows(got, "k", "b", "id", "n") == sorted(((*r, sum(w[0] == r[0] and w <= r for w in want)) for r in want), key=str)
     got.collect()  # shuffles are found alike while the query runs
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_citation_is_followed_once(spark, monkeypatch):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(3)] + [(f"c{i}", f"s{i}_{n}") for i in range(3) for n in range(4)]
+    e, followed = spark.createDataFrame(chain, "r string, s string"), []
+    join = type(e).join
+
+    def counted(left, right, *how):
+        followed.append(right.count() if "_up" in right.columns else 0)
+        return join(left, right, *how)
+
+    monkeypatch.setattr(type(e), "join", counted)
+    nodes, roots = joins.lineage_tree(spark.createDataFrame([("c0",), ("c1",)], "r string"), e, e.select("s").where("s like 's%1'"), "r", "s")
+    assert rows(roots, "r", "sources", "missing", "depth", "state") == [("c0", 3, 10, 3, "INCOMPLETE"), ("c1", 2, 7, 2, "INCOMPLETE")]
+    assert sum(followed) == len(chain)  # each in its own level, not all of them in every round

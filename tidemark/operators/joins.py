@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,14 +180,19 @@ def lineage(results: DataFrame, sources: DataFrame, result_id: str, ids: str, so
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder of the session, so that rounds don't pile up in the plan. Where
-    spark.checkpoint.dir is unset, local mode takes a temporary folder; elsewhere that is an error."""
+    """The rows written as Parquet to the checkpoint folder of the session and read back, so that rounds don't pile up in
+    the plan and what is small is known to be. Where spark.checkpoint.dir is unset, local mode takes a temporary folder;
+    elsewhere that is an error."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-lineage-"))
-    return df.checkpoint()
+        base = spark.sparkContext.getCheckpointDir()
+    path = f"{base}/lineage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lineage_tree(results: DataFrame, cites: DataFrame, sources: DataFrame, result_id: str, source_id: str) -> tuple[DataFrame, DataFrame]:
@@ -198,24 +204,40 @@ def lineage_tree(results: DataFrame, cites: DataFrame, sources: DataFrame, resul
     its ``sources`` and ``missing`` ids, its ``depth`` and ``state``: CYCLE if it rests on something that rests on itself,
     NO_SOURCES if it cites nothing, INCOMPLETE, or COMPLETE. Nulls and repeated citations count for nothing.
 
-    Two fixpoints, one round a level: what is newly reached is joined with the citations and written; and citations whose
-    source rests on nothing open are struck until none falls: what is left leads into a cycle.
+    Citations are first dealt to levels: a round strikes those whose source cites nothing that is still open, until none
+    falls; what is left leads into a cycle. All citations of one id fall in the same round, and after those it makes
+    itself. So what is left is followed by a fixpoint, a round a step, and then each level, the last struck first, is
+    joined once with what has been reached.
     """
-    e = _settled(cites.select(F.col(result_id).alias("_up"), F.col(source_id).alias("_down")).dropna().distinct())
+    e = cites.select(F.col(result_id).alias("_up"), F.col(source_id).alias("_down")).dropna()
     roots = results.select(F.col(result_id).alias("_root")).dropna().distinct()
-    new = _settled(roots.join(e, F.col("_root") == F.col("_up")).select("_root", F.col("_down").alias("_node"), F.lit(1).alias("depth")))
-    seen, depth = new, 1
+    stored = sources.select(F.col(source_id).alias("_down"), F.lit(True).alias("_stored")).dropna().distinct()
+    open_, levels = e, []
+    while True:
+        ups = open_.select(F.col("_up").alias("_down"), F.lit(True).alias("_open")).distinct()
+        dealt = open_.join(ups, "_down", "left")  # the leaves are held against what is stored in the same shuffle
+        dealt = _settled(dealt if levels else dealt.join(stored, "_down", "left"))
+        open_, struck = dealt.where("_open").select("_up", "_down"), dealt.where("_open is null").drop("_open")
+        if struck.isEmpty():
+            break
+        levels.append(struck)
+    new = seen = _settled(roots.join(open_, F.col("_root") == F.col("_up")).select("_root", F.col("_down").alias("_node"), F.lit(1).alias("depth")).distinct())
+    depth = 1
     while not new.isEmpty():
         depth += 1
-        step = new.join(e, F.col("_node") == F.col("_up")).select("_root", F.col("_down").alias("_node")).distinct()
+        step = new.join(open_, F.col("_node") == F.col("_up")).select("_root", F.col("_down").alias("_node")).distinct()
         new = _settled(step.join(seen, ["_root", "_node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(new)
-    open_, n = e, None
-    while n != (n := open_.count()):
-        open_ = _settled(open_.join(open_.select(F.col("_up").alias("_down")).distinct(), "_down", "left_semi"))
-    derived, stored = e.select(F.col("_up").alias("_node"), F.lit(True).alias("_derived")).distinct(), sources.select(F.col(source_id).alias("_node"), F.lit(True).alias("_stored")).distinct()
-    kind = F.when(F.col("_derived"), "DERIVED").when(F.col("_stored"), "SOURCE").otherwise("MISSING")
-    nodes = seen.join(derived, "_node", "left").join(stored, "_node", "left").select("_root", "_node", "depth", kind.alias("kind"))
+    reached = lambda level, *more: (
+        seen.where("_root <> _node").unionByName(roots.select("_root", F.col("_root").alias("_node"), F.lit(0).alias("depth")))
+        .join(level, F.col("_node") == F.col("_up")).groupBy("_root", F.col("_down").alias("_node")).agg((F.min("depth") + 1).alias("depth"), *more)
+    )
+    for level in reversed(levels[1:]):
+        seen = seen.unionByName(_settled(reached(level)))
+    nodes = seen.withColumn("kind", F.lit("DERIVED"))
+    if levels:
+        leaves = reached(levels[0], F.max("_stored").alias("_stored"))
+        nodes = nodes.unionByName(leaves.select("_root", "_node", "depth", F.when(F.col("_stored"), "SOURCE").otherwise("MISSING").alias("kind")))
     sums = nodes.groupBy("_root").agg(F.count(F.when(F.col("kind") == "SOURCE", 1)).alias("sources"), F.count(F.when(F.col("kind") == "MISSING", 1)).alias("missing"), F.max("depth").alias("depth"))
     cyclic = open_.select(F.col("_up").alias("_root"), F.lit(True).alias("_cycle")).distinct()
     state = F.when(F.col("_cycle"), "CYCLE").when(F.col("depth").isNull(), "NO_SOURCES").when(F.col("missing") > 0, "INCOMPLETE").otherwise("COMPLETE")
