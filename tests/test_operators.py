@@ -1353,3 +1353,23 @@ def test_each_citation_is_followed_once(spark, monkeypatch):
     nodes, roots = joins.lineage_tree(spark.createDataFrame([("c0",), ("c1",)], "r string"), e, e.select("s").where("s like 's%1'"), "r", "s")
     assert rows(roots, "r", "sources", "missing", "depth", "state") == [("c0", 3, 10, 3, "INCOMPLETE"), ("c1", 2, 7, 2, "INCOMPLETE")]
     assert sum(followed) == len(chain)  # each in its own level, not all of them in every round
+
+
+def keyed(spark, ident):
+    """Four facts whose id has no nulls, or (ident: a nullable column) might have some."""
+    cols = {"value": F.col("id").cast("decimal(38,9)"), "unit": F.lit("USD"), "concept": F.lit("c"), "accession": F.lit("a"), "filed": lit("2020-01-01", "date"), "available_at": lit("2020-01-02", "timestamp"), "source_object": F.lit("o"), "state": F.lit("SOURCE_VALIDATED")}
+    return spark.range(4).select(F.expr(ident).alias("key"), *[x.alias(c) for c, x in cols.items()])
+
+
+SURE, UNSURE = "concat_ws('-', id, 'x')", "if(id > 0, string(id), null)"
+
+
+def joined_by(df):
+    return "<=>" if "<=>" in df._jdf.queryExecution().analyzed().toString() else "="
+
+
+def test_reports_are_joined_where_their_keys_were_dealt(spark):
+    diff = lambda ident: releases.diff_reports(keyed(spark, ident), keyed(spark, ident).withColumn("value", F.col("value") + 1), ["key"])
+    joins_of = lambda df: [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if "Join FullOuter" in x]
+    assert ["<=>" in x for x in joins_of(diff(SURE)) + joins_of(diff(UNSURE))] == [False, True]
+    assert diff(SURE).count() == diff(UNSURE).count() == 4  # a null key meets a null key

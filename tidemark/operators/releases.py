@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.values import rows_digest
+from tidemark.functions.values import rows_digest, same_keys
 
 #: Finding code -> severity.
 SEVERITY = {
@@ -54,7 +54,7 @@ def diff_reports(base: DataFrame, cand: DataFrame, keys: list[str], field: str |
     """
     a = base.select(*[F.col(k).alias("a_" + k) for k in keys], *[F.col(c).alias("a_" + c) for c in REPORT_COLUMNS], F.lit(True).alias("in_a"))
     b = cand.select(*[F.col(k).alias("b_" + k) for k in keys], *[F.col(c).alias("b_" + c) for c in REPORT_COLUMNS], F.lit(True).alias("in_b"))
-    both = a.join(b, [F.col("a_" + k).eqNullSafe(F.col("b_" + k)) for k in keys], "full")
+    both = a.join(b, same_keys(base, cand, keys, "a_", "b_"), "full")
     name = F.coalesce("a_" + field, "b_" + field) if field else F.lit(None).cast("string")
     if contract is not None:
         rules = contract.select(F.col("field").alias("_f"), F.col("unit").alias("_unit"), F.col("concepts").alias("_concepts"), F.col("prohibited").alias("_prohibited"))

@@ -737,8 +737,9 @@ def quality_contract(spark, sf_dir):
 _ONE = "one AS (SELECT DISTINCT ON (id) * FROM obs ORDER BY id, period_end)"
 
 
-def _one(df):
-    return df.groupBy("id").agg(F.min_by(F.struct(*[c for c in df.columns if c != "id"]), "period_end").alias("r")).select("id", "r.*")
+def _one(df, *cols):
+    """One row an id, with the named columns only: each goes through the shuffle."""
+    return df.groupBy("id").agg(F.min_by(F.struct(*cols), "period_end").alias("r")).select("id", "r.*")
 
 
 @query("quality_cross_validate", """SELECT a.id, CASE WHEN b.value IS NULL THEN 'NOT_COMPARABLE' WHEN a.unit <> b.unit THEN 'UNIT_MISMATCH' WHEN a.value = b.value THEN 'AGREES' ELSE 'CONFLICT' END AS validation, CASE WHEN a.unit = b.unit AND a.value <> b.value THEN (b.value::DECIMAL(28,9) - a.value::DECIMAL(28,9))::DECIMAL(29,9)::VARCHAR END AS delta FROM one a LEFT JOIN altered b ON a.id = b.id""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
@@ -824,7 +825,7 @@ def claims_instants(spark, sf_dir):
 def release_diff(spark, sf_dir):
     """Observations in hundredths against the altered ones; odd orders keep their accession."""
     k = F.col("l_orderkey")
-    a = _one(V.observations(spark, sf_dir)).withColumns({"state": F.lit("SOURCE_VALIDATED"), "source_object": F.lit("o1"), "field": F.lit("revenue"), "value": (F.col("value").cast("decimal(20,2)") * 100).cast(V.DECIMAL)})
+    a = _one(V.observations(spark, sf_dir), "value", "unit", "concept", "accession", "filed", "available_at", "l_orderkey").withColumns({"state": F.lit("SOURCE_VALIDATED"), "source_object": F.lit("o1"), "field": F.lit("revenue"), "value": (F.col("value").cast("decimal(20,2)") * 100).cast(V.DECIMAL)})
     b = V.altered(a).withColumns({
         "accession": F.when(k % 2 == 0, F.concat("accession", F.lit("x"))).otherwise(F.col("accession")), "source_object": F.when(k % 3 == 0, "o2").otherwise("o1"),
         "state": F.when(k % 17 == 0, "SOURCE_UNVALIDATED").when(k % 19 == 0, "BLOCKED").otherwise(F.col("state")),

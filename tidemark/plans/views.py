@@ -104,13 +104,15 @@ def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def altered(df: DataFrame) -> DataFrame:
-    """A later release of the observations: some rows are gone, some have other values, units, dates or states."""
+    """A later release of the observations: some rows are gone, some have other values, units, dates or states. Columns
+    that ``df`` lacks are left out."""
     k = F.col("l_orderkey")
     v = F.col("value").cast("decimal(20,2)")
     value = F.when(k % 31 == 0, -v).when(k % 37 == 0, v * 1000).when(k % 41 == 0, v + 1).when(k % 43 == 0, v * 2).when(k % 47 == 0, v * 3).otherwise(v)
     filed = F.when(k % 43 == 0, F.date_add("filed", 30)).when(k % 53 == 0, F.date_sub("filed", 5)).otherwise(F.col("filed"))
     unit = F.when(k % 59 == 0, "EUR").otherwise(F.col("unit"))
-    return df.where(k % 29 != 0).withColumns({"value": value.cast(DECIMAL), "filed": filed, "unit": unit})
+    new = {"value": value.cast(DECIMAL), "filed": filed, "unit": unit}
+    return df.where(k % 29 != 0).withColumns({c: x for c, x in new.items() if c in df.columns})
 
 
 ALTERED = """altered AS (
