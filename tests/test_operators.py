@@ -1373,3 +1373,9 @@ def test_reports_are_joined_where_their_keys_were_dealt(spark):
     joins_of = lambda df: [x for x in df._jdf.queryExecution().analyzed().toString().splitlines() if "Join FullOuter" in x]
     assert ["<=>" in x for x in joins_of(diff(SURE)) + joins_of(diff(UNSURE))] == [False, True]
     assert diff(SURE).count() == diff(UNSURE).count() == 4  # a null key meets a null key
+
+
+def test_validation_is_joined_where_its_keys_were_dealt(spark):
+    check = lambda ident: quality.cross_validate(keyed(spark, ident), keyed(spark, ident), ["key"])
+    assert joined_by(check(SURE)) == "=" and joined_by(check(UNSURE)) == "<=>"
+    assert check(SURE).where("validation = 'AGREES'").count() == check(UNSURE).where("validation = 'AGREES'").count() == 4

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import exact
-from tidemark.functions.values import decimal_token
+from tidemark.functions.values import decimal_token, same_keys
 
 
 def validate_observation(df: DataFrame, required: list[str], layer: str = "layer", layers: tuple[str, ...] = ("native", "derived"), unit: str = "unit", native_unit: str = "native_unit", token: str = "value_text", status: str = "value_status") -> DataFrame:
@@ -164,7 +164,7 @@ def cross_validate(primary: DataFrame, secondary: DataFrame, keys: list[str], va
     """The primary's rows against a second source: AGREES, CONFLICT with the delta, UNIT_MISMATCH, NOT_COMPARABLE
     (no second value) or PRIMARY_NOT_AVAILABLE. One row a key on each side."""
     s = secondary.select(*[F.col(k).alias("_" + k) for k in keys], F.col(value).alias("_v"), F.col(unit).alias("_u"))
-    out = primary.join(s, [F.col(k).eqNullSafe(F.col("_" + k)) for k in keys], "left")
+    out = primary.join(s, same_keys(primary, secondary, keys, "", "_"), "left")
     delta = exact.minus(F.col("_v"), F.col(value))
     state = F.when(F.col(value).isNull(), "PRIMARY_NOT_AVAILABLE").when(F.col("_v").isNull(), "NOT_COMPARABLE").when(F.col(unit) != F.col("_u"), "UNIT_MISMATCH").when(F.abs(delta) <= F.lit(tolerance) * F.abs(F.col(value)), "AGREES").otherwise("CONFLICT")
     return out.select(*primary.columns, state.alias("validation"), F.when(state == "CONFLICT", delta).alias("delta"))

@@ -744,7 +744,7 @@ def _one(df, *cols):
 
 @query("quality_cross_validate", """SELECT a.id, CASE WHEN b.value IS NULL THEN 'NOT_COMPARABLE' WHEN a.unit <> b.unit THEN 'UNIT_MISMATCH' WHEN a.value = b.value THEN 'AGREES' ELSE 'CONFLICT' END AS validation, CASE WHEN a.unit = b.unit AND a.value <> b.value THEN (b.value::DECIMAL(28,9) - a.value::DECIMAL(28,9))::DECIMAL(29,9)::VARCHAR END AS delta FROM one a LEFT JOIN altered b ON a.id = b.id""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
 def quality_cross(spark, sf_dir):
-    a = _one(V.observations(spark, sf_dir))
+    a = _one(V.observations(spark, sf_dir), "value", "unit", "l_orderkey")
     return text(quality.cross_validate(a, V.altered(a), ["id"]).select("id", "validation", "delta"), "delta")
 
 
