@@ -1379,3 +1379,9 @@ def test_validation_is_joined_where_its_keys_were_dealt(spark):
     check = lambda ident: quality.cross_validate(keyed(spark, ident), keyed(spark, ident), ["key"])
     assert joined_by(check(SURE)) == "=" and joined_by(check(UNSURE)) == "<=>"
     assert check(SURE).where("validation = 'AGREES'").count() == check(UNSURE).where("validation = 'AGREES'").count() == 4
+
+
+def test_corroboration_is_joined_where_its_keys_were_dealt(spark):
+    check = lambda ident: releases.corroboration_check(keyed(spark, ident), keyed(spark, ident), ["key"], "accession")
+    assert joined_by(check(SURE)) == "=" and joined_by(check(UNSURE)) == "<=>"
+    assert check(SURE).where("state = 'NOT_INDEPENDENT'").count() == check(UNSURE).where("state = 'NOT_INDEPENDENT'").count() == 4

@@ -849,7 +849,7 @@ def release_identity(spark, sf_dir):
 
 @query("release_corroboration", """SELECT a.id, CASE WHEN b.id IS NULL THEN 'UNCORROBORATED' WHEN a.accession = b.accession THEN 'NOT_INDEPENDENT' ELSE 'INDEPENDENT' END AS state FROM one a LEFT JOIN (SELECT id, CASE WHEN l_orderkey % 2 = 0 THEN accession ELSE accession || 'x' END AS accession FROM altered) b ON a.id = b.id""", (V.OBS, _ONE, V.ALTERED.replace("FROM obs", "FROM one")))
 def release_corroboration(spark, sf_dir):
-    a = _one(V.observations(spark, sf_dir))
+    a = _one(V.observations(spark, sf_dir), "accession", "l_orderkey")
     b = V.altered(a).withColumn("accession", F.when(F.col("l_orderkey") % 2 == 0, F.col("accession")).otherwise(F.concat("accession", F.lit("x"))))
     return releases.corroboration_check(a, b, ["id"], "accession")
 
