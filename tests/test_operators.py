@@ -1385,3 +1385,13 @@ def test_corroboration_is_joined_where_its_keys_were_dealt(spark):
     check = lambda ident: releases.corroboration_check(keyed(spark, ident), keyed(spark, ident), ["key"], "accession")
     assert joined_by(check(SURE)) == "=" and joined_by(check(UNSURE)) == "<=>"
     assert check(SURE).where("state = 'NOT_INDEPENDENT'").count() == check(UNSURE).where("state = 'NOT_INDEPENDENT'").count() == 4
+
+
+def test_strict_selection_shuffles_one_set_of_pairs(spark):
+    shape = "k string, at int, value decimal(38,9), id string"
+    df = spark.createDataFrame([("a", 1, D(9), "z"), ("a", 2, D(1), "y"), ("a", 2, D(1), "x"), ("a", 2, D(1), "x"), ("b", 1, D(1), "p"), ("b", 1, None, "q"), ("c", 1, None, "s"), ("c", 1, None, None), ("d", 1, D(1), None), ("e", 1, D(2), "t"), ("e", 1, D(3), "t"), ("f", None, D(1), "u")], shape)
+    got, gaps = pit.select_or_conflict(df, ["k"], available="at")
+    assert rows(got, "k", "at", "value", "id", "source_ids") == sorted([("a", 2, D(1), "x", ["x", "y"]), ("c", 1, None, "s", ["s"]), ("d", 1, None, None, [])], key=str)
+    assert rows(gaps, "k", "at", "reason") == [("b", 1, "CONFLICTING_SOURCE_VALUES"), ("e", 1, "CONFLICTING_SOURCE_VALUES")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_set") == 1 and "min_by" not in plan  # ids and values went through the shuffle several times

@@ -45,15 +45,13 @@ def select_or_conflict(df: DataFrame, keys: list[str], as_of=None, value: str =
     The rows are read once: what each instant holds is combined before the shuffle, then the latest instant is taken.
     """
     rows = df.where(F.col(available).isNotNull()) if as_of is None else available_as_of(df, as_of, available)
-    gone = F.col(value).isNull()
-    at = rows.groupBy(*keys, available).agg(
-        F.min_by(value, ident).alias(value),
-        F.min(ident).alias(ident),
-        F.collect_set(ident).alias("source_ids"),
-        ((F.min(value) != F.max(value)) | (F.min(gone) != F.max(gone))).alias("_conflict"),
-    )
-    last = at.groupBy(*keys).agg(F.max_by(F.struct(available, value, ident, "source_ids", "_conflict"), available).alias("_r"))
-    agreed = last.select(*keys, f"_r.{available}", f"_r.{value}", f"_r.{ident}", F.array_sort("_r.source_ids").alias("source_ids"), F.coalesce("_r._conflict", F.lit(False)).alias("_conflict"))
+    # one set of pairs is all that is shuffled; the rest is read off the latest one
+    at = rows.groupBy(*keys, available).agg(F.collect_set(F.struct(F.col(ident).alias("i"), F.col(value).alias("v"))).alias("_set"))
+    last = at.groupBy(*keys).agg(F.max_by("_set", available).alias("_set"), F.max(available).alias(available))
+    named = F.filter("_set", lambda x: x["i"].isNotNull())
+    least = F.array_min(named)
+    conflict = F.size(F.array_distinct(F.transform("_set", lambda x: x["v"]))) > 1
+    agreed = last.select(*keys, available, least["v"].alias(value), least["i"].alias(ident), F.array_sort(F.array_distinct(F.transform(named, lambda x: x["i"]))).alias("source_ids"), conflict.alias("_conflict"))
     gaps = agreed.where("_conflict").select(*keys, available, F.lit("CONFLICTING_SOURCE_VALUES").alias("reason"))
     return agreed.where("not _conflict").drop("_conflict"), gaps
 
@@ -79,10 +77,13 @@ def ambiguity(df: DataFrame, keys: list[str], fields: list[str], available: str
 def pick_by_priority(df: DataFrame, keys: list[str], priority: str, filed: str, accession: str, concept: str = "concept") -> DataFrame:
     """Per key the row of the best (lowest) concept priority, then latest filing; ``superseded`` lists the other
     concepts, sorted."""
-    order = F.struct((-F.col(priority)).alias("p"), filed, accession)
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.collect_set(concept).alias("_all"))
-    out = best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest], "_all")
+    first = [filed, accession]
+    rest = [c for c in df.columns if c not in [*keys, *first]]
+    order, others = F.struct((-F.col(priority)).alias("_p"), *first), F.struct(*rest).alias("_o")
+    maps = any("map<" in df.schema[c].dataType.simpleString() for c in rest)  # maps have no order, so their rows go beside it
+    row = F.struct(order.alias("_k"), others)
+    best = df.groupBy(*keys).agg((F.max_by(row, order) if maps else F.max(row)).alias("_r"), F.collect_set(concept).alias("_all"))
+    out = best.select(*keys, *[F.col(f"_r._k.{c}" if c in first else f"_r._o.{c}").alias(c) for c in df.columns if c not in keys], "_all")
     return out.withColumn("superseded", F.array_sort(F.array_except("_all", F.array(F.col(concept))))).drop("_all")
 
 
