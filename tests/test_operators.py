@@ -1395,3 +1395,14 @@ def test_strict_selection_shuffles_one_set_of_pairs(spark):
     assert rows(gaps, "k", "at", "reason") == [("b", 1, "CONFLICTING_SOURCE_VALUES"), ("e", 1, "CONFLICTING_SOURCE_VALUES")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("collect_set") == 1 and "min_by" not in plan  # ids and values went through the shuffle several times
+
+
+def test_priority_rows_are_shuffled_once_each(spark):
+    shape = "k string, p int, filed string, acc string, concept string, v int"
+    df = spark.createDataFrame([("a", 1, "d1", "x", "O", 1), ("a", 1, "d2", "x", "O", 2), ("a", 2, "d9", "x", "F", 3), ("b", 2, "d1", None, "F", 4), ("c", None, "d1", "x", "F", 5), ("c", 9, None, "x", "G", 6)], shape)
+    want = [("a", 1, "d2", "x", "O", 2, ["F"]), ("b", 2, "d1", None, "F", 4, []), ("c", 9, None, "x", "G", 6, ["F"])]
+    got = pit.pick_by_priority(df, ["k"], "p", "filed", "acc")
+    assert rows(got, *df.columns, "superseded") == want
+    assert "max_by" not in got._jdf.queryExecution().optimizedPlan().toString()  # its order repeats what the row holds
+    mapped = pit.pick_by_priority(df.withColumn("m", F.create_map(F.lit("v"), "v")), ["k"], "p", "filed", "acc")
+    assert rows(mapped.withColumn("m", F.col("m.v")), "k", "m") == [("a", 2), ("b", 4), ("c", 6)]

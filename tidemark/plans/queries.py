@@ -112,9 +112,9 @@ def pit_ambiguity(spark, sf_dir):
 @query("pit_pick_by_priority", """SELECT cik, metric, period_end::VARCHAR AS period_end, arg_max(concept, (CASE concept WHEN 'O' THEN -1 ELSE -2 END, filed, accession, id)) AS concept,
   arg_max(id, (CASE concept WHEN 'O' THEN -1 ELSE -2 END, filed, accession, id)) AS id, CASE WHEN count(DISTINCT concept) > 1 THEN 'F' ELSE '' END AS superseded FROM obs GROUP BY cik, metric, period_end""", (V.OBS,))
 def pit_priority(spark, sf_dir):
-    rows = V.observations(spark, sf_dir).withColumns({"p": F.when(F.col("concept") == "O", 1).otherwise(2), "acc": F.struct("accession", "id")})
+    rows = V.observations(spark, sf_dir).withColumns({"p": F.when(F.col("concept") == "O", 1).otherwise(2), "acc": F.struct("accession", "id")}).select("cik", "metric", "period_end", "concept", "p", "filed", "acc")
     out = pit.pick_by_priority(rows, ["cik", "metric", "period_end"], "p", "filed", "acc").withColumn("superseded", F.array_join("superseded", ","))
-    return text(out, "period_end").select("cik", "metric", "period_end", "concept", "id", "superseded")
+    return text(out, "period_end").select("cik", "metric", "period_end", "concept", "acc.id", "superseded")
 
 
 @query("pit_merge_concepts", """SELECT cik, metric, period_end::VARCHAR AS period_end, CASE WHEN count(DISTINCT value) > 1 THEN 'AMBIGUOUS_CONCEPTS' END AS reason, CASE WHEN count(DISTINCT value) <= 1 THEN min(value)::VARCHAR END AS value
