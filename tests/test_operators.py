@@ -1406,3 +1406,12 @@ def test_priority_rows_are_shuffled_once_each(spark):
     assert "max_by" not in got._jdf.queryExecution().optimizedPlan().toString()  # its order repeats what the row holds
     mapped = pit.pick_by_priority(df.withColumn("m", F.create_map(F.lit("v"), "v")), ["k"], "p", "filed", "acc")
     assert rows(mapped.withColumn("m", F.col("m.v")), "k", "m") == [("a", 2), ("b", 4), ("c", 6)]
+
+
+def test_reconcile_builds_no_sets_of_values(spark):
+    shape = "id string, c string, value decimal(38,9)"
+    old = spark.createDataFrame([("a", "x", D(1)), ("b", "x", D(1)), ("c", "y", D(2)), ("d", "z", D(3)), ("e", None, None), (None, "w", D(1)), ("g", "v", D(1)), ("g", "v", None)], shape)
+    new = spark.createDataFrame([("a", "x", D(1)), ("c", "y", D(4)), ("f", "q", D(1)), ("e", None, D(1)), (None, "w", D(1)), ("g", "v", D(1))], shape)
+    got = releases.reconcile(old, new, "id", ["c"], "value")
+    assert rows(got, "kind", "key") == sorted([("REMOVED", "b"), ("REMOVED", "d"), ("ADDED", "f"), ("CHANGED", "y"), ("CHANGED", "~")], key=str)
+    assert "collect_set" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -154,17 +154,19 @@ def corroboration_check(primary: DataFrame, secondary: DataFrame, keys: list[str
 def reconcile(old: DataFrame, new: DataFrame, ident: str, context: list[str], value: str) -> DataFrame:
     """(kind, key): ids ADDED and REMOVED and contexts whose set of values CHANGED (those in both snapshots).
 
-    Both snapshots are read once each: an aggregation by context and id, then one by each of the two, nothing joined.
+    Both snapshots are read once each and nothing is joined. Each different value of a context is marked with the
+    snapshots that hold it (an id is a key without values), then each key takes the marks of its values; one shuffle does
+    for both. No sets are built: the values of a context pass through one task, but aren't held in memory as one row.
     Null ids are no ids.
     """
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in context])
     side = lambda t, n: t.select(F.col(ident).cast("string").alias("_id"), key.alias("_c"), F.col(value).alias("_v"), F.lit(n).alias("_s"))
     both = side(old, 1).unionByName(side(new, 2))
-    cells = F.array(F.struct(F.lit("id").alias("of"), F.col("_id").alias("key"), F.lit(None).cast(old.schema[value].dataType).alias("v")), F.struct(F.lit("context").alias("of"), F.col("_c").alias("key"), F.col("_v").alias("v")))
+    cells = F.array(F.struct(F.lit(True).alias("is_id"), F.col("_id").alias("key"), F.lit(None).cast(old.schema[value].dataType).alias("v")), F.struct(F.lit(False).alias("is_id"), F.col("_c").alias("key"), F.col("_v").alias("v")))
     rows = both.select("_s", F.explode(cells).alias("_x")).select("_s", "_x.*").where("key is not null")
-    vals = lambda n: F.array_sort(F.collect_set(F.when(F.col("_s") == n, F.col("v"))))
-    got = rows.groupBy("of", "key").agg(F.max(F.col("_s") == 1).alias("a"), F.max(F.col("_s") == 2).alias("b"), vals(1).alias("va"), vals(2).alias("vb"))
-    kind = F.when((F.col("of") == "id") & ~F.col("a"), "ADDED").when((F.col("of") == "id") & ~F.col("b"), "REMOVED").when((F.col("of") == "context") & F.col("a") & F.col("b") & (F.col("va") != F.col("vb")), "CHANGED")
+    held = rows.repartition("is_id", "key").groupBy("is_id", "key", "v").agg(F.bit_or("_s").alias("_s"))  # 1, 2 or 3: both
+    got = held.groupBy("is_id", "key").agg(F.bit_or("_s").alias("_s"), F.max(F.col("v").isNotNull() & (F.col("_s") != 3)).alias("_off"))
+    kind = F.when(F.col("is_id"), F.when(F.col("_s") == 2, "ADDED").when(F.col("_s") == 1, "REMOVED")).when((F.col("_s") == 3) & F.col("_off"), "CHANGED")
     return got.select(kind.alias("kind"), "key").where("kind is not null")
 
 
