@@ -28,7 +28,7 @@ WIDE = 8  # characters of a shingle in signatures
 BANDS, ROWS = 12, 4
 BINS = 48
 GROUP_CHARS = 1 << 16  # characters of the lines whose signatures are computed at once: arrays of 0.5 MB
-LARGE_BAND, PIVOTS = 256, 4  # lines of a band beyond which it has so many pairs of further pivots
+LARGE_BAND, PIVOTS = 256, 4  # lines of a band beyond which it has so many pairs of further pivots, of which a line meets one
 SMALL_BAND = 32  # lines of a band that are paired with one another; larger bands take the prefix join
 MIN_CHARS = 10  # unless a caller asks for shorter lines too, as the query and the pipeline do; empty lines always stay
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -188,6 +188,16 @@ def same_sets(lines: DataFrame) -> DataFrame:
     return sets.join(first, "set").where("key <> m").select("key", "m")
 
 
+def further_pivots(marks: DataFrame, large: DataFrame) -> DataFrame:
+    """(key, m): each (band, key) row of the ``large`` bands with one of their further pivots, which are first and last
+    in PIVOTS hashed orders; a line meets another pivot in each of its bands."""
+    orders = [F.xxhash64(F.lit(seed), "key") for seed in range(PIVOTS)]
+    more = F.array(*[x for h in orders for x in (F.min_by("key", h), F.max_by("key", h))])
+    pivots = marks.join(large, "band").groupBy("band").agg(more.alias("pivots"))
+    one = F.col("pivots")[F.pmod(F.xxhash64("key", "band"), F.lit(2 * PIVOTS)).cast("int")]
+    return marks.join(pivots, "band").select("key", one.alias("m"))
+
+
 def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, k, n_lines, gone): ``gone`` is the sorted array of positions of a document's lines that go.
 
@@ -210,10 +220,7 @@ def removed_lines(docs: DataFrame, threshold: float = 0.8, min_chars: int = MIN_
     ends = marks.groupBy("band").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     near = marks.join(ends.select("band", "lo", "hi"), "band").select("key", F.explode(F.array("lo", "hi")).alias("m"))
     # large bands have further pivots, so that more of what is alike in them is joined before the exact search
-    orders = [F.xxhash64(F.lit(seed), "key") for seed in range(PIVOTS)]
-    more = F.array(*[x for h in orders for x in (F.min_by("key", h), F.max_by("key", h))])
-    pivots = marks.join(ends.where(F.col("n") > LARGE_BAND).select("band"), "band").groupBy("band").agg(more.alias("pivots"))
-    near = near.union(marks.join(pivots, "band").select("key", F.explode("pivots").alias("m"))).where("key <> m")
+    near = near.union(further_pivots(marks, ends.where(F.col("n") > LARGE_BAND).select("band"))).where("key <> m")
     near = written(near.select(F.least("key", "m").alias("key"), F.greatest("key", "m").alias("m")).distinct(), "candidates")
     names = near.select("key").union(near.select("m")).distinct()
     sent = build_filter(names, "key")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, might_hold
-from tidemark.llm.common import discard, merged_components, written
+from tidemark.llm.common import discard, merged_components, shuffles_dropped, written
 
 SAMPLE = 16  # one of so many sets is looked at for common shingles
 COMMON, MOST = 3, 1 << 19  # a shingle is common if so many sampled sets hold it; so many of these are told apart
@@ -100,17 +100,40 @@ def prefixes(texts: DataFrame, grams, threshold: float) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, "key binary, n int, sigs array<bigint>, sketch array<bigint>")
 
 
+def prefix_sets(texts: DataFrame, grams, threshold: float) -> DataFrame:
+    """``prefixes`` of the (key, text) rows, each key once, written."""
+    return written(prefixes(texts, grams, threshold).dropDuplicates(["key"]), "prefixes")
+
+
+def postings_of(sets: DataFrame) -> DataFrame:
+    """(key, n, sketch, p, sig): the shingles of ``prefix_sets`` that several of them may have, written."""
+    each = sets.select("key", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
+    h = F.xxhash64("key")
+    met = written(each.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig"), "met")
+    posts = written(each.where(might_hold(sets.sparkSession, build_filter(met, "sig"), "sig")), "postings")
+    discard(met)
+    return posts
+
+
 def postings(texts: DataFrame, grams, threshold: float) -> DataFrame:
     """(key, n, sketch, p, sig): the prefix shingles that several of the (key, text) rows may have, written.
 
     ``grams`` gives the set of shingles of a text as bytes, or as a sorted array of distinct hashes; a text without any
     has no rows. Repeated rows of a key count once.
     """
-    sets = written(prefixes(texts, grams, threshold).dropDuplicates(["key"]), "prefixes")
-    each = sets.select("key", "n", "sketch", F.posexplode("sigs").alias("p", "sig"))
-    h = F.xxhash64("key")
-    met = each.groupBy("sig").agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b").select("sig")
-    return written(each.where(might_hold(texts.sparkSession, build_filter(written(met, "met"), "sig"), "sig")), "postings")
+    sets = prefix_sets(texts, grams, threshold)
+    posts = postings_of(sets)
+    discard(sets)
+    return posts
+
+
+def likely(near: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The (key, m) rows of ``near`` but those that sizes and sketches of ``prefix_sets`` show to be unlike, each once.
+
+    Texts or whole sets then travel for pairs only that may be links; no link is left out.
+    """
+    sides = sets.select("key", "n", "sketch"), sets.select(F.col("key").alias("m"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    return near.distinct().join(sides[0], "key").join(sides[1], "m").where(near_enough(threshold)).select("key", "m")
 
 
 def length_partition(n, threshold: float):
@@ -136,7 +159,8 @@ def pivot_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 def _with_parts(posts: DataFrame, parts: DataFrame) -> DataFrame:
     """``posts`` with the node and component of their key, where it has one. Keys that are joined already are few beside
     the postings: up to NAMED of them, some 8 MB, are sent to the postings, more are joined by a shuffle."""
-    small = parts.limit(NAMED + 1).count() <= NAMED
+    with shuffles_dropped(posts.sparkSession):
+        small = parts.limit(NAMED + 1).count() <= NAMED
     return posts.join(F.broadcast(parts) if small else parts, F.col("key") == F.col("node"), "left")
 
 
