@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bloom import build_filter, map_listed
-from tidemark.llm.common import connected_components, read, small_batches, with_range, written
-from tidemark.llm.prefix import joined_parts, pivot_pairs, postings
+from tidemark.llm.common import connected_components, discard, read, small_batches, with_range, written
+from tidemark.llm.prefix import joined_parts, likely, pivot_pairs, postings_of, prefix_sets
 
 # Anchors and further common words, in English, German, French and Spanish.
 ANCHORS = frozenset("a an is the das der die ist la le les un una el los est es".split())
@@ -198,7 +198,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     small_batches(spark)
     ids = written(base.select("id", "key"), "ids")
     texts = base.select("key", "text")
-    posts = postings(texts, lambda t: [s.to_bytes(8, "little") for s in spot_signatures(t, chain)] or [b""], threshold)
+    fingerprints = prefix_sets(texts, lambda t: [s.to_bytes(8, "little") for s in spot_signatures(t, chain)] or [b""], threshold)
+    posts = postings_of(fingerprints)
 
     def verified(near: DataFrame) -> DataFrame:
         near = written(near, "candidates")
@@ -206,10 +207,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
         sets = map_listed(texts, sent, "key", _as_sets(chain), "key binary, s binary")
         sets = written(sets.dropDuplicates(["key"]), "sets")
         both = near.join(sets, "key").join(sets.select(F.col("key").alias("m"), F.col("s").alias("s2")), "m")
-        return both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary")
+        found = written(both.select("key", "m", "s", "s2").mapInArrow(_alike(threshold), "key binary, m binary"), "links")
+        discard(near, sets)
+        return found
 
-    parts = written(connected_components(verified(pivot_pairs(posts, threshold)), "key", "m"), "parts")
+    links = verified(likely(pivot_pairs(posts, threshold), fingerprints, threshold))
+    discard(fingerprints)
+    parts = written(connected_components(links, "key", "m"), "parts")
     parts = joined_parts(posts, parts, threshold, verified, by_length=True)
+    discard(posts, links)
     least = ids.groupBy("key").agg(F.min("id").alias("least"))
     each = least.join(parts, least.key == parts.node, "left").select("key", "least", F.coalesce("component", "key").alias("part"))
     named = each.join(each.groupBy("part").agg(F.min("least").alias("class_id")), "part").select(F.col("key").alias("k"), "class_id")
